@@ -1,0 +1,45 @@
+"""Connected components by contraction.
+
+Every round each node joins the neighbour (or itself) of least random priority and the
+edges are contracted to those neighbours; priorities change from round to round, so a
+round leaves about half of the nodes whatever the ids or the graph's diameter.  Rounds
+are written to the shared folder, hubs are summed before they are shuffled and their
+joins are left to AQE's skew handling.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import settle
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``edges`` (a, b); the component is its least node.
+
+    Nulls and loops are dropped; repeated edges count once; no edge gives an empty frame.
+    """
+    current = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not current.isEmpty():
+        seed = F.lit(len(maps))
+        both = current.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(current.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        # the hash is a bijection's image in practice; the node itself breaks a tie
+        best = both.groupBy("node").agg(F.min_by("other", F.struct(F.xxhash64("other", seed), "other")).alias("other"))
+        own, that = F.struct(F.xxhash64("node", seed), "node"), F.struct(F.xxhash64("other", seed), F.col("other").alias("node"))
+        label = settle(best.select("node", F.when(that < own, F.col("other")).otherwise(F.col("node")).alias("label")), "labels")
+        maps.append(label)
+        left = label.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        right = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        merged = current.join(left, "a").select("b", "la").join(right, "b")
+        current = settle(merged.where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), "edges")
+    if not maps:
+        return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = maps[0]
+    for step in maps[1:]:
+        onward = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        found = found.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    found = settle(found, "roots")
+    least = found.groupBy("label").agg(F.min("node").alias("component"))
+    return settle(found.join(least, "label").select("node", "component"), "components")

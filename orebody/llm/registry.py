@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import decontaminate, mixing, near_join, tokens, warc
 
 QUERIES = {
     "op3_warc": warc.query,
+    "op4_near_join": near_join.query,
+    "op5_tokens": tokens.query,
     "op6_mixing": mixing.query,
+    "op8_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
     "op3_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
