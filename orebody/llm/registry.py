@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_join, tokens, warc
+from . import decontaminate, mixing, near_join, quality, tokens, toxicity, warc
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op3_warc": warc.query,
     "op4_near_join": near_join.query,
     "op5_tokens": tokens.query,
     "op6_mixing": mixing.query,
     "op8_decontaminate": decontaminate.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {

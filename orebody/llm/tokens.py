@@ -98,7 +98,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         split = {}
         for word in new:
             core = word.rstrip(MARKS)
-            split[word] = (core, word[len(core) :]) if core.isalpha() else (word, "")
+            split[word] = (core, word[len(core) :]) if core.isalpha() and core.lower().isalpha() else (word, "")
         missing = [part for part in {part for pair in split.values() for part in pair} if part not in parts]
         if len(parts) > REMEMBERED_PARTS:
             parts.clear()
