@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_join, quality, tokens, toxicity, warc
+from . import decontaminate, mixing, near_join, near_vectors, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op2_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_near_join": near_join.query,
     "op5_tokens": tokens.query,
     "op6_mixing": mixing.query,
+    "op7_near_vectors": near_vectors.query,
     "op8_decontaminate": decontaminate.query,
     "op10_toxicity": toxicity.query,
 }

@@ -35,7 +35,7 @@ END_ID = 2
 #: A block closes at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 #: Distinct words, and parts of words, that a worker remembers.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 200_000, 300_000
+REMEMBERED_WORDS, REMEMBERED_PARTS = 400_000, 600_000
 #: ASCII marks, which the vocabulary's pattern takes as one run behind letters.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
