@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_join, near_vectors, quality, tokens, toxicity, warc
+from . import decontaminate, mixing, near_join, near_vectors, quality, repeats, tokens, toxicity, warc
 
 QUERIES = {
     "op2_quality": quality.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_mixing": mixing.query,
     "op7_near_vectors": near_vectors.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_repeats": repeats.query,
     "op10_toxicity": toxicity.query,
 }
 
