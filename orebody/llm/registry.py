@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_join, near_vectors, quality, repeats, tokens, toxicity, warc
+from . import decontaminate, html_extract, mixing, near_join, near_vectors, quality, repeats, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_html": html_extract.query,
     "op2_quality": quality.query,
     "op3_warc": warc.query,
     "op4_near_join": near_join.query,
