@@ -1,6 +1,614 @@
-"""Every registered query of the resource engine with the SQL that checks it."""
+"""Every registered query of the resource engine with the SQL that checks it.
+
+The star-schema tables stand for the domain: an order is a project, its customer a field,
+the customer's nation a work area and all nations the country; priorities stand for
+uncertainty levels and order years for report years.  Coordinates are a rule over keys.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orebody.functions import expressions as X
+from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
+from orebody.operators import analysis, graph, rollup, search, spatial, views
+from orebody.plans import sqlgate
+from orebody.streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return function
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- the domain's base tables
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot rows: a project at an uncertainty level in a report year."""
+    o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    level = F.when(F.col("o_orderpriority") == "1-URGENT", LOW).when(F.col("o_orderpriority") == "2-HIGH", MIDDLE).when(F.col("o_orderpriority") == "3-MEDIUM", HIGH)
+    stage = F.when(F.col("o_orderstatus") == "F", "Exploitation").when(F.col("o_orderstatus") == "O", "Exploration").otherwise("Abandoned")
+    # nations and regions are few by definition of the tables; customers are joined as AQE sees fit
+    places = c.join(F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"])), c["c_nationkey"] == n["n_nationkey"])
+    joined = o.where(level.isNotNull()).join(places, o["o_custkey"] == c["c_custkey"])
+    return joined.select(
+        F.year("o_orderdate").cast("int").alias("report_year"),
+        F.col("n_nationkey").alias("wk_id"),
+        F.col("n_name").alias("wk_name"),
+        F.col("r_name").alias("region_name"),
+        F.col("c_custkey").alias("field_id"),
+        F.col("c_name").alias("field_name"),
+        F.col("o_orderkey").alias("project_id"),
+        stage.alias("project_stage"),
+        F.col("c_mktsegment").alias("project_class"),
+        level.alias("uncert_level"),
+        F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("pod_name"),
+        F.when(stage == "Abandoned", 0).otherwise(1).alias("is_discovered"),
+        F.col("o_totalprice").alias("rec_oc"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("res_oc"),
+    )
+
+
+PROJECTS = f"""
+projects AS (
+  SELECT year(o_orderdate)::INT AS report_year, n_nationkey AS wk_id, n_name AS wk_name, r_name AS region_name, c_custkey AS field_id, c_name AS field_name,
+         o_orderkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'Exploitation' WHEN 'O' THEN 'Exploration' ELSE 'Abandoned' END AS project_stage,
+         c_mktsegment AS project_class,
+         CASE o_orderpriority WHEN '1-URGENT' THEN '{LOW}' WHEN '2-HIGH' THEN '{MIDDLE}' ELSE '{HIGH}' END AS uncert_level,
+         NULLIF(o_orderstatus, 'P') AS pod_name, CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END AS is_discovered,
+         o_totalprice AS rec_oc, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS res_oc
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))"""
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly rows of a field (supplier) in a work area (nation)."""
+    l, s = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
+    return l.join(s, l["l_suppkey"] == s["s_suppkey"]).select(
+        F.lit(2001).alias("report_year"),
+        F.col("s_nationkey").alias("wk_id"),
+        F.col("s_suppkey").alias("field_id"),
+        F.col("s_name").alias("field_name"),
+        F.col("l_returnflag").alias("project_class"),
+        F.col("l_linestatus").alias("project_level"),
+        F.year("l_shipdate").cast("int").alias("year"),
+        F.col("l_quantity").alias("tpf_oc"),
+        F.col("l_extendedprice").alias("slf_oc"),
+        F.col("l_discount").alias("ghv"),
+    )
+
+
+SERIES = """
+series AS (
+  SELECT 2001 AS report_year, s_nationkey AS wk_id, s_suppkey AS field_id, s_name AS field_name, l_returnflag AS project_class, l_linestatus AS project_level,
+         year(l_shipdate)::INT AS year, l_quantity AS tpf_oc, l_extendedprice AS slf_oc, l_discount AS ghv
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+# ---------------------------------------------------------------- rollups
+
+SNAPSHOT = rollup.snapshot_levels(("rec_oc", "res_oc"))
+FORECAST = rollup.series_levels(("tpf_oc", "slf_oc"))
+FIELD_SQL = """
+field AS (
+  SELECT report_year, wk_id, field_id, project_stage, project_class, uncert_level, MIN(wk_name) AS wk_name, MIN(field_name) AS field_name, MAX(is_discovered) AS is_discovered,
+         COUNT(NULLIF(pod_name, '')) AS pod_count, COUNT(*) AS project_count, SUM(rec_oc) AS rec_oc, SUM(res_oc) AS res_oc
+  FROM projects GROUP BY ALL)"""
+AREA_SQL = """
+area AS (
+  SELECT report_year, wk_name, project_stage, project_class, uncert_level, MAX(is_discovered) AS is_discovered, COUNT(*) AS field_count,
+         SUM(project_count)::BIGINT AS project_count, SUM(rec_oc) AS rec_oc, SUM(res_oc) AS res_oc
+  FROM field GROUP BY ALL)"""
+
+
+@query("rollup_field", f"WITH {PROJECTS}, {FIELD_SQL} SELECT * REPLACE (ROUND(rec_oc, 2) AS rec_oc, ROUND(res_oc, 2) AS res_oc) FROM field")
+def rollup_field(spark, sf_dir):
+    return rounded(rollup.stack(projects(spark, sf_dir), SNAPSHOT[:1])[-1], rec_oc=2, res_oc=2)
+
+
+@query("rollup_work_area", f"WITH {PROJECTS}, {FIELD_SQL}, {AREA_SQL} SELECT * REPLACE (ROUND(rec_oc, 2) AS rec_oc, ROUND(res_oc, 2) AS res_oc) FROM area")
+def rollup_work_area(spark, sf_dir):
+    return rounded(rollup.stack(projects(spark, sf_dir), SNAPSHOT[:2])[-1], rec_oc=2, res_oc=2)
+
+
+@query(
+    "rollup_national",
+    f"""WITH {PROJECTS}, {FIELD_SQL}, {AREA_SQL}
+SELECT report_year, project_stage, project_class, uncert_level, MAX(is_discovered) AS is_discovered, COUNT(*) AS wk_count, SUM(project_count)::BIGINT AS project_count,
+       SUM(field_count)::BIGINT AS field_count, ROUND(SUM(rec_oc), 2) AS rec_oc, ROUND(SUM(res_oc), 2) AS res_oc
+FROM area GROUP BY ALL""",
+)
+def rollup_national(spark, sf_dir):
+    return rounded(rollup.stack(projects(spark, sf_dir), SNAPSHOT)[-1], rec_oc=2, res_oc=2)
+
+
+SERIES_FIELD = """
+sfield AS (
+  SELECT report_year, wk_id, field_id, project_class, project_level, year, MIN(field_name) AS field_name, COUNT(*) AS project_count,
+         SUM(tpf_oc) AS tpf_oc, SUM(slf_oc) AS slf_oc, AVG(ghv) AS ghv FROM series GROUP BY ALL)"""
+SERIES_AREA = """
+sarea AS (
+  SELECT report_year, wk_id, project_class, project_level, year, COUNT(*) AS field_count, SUM(project_count)::BIGINT AS project_count,
+         SUM(tpf_oc) AS tpf_oc, SUM(slf_oc) AS slf_oc, AVG(ghv) AS ghv FROM sfield GROUP BY ALL)"""
+SERIES_ROUND = "SELECT * REPLACE (ROUND(tpf_oc, 2) AS tpf_oc, ROUND(slf_oc, 2) AS slf_oc, ROUND(ghv, 6) AS ghv)"
+
+
+@query("rollup_series_field", f"WITH {SERIES}, {SERIES_FIELD} {SERIES_ROUND} FROM sfield")
+def rollup_series_field(spark, sf_dir):
+    return rounded(rollup.stack(series(spark, sf_dir), FORECAST[:1])[-1], tpf_oc=2, slf_oc=2, ghv=6)
+
+
+@query("rollup_series_work_area", f"WITH {SERIES}, {SERIES_FIELD}, {SERIES_AREA} {SERIES_ROUND} FROM sarea")
+def rollup_series_work_area(spark, sf_dir):
+    return rounded(rollup.stack(series(spark, sf_dir), FORECAST[:2])[-1], tpf_oc=2, slf_oc=2, ghv=6)
+
+
+@query(
+    "rollup_series_national",
+    f"""WITH {SERIES}, {SERIES_FIELD}, {SERIES_AREA}
+SELECT report_year, project_class, project_level, year, COUNT(*) AS wk_count, SUM(project_count)::BIGINT AS project_count, SUM(field_count)::BIGINT AS field_count,
+       ROUND(SUM(tpf_oc), 2) AS tpf_oc, ROUND(SUM(slf_oc), 2) AS slf_oc, ROUND(AVG(ghv), 6) AS ghv FROM sarea GROUP BY ALL""",
+)
+def rollup_series_national(spark, sf_dir):
+    return rounded(rollup.stack(series(spark, sf_dir), FORECAST)[-1], tpf_oc=2, slf_oc=2, ghv=6)
+
+
+@query(
+    "flagship_total_by_region",
+    f"""WITH {PROJECTS}, last AS (SELECT MAX(report_year) AS y FROM projects WHERE report_year <= 1998)
+SELECT report_year, region_name, COUNT(*) AS project_count, ROUND(SUM(rec_oc), 2) AS rec_oc, ROUND(CASE WHEN SUM(rec_oc) > 0 THEN SUM(res_oc) / SUM(rec_oc) ELSE 0 END, 6) AS reserves_share
+FROM projects WHERE uncert_level = '{MIDDLE}' AND report_year = (SELECT y FROM last) GROUP BY ALL""",
+)
+def flagship_total_by_region(spark, sf_dir):
+    latest = analysis.latest_year(projects(spark, sf_dir), 1998).where(F.col("uncert_level") == MIDDLE)
+    level = rollup.Level(("report_year", "region_name"), sums=("rec_oc",), rows="project_count", ratios={"reserves_share": ("res_oc", "rec_oc")})
+    return rounded(rollup.roll_up(latest, level), rec_oc=2, reserves_share=6)
+
+
+@query(
+    "ratio_guarded",
+    """SELECT p_brand, ROUND(CASE WHEN SUM(l_extendedprice) > 0 THEN SUM(l_extendedprice * l_discount) / SUM(l_extendedprice) ELSE 0 END, 6) AS factor
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""",
+)
+def ratio_guarded(spark, sf_dir):
+    l, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    level = rollup.Level(("p_brand",), ratios={"factor": ("l_extendedprice * l_discount", "l_extendedprice")})
+    return rounded(rollup.roll_up(l.join(p, l["l_partkey"] == p["p_partkey"]), level), factor=6)
+
+
+@query("concat_remarks", "SELECT p_brand, p_size, CASE WHEN COUNT(*) > 1 THEN string_agg(p_name || ': ' || p_type, E'\\n' ORDER BY p_partkey) ELSE MIN(p_type) END AS remarks FROM part GROUP BY p_brand, p_size")
+def concat_remarks(spark, sf_dir):
+    level = rollup.Level(("p_brand", "p_size"), remarks={"remarks": ("p_name", "p_type")})
+    return rollup.roll_up(read(spark, sf_dir, "part"), level, order="p_partkey")
+
+
+@query("nonempty_count", "SELECT o_orderpriority, COUNT(NULLIF(NULLIF(o_orderstatus, 'P'), '')) AS n_named, COUNT(*) AS n_rows FROM orders GROUP BY o_orderpriority")
+def nonempty_count(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("named", F.nullif(F.col("o_orderstatus"), F.lit("P")))
+    return rollup.roll_up(o, rollup.Level(("o_orderpriority",), counts={"n_named": "named"}, rows="n_rows"))
+
+
+# ---------------------------------------------------------------- levels and years
+
+def _level_query(name: str, kind: str, expression: str):
+    @query(name, f"WITH {PROJECTS} SELECT wk_name, ROUND({expression}, 2) AS volume FROM projects GROUP BY wk_name")
+    def run(spark, sf_dir):
+        return projects(spark, sf_dir).groupBy("wk_name").agg(F.round(analysis.level_sum("res_oc", kind), 2).alias("volume"))
+
+    return run
+
+
+def _at(level: str) -> str:
+    return f"SUM(CASE WHEN uncert_level = '{level}' THEN res_oc END)"
+
+
+_level_query("uncertainty_single", "2P", _at(MIDDLE))
+_level_query("uncertainty_probable", "probable", f"{_at(MIDDLE)} - {_at(LOW)}")
+_level_query("uncertainty_possible", "possible", f"{_at(HIGH)} - {_at(MIDDLE)}")
+
+
+@query("year_fallback", f"WITH {PROJECTS} SELECT report_year, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM projects WHERE report_year = (SELECT MAX(report_year) FROM projects WHERE report_year <= 1998) GROUP BY report_year")
+def year_fallback(spark, sf_dir):
+    return analysis.latest_year(projects(spark, sf_dir), 1998).groupBy("report_year").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
+
+
+@query(
+    "year_fallback_entity",
+    f"""WITH {PROJECTS}, last AS (SELECT field_id, MAX(report_year) AS report_year FROM projects WHERE report_year <= 1998 GROUP BY field_id)
+SELECT field_id, report_year, ROUND(SUM(rec_oc), 2) AS rec_oc FROM projects JOIN last USING (field_id, report_year) GROUP BY field_id, report_year""",
+)
+def year_fallback_entity(spark, sf_dir):
+    latest = analysis.latest_year(projects(spark, sf_dir), 1998, ["field_id"])
+    return latest.groupBy("field_id", "report_year").agg(F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
+
+
+@query("entity_aggregate", f"WITH {PROJECTS}, own AS (SELECT * FROM projects WHERE wk_name LIKE '%A%' AND report_year <= 1997) SELECT ROUND({_at(MIDDLE)}, 2) AS res_oc FROM own WHERE report_year = (SELECT MAX(report_year) FROM own)")
+def entity_aggregate(spark, sf_dir):
+    return rounded(analysis.entity_total(projects(spark, sf_dir), "wk_name", "A", ["res_oc"], "2P", 1997), res_oc=2)
+
+
+@query("year_pivot", f"WITH {PROJECTS} SELECT project_class, ROUND(SUM(CASE WHEN report_year = 1996 THEN rec_oc END), 2) AS y1996, ROUND(SUM(CASE WHEN report_year = 1997 THEN rec_oc END), 2) AS y1997 FROM projects WHERE report_year IN (1996, 1997) GROUP BY project_class")
+def year_pivot(spark, sf_dir):
+    return rounded(analysis.compare_years(projects(spark, sf_dir), ["project_class"], "rec_oc", (1996, 1997)), y1996=2, y1997=2)
+
+
+YEARLY = f"WITH {SERIES}, yearly AS (SELECT field_id, year, SUM(tpf_oc) AS tpf_oc FROM series GROUP BY field_id, year)"
+
+
+def yearly(spark, sf_dir) -> DataFrame:
+    return series(spark, sf_dir).groupBy("field_id", "year").agg(F.sum("tpf_oc").alias("tpf_oc"))
+
+
+@query("peak_year", f"{YEARLY} SELECT field_id, year AS peak_year, ROUND(tpf_oc, 2) AS peak_value FROM yearly QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY tpf_oc DESC, year) = 1")
+def peak_year(spark, sf_dir):
+    return rounded(analysis.peak_year(yearly(spark, sf_dir), ["field_id"], "tpf_oc"), peak_value=2)
+
+
+@query("peak_year_ties", f"{YEARLY} SELECT field_id, year, ROUND(tpf_oc, 2) AS tpf_oc FROM yearly QUALIFY rank() OVER (PARTITION BY field_id ORDER BY tpf_oc DESC) = 1")
+def peak_year_ties(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = F.rank().over(Window.partitionBy("field_id").orderBy(F.col("tpf_oc").desc()))
+    return rounded(yearly(spark, sf_dir).withColumn("place", place).where("place = 1").drop("place"), tpf_oc=2)
+
+
+@query("eol_year", f"WITH {SERIES} SELECT field_id, MAX(CASE WHEN tpf_oc > 45 OR slf_oc > 90000 THEN year END) AS eol_year FROM series GROUP BY field_id")
+def eol_year(spark, sf_dir):
+    s = series(spark, sf_dir).withColumns({"oil": F.col("tpf_oc") - 45, "gas": F.col("slf_oc") - 90000})
+    return analysis.end_of_life(s, ["field_id"], "oil", "gas")
+
+
+@query("onstream_year", f"WITH {SERIES} SELECT field_id, MIN(CASE WHEN tpf_oc > 45 OR slf_oc > 90000 THEN year END) AS onstream_year FROM series GROUP BY field_id")
+def onstream_year(spark, sf_dir):
+    s = series(spark, sf_dir).withColumns({"oil": F.col("tpf_oc") - 45, "gas": F.col("slf_oc") - 90000})
+    return analysis.onstream(s, ["field_id"], "oil", "gas")
+
+
+@query("trend", f"WITH {SERIES} SELECT wk_id, year, ROUND(SUM(tpf_oc), 2) AS tpf_oc FROM series WHERE year BETWEEN 1996 AND 1999 GROUP BY wk_id, year")
+def trend(spark, sf_dir):
+    return rounded(analysis.trend(series(spark, sf_dir), ["wk_id"], "tpf_oc", 1996, 1999), tpf_oc=2)
+
+
+@query("forecast_flag", f"WITH {SERIES} SELECT year > 1998 AS is_forecast, COUNT(*) AS n FROM series GROUP BY 1")
+def forecast_flag(spark, sf_dir):
+    flag = X.is_forecast(F.col("year"), F.lit(1998), F.col("report_year"))
+    return series(spark, sf_dir).groupBy(flag.alias("is_forecast")).agg(F.count("*").alias("n"))
+
+
+@query("unit_daily", f"WITH {SERIES} SELECT field_id, year, ROUND(SUM(tpf_oc) * 1000 / CASE WHEN year % 4 = 0 THEN 366 ELSE 365 END, 4) AS bopd FROM series GROUP BY field_id, year")
+def unit_daily(spark, sf_dir):
+    return yearly(spark, sf_dir).select("field_id", "year", F.round(X.convert_volume(F.col("tpf_oc"), "MSTB", "BOPD", F.col("year")), 4).alias("bopd"))
+
+
+@query("barrels_equivalent", f"WITH {SERIES} SELECT wk_id, ROUND(SUM(tpf_oc) + SUM(slf_oc) / 5.615::DOUBLE * 1000, 0) AS mboe FROM series GROUP BY wk_id")
+def barrels_equivalent(spark, sf_dir):
+    s = series(spark, sf_dir).groupBy("wk_id").agg(F.sum("tpf_oc").alias("oil"), F.sum("slf_oc").alias("gas"))
+    return s.select("wk_id", F.round(X.barrels_equivalent(F.col("oil"), F.col("gas")), 0).alias("mboe"))
+
+
+@query("sales_potential", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS potential FROM lineitem WHERE l_quantity > 49")
+def sales_potential(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").where("l_quantity > 49").withColumn("sold", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
+
+
+# ---------------------------------------------------------------- views and filters
+
+@query("detail_projection", f"WITH {PROJECTS} SELECT report_year, wk_name, field_name, project_stage, project_class, uncert_level, res_oc AS reserves_mstb FROM projects WHERE report_year IN (1996, 1998)")
+def detail_projection(spark, sf_dir):
+    return views.apply_view(projects(spark, sf_dir), views.View(("reserves",), years=(1996, 1998)))
+
+
+@query("ilike_filter", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%R#00000%1%' ESCAPE '\\'")
+def ilike_filter(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").where(F.col("c_name").ilike("%R#00000%1%"))
+    return views.apply_view(c, views.View(columns=("c_custkey", "c_name"), search="r#0000", search_column="c_name"))
+
+
+@query("year_in", "SELECT o_orderkey, year(o_orderdate)::INT AS report_year FROM orders WHERE year(o_orderdate) IN (1997, 1999)")
+def year_in(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").withColumn("report_year", F.year("o_orderdate").cast("int"))
+    return views.apply_view(o, views.View(columns=("o_orderkey", "report_year"), years=(1997, 1999)))
+
+
+@query("top_n", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY o_custkey ORDER BY SUM(o_totalprice) DESC, o_custkey LIMIT 20")
+def top_n(spark, sf_dir):
+    return rounded(analysis.top(read(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", 20), o_totalprice=2)
+
+
+@query("distinct_docs", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey || '-' || year(o_orderdate)) AS n FROM orders GROUP BY o_orderstatus")
+def distinct_docs(spark, sf_dir):
+    key = F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.year("o_orderdate").cast("string"))
+    return read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.countDistinct(key).alias("n"))
+
+
+@query("anti_not_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def anti_not_in(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_totalprice > 100000 AND o_custkey IS NOT NULL")
+    return c.where("c_custkey IS NOT NULL").join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+
+
+@query("semi_in", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def semi_in(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey", "c_name")
+
+
+@query("left_join_missing", "SELECT COUNT(*) AS n_all, COUNT(o_custkey) AS n_with FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey")
+def left_join_missing(spark, sf_dir):
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").agg(F.count("*").alias("n_all"), F.count("o_custkey").alias("n_with"))
+
+
+@query("remark_filter", "SELECT lang, COUNT(*) AS n FROM documents WHERE text IS NOT NULL AND lower(trim(text)) NOT IN ('', '-', 'null', 'none', 'n/a', 'na') GROUP BY lang")
+def remark_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(X.has_remark(F.col("text"))).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("not_null_text", "SELECT source, COUNT(*) AS n, MAX(length(text)) AS longest FROM documents WHERE text IS NOT NULL AND length(text) > 0 GROUP BY source")
+def not_null_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL AND length(text) > 0")
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in ("orders", "lineitem", "documents", "events")))
+def table_counts(spark, sf_dir):
+    parts = [read(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t in ("orders", "lineitem", "documents", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+SQL_TEXT = """WITH spend AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM {orders} GROUP BY o_custkey)
+SELECT c_mktsegment, COUNT(*) AS n, ROUND(SUM(total), 2) AS total FROM spend JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment HAVING COUNT(*) > 1"""
+
+
+@query("sql_passthrough", SQL_TEXT.format(orders="orders", customer="customer"))
+def sql_passthrough(spark, sf_dir):
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orebody_orders")
+    read(spark, sf_dir, "customer").createOrReplaceTempView("orebody_customer")
+    return sqlgate.run_sql(spark, SQL_TEXT.format(orders="orebody_orders", customer="orebody_customer"))
+
+
+@query(
+    "cube_totals",
+    "SELECT o_orderstatus, o_orderpriority, GROUPING_ID(o_orderstatus, o_orderpriority)::BIGINT AS level, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+)
+def cube_totals(spark, sf_dir):
+    return read(spark, sf_dir, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"))
+
+
+@query(
+    "as_of_join",
+    """WITH v AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts, MAX(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT v.event_id, p.paid FROM v ASOF LEFT JOIN p ON v.user_id = p.user_id AND v.ts >= p.ts""",
+)
+def as_of_join(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    seen = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    paid = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("paid"))
+    return analysis.as_of_join(seen, paid, ["user_id"], "ts", "ts", "paid").select("event_id", "paid")
+
+
+# ---------------------------------------------------------------- places
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on the map: a rule over the key spreads them."""
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("wk_id"), (((k * 37) % 1700) / 10.0 - 85).cast("double").alias("lat"), (((k * 91) % 3600) / 10.0 - 180).cast("double").alias("long"))
+
+
+PLACES = "places AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS wk_id, ((c_custkey * 37) % 1700) / 10.0::DOUBLE - 85 AS lat, ((c_custkey * 91) % 3600) / 10.0::DOUBLE - 180 AS long FROM customer)"
+
+
+def _km(a: str, b: str) -> str:
+    return f"{2 * X.EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.long - {a}.long) / 2), 2))))"
+
+
+@query("pairs_within_radius", f"WITH {PLACES} SELECT x.id AS a, y.id AS b, ROUND({_km('x', 'y')}, 4) AS km FROM places x JOIN places y ON x.id < y.id AND {_km('x', 'y')} <= 450")
+def pairs_within_radius(spark, sf_dir):
+    return rounded(spatial.near_pairs(places(spark, sf_dir), 450.0), km=4)
+
+
+@query("near_field", f"WITH {PLACES}, r AS (SELECT * FROM places WHERE id = 7) SELECT p.id, ROUND({_km('r', 'p')}, 4) AS km FROM r, places p WHERE p.id <> 7 AND {_km('r', 'p')} <= 1500 ORDER BY {_km('r', 'p')}, p.id LIMIT 10")
+def near_field(spark, sf_dir):
+    p = places(spark, sf_dir)
+    r = p.where("id = 7").first()
+    return rounded(spatial.within(p, r["lat"], r["long"], 1500.0, 10, exclude=7).select("id", "km"), km=4)
+
+
+@query("nearest_from_point", f"WITH {PLACES}, r AS (SELECT 10.0 AS lat, 20.0 AS long) SELECT p.id, ROUND({_km('r', 'p')}, 4) AS km FROM r, places p WHERE {_km('r', 'p')} <= 1000 ORDER BY {_km('r', 'p')}, p.id LIMIT 15")
+def nearest_from_point(spark, sf_dir):
+    return rounded(spatial.within(places(spark, sf_dir), 10.0, 20.0, 1000.0, 15).select("id", "km"), km=4)
+
+
+@query("nearest_on_ellipsoid")
+def nearest_on_ellipsoid(spark, sf_dir):
+    return rounded(spatial.within(places(spark, sf_dir), 10.0, 20.0, 1000.0, 15, "ellipsoid").select("id", "km"), km=2)
+
+
+@query("fields_in_area", f"WITH {PLACES} SELECT DISTINCT id, name FROM places WHERE wk_id = 3")
+def fields_in_area(spark, sf_dir):
+    return places(spark, sf_dir).where("wk_id = 3").select("id", "name").distinct()
+
+
+@query(
+    "adjacent_areas",
+    f"WITH {PLACES}, c AS (SELECT wk_id AS id, AVG(lat) AS lat, AVG(long) AS long FROM places GROUP BY wk_id) SELECT x.id AS ref_id, y.id, ROUND({_km('x', 'y')}, 4) AS km FROM c x JOIN c y ON x.id <> y.id AND {_km('x', 'y')} <= 1200",
+)
+def adjacent_areas(spark, sf_dir):
+    centres = places(spark, sf_dir).groupBy(F.col("wk_id").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("long").alias("long"))
+    return rounded(spatial.near_each(centres, centres, 1200.0), km=4)
+
+
+@query("pair_stats", f"WITH {PLACES}, few AS (SELECT * FROM places WHERE id IN (3, 14, 15, 92, 65)), d AS (SELECT {_km('x', 'y')} AS km FROM few x JOIN few y ON x.id < y.id) SELECT ROUND(AVG(km), 4) AS avg_km, ROUND(MIN(km), 4) AS min_km, ROUND(MAX(km), 4) AS max_km, COUNT(*) AS n_pairs FROM d")
+def pair_stats(spark, sf_dir):
+    return rounded(spatial.pair_statistics(places(spark, sf_dir).where(F.col("id").isin(3, 14, 15, 92, 65))), avg_km=4, min_km=4, max_km=4)
+
+
+@query("density_clusters")
+def density_clusters(spark, sf_dir):
+    return spatial.clusters(places(spark, sf_dir), 450.0, 4)
+
+
+# ---------------------------------------------------------------- texts, codes, vectors
+
+TERMS = ["that", "ther", "avec"]
+_TOKENS = f"list_filter(regexp_split_to_array(translate(lower(COALESCE(text, '')), '{search.ACCENTS[0]}', '{search.ACCENTS[1]}'), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@query(
+    "bm25_topk",
+    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, {', '.join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))} FROM t),
+s AS (SELECT COUNT(*) AS docs, AVG(n) AS mean, {', '.join(f"SUM((tf{i} > 0)::INT) AS df{i}" for i in range(len(TERMS)))} FROM c)
+SELECT doc_id, ROUND({' + '.join(f"ln(1 + (docs - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * {search.K1 + 1}::DOUBLE / (tf{i} + {search.K1}::DOUBLE * ({1 - search.B}::DOUBLE + {search.B}::DOUBLE * n / mean))" for i in range(len(TERMS)))}, 6) AS score
+FROM c, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))} ORDER BY score DESC, doc_id LIMIT 25""",
+)
+def bm25_topk(spark, sf_dir):
+    return rounded(search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", TERMS, 25), score=6)
+
+
+@query("postings", f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term FROM t) SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM p GROUP BY term")
+def postings(spark, sf_dir):
+    return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+_CODES = ", ".join(f"'{c}'" for c in PROBLEMS)
+CODE_TEXT = "CASE conv_id % 4 WHEN 0 THEN 'Kendala: ' ELSE '' END || (1 + turn % 4)::VARCHAR || '.' || (1 + conv_id % 4)::VARCHAR || CASE WHEN conv_id % 3 = 0 THEN '.' || (1 + turn % 5)::VARCHAR ELSE '' END || ' ' || COALESCE(text, '')"
+# keyword matches first, then bare ones; a histogram and a filter need the set alone
+_CODE_ROWS = f"x AS (SELECT conv_id, turn, {CODE_TEXT} AS remark FROM conversations), y AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(remark, '\\b(\\d(?:\\.\\d+){{1,2}})\\b', 1)) AS code FROM x), z AS (SELECT * FROM y WHERE code IN ({_CODES}))"
+
+
+def remarks(spark, sf_dir) -> DataFrame:
+    """Conversation turns, a problem code written in front of each."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    number = lambda c: c.cast("long").cast("string")
+    remark = F.concat(F.when(conv % 4 == 0, "Kendala: ").otherwise(""), number(turn % 4 + 1), F.lit("."), number(conv % 4 + 1), F.when(conv % 3 == 0, F.concat(F.lit("."), number(turn % 5 + 1))).otherwise(""), F.lit(" "), F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", remark.alias("remark"))
+
+
+@query("code_extract", f"WITH {_CODE_ROWS} SELECT conv_id, turn, code FROM z")
+def code_extract(spark, sf_dir):
+    r = remarks(spark, sf_dir)
+    return r.select("conv_id", "turn", F.explode(X.problem_codes(F.col("remark"))).alias("code"))
+
+
+@query("code_histogram", f"WITH {_CODE_ROWS} SELECT code, COUNT(*) AS n FROM z GROUP BY code")
+def code_histogram(spark, sf_dir):
+    r = remarks(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+    return search.code_histogram(r, "key", ["remark"])
+
+
+@query("code_filter", f"WITH {_CODE_ROWS} SELECT conv_id, turn FROM z WHERE code = '2.3'")
+def code_filter(spark, sf_dir):
+    return remarks(spark, sf_dir).where(F.array_contains(X.problem_codes(F.col("remark")), "2.3")).select("conv_id", "turn")
+
+
+QUERY_VECTOR = [round(((i * 37) % 17 - 8) / 8, 3) for i in range(64)]
+_QV = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
+_COS = f"list_dot_product(embedding::DOUBLE[], {_QV}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_QV}, {_QV})))"
+
+
+@query("cosine_topk", f"SELECT vec_id, ROUND({_COS}, 4) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20")
+def cosine_topk(spark, sf_dir):
+    return search.top_similar(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 20)
+
+
+@query("cosine_filtered", f"SELECT vec_id, ROUND({_COS}, 4) AS similarity FROM embeddings WHERE label IN (1, 2) ORDER BY similarity DESC, vec_id LIMIT 10")
+def cosine_filtered(spark, sf_dir):
+    return search.top_similar(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10, F.col("label").isin(1, 2))
+
+
+@query("embed_documents")
+def embed_documents(spark, sf_dir):
+    d = search.embed_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "vector", search.hashing_embedder(32))
+    return d.select("doc_id", F.size("vector").alias("n_dims"))
+
+
+# ---------------------------------------------------------------- graph, entities, ids
+
+def trade_graph(spark, sf_dir) -> graph.Graph:
+    r, n, c, o = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    g = graph.Graph()
+    g.add_nodes("region", r, "r_regionkey", "r_name").add_nodes("nation", n, "n_nationkey", "n_name").add_nodes("customer", c, "c_custkey", "c_name").add_nodes("order", o, "o_orderkey", "o_totalprice")
+    g.add_edges("in_region", n, "n_nationkey", "n_regionkey").add_edges("in_nation", c, "c_custkey", "c_nationkey").add_edges("placed", o, "o_custkey", "o_orderkey")
+    return g
+
+
+@query("graph_two_hop", "SELECT c_name, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def graph_two_hop(spark, sf_dir):
+    m = trade_graph(spark, sf_dir).start("customer", "c").step("in_nation", "nation", "n").step("in_region", "region", "r")
+    return m.rows.select(F.col("c_c_name").alias("c_name"), F.col("n_n_name").alias("n_name"), F.col("r_r_name").alias("r_name"))
+
+
+@query("graph_optional", "SELECT c_custkey, COUNT(o_orderkey) AS n_orders, ROUND(SUM(o_totalprice), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def graph_optional(spark, sf_dir):
+    m = trade_graph(spark, sf_dir).start("customer", "c").step("placed", "order", "o", optional=True)
+    return m.rows.groupBy(F.col("c_id").alias("c_custkey")).agg(F.count("o_id").alias("n_orders"), F.round(F.sum("o_o_totalprice"), 2).alias("total"))
+
+
+@query("graph_reverse", "SELECT r_name, COUNT(*) AS n_customers FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name")
+def graph_reverse(spark, sf_dir):
+    m = trade_graph(spark, sf_dir).start("region", "r").step("in_region", "nation", "n", reverse=True).step("in_nation", "customer", "c", reverse=True)
+    return m.rows.groupBy(F.col("r_r_name").alias("r_name")).agg(F.count("*").alias("n_customers"))
+
+
+@query("entity_confidence", "SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part#7' THEN 1.0::DOUBLE WHEN starts_with(lower(p_name), 'part#7') THEN 0.9::DOUBLE WHEN contains(lower(p_name), 'part#7') THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM part")
+def entity_confidence(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", "p_name", X.match_confidence(F.col("p_name"), "part#7").alias("confidence"))
+
+
+_HEX = "lpad(upper(hex(c_custkey)), 6, '0')"
+_DIGIT = """list_sum(list_transform(range(1, 7), lambda i: CASE WHEN (6 - i) % 2 = 0 THEN CASE WHEN 2 * d(i) >= 16 THEN 2 * d(i) - 15 ELSE 2 * d(i) END ELSE d(i) END))""".replace("d(i)", "(instr('0123456789ABCDEF', payload[i]) - 1)")
+
+
+@query("check_digits", f"WITH x AS (SELECT c_custkey, lpad(upper(to_hex(c_custkey)), 6, '0') AS payload FROM customer) SELECT c_custkey, payload, '0123456789ABCDEF'[1 + ((16 - ({_DIGIT})::INT % 16) % 16)] AS digit FROM x")
+def check_digits(spark, sf_dir):
+    payload = F.lpad(F.hex("c_custkey"), 6, "0")
+    return read(spark, sf_dir, "customer").select("c_custkey", payload.alias("payload"), X.check_digit(payload).alias("digit"))
+
+
+@query("id_verify", "SELECT COUNT(*) AS n, COUNT(*) AS n_valid, 0::BIGINT AS n_broken FROM customer")
+def id_verify(spark, sf_dir):
+    payload = F.lpad(F.hex("c_custkey"), 6, "0")
+    digit = X.check_digit(payload)
+    made = F.concat(F.lit("F-"), F.substring(payload, 1, 2), F.lit("-"), F.substring(payload, 3, 4), F.lit("-"))
+    other = F.substring(F.lit("123456789ABCDEF0"), F.conv(digit, 16, 10).cast("int") + 1, F.lit(1))
+    ids = read(spark, sf_dir, "customer").select(F.concat(made, digit).alias("right_id"), F.concat(made, other).alias("wrong_id"))
+    return ids.agg(F.count("*").alias("n"), F.count_if(X.valid_field_id(F.col("right_id"))).alias("n_valid"), F.count_if(X.valid_field_id(F.col("wrong_id"))).alias("n_broken"))
+
+
+# ---------------------------------------------------------------- windows over events
+
+@query("event_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    w = rounded(streams.windowed(read(spark, sf_dir, "events")), total=2)
+    return w.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "event_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= LAG(ts) OVER w + INTERVAL 30 MINUTE OR LAG(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, MIN(ts) AS session_start, COUNT(*) AS n FROM s GROUP BY user_id, k""",
+)
+def event_sessions(spark, sf_dir):
+    return streams.sessions(read(spark, sf_dir, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
