@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import columns
+from .textnp import slices
 
 #: Documented bounds of what a classifier is fitted on: rows of each class, and code points of a text.
-ROWS_PER_CLASS = 2000
-SAMPLE_CHARS = 40_000
+ROWS_PER_CLASS = 1200
+SAMPLE_CHARS = 20_000
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -39,3 +42,9 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> pa
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     # an id that many rows repeat is one example
     return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "label").toArrow()
+
+
+def pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The sample in runs of rows of a few megabytes, which bounds what a fit holds at a time."""
+    for batch in table.combine_chunks().to_batches():
+        yield from slices(batch)

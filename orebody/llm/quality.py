@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chain import Field, logistic, marginals, messages, observed_pairs, pair_marginals, sigmoid
-from .labelled import remainder, sample
+from .labelled import pieces, remainder, sample
 from .shared import columns
 from .textnp import SPACE, as_bytes, prefix_hash, rows_of, slices, span_hash, spans
 
@@ -168,7 +168,9 @@ def fit(table: pa.Table) -> Model:
     rate = (good.sum() + 1) / (len(good) + 2)
     if len(set(good)) < 2:
         return Model(None, np.zeros(4), rate)
-    lines = lines_of(table.column("text"))
+    parts = [lines_of(part.column("text")) for part in pieces(table)]
+    sizes = np.concatenate([np.diff(p.bounds) for p in parts])
+    lines = Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.lengths for p in parts]), np.concatenate([[0], np.cumsum(sizes)]))
     row = np.repeat(np.arange(len(good)), np.diff(lines.bounds))
     y = 1 - good[row]
     # twice: once the documents' labels, once the lines that those already tell apart

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chain import logistic, marginals, messages, observed_pairs, pair_marginals, sigmoid
-from .labelled import remainder, sample
+from .labelled import pieces, remainder, sample
 from .near_join import forest, min_hashes
 from .shared import columns
 from .textnp import SPACES, as_bytes, prefix_hash, rows_of, shingle_hashes, slices, span_hash, spans, word_hashes
@@ -83,13 +83,18 @@ class Model:
 
 def distinct_texts(table: pa.Table) -> pa.Table:
     """One row of each group of copies and near copies, whose common words would pass for toxic ones."""
-    data, offsets = as_bytes(table.column("text"))
-    hashes, _, bounds = word_hashes(data, offsets)
-    runs, run_bounds = shingle_hashes(hashes, bounds)
-    full = np.flatnonzero(np.diff(run_bounds))
-    if not len(full):
+    values, full, base = [], [], 0
+    for part in pieces(table):
+        hashes, _, bounds = word_hashes(*as_bytes(part.column("text")))
+        runs, run_bounds = shingle_hashes(hashes, bounds)
+        own = np.flatnonzero(np.diff(run_bounds))
+        if len(own):
+            values.append(min_hashes(runs, np.append(run_bounds[:-1][own], run_bounds[-1]), 8, seed=4))
+            full.append(own + base)
+        base += part.num_rows
+    if not full:
         return table
-    values = min_hashes(runs, np.append(run_bounds[:-1][full], run_bounds[-1]), 8, seed=4)
+    values, full = np.concatenate(values), np.concatenate(full)
     ends = []
     for k in range(values.shape[1]):
         _, first, back = np.unique(values[:, k], return_index=True, return_inverse=True)
@@ -98,6 +103,14 @@ def distinct_texts(table: pa.Table) -> pa.Table:
     return table.take(pa.array(np.flatnonzero(group == np.arange(len(table)))))
 
 
+def training_tokens(table: pa.Table) -> Tokens:
+    """The tokens of all the table's texts, made a slice at a time; places are not kept."""
+    parts = [tokens_of(part.column("text")) for part in pieces(table)]
+    sizes = np.concatenate([np.diff(t.bounds) for t in parts])
+    none = np.zeros(0, np.int64)
+    return Tokens(np.concatenate([t.features for t in parts]), none, none, np.concatenate([[0], np.cumsum(sizes)]), none)
+
+
 def token_states(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     """1 for tokens of toxic texts with a feature that clean texts practically never have."""
     row = np.repeat(np.arange(len(toxic)), np.diff(tokens.bounds))
@@ -115,22 +128,29 @@ def token_states(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     return (marked & (toxic[row] == 1)).astype(np.int64)
 
 
+def token_scores(features: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    scores = np.full(len(features), bias)
+    for k in range(features.shape[1]):
+        scores += weights[features[:, k]]
+    return scores
+
+
 def fit_field(tokens: Tokens, states: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximum likelihood of the states, by gradient steps scaled by their own history."""
-    used, place = np.unique(tokens.features, return_inverse=True)
-    place = place.reshape(tokens.features.shape)
-    weights, edges = np.zeros(len(used)), np.zeros((2, 2))
+    weights, edges = np.zeros(WEIGHTS), np.zeros((2, 2))
     total = max(1, len(states))
     rate = np.clip(states.mean(), 1e-6, 0.5)
     bias = float(np.log(rate / (1 - rate)))
-    memory_w, memory_e, memory_b = np.full(len(used), 1e-12), np.full((2, 2), 1e-8), 1e-8
+    memory_w, memory_e, memory_b = np.full(WEIGHTS, 1e-12), np.full((2, 2), 1e-8), 1e-8
     seen = observed_pairs(states, tokens.bounds)
     for _ in range(rounds):
-        e, f, b = messages(weights[place].sum(axis=1) + bias, tokens.bounds, edges)
+        e, f, b = messages(token_scores(tokens.features, weights, bias), tokens.bounds, edges)
         p = f * b / (1 + f * b)
         t = np.exp(edges - edges.max())
         miss = (states - p) / total
-        grad_w = sum(np.bincount(place[:, k], weights=miss, minlength=len(used)) for k in range(place.shape[1])) - 1e-7 * weights
+        grad_w = -1e-7 * weights
+        for k in range(tokens.features.shape[1]):
+            grad_w += np.bincount(tokens.features[:, k], weights=miss, minlength=WEIGHTS)
         grad_e = (seen - pair_marginals(e, f, b, tokens.bounds, t)) / total - 1e-5 * edges
         memory_w += grad_w**2
         memory_e += grad_e**2
@@ -138,16 +158,11 @@ def fit_field(tokens: Tokens, states: np.ndarray, rounds: int = 20) -> tuple[np.
         weights += 0.4 * grad_w / np.sqrt(memory_w)
         edges += 0.1 * grad_e / np.sqrt(memory_e)
         bias += 0.1 * miss.sum() / np.sqrt(memory_b)
-    full = np.zeros(WEIGHTS, np.float32)
-    full[used] = weights
-    return full, bias, edges
+    return weights.astype(np.float32), bias, edges
 
 
 def token_marginals(model: Model, tokens: Tokens) -> np.ndarray:
-    scores = np.full(len(tokens.starts), model.bias)
-    for k in range(tokens.features.shape[1]):
-        scores += model.weights[tokens.features[:, k]]
-    return marginals(scores, tokens.bounds, model.edges)
+    return marginals(token_scores(tokens.features, model.weights, model.bias), tokens.bounds, model.edges)
 
 
 def evidence(tokens: Tokens, p: np.ndarray) -> np.ndarray:
@@ -167,7 +182,7 @@ def fit(table: pa.Table) -> Model:
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     if len(set(toxic.tolist())) < 2:
         return Model(None, 0.0, np.zeros((2, 2)), np.zeros(3), rate)
-    tokens = tokens_of(table.column("text"))
+    tokens = training_tokens(table)
     weights, bias, edges = fit_field(tokens, token_states(tokens, toxic))
     model = Model(weights, bias, edges, np.zeros(3), rate)
     model.curve = logistic(evidence(tokens, token_marginals(model, tokens)), toxic.astype(float), ridge=0.05)
