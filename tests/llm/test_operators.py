@@ -1,0 +1,341 @@
+"""Operators on Spark against brute force, with nulls, empties, ties, repeats and odd columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from orebody.llm import decontaminate, html_extract, mixing, near_join, near_vectors, quality, repeats, shared, tokens, toxicity, warc
+
+R = random.Random(11)
+WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 6))) for _ in range(400)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def edited(text, every, seed):
+    r, words = random.Random(seed), text.split(" ")
+    for k in range(every, len(words), every):
+        words[k] = r.choice(WORDS) + "q"
+    return " ".join(words)
+
+
+def corpus():
+    """Ids and texts: copies, near copies, shared passages, short, blank, null and very long texts."""
+    base, passage = prose(200, 1), prose(120, 2)
+    texts = [base, base, edited(base, 60, 3), edited(base, 70, 4), edited(base, 9, 5), prose(150, 6) + " " + passage, passage + " " + prose(30, 7), prose(40, 8) + " " + passage + " tail", passage[: len(passage) // 2]]
+    texts += ["", None, "   \n\t ", "one two three", "one two three", "one two three four five", "one two three four five six", "é" * 900, "xyz " * 300, prose(6000, 9), prose(6000, 9) + " more"]
+    texts += [prose(60 + k, 100 + k) for k in range(12)]
+    return [(i * 3 + 1, t) for i, t in enumerate(texts)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count int, rep string, row string, bands int, `key` string"
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), 1, "x", "y", 2, "z") for i, t in rows], SCHEMA)
+
+
+def shingles(text):
+    w = [x for x in (text or "").replace("\t", " ").replace("\n", " ").split(" ") if x]
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components_of(ids, edges):
+    label = {i: i for i in ids}
+    while True:
+        new = dict(label)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def near_truth(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    edges = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    links = {i: sum(i in e for e in edges) for i in sets}
+    return links, components_of(sets, edges)
+
+
+def check_near(spark, rows):
+    got = {r.doc_id: r for r in near_join.annotate(documents(spark, rows)).collect()}
+    links, component = near_truth(rows)
+    assert {i: r.n_links for i, r in got.items()} == links
+    assert {i: r.component_id for i, r in got.items()} == component
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_near_join_brute_force(spark):
+    check_near(spark, corpus())
+
+
+def test_near_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK_ROWS", 3)
+    base = prose(120, 40)
+    check_near(spark, [(i, edited(base, 45 + i, i)) for i in range(14)] + [(50 + i, base) for i in range(3)])
+
+
+def test_near_join_edges(spark):
+    empty = documents(spark, [])
+    assert near_join.annotate(empty).count() == 0 and near_join.deduplicate(empty).count() == 0
+    rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)]
+    got = near_join.annotate(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.n_links) for r in got) == [(-1, 0), (-1, 0), (7, 1), (7, 1)]
+    kept = near_join.deduplicate(documents(spark, corpus()))
+    _, component = near_truth(corpus())
+    assert {r.doc_id for r in kept.collect()} == set(component.values()) and kept.columns == documents(spark, []).columns
+
+
+def removal_truth(rows):
+    raw = [(t or "").encode() for _, t in rows]
+    seen = {}
+    for i, b in enumerate(raw):
+        for p in range(len(b) - 399):
+            seen.setdefault(b[p : p + 400], []).append((i, p))
+    mark = [bytearray(len(b)) for b in raw]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                mark[i][p : p + 400] = b"\1" * 400
+    out = {}
+    for (i, _), b, m in zip(rows, raw, mark):
+        kept = bytes(x for x, y in zip(b, m) if not y)
+        runs = sum(1 for k in range(len(m)) if m[k] and (k == 0 or not m[k - 1]))
+        out[i] = (len(b), sum(m), runs, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_repeats_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    rows = [r for r in corpus() if len(r[1] or "") < 20_000]
+    passage = prose(110, 77)
+    rows += [(900 + k, prose(12 + k, 300 + k) + " " + passage[k * 3 :] + prose(9, k)) for k in range(8)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(documents(spark, rows)).collect()}
+    assert got == removal_truth(rows)
+
+
+def test_repeats_edges(spark):
+    assert repeats.remove_repeats(documents(spark, [])).count() == 0
+    got = repeats.remove_repeats(documents(spark, [(1, "a" * 399), (2, None), (None, prose(90, 5)), (None, prose(90, 5)), (3, "ab" * 300)])).collect()
+    by = sorted(((r.doc_id or -1), r.n_removed == r.n_bytes, r.n_removed > 0) for r in got)
+    assert by == [(-1, True, True), (-1, True, True), (1, False, False), (2, True, False), (3, True, True)]
+    cut = repeats.remove_repeats(documents(spark, [(1, prose(90, 5) + " end"), (2, prose(90, 5))]), with_text=True)
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: " end", 2: ""}
+
+
+def vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(120, 16)).astype(np.float32)
+    x[60:80] = x[0] + r.normal(size=(20, 16)).astype(np.float32) * 0.1
+    x[80:90] = x[1]
+    x[90:95] = x[2] * np.arange(2, 7)[:, None]
+    rows = [(i * 2, [float(v) for v in x[i]]) for i in range(120)]
+    odd = [(1001, None), (1003, []), (1005, [0.0] * 16), (1007, [float("nan")] + [1.0] * 15), (1009, [float("inf")] + [1.0] * 15), (1011, [None] + [1.0] * 15), (1013, rows[0][1][:8]), (1015, rows[0][1][:8])]
+    return rows, odd
+
+
+def test_vectors_brute_force(spark):
+    rows, odd = vectors(spark)
+    df = spark.createDataFrame([(i, v, 3, "x") for i, v in rows + odd], "vec_id long, embedding array<float>, label int, rep string")
+    got = {r.vec_id: r for r in near_vectors.near_vectors(df).collect()}
+    unit = {i: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for i, v in rows + odd[-2:]}
+    edges = [(a, b) for a, b in itertools.combinations(unit, 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    label = components_of([i for i, _ in rows + odd], edges)
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in e for e in edges) for i in label}
+    assert {i: r.component_id for i, r in got.items()} == label
+    assert near_vectors.near_vectors(df.where("false")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a", "<p>x"), (2, "http://b", "<p>x"), (3, None, None), (4, "u", ""), (5, "é", "<é>"), (None, "n", "<p>x"), (None, "m", "only"), (5, "é", "<é>")]
+    df = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, address int, payload string")
+    path = shared.scratch(spark, "t")
+    warc.write_archive(df, path)
+    back = warc.read_archive(spark, path).collect()
+    assert len(back) == len(rows) and all(r.sound and r.found_digest == r.payload_digest for r in back)
+    want = sorted(((i or -1), u or "", (h or "").encode()) for i, u, h in rows)
+    assert sorted(((r.page_id or -1), r.url or "", bytes(r.payload)) for r in back) == want
+    assert all(r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() for r in back)
+    kinds = {(r.page_id or -1, r.url or ""): (r.record_type, r.refers_to) for r in back}
+    assert kinds[1, "http://a"] == ("revisit", 2) and kinds[2, "http://b"] == ("response", None)
+    assert kinds[3, ""] == ("revisit", 4) and kinds[-1, "n"] == ("revisit", 2) and kinds[-1, "m"] == ("response", None)
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
+    assert any("WARC-Refers-To: <urn:page:2>" in r.header for r in back)
+    empty = shared.scratch(spark, "t")
+    warc.write_archive(df.where("false"), empty)
+    assert warc.read_digests(spark, empty).count() == 0
+
+
+def test_tokens_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rows = corpus() + [(4, "again")]
+    got = tokens.tokenize(spark, documents(spark, rows)).orderBy("start").collect()
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    ids = {}
+    for i, t in rows:
+        code = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids.setdefault(i, []).append((len(code), zlib.crc32(code.tobytes())))
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    at = 0
+    for r in got:
+        assert r.start == at and (r.n_tokens, r.ids_crc32) in ids[r.doc_id]
+        at += r.n_tokens
+    assert tokens.tokenize(spark, documents(spark, [])).count() == 0
+
+
+def test_mixing(spark):
+    rows = [(i, prose(1 + i % 7, i)) for i in range(1, 200)] + [(500, None), (None, "x y"), (500, "again and again")]
+    got = mixing.plan_mix(documents(spark, rows)).collect()
+    total = sum(r.size for r in got)
+    per = {}
+    for r in got:
+        per.setdefault(r.source, r)
+    assert len(got) == len(rows) and sum(p.target for p in per.values()) == pytest.approx(1.5 * total)
+    assert all(r.target <= 2 * r.source_size + 1e-9 and 0 <= r.n_copies <= 2 for r in got)
+    names = sorted((s for s in per if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    free = [per[s].target / weight[s] for s in names if per[s].target < 2 * per[s].source_size - 1e-9]
+    assert max(free) == pytest.approx(min(free))
+    mixed = mixing.mix(documents(spark, rows))
+    assert mixed.columns == documents(spark, []).columns and mixed.count() == sum(r.n_copies for r in got)
+    assert mixing.plan_mix(documents(spark, [])).count() == 0
+
+
+def test_decontamination_brute_force(spark):
+    items = [(1, prose(20, 60)), (2, prose(45, 61)), (3, "one two three four"), (4, None), (5, " "), (None, prose(30, 62)), (6, "w w w w w w w w w w")]
+    docs = corpus() + [(700, prose(3000, 70) + " " + items[0][1] + " " + prose(50, 71)), (701, edited(items[1][1], 22, 1)), (702, edited(items[1][1], 5, 1)), (703, "w " * 50), (704, prose(5, 72) + " " + items[5][1]), (705, "one two three four")]
+    bench = spark.createDataFrame([(*i, 2) for i in items], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.search(documents(spark, docs), bench).collect()}
+    want = {}
+    for d, t in docs:
+        have = shingles(t)
+        for i, text in items:
+            own = shingles(text)
+            if own and len(own & have) >= 0.8 * len(own):
+                want[d, i] = len(own & have) / len(own)
+    assert got == want and (703, 6) in want
+    kept = decontaminate.decontaminate(documents(spark, docs), bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert decontaminate.search(documents(spark, docs), bench.where("false")).count() == 0
+    assert decontaminate.search(documents(spark, []), bench).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
+    items = [(k, prose(20 + k, 400 + k)) for k in range(11)]
+    docs = [(k, prose(30, k) + " " + t) for k, t in items]
+    got = decontaminate.search(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(11)]
+
+
+def accuracy(spark, query, label, modulus, out):
+    sf = "/root/testdata/sf0.1"
+    scored = query(spark, sf).where("held_out")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = scored.join(labels, "doc_id").select(label, "predicted", "score", "doc_id").collect()
+    assert rows and all(zlib.crc32(str(r.doc_id).encode()) % modulus == out and 0 <= r.score <= 1 for r in rows)
+    return np.mean([r[label] == r.predicted for r in rows])
+
+
+def test_quality_held_out(spark):
+    assert accuracy(spark, quality.query, "quality", 3, 1) > 0.98
+
+
+def test_toxicity_held_out(spark):
+    assert accuracy(spark, toxicity.query, "toxic", 5, 0) > 0.97
+
+
+def test_classifier_edges(spark):
+    docs = documents(spark, [(1, None), (2, ""), (None, "a b"), (3, "x"), (3, "x")])
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        got = module.classify(docs, labels).collect()
+        assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+        assert module.classify(documents(spark, []), labels).count() == 0
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_toxic_spans(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.classify(docs, labels).where("size(spans) > 0").join(docs.select("doc_id", "text"), "doc_id").limit(20).collect()
+    assert rows
+    for r in rows:
+        raw = r.text.encode()
+        assert all(0 <= s.start < s.end <= len(raw) and raw[s.start : s.end].decode() for s in r.spans)
+
+
+def test_page_extraction_edges(spark):
+    df = spark.createDataFrame([(1, "u", None, 3), (None, None, "", 3), (2, "u", "<article><p>Some text of a page. It is here.</p></article>", 3), (2, "u", "<article><p>Some text of a page. It is here.</p></article>", 3)], "page_id long, url string, html string, text int")
+    got = sorted(((r.page_id or -1), r.text, r.n_chars) for r in html_extract.extract(df).collect())
+    text = "Some text of a page. It is here."
+    assert got == [(-1, "", 0), (1, "", 0), (2, text, len(text)), (2, text, len(text))]
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_page_extraction_on_pages(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in html_extract.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article))
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in blocks]
+        assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op6_mixing", "op8_decontaminate"])
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    from orebody.llm import registry
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, sf)
+    names = sorted(df.columns)
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    result = con.execute(registry.ORACLES[name])
+    places = [[d[0] for d in result.description].index(c) for c in names]
+    assert sorted(tuple(plain(r[c]) for c in names) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in places) for r in result.fetchall())
+
+
+def test_pipeline_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("predicted = 1").collect()}
+    rows = [(i, docs[i].text) for i in sorted(good)]
+    _, component = near_truth(rows)
+    kept = [(i, t) for i, t in rows if component[i] == i]
+    items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = [(i, t) for i, t in kept if not any(s and len(s & shingles(t)) >= 0.8 * len(s) for s in items)]
+    left = spark.createDataFrame([(i, t, docs[i].source) for i, t in clean], "doc_id long, text string, source string")
+    times = {r.doc_id: r.n_copies for r in mixing.plan_mix(left).collect()}
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    want, at = [], 0
+    for i, t in clean:
+        code = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        for _ in range(times[i]):
+            want.append((i, at, len(code), zlib.crc32(code.tobytes())))
+            at += len(code)
+    got = corpus_pipeline.run(spark, sf).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
+    assert len(clean) < len(kept) < len(rows) < len(docs)
