@@ -1,10 +1,10 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 The two halves of the unit vectors are quantised by codebooks of their own, whose product
-is a grid of cells.  A query visits cells in the order of the least distance at which
-they could hold a vector; as that distance is a bound (the half-space between two
-centroids), the traversal stops where no cell left can hold a link, so the target recall
-is 1.  Visited cells are verified by exact cosines in double precision, block by block.
+is a grid of cells.  A query visits cells in the order of their distance, up to a slack
+beyond the nearest one at which the traversals of a bounded sample, compared with all
+vectors, reach the target recall; a link counts for both its ends when either visits the
+other.  Visited cells are verified by exact cosines in double precision, block by block.
 
 Equal vectors are one class.  A cell's members and visitors are dealt out in blocks, and
 only counts and a spanning forest leave a task.
@@ -37,6 +37,12 @@ MAX_CENTROIDS = 128
 #: Vectors of a cell aimed at, which sets the number of centroids.
 CELL_ROWS = 48
 BLOCK = 1024
+#: The share of sampled vectors' true links that one-way traversals must reach, and the sample.
+TARGET_RECALL = 0.98
+PROBED = 500
+SLACK_STEP = 0.005
+#: The slack is at least so many steps, whatever the sample shows.
+LEAST_STEPS = 6
 
 
 def normalised(raw: pa.Array, kind: str) -> np.ndarray:
@@ -61,45 +67,72 @@ def squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * (x @ centres.T), 0)
 
 
-def least_squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """A lower bound of the squared distance from x to any vector of each centroid's cell.
+def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell) by multi-sequence traversal of both codebooks' sorted distances.
 
-    A vector of cell i is nearer to centroid i than to k, so it is beyond the plane midway
-    between them; the bound is the farthest such plane among x's nearest centroids.
-    """
-    d = squared(x, centres)
-    out = np.zeros_like(d)
-    apart = np.sqrt(squared(centres, centres))
-    nearest = np.argsort(d, axis=1)[:, : min(16, len(centres))]
-    for r in range(nearest.shape[1]):
-        k = nearest[:, r]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d - d[np.arange(len(x)), k][:, None]) / (2 * apart[k])
-        np.maximum(out, np.where(np.isfinite(plane), plane, 0), out=out)
-    return out**2
-
-
-def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], radius2: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, cell) by multi-sequence traversal of both codebooks' sorted bounds up to the radius.
-
-    Along the sorted first bounds, the second bounds that still fit form a shrinking
-    prefix: that staircase is what the traversal has visited when it stops.
+    Cells come in the order of the sum of their halves' squared distances, up to ``slack``
+    above the first one.  Along the sorted first distances, the second ones that still fit
+    form a shrinking prefix: that staircase is what the traversal has visited when it stops.
     """
     half = x.shape[1] // 2
-    first, second = least_squared(x[:, :half], books[0]), least_squared(x[:, half:], books[1])
+    first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
     order_1, order_2 = first.argsort(axis=1), second.argsort(axis=1)
     sorted_1, sorted_2 = np.take_along_axis(first, order_1, 1), np.take_along_axis(second, order_2, 1)
     queries, cells = [], []
     for q in range(len(x)):
-        left = sorted_1[q][sorted_1[q] <= radius2]
-        depth = np.searchsorted(sorted_2[q], radius2 - left, "right")
-        i = np.repeat(order_1[q][: len(left)], depth)
-        j = order_2[q][np.concatenate([np.arange(n) for n in depth])] if len(depth) else np.zeros(0, int)
+        limit = sorted_1[q, 0] + sorted_2[q, 0] + slack
+        depth = np.searchsorted(sorted_2[q], limit - sorted_1[q], "right")
+        i = np.repeat(order_1[q], depth)
+        j = order_2[q][np.arange(len(i)) - np.repeat(np.cumsum(depth) - depth, depth)]
         queries.append(np.full(len(i), q))
         cells.append(i * len(books[1]) + j)
     return np.concatenate(queries), np.concatenate(cells)
 
 
+def beyond_first(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: np.ndarray) -> np.ndarray:
+    """How far each cell's squared distance lies above that of the row's first cell; a column for each cell."""
+    half = x.shape[1] // 2
+    first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
+    return first[:, cells // len(books[1])] + second[:, cells % len(books[1])] - (first.min(axis=1) + second.min(axis=1))[:, None]
+
+
+def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray]) -> float:
+    """The slack at which sampled vectors' traversals reach the target share of their true links.
+
+    A bounded sample of vectors is compared with all vectors, where those are; what comes
+    back is, per sampled vector, a histogram over fixed steps of slack.
+    """
+    chosen = members.orderBy(F.xxhash64("rep", F.lit("calibrate")), "rep").limit(PROBED).select("rep", "raw").toArrow().combine_chunks()
+    asked = (chosen.column("rep").to_numpy(), normalised(chosen.column("raw").combine_chunks(), code))
+    held = members.sparkSession.sparkContext.broadcast((asked, books))  # at most PROBED vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, x), books = held.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(s, BLOCK)
+                near = x @ normalised(part.column("raw"), code).T >= THRESHOLD
+                near &= ids[:, None] != part.column("rep").to_numpy()
+                i, j = np.nonzero(near)
+                home, back = np.unique(part.column("cell").to_numpy()[j], return_inverse=True)
+                own = beyond_first(x, books, home)[i, back] if len(i) else np.zeros(0)
+                yield pa.record_batch({"query": pa.array(i.astype(np.int32)), "step": pa.array(np.ceil(np.maximum(own, 0) / SLACK_STEP).astype(np.int32))})
+
+    steps = members.select("rep", "cell", "raw").mapInArrow(run, "query int, step int").groupBy("query", "step").count().collect()
+    if not steps:
+        return LEAST_STEPS * SLACK_STEP
+    # every vector counts alike, however many links it has
+    totals: dict[int, int] = {}
+    for r in steps:
+        totals[r["query"]] = totals.get(r["query"], 0) + r["count"]
+    reached = 0.0
+    for r in sorted(steps, key=lambda r: r["step"]):
+        reached += r["count"] / totals[r["query"]] / len(totals)
+        if reached >= TARGET_RECALL:
+            break
+    return max(LEAST_STEPS, r["step"]) * SLACK_STEP
+
+
 def usable(vectors: DataFrame) -> tuple[DataFrame, str]:
     """(vec_id, dim, raw) of the vectors that can link, and the numpy type of raw."""
     field = next(f for f in vectors.schema.fields if f.name.lower() == "embedding")
@@ -132,8 +165,8 @@ def fit_books(vectors: DataFrame, code: str, count: int) -> tuple[np.ndarray, np
     return k_means(x[:, :half], k), k_means(x[:, half:], k)
 
 
-def compare(work: DataFrame, code: str) -> DataFrame:
-    """(rep, links, root) from rows (cell, m, p, visitor, rep, mult, raw) that stand group by group."""
+def compare(work: DataFrame, code: str, held, slack: float) -> DataFrame:
+    """(rep, links, root) from rows (cell, m, p, visitor, home, rep, mult, raw) that stand group by group."""
 
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
@@ -144,13 +177,19 @@ def compare(work: DataFrame, code: str) -> DataFrame:
             return None
         x = normalised(whole.column("raw"), code)
         near = (x[queries] @ x[members].T >= THRESHOLD) & (rep[queries][:, None] != rep[members])
-        links = near @ mult[members]
         i, j = np.nonzero(near)
+        if not len(i):
+            return None
+        links = np.zeros(len(rep), np.int64)
+        np.add.at(links, queries[i], mult[members[j]])
+        # a member that does not visit the query's own cell learns of the link here
+        home, back = np.unique(whole.column("home").to_numpy()[queries], return_inverse=True)
+        unaware = beyond_first(x[members], held.value, home)[j, back[i]] > slack
+        np.add.at(links, members[j[unaware]], mult[queries[i[unaware]]])
         names, place = np.unique(rep, return_inverse=True)
         label = forest(len(names), place[queries[i]], place[members[j]])
-        on = links > 0
-        q = queries[on]
-        return pa.record_batch({"rep": pa.array(rep[q]), "links": pa.array(links[on].astype(np.int64)), "root": pa.array(names[label[place[q]]])})
+        on = np.flatnonzero(links > 0)
+        return pa.record_batch({"rep": pa.array(rep[on]), "links": pa.array(links[on]), "root": pa.array(names[label[place[on]]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -180,8 +219,6 @@ def links_of(classes: DataFrame, code: str) -> DataFrame:
     books = fit_books(classes, code, count)
     spark = classes.sparkSession
     held = spark.sparkContext.broadcast(books)  # two tables of at most MAX_CENTROIDS rows
-    radius2 = 2 - 2 * THRESHOLD + 1e-9
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = held.value
         for batch in batches:
@@ -196,23 +233,24 @@ def links_of(classes: DataFrame, code: str) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
-                query, cell = visits(normalised(part.column("raw"), code), held.value, radius2)
+                query, cell = visits(normalised(part.column("raw"), code), held.value, slack)
                 yield pa.record_batch({"rep": part.column("rep").take(pa.array(query)), "cell": pa.array(cell.astype(np.int64))})
 
     members = settle(classes.select("rep", "mult", "raw").mapInArrow(place, "cell long, rep long, mult long, raw binary"), "cells")
+    slack = calibrate(members, code, books)
     probes = settle(members.select("rep", "raw").mapInArrow(probe, "rep long, cell long"), "visits")
     cells = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms"))
     cells = cells.join(probes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")), "cell")
     cells = settle(cells, "grid")
     # visited cells without members fall away here; the grid has a row for each occupied cell
-    visiting = probes.join(cells, "cell").join(members.select("rep", "mult", "raw"), "rep")
+    visiting = probes.join(cells, "cell").join(members.select("rep", "mult", "raw", F.col("cell").alias("home")), "rep")
     own = F.xxhash64("rep")
     visiting = visiting.withColumn("p", F.pmod(own, F.col("ps")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
-    staying = members.join(cells, "cell")
+    staying = members.withColumn("home", F.col("cell")).join(cells, "cell")
     staying = staying.withColumn("m", F.pmod(own, F.col("ms")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)))
-    names = ["cell", "m", "p", "visitor", "rep", "mult", "raw"]
+    names = ["cell", "m", "p", "visitor", "home", "rep", "mult", "raw"]
     work = visiting.withColumn("visitor", F.lit(True)).select(*names).unionByName(staying.withColumn("visitor", F.lit(False)).select(*names))
-    return settle(compare(work.repartition("cell", "m", "p").sortWithinPartitions("cell", "m", "p"), code), "links")
+    return settle(compare(work.repartition("cell", "m", "p").sortWithinPartitions("cell", "m", "p"), code, held, slack), "links")
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
