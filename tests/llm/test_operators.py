@@ -41,7 +41,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, co
 
 
 def documents(spark, rows):
-    return spark.createDataFrame([(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), 1, "x", "y", 2, "z") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 5 == 0 else f"s{(i or 0) % 3}", len(t or ""), 1, "x", "y", 2, "z") for i, t in rows], SCHEMA)
 
 
 def shingles(text):
