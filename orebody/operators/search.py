@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions.expressions import cosine, problem_codes
 from orebody.functions.vocabulary import PROBLEMS
+from orebody.sources.scratch import settle
 
 #: Accented letters and their plain ones.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -30,12 +32,14 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> Data
     numbers a document, one row of corpus statistics beside them.
     """
     terms = list(dict.fromkeys(w.lower() for w in query))
-    words = F.col("__words")
+    plain = docs.select(F.col(key), F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS).alias("__plain"))
 
     def count_of(term: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == F.lit(term)))
+        return F.regexp_count("__plain", F.lit(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
 
-    counted = docs.select(F.col(key), tokens(F.col(text)).alias("__words")).select(key, F.size(words).alias("length"), *[count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = plain.select(key, F.regexp_count("__plain", F.lit("[a-z0-9]+")).alias("length"), *[count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # the texts are read once: statistics and scores both come from the counts
+    counted = settle(counted, "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

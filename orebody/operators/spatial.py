@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions.expressions import EARTH_KM, ellipsoid_km, haversine_km
 from orebody.operators.components import components
+from orebody.sources.scratch import settle
 
 KM_PER_DEGREE = EARTH_KM * pi / 180
 #: Beyond this latitude a degree of longitude is too short for cells of whole degrees.
@@ -93,7 +94,7 @@ def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:
     Core points within the radius of each other are one cluster; a border point joins the
     cluster of its least core neighbour; clusters are numbered by falling size.
     """
-    pairs = near_pairs(points, radius_km)
+    pairs = settle(near_pairs(points, radius_km).select("a", "b"), "near-pairs")
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg((F.count("*") + 1).alias("n"))
     core = points.select("id").where(F.lit(least <= 1)).unionByName(degree.where(F.col("n") >= max(least, 2)).select(F.col("a").alias("id"))).distinct()
@@ -102,7 +103,7 @@ def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:
     cored = core.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     outer = both.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(cored.select(F.col("id").alias("b"), "component"), "b")
     border = outer.groupBy("a").agg(F.min_by("component", "b").alias("component")).select(F.col("a").alias("id"), "component")
-    members = cored.unionByName(border)
+    members = settle(cored.unionByName(border), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     # a row for each cluster
     named = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.col("size").desc(), "component")) - 1)
