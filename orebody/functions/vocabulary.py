@@ -55,14 +55,14 @@ SERIES_SUMS = [
 #: Columns of the two base tables that are no measures.
 SNAPSHOT_INTEGERS = "id report_year is_offshore is_discovered is_ltp is_pse_approved is_pod_approved is_report_accepted is_unitization project_eol project_isactive groovy_isactive fusion_isactive onstream_year".split()
 SNAPSHOT_TEXTS = (
-    "report_date report_status wk_id wk_name psc_eff_start psc_eff_end wk_subgroup operator_group operator_name basin86_id basin86 basin128_id basin128 prov_id province "
+    "report_date report_status wk_id wk_name psc_eff_start psc_eff_end wk_subgroup operator_group wk_area_perwakilan_skkmigas wk_regionisasi_ngi operator_name basin86_id basin86 basin128_id basin128 prov_id province "
     "field_id field_name field_name_previous pod_letter_num pod_name pod_date project_id project_name project_name_previous project_stage onstream_actual project_remarks "
     "project_class project_level project_level_previous prod_stage uncert_level vol_remarks"
 ).split()
 SNAPSHOT_PLACES = "wk_lat wk_long wk_area wk_area_ori wk_area_latest field_lat field_long field_area".split()
 SERIES_INTEGERS = "id report_year is_offshore project_isactive onstream_year year hist_year".split()
 SERIES_TEXTS = (
-    "report_date basin86_id basin128 province operator_group report_status wk_id wk_name psc_eff_start psc_eff_end wk_subgroup operator_name field_id field_name project_id "
+    "report_date basin86_id basin128 province operator_group report_status wk_id wk_name wk_regionisasi_ngi wk_area_perwakilan_skkmigas psc_eff_start psc_eff_end wk_subgroup operator_name field_id field_name project_id "
     "project_name project_remarks vol_remarks frcast_remarks pod_letter_num pod_name onstream_actual project_class project_level prod_stage"
 ).split()
 #: Text in the source; read as numbers here, so that a least value is not one of spelling.
