@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions import expressions as X
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
-from orebody.operators import analysis, graph, rollup, search, spatial, views
+from orebody.operators import analysis, graph, resolve, rollup, search, spatial, views
 from orebody.plans import sqlgate
 from orebody.streaming import events as streams
 
@@ -576,7 +576,45 @@ def entity_confidence(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", "p_name", X.match_confidence(F.col("p_name"), "part#7").alias("confidence"))
 
 
-_HEX = "lpad(upper(hex(c_custkey)), 6, '0')"
+@query("entity_candidates", "SELECT c_custkey, c_name, CASE WHEN starts_with(lower(c_name), '1') THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM customer WHERE contains(lower(c_name), '11') ORDER BY confidence DESC, c_name, c_custkey LIMIT 10")
+def entity_candidates(spark, sf_dir):
+    return resolve.candidates(read(spark, sf_dir, "customer"), "c_custkey", "c_name", "11")
+
+
+def _stands(words) -> str:
+    return "(?:^|[^a-z0-9])(" + "|".join(words) + ")(?:[^a-z0-9]|$)"
+
+
+# a question is written in front of each turn, so that every kind of year and word occurs
+ASKED = "CASE conv_id % 5 WHEN 0 THEN 'tahun ' || (2000 + turn) WHEN 1 THEN 'data ' || (1990 + turn * 5) || ' minyak' WHEN 2 THEN 'tahun ' || (10 + turn) || ' gas 2P' WHEN 3 THEN 'gasoline 3p contingent' ELSE 'low flow' END"
+
+
+@query(
+    "question_resolution",
+    f"""WITH q AS (SELECT conv_id, turn, {ASKED} AS asked FROM conversations),
+y AS (SELECT *, TRY_CAST(COALESCE(NULLIF(regexp_extract(asked, 'tahun\s*(\d{{4}})', 1), ''), NULLIF(regexp_extract(asked, '(?:^|\s)(\d{{4}})(?:\s|$)', 1), '')) AS INT) AS y4,
+             2000 + TRY_CAST(NULLIF(regexp_extract(asked, 'tahun\s*(\d{{2}})(?:\D|$)', 1), '') AS INT) AS y2 FROM q)
+SELECT conv_id, turn, CASE WHEN y4 BETWEEN 2000 AND 2100 THEN y4 ELSE y2 END AS year,
+       CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.OIL_WORDS)}') THEN 'oil' WHEN regexp_matches(lower(asked), '{_stands(resolve.GAS_WORDS)}') THEN 'gas' END AS substance,
+       CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[LOW])}') THEN '{LOW}' WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[MIDDLE])}') THEN '{MIDDLE}'
+            WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[HIGH])}') THEN '{HIGH}' END AS level,
+       CASE WHEN regexp_matches(lower(asked), '{_stands(["contingent"])}') THEN '2. Contingent Resources' END AS class
+FROM y""",
+)
+def question_resolution(spark, sf_dir):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    number = lambda c: c.cast("long").cast("string")
+    asked = (
+        F.when(conv % 5 == 0, F.concat(F.lit("tahun "), number(turn + 2000)))
+        .when(conv % 5 == 1, F.concat(F.lit("data "), number(turn * 5 + 1990), F.lit(" minyak")))
+        .when(conv % 5 == 2, F.concat(F.lit("tahun "), number(turn + 10), F.lit(" gas 2P")))
+        .when(conv % 5 == 3, "gasoline 3p contingent")
+        .otherwise("low flow")
+    )
+    q = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), asked.alias("asked"))
+    return resolve.resolve(q, "key", "asked").select("key.conv_id", "key.turn", "year", "substance", "level", "class")
+
+
 _DIGIT = """list_sum(list_transform(range(1, 7), lambda i: CASE WHEN (6 - i) % 2 = 0 THEN CASE WHEN 2 * d(i) >= 16 THEN 2 * d(i) - 15 ELSE 2 * d(i) END ELSE d(i) END))""".replace("d(i)", "(instr('0123456789ABCDEF', payload[i]) - 1)")
 
 
