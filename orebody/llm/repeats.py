@@ -34,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import columns, settle
+from .shared import batch_rows, columns, settle
 from .textnp import as_bytes, mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM
 #: Contexts of one gram beyond which it is cut into shards of about half as many.
-HOT_CONTEXTS = 4096
+HOT_CONTEXTS = 1024
 #: Bytes of contexts in one suffix array.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 400_000
+#: Bytes between the strings by which contexts without a possible match are told apart.
+STRIDE = REACH // 8
 #: A text beyond this is scanned in overlapping parts.
 PART = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -144,7 +146,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int, lane: int = 1024) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int, lane: int = 128) -> np.ndarray:
     """For each rank, bytes shared with the suffix before it, up to ``cap``.
 
     Kasai's scan in text order, where each value is at least the one before less one; the
@@ -195,10 +197,15 @@ def repeated_places(contexts: list[bytes], group: np.ndarray, left: np.ndarray)
     owner = np.repeat(np.arange(len(sizes)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     place = inner - left[owner]
-    _, back, often = np.unique(np.stack([same[first[owner] + inner], group[owner], place]), axis=1, return_inverse=True, return_counts=True) if len(owner) else (None, np.zeros(0, int), np.zeros(0, int))
-    on = often[back.ravel()] > 1
+    key = (same[first[owner] + inner] * (group.max(initial=0) + 1) + group[owner]) * (REACH + 1) + place + REACH
+    order = np.argsort(key)
+    equal = key[order][1:] == key[order][:-1]
+    on = np.zeros(len(key), bool)
+    on[order[1:][equal]] = True
+    on[order[:-1][equal]] = True
     cuts = np.searchsorted(owner[on], np.arange(len(sizes) + 1))
-    return [place[on][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    found = place[on]
+    return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def runs_of(places: np.ndarray) -> list[dict]:
@@ -226,7 +233,7 @@ def shards(work: DataFrame) -> DataFrame:
             places = repeated_places([x[4] for x in held], number, np.array([x[3] for x in held]))
             return pa.record_batch({"gram": pa.array([x[0] for x in held], pa.int64()), "context": pa.array([x[2] for x in held], pa.int64()), "runs": pa.array([runs_of(p) for p in places], RUNS_ARROW)})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "bytes")):
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "context", "left", "bytes"))):
                 if held and size >= SHARD_BYTES and row[:2] != held[-1][:2]:
                     yield close()
@@ -277,6 +284,23 @@ def merged(hot: DataFrame) -> DataFrame | None:
         state = rest.withColumn("half", F.explode(halves)).select(*names, F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"))
 
 
+def matchable(pieces: DataFrame) -> DataFrame:
+    """The pieces that can share a string of LENGTH bytes with another one of their gram.
+
+    Two contexts that agree on L bytes before the gram and R behind it, L + R >= REACH, agree
+    for some j on STRIDE * j bytes before it and REACH - STRIDE * (j + 1) behind it.
+    """
+    tests = []
+    for j in range(REACH // STRIDE):
+        before, size = STRIDE * j, LENGTH - STRIDE
+        fits = (F.col("left") >= before) & (F.col("right") >= size - before)
+        tests.append(F.when(fits, F.xxhash64(F.lit(j), F.substring("bytes", F.col("left") - before + 1, F.lit(size)))))
+    rows = pieces.select("gram", "context", F.explode(F.array(*tests)).alias("test")).where("test IS NOT NULL")
+    shared = rows.groupBy("gram", "test").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select("gram", "test")
+    good = settle(rows.join(shared, ["gram", "test"], "left_semi").select("gram", "context").distinct(), "matchable")
+    return pieces.join(good, ["gram", "context"], "left_semi")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): byte ranges to remove of every text that loses any."""
     anchors = settle(anchors_of(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
@@ -307,6 +331,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*names, "bytes"])
 
     pieces = settle(texts.mapInArrow(cut, "gram long, salt int, context long, n long, left int, right int, hot boolean, bytes binary"), "pieces")
+    pieces = settle(matchable(pieces), "matchable-pieces")
     work = pieces.select("gram", "salt", "context", "left", "bytes").repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     covered = settle(shards(work).select("gram", "context", F.explode("runs").alias("run")).select("gram", "context", "run.a", "run.b"), "covered")
     hot = merged(pieces.where("hot").select("gram", "context", "left", "right", "bytes"))
@@ -325,10 +350,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row of ``docs``."""
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = settle(repeats(docs), "spans")
+    with batch_rows(docs.sparkSession, 1000):
+        spans = settle(repeats(docs), "spans")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, sizes, gone, runs, sums, texts = [], [], [], [], [], []
             for doc_id, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 raw = text.encode()

@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from orebody.sources.scratch import scratch, settle
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which every executor sees.
-
-    Only where the session names no such folder (tests on one machine) a
-    temporary one is made and remembered in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.orebody.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-orebody-")
-        spark.conf.set("spark.orebody.scratch", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+__all__ = ["batch_rows", "columns", "scratch", "settle", "table"]
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
@@ -51,10 +31,13 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*picked)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def keep_schema(df: DataFrame) -> T.StructType:
-    """The frame's schema with every column nullable, for Arrow round trips."""
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; whole texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -13,7 +13,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACES)] = True
 #: Bytes of text worked on at once (a longer text is worked on alone).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 SHINGLE = 5
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
