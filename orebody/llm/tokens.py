@@ -17,7 +17,9 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,8 +36,19 @@ from .textnp import slices
 END_ID = 2
 #: A block closes at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
-#: Distinct words, and parts of words, that a worker remembers.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 400_000, 600_000
+#: Distinct words, and parts of words, that a worker remembers at least.
+REMEMBERED_WORDS, REMEMBERED_PARTS = 400_000, 500_000
+#: The normalizer and pattern of a vocabulary whose words can be encoded apart.
+WORD_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
 #: ASCII marks, which the vocabulary's pattern takes as one run behind letters.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -71,17 +84,36 @@ def unpack(packed: bytes, bits: int, count: int, start: int = 0) -> np.ndarray:
     return flat.reshape(count, bits) @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
+class Memo(dict):
+    """What ``make`` gives for a key, remembered for one to two times ``limit`` keys, those asked for last."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit bytes.
 
-    The vocabulary's own normalizer composes (NFC) and lower-cases, and its pattern takes
-    letters and runs of marks apart.  So a composed text may be lower-cased at once, and a
-    word of letters with marks behind it is the ids of its letters and those of its marks;
-    the library encodes each such part once for as long as a worker remembers it.  Sigma,
-    whose lower case depends on its place in Python alone, is left to the library.
+    Where the vocabulary's own normalizer composes (NFC) and lower-cases, and its pattern
+    takes letters and runs of marks apart, a composed text may be lower-cased at once, and
+    a word of letters with marks behind it is the ids of its letters and those of its
+    marks; a worker then has the library encode each such part once for as long as it
+    remembers it.  Sigma, whose lower case depends on its place in Python alone, is left to
+    the library.  Any other vocabulary encodes whole texts.
     """
     if path in _encoders:
         return _encoders[path]
@@ -89,25 +121,32 @@ def encoder(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    words: dict[str, bytes] = {"": b""}
-    parts: dict[str, bytes] = {"": b""}
-
-    def learn(new: set[str]) -> None:
-        if len(words) > REMEMBERED_WORDS:
-            words.clear()
-        split = {}
-        for word in new:
-            core = word.rstrip(MARKS)
-            split[word] = (core, word[len(core) :]) if core.isalpha() and core.lower().isalpha() else (word, "")
-        missing = [part for part in {part for pair in split.values() for part in pair} if part not in parts]
-        if len(parts) > REMEMBERED_PARTS:
-            parts.clear()
-            parts[""] = b""
-            missing = [part for part in {part for pair in split.values() for part in pair} if part not in parts]
-        for part, code in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            parts[part] = np.array(code.ids, "<u4").tobytes()
-        for word, (core, marks) in split.items():
-            words[word] = parts[core] + parts[marks]
+
+    def whole(text: str) -> bytes:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    rules = json.loads(tokenizer.to_str())
+    if [rules.get(k) for k in ("normalizer", "pre_tokenizer")] != WORD_RULES:
+        _encoders[path] = whole
+        return whole
+    split = tokenizer.model.tokenize
+
+    def part_ids(part: str) -> bytes:
+        if part.isascii() and part.isalpha() and part.islower():  # one word of the pattern, the same in its byte alphabet
+            ids = [t.id for t in split(part)]
+        else:
+            ids = tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    parts = Memo(part_ids, REMEMBERED_PARTS)
+
+    def word_ids(word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if core.isalpha() and core.lower().isalpha():
+            return parts[core] if len(core) == len(word) else parts[core] + parts[word[len(core) :]]
+        return parts[word] if word else b""
+
+    words = Memo(word_ids, REMEMBERED_WORDS)
 
     def encode(text: str) -> bytes:
         if text.isascii():
@@ -115,11 +154,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         elif "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
             small = text.lower()
             text = small if unicodedata.is_normalized("NFC", small) else text
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        # learning may forget what was known, so it is asked twice at most
-        while new := {word for word in set(found) if word not in words}:
-            learn(new)
-        return b"".join(map(words.__getitem__, found))
+        return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     _encoders[path] = encode
     return encode
