@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import columns, settle
+from orebody.operators.components import components
+
+from .shared import batch_rows, columns, settle
 from .textnp import as_bytes, mix, shingle_hashes, slices, word_hashes
 
 #: Similarity as a fraction of integers, so that the test on counts is exact.
@@ -252,7 +253,11 @@ def near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members: doc_id, rep (least doc_id of the class), mult (documents in it).
     links: rep, links (documents of other classes linked with it), component.
     """
-    docs = columns(docs, doc_id="long", text="string")
+    with batch_rows(docs.sparkSession, 1000):
+        return _near_join(columns(docs, doc_id="long", text="string"))
+
+
+def _near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = settle(fingerprints(docs), "prints")
     usable = prints.where("n > 0 AND doc_id IS NOT NULL")
     classes = settle(usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "classes")
@@ -279,8 +284,7 @@ def near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    links = counts.join(linked.withColumnRenamed("node", "rep"), "rep")
-    return members, links
+    return members, settle(counts.join(linked.withColumnRenamed("node", "rep"), "rep"), "linked")
 
 
 def annotate(docs: DataFrame) -> DataFrame:
