@@ -249,13 +249,14 @@ def shards(work: DataFrame) -> DataFrame:
 def merged(hot: DataFrame) -> DataFrame | None:
     """(gram, context, a, b): covered bytes that contexts of a hot gram share across its shards.
 
-    Places from -REACH to 0 are halved level by level; all contexts halve alike.  Contexts that
-    agree on all bytes under a range are done with it, and one of them goes on as a partner
-    for those that are not.
+    ``hot`` has the runs that each context's own shard has covered.  Places from -REACH to 0
+    are halved level by level; all contexts halve alike.  A context is open for a range while
+    bytes under it are not covered; contexts that agree on all those bytes are done with
+    it, and one of those that are done or not open goes on as a partner for the open ones.
     """
     found: DataFrame | None = None
     own_low, own_high = -F.col("left"), F.col("right") - LENGTH
-    names = ["gram", "context", "left", "right", "bytes", "open"]
+    names = ["gram", "context", "left", "right", "bytes", "runs", "open"]
     state = hot.where(f"left + right >= {LENGTH}").withColumn("open", F.lit(True)).select(*names, F.lit(-REACH).alias("lo"), F.lit(0).alias("hi"))
     key = ["gram", "lo", "hi"]
 
@@ -263,7 +264,10 @@ def merged(hot: DataFrame) -> DataFrame | None:
         return F.sha2(F.substring("bytes", F.col("left") + a + 1, b - a), 256)
 
     while True:
-        state = settle(state.where((F.col("lo") <= own_high) & (F.col("hi") >= own_low)), "halves")
+        first, last = F.greatest(F.col("lo"), own_low), F.least(F.col("hi"), own_high) + LENGTH
+        known = F.exists("runs", lambda r: (r["a"] <= first) & (r["b"] >= last))
+        state = state.where((F.col("lo") <= own_high) & (F.col("hi") >= own_low)).withColumn("open", F.col("open") & ~known)
+        state = settle(state, "halves")
         if state.isEmpty():
             return found
         inside = (F.col("lo") >= own_low) & (F.col("hi") <= own_high)
@@ -275,10 +279,14 @@ def merged(hot: DataFrame) -> DataFrame | None:
         cores = ranges.groupBy(*key, "core").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select(*key, "core")
         alive = settle(ranges.join(cores, [*key, "core"], "left_semi").drop("core"), "alive")
         hulls = alive.where("hull IS NOT NULL").groupBy(*key, "hull").agg(F.count("*").alias("n"), F.min("context").alias("partner")).where("n > 1").drop("n")
-        judged = settle(alive.join(hulls, [*key, "hull"], "left").drop("hull"), "judged")
-        done = judged.where("partner IS NOT NULL AND open").select("gram", "context", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
+        judged = settle(alive.where("open").join(hulls, [*key, "hull"], "left"), "judged")
+        done = judged.where("partner IS NOT NULL").select("gram", "context", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
         found = done if found is None else found.unionByName(done)
-        rest = judged.where("lo < hi AND (partner IS NULL OR partner = context)").withColumn("open", F.col("open") & F.col("partner").isNull())
+        columns_ = [*names, "lo", "hi"]
+        going = judged.where("partner IS NULL OR partner = context").withColumn("open", F.col("partner").isNull()).select(*columns_)
+        quiet = alive.where("NOT open")
+        quiet = quiet.where("hull IS NULL").select(*columns_).unionByName(quiet.where("hull IS NOT NULL").dropDuplicates([*key, "hull"]).select(*columns_))
+        rest = going.unionByName(quiet).where("lo < hi")
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
         state = rest.withColumn("half", F.explode(halves)).select(*names, F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"))
@@ -333,8 +341,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     pieces = settle(texts.mapInArrow(cut, "gram long, salt int, context long, n long, left int, right int, hot boolean, bytes binary"), "pieces")
     pieces = settle(matchable(pieces), "matchable-pieces")
     work = pieces.select("gram", "salt", "context", "left", "bytes").repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    covered = settle(shards(work).select("gram", "context", F.explode("runs").alias("run")).select("gram", "context", "run.a", "run.b"), "covered")
-    hot = merged(pieces.where("hot").select("gram", "context", "left", "right", "bytes"))
+    local = settle(shards(work).where("size(runs) > 0"), "covered")
+    covered = local.select("gram", "context", F.explode("runs").alias("run")).select("gram", "context", "run.a", "run.b")
+    open_pieces = pieces.where("hot").select("gram", "context", "left", "right", "bytes").join(local, ["gram", "context"], "left")
+    hot = merged(open_pieces.withColumn("runs", F.coalesce("runs", F.array().cast(RUNS))))
     if hot is not None:
         covered = covered.unionByName(hot)
 
