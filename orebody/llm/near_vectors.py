@@ -2,9 +2,11 @@
 
 The two halves of the unit vectors are quantised by codebooks of their own, whose product
 is a grid of cells.  A query visits cells in the order of their distance, up to a slack
-beyond the nearest one at which the traversals of a bounded sample, compared with all
-vectors, reach the target recall; a link counts for both its ends when either visits the
-other.  Visited cells are verified by exact cosines in double precision, block by block.
+beyond the nearest one at which the traversals of bounded samples, one of them of vectors
+known to have a link, compared with all vectors, reach the target recall, and at which
+pairs made right at the threshold reach it; a link counts for both its ends when either
+visits the other.  Visited cells are verified by exact cosines in double precision, block
+by block.
 
 Equal vectors are one class.  A cell's members and visitors are dealt out in blocks, and
 only counts and a spanning forest leave a task.
@@ -38,7 +40,7 @@ MAX_CENTROIDS = 128
 #: Vectors of a cell aimed at, which sets the number of centroids.
 CELL_ROWS = 48
 BLOCK = 1024
-#: The share of sampled vectors' true links that one-way traversals must reach, and the sample.
+#: The share of true links, and of pairs at the threshold, that one-way traversals must reach, and the vectors of a sample.
 TARGET_RECALL = 0.98
 PROBED = 500
 SLACK_STEP = 0.005
@@ -97,15 +99,63 @@ def beyond_first(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: np.
     return first[:, cells // len(books[1])] + second[:, cells % len(books[1])] - (first.min(axis=1) + second.min(axis=1))[:, None]
 
 
+def threshold_slack(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> float:
+    """The slack at which sampled vectors reach the target share of mates right at the threshold.
+
+    A vector's mates lie in a random direction and in that of another sampled vector; the
+    worse of the two counts.  It rests on no link of the sample.
+    """
+    half = x.shape[1] // 2
+    slack = 0.0
+    for way in (np.random.default_rng(7).normal(size=x.shape), np.roll(x, 1, axis=0)):
+        way = way - (way * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(way, axis=1)
+        on = size > 1e-9
+        if not on.any():
+            continue
+        mate = THRESHOLD * x[on] + np.sqrt(1 - THRESHOLD**2) * way[on] / size[on, None]
+        home = squared(mate[:, :half], books[0]).argmin(axis=1) * len(books[1]) + squared(mate[:, half:], books[1]).argmin(axis=1)
+        needed = np.diagonal(beyond_first(x[on], books, home))
+        slack = max(slack, float(np.quantile(needed, TARGET_RECALL, method="higher")))
+    return slack
+
+
+def linked_sample(members: DataFrame, code: str) -> pa.Table:
+    """(rep, raw) of at most PROBED vectors with a link, however few vectors of the table have one.
+
+    They are looked for among the neighbours in the order of cells, a block at a time, so
+    that the pass grows with the table and not with a cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(s, BLOCK)
+                x = normalised(part.column("raw"), code)
+                near = x @ x.T >= THRESHOLD
+                np.fill_diagonal(near, False)
+                yield part.select(["rep", "raw"]).filter(pa.array(near.any(axis=1)))
+
+    own = F.xxhash64("rep")
+    dealt = members.select("cell", "rep", "raw").repartitionByRange("cell", own).sortWithinPartitions("cell", own)
+    return dealt.mapInArrow(run, "rep long, raw binary").orderBy(F.xxhash64("rep", F.lit("linked")), "rep").limit(PROBED).toArrow()
+
+
 def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray]) -> float:
     """The slack at which sampled vectors' traversals reach the target share of their true links.
 
-    A bounded sample of vectors is compared with all vectors, where those are; what comes
-    back is, per sampled vector, a histogram over fixed steps of slack.
+    Bounded samples, of all vectors and of vectors known to have a link, are compared with
+    all vectors, where those are; what comes back is, per sampled vector, a histogram over
+    fixed steps of slack.  The slack is never below what pairs at the threshold need.
     """
     chosen = members.orderBy(F.xxhash64("rep", F.lit("calibrate")), "rep").limit(PROBED).select("rep", "raw").toArrow().combine_chunks()
-    asked = (chosen.column("rep").to_numpy(), normalised(chosen.column("raw").combine_chunks(), code))
-    held = members.sparkSession.sparkContext.broadcast((asked, books))  # at most PROBED vectors
+    least = max(LEAST_STEPS, int(np.ceil(threshold_slack(normalised(chosen.column("raw").combine_chunks(), code), books) / SLACK_STEP)))
+    known = linked_sample(members, code)
+    if len(known):
+        chosen = pa.concat_tables([chosen.cast(known.schema), known]).combine_chunks()
+    ids, first = np.unique(chosen.column("rep").to_numpy(), return_index=True)
+    asked = (ids, normalised(chosen.column("raw").combine_chunks().take(pa.array(first)), code))
+    held = members.sparkSession.sparkContext.broadcast((asked, books))  # at most 2 * PROBED vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ids, x), books = held.value
@@ -120,18 +170,19 @@ def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray
                 yield pa.record_batch({"query": pa.array(i.astype(np.int32)), "step": pa.array(np.ceil(np.maximum(own, 0) / SLACK_STEP).astype(np.int32))})
 
     steps = members.select("rep", "cell", "raw").mapInArrow(run, "query int, step int").groupBy("query", "step").count().collect()
-    if not steps:
-        return LEAST_STEPS * SLACK_STEP
-    # every vector counts alike, however many links it has
     totals: dict[int, int] = {}
     for r in steps:
         totals[r["query"]] = totals.get(r["query"], 0) + r["count"]
-    reached = 0.0
+    # the target is to be reached where every vector counts alike, and where every link does
+    links = sum(totals.values())
+    by_vector = by_link = 0.0
     for r in sorted(steps, key=lambda r: r["step"]):
-        reached += r["count"] / totals[r["query"]] / len(totals)
-        if reached >= TARGET_RECALL:
+        if min(by_vector, by_link) >= TARGET_RECALL:
             break
-    return max(LEAST_STEPS, r["step"]) * SLACK_STEP
+        by_vector += r["count"] / totals[r["query"]] / len(totals)
+        by_link += r["count"] / links
+        least = max(least, r["step"])
+    return least * SLACK_STEP
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, str]:
