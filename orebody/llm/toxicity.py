@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .chain import logistic, marginals, messages, observed_pairs, pair_marginals, sigmoid
 from .labelled import pieces, remainder, sample
-from .near_join import forest, min_hashes
+from .near_join import COMPARED, STEP, THRESHOLD, TOLERANCE, forest, least_matches, linked_pairs, sets_of
 from .shared import columns
-from .textnp import SPACES, as_bytes, prefix_hash, rows_of, shingle_hashes, slices, span_hash, spans, word_hashes
+from .textnp import SPACES, as_bytes, prefix_hash, rows_of, slices, span_hash, spans
 
 FOLDS, HELD_OUT = 5, 0
 #: Features are hashed into so many weights.
@@ -81,26 +81,26 @@ class Model:
     rate: float
 
 
-def distinct_texts(table: pa.Table) -> pa.Table:
-    """One row of each group of copies and near copies, whose common words would pass for toxic ones."""
-    values, full, base = [], [], 0
+def near_copies(table: pa.Table) -> np.ndarray:
+    """Each row's group of copies and near copies: texts of one label with a Jaccard of 0.8 on five-word shingles.
+
+    Pairs are pruned on MinHash values as in the near join and verified on the exact sets.
+    """
+    own: list[np.ndarray] = []
     for part in pieces(table):
-        hashes, _, bounds = word_hashes(*as_bytes(part.column("text")))
-        runs, run_bounds = shingle_hashes(hashes, bounds)
-        own = np.flatnonzero(np.diff(run_bounds))
-        if len(own):
-            values.append(min_hashes(runs, np.append(run_bounds[:-1][own], run_bounds[-1]), 8, seed=4))
-            full.append(own + base)
-        base += part.num_rows
-    if not full:
-        return table
-    values, full = np.concatenate(values), np.concatenate(full)
-    ends = []
-    for k in range(values.shape[1]):
-        _, first, back = np.unique(values[:, k], return_index=True, return_inverse=True)
-        ends.append((full, full[first[back]]))
-    group = forest(len(table), *(np.concatenate(x) for x in zip(*ends)))
-    return table.take(pa.array(np.flatnonzero(group == np.arange(len(table)))))
+        shingles, bounds = sets_of(part)
+        own += [shingles[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    label = np.array(table.column("label").to_pylist(), np.int64)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    limits = least_matches(THRESHOLD[0] / THRESHOLD[1], TOLERANCE, STEP, COMPARED)
+    for value in np.unique(label):
+        rows = np.flatnonzero((label == value) & np.array([len(x) > 0 for x in own], bool))
+        if len(rows):
+            every = np.arange(len(rows))
+            ends += [(rows[i], rows[j]) for i, j in linked_pairs([own[r] for r in rows], every, every, limits)]
+    if not ends:
+        return np.arange(len(table))
+    return forest(len(table), *(np.concatenate(x) for x in zip(*ends)))
 
 
 def training_tokens(table: pa.Table) -> Tokens:
@@ -111,14 +111,18 @@ def training_tokens(table: pa.Table) -> Tokens:
     return Tokens(np.concatenate([t.features for t in parts]), none, none, np.concatenate([[0], np.cumsum(sizes)]), none)
 
 
-def token_states(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic texts with a feature that clean texts practically never have."""
+def token_states(tokens: Tokens, toxic: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """1 for tokens of toxic texts with a feature that clean texts practically never have.
+
+    A feature counts once for each ``group`` of near copies, whose common words would pass
+    for toxic ones; the texts of a group have one label.
+    """
     row = np.repeat(np.arange(len(toxic)), np.diff(tokens.bounds))
     marked = np.zeros(len(row), bool)
-    rate = np.clip(toxic.mean(), 0.02, 0.98)
+    rate = np.clip(toxic[np.unique(group)].mean(), 0.02, 0.98)
     for k in range(tokens.features.shape[1]):
         own = tokens.features[:, k].astype(np.int64)
-        pairs = np.unique(own * len(toxic) + row)
+        pairs = np.unique(own * len(toxic) + group[row])
         feature, text = pairs // len(toxic), pairs % len(toxic)
         bad = np.bincount(feature[toxic[text] == 1], minlength=WEIGHTS)
         good = np.bincount(feature[toxic[text] == 0], minlength=WEIGHTS)
@@ -177,13 +181,12 @@ def evidence(tokens: Tokens, p: np.ndarray) -> np.ndarray:
 
 def fit(table: pa.Table) -> Model:
     """The model of labelled texts (text, label: 1 is toxic)."""
-    table = distinct_texts(table)
     toxic = np.array(table.column("label").to_pylist(), np.int64)
     rate = (toxic.sum() + 1) / (len(toxic) + 2)
     if len(set(toxic.tolist())) < 2:
         return Model(None, 0.0, np.zeros((2, 2)), np.zeros(3), rate)
     tokens = training_tokens(table)
-    weights, bias, edges = fit_field(tokens, token_states(tokens, toxic))
+    weights, bias, edges = fit_field(tokens, token_states(tokens, toxic, near_copies(table)))
     model = Model(weights, bias, edges, np.zeros(3), rate)
     model.curve = logistic(evidence(tokens, token_marginals(model, tokens)), toxic.astype(float), ridge=0.05)
     return model

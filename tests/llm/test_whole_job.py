@@ -1,8 +1,11 @@
 """Cases in which an operator did less than its whole job."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 
-from orebody.llm import near_vectors
+from orebody.llm import near_vectors, toxicity
 
 
 def test_slack_without_a_linked_vector_covers_the_threshold(spark):
@@ -23,3 +26,18 @@ def test_slack_without_a_linked_vector_covers_the_threshold(spark):
     y = 0.951 * x + np.sqrt(1 - 0.951**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
     needed = [np.diagonal(near_vectors.beyond_first(a, books, home(b))) for a, b in ((x, y), (y, x))]
     assert (np.minimum(*needed) <= slack).mean() >= 0.99
+
+
+def test_toxic_texts_with_a_shared_footer_are_learned_from():
+    """Texts of both labels that share a footer are no copies; copies of one text count once."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    footer = " ".join(words[:60])
+    clean = [" ".join(r.choices(words, k=80)) + " " + footer for _ in range(150)]
+    toxic = [" ".join(r.choices(words, k=40) + ["zzorkz"] + r.choices(words, k=40)) + " " + footer for _ in range(50)]
+    copies = [" ".join(words[100:200]) + f" mmildm x{k}" for k in range(30)]
+    table = pa.table({"text": clean + toxic + copies, "label": pa.array([0] * 150 + [1] * 80, pa.int32())})
+    model = toxicity.fit(table)
+    tokens = toxicity.tokens_of(pa.array(["zzorkz", "mmildm"]))
+    p = toxicity.token_marginals(model, tokens)
+    assert p[0] > 0.5 > p[1]
