@@ -311,6 +311,12 @@ def sales_potential(spark, sf_dir):
     return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
 
 
+@query("sales_potential_all", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS potential FROM lineitem")
+def sales_potential_all(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").withColumn("sold", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
+
+
 # ---------------------------------------------------------------- views and filters
 
 @query("detail_projection", f"WITH {PROJECTS} SELECT report_year, wk_name, field_name, project_stage, project_class, uncert_level, res_oc AS reserves_mstb FROM projects WHERE report_year IN (1996, 1998)")
