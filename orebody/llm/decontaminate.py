@@ -4,8 +4,11 @@ Test items are partitioned by the power of two above their number of shingles.
 partition of up to U shingles, a document's shingles are cut into blocks of U; two
 neighbouring blocks hold any run of U, so an item that lies in a document makes up at
 least about a fifth of one such window, however long the document is.  An item and a
-window are candidates when any of ``HASHES`` MinHash values agree, and each candidate is
-verified by the exact share of the item's distinct shingles that the document has.
+window are candidates when any of ``HASHES`` MinHash values agree.  An item that repeats
+itself so much that its distinct shingles belong to a lower partition is a candidate
+wherever a document has one of so many of its shingles that no more may be missing; none
+escapes.  Each candidate is verified by the exact share of the item's distinct shingles
+that the document has.
 
 Items are a stated query set: they are broadcast in blocks of at most ``ITEMS_AT_ONCE``,
 one pass over the documents for each block, and nothing is shuffled.
@@ -38,7 +41,7 @@ ITEMS_AT_ONCE = 20_000
 
 
 def item_tables(items: pa.RecordBatch) -> dict:
-    """Per size class, for each hash function, the items' minima in order and their rows."""
+    """Per size class, for each hash function, the items' minima in order and their rows; and the repetitive items' shingles to look for."""
     shingles, bounds = sets_of(items)
     sizes = np.diff(bounds)
     a, b = coefficients(HASHES, seed=3)
@@ -46,8 +49,9 @@ def item_tables(items: pa.RecordBatch) -> dict:
     # by running shingles, repeats included: that is what an occurrence spans in a document
     words = np.diff(word_hashes(*as_bytes(items.column("text")))[2])
     level = np.ceil(np.log2(np.maximum(words - SHINGLE + 1, 1))).astype(int)
-    for c in np.unique(level[sizes > 0]):
-        rows = np.flatnonzero((level == c) & (sizes > 0))
+    repetitive = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int) < level
+    for c in np.unique(level[(sizes > 0) & ~repetitive]):
+        rows = np.flatnonzero((level == c) & (sizes > 0) & ~repetitive)
         own = [shingles[bounds[r] : bounds[r + 1]] for r in rows]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]]).astype(np.int64)
         flat = np.concatenate(own)
@@ -58,7 +62,14 @@ def item_tables(items: pa.RecordBatch) -> dict:
             values, first = np.unique(least[order], return_index=True)
             tables.append((values, np.append(first, len(order)), rows[order]))
         classes[int(c)] = tables
-    return {"shingles": shingles, "bounds": bounds, "ids": items.column("item_id").to_pylist(), "classes": classes}
+    rows = np.flatnonzero((sizes > 0) & repetitive)
+    # a document without any of these lacks more of the item than the threshold allows
+    least = sizes[rows] - np.ceil(THRESHOLD * sizes[rows] - 1e-9).astype(np.int64) + 1
+    flat = np.concatenate([shingles[bounds[r] : bounds[r] + m] for r, m in zip(rows, least)]) if len(rows) else shingles[:0]
+    order = np.argsort(flat, kind="stable")
+    values, first = np.unique(flat[order], return_index=True)
+    sought = (values, np.append(first, len(order)), np.repeat(rows, least)[order])
+    return {"shingles": shingles, "bounds": bounds, "ids": items.column("item_id").to_pylist(), "classes": classes, "sought": sought}
 
 
 def candidates(shingles: np.ndarray, bounds: np.ndarray, classes: dict) -> np.ndarray:
@@ -100,6 +111,19 @@ def candidates(shingles: np.ndarray, bounds: np.ndarray, classes: dict) -> np.nd
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
+def holders(shingles: np.ndarray, bounds: np.ndarray, sought: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Distinct (row, item) pairs whose row has a shingle that is sought for the item."""
+    values, cuts, rows = sought
+    if not len(values) or not len(shingles):
+        return np.zeros((0, 2), np.int64)
+    at = np.searchsorted(values, shingles)
+    at[at == len(values)] = 0
+    on = np.flatnonzero(values[at] == shingles)
+    hits = np.unique(np.stack([np.searchsorted(bounds, on, "right") - 1, at[on]], axis=1), axis=0)
+    found = [np.stack([np.full(cuts[v + 1] - cuts[v], row), rows[cuts[v] : cuts[v + 1]]], axis=1) for row, v in hits]
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, containment) of every document that holds an item to the threshold."""
     spark = docs.sparkSession
@@ -125,7 +149,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
                     hashes, _, words = word_hashes(data, offsets)
                     shingles, bounds = shingle_hashes(hashes, words)
                     names, ids, shares = [], [], []
-                    for row, item in candidates(shingles, bounds, held["classes"]):
+                    for row, item in np.concatenate([candidates(shingles, bounds, held["classes"]), holders(shingles, bounds, held["sought"])]):
                         have = shingles[bounds[row] : bounds[row + 1]]
                         share = np.isin(own[item], have).mean()
                         if share >= THRESHOLD:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from orebody.llm import near_vectors, toxicity
+from orebody.llm import decontaminate, near_vectors, toxicity
 
 
 def test_slack_without_a_linked_vector_covers_the_threshold(spark):
@@ -41,3 +41,14 @@ def test_toxic_texts_with_a_shared_footer_are_learned_from():
     tokens = toxicity.tokens_of(pa.array(["zzorkz", "mmildm"]))
     p = toxicity.token_marginals(model, tokens)
     assert p[0] > 0.5 > p[1]
+
+
+def test_items_that_repeat_themselves_are_found(spark):
+    """Items of 1,000 words with about ten distinct shingles each lie whole in long documents."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(5000)]
+    items = [(k, " ".join(r.sample(words, 10) * 100)) for k in range(30)]
+    docs = [(k, " ".join(r.choices(words, k=1500)) + " " + text + " " + " ".join(r.choices(words, k=1500))) for k, text in items]
+    docs += [(100 + k, " ".join(text.split(" ")[:14]) + " " + " ".join(r.choices(words, k=2000))) for k, text in items]
+    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id): g.containment for g in got} == {(k + n, k): 1.0 for k in range(30) for n in (0, 100)}
