@@ -1,7 +1,7 @@
-"""What a table of questions asks for: year, substance, level, class and named entities.
+"""What a table of questions asks for: year, substance, level and class; candidates for one literal term.
 
-Everything is an expression over the question's text or a join with a table of names, so a
-million questions are resolved like one.  Words count where they stand alone.
+Everything is an expression over the text, so a million questions are resolved like one.
+Words count where they stand alone.  Names of a table of names are not looked for.
 """
 
 from __future__ import annotations
