@@ -6,17 +6,22 @@ Any such string holds ``LENGTH - GRAM + 1`` grams of ``GRAM`` bytes, and the lea
 hashes (the leftmost, where equal) stands at the same place in all its copies: an anchor.
 Anchors whose gram is unique in the corpus are dropped.  An anchor's context is the bytes
 of all strings that can be anchored there; equal contexts are one, and repeated as a whole.
-Distinct contexts of one gram go to one shard, which builds a suffix array
-(Larsson-Sadakane: ranks double, sorted groups are left alone) with common prefixes
-(Kasai's, along many lanes at once), and finds the strings that stand at the same place of
-several contexts.
 
-A gram with very many distinct contexts is cut into several shards; what one shard's
-contexts share with another's is merged by binary search over the places: a range of
-places is halved as long as the bytes that all its strings have in common occur in another
-context, and is done where the bytes under all of them do.
+The places of strings around an anchor are cut into ``TESTS`` ranges of ``STRIDE``.  All
+strings of a range hold the same ``CORE`` bytes, so contexts that share one agree on that
+core and meet in the shard of its key; there they differ in no more than the ``STRIDE``
+bytes on either side.  A shard builds a suffix array of those sides (Larsson-Sadakane: ranks
+double, sorted groups are left alone) with common prefixes (Kasai's, along many lanes at
+once), and finds the strings that stand at the same place of several contexts.  The
+strings that a context shares all hold its gram, so what they cover is one run of bytes and
+the least and the greatest place say it all.
 
-Grams and contexts are compared by 64-bit hashes and, in the shards, byte by byte.
+A core with very many contexts is spread over several shards.  Each of them publishes its
+distinct strings in sorted order, cut by binary search at the bounds of the ranges in which
+the runs of all shards are merged.
+
+Grams, cores and published strings are compared by 64-bit hashes (gram and core together
+are a key of 128 bits), the sides in a shard byte by byte.
 
 Defined results: a null text is empty; a text below ``LENGTH`` bytes loses nothing; rows
 that repeat both doc_id and text are documents that repeat each other; a null doc_id is
@@ -34,18 +39,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch_rows, columns, settle
+from .shared import batch_rows, columns, settle, spread_join
 from .textnp import as_bytes, mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 128
 REACH = LENGTH - GRAM
-#: Contexts of one gram beyond which it is cut into shards of about half as many.
-HOT_CONTEXTS = 1024
-#: Bytes of contexts in one suffix array.
-SHARD_BYTES = 400_000
-#: Bytes between the strings by which contexts without a possible match are told apart.
-STRIDE = REACH // 8
+#: Ranges of places around an anchor, the places of each, and the bytes that all strings of one hold.
+TESTS = 4
+STRIDE = REACH // TESTS
+CORE = LENGTH - STRIDE
+#: Rows of a core that one shard takes, and rows at which a shard is closed.
+CROWD = 4096
+SHARD_ROWS = 16_384
+#: Bytes of published strings in a range, and crowded cores that are broadcast (beyond, they are joined by a shuffle).
+RANGE_BYTES = 8_000_000
+BROADCAST_CORES = 100_000
+#: A key with more than this share of all rows is dealt over several tasks; there are no more such keys than its inverse.
+HOT_KEYS = 1024
 #: A text beyond this is scanned in overlapping parts.
 PART = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -184,180 +195,270 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int, lane: int = 1
     return out[order]
 
 
-def repeated_places(contexts: list[bytes], group: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-    """For each context, the places (from its anchor) of strings that another context of its group has at that place."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+def shared_places(data: np.ndarray, sizes: np.ndarray, group: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, shared) of every string of STRIDE bytes of the texts that ``data`` holds end to end.
+
+    A text's places count back from its ``left`` bytes; a string is shared where another
+    text of its group has it at that place.
+    """
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     order = suffix_array(data)
-    shared = common_prefixes(data, order, LENGTH)
+    shared = common_prefixes(data, order, STRIDE)
     same = np.empty(len(data), np.int64)
-    same[order] = np.cumsum(shared < LENGTH)  # equal where LENGTH bytes are
-    count = np.maximum(sizes - LENGTH + 1, 0)
+    same[order] = np.cumsum(shared < STRIDE)  # equal where STRIDE bytes are
+    count = np.maximum(sizes - STRIDE + 1, 0)
     owner = np.repeat(np.arange(len(sizes)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    place = inner - left[owner]
-    key = (same[first[owner] + inner] * (group.max(initial=0) + 1) + group[owner]) * (REACH + 1) + place + REACH
-    order = np.argsort(key)
+    place = left[owner] - inner
+    key = (same[first[owner] + inner] * (group.max(initial=0) + 1) + group[owner]) * (STRIDE + 1) + place
+    order = np.argsort(key, kind="stable")
     equal = key[order][1:] == key[order][:-1]
     on = np.zeros(len(key), bool)
     on[order[1:][equal]] = True
     on[order[:-1][equal]] = True
-    cuts = np.searchsorted(owner[on], np.arange(len(sizes) + 1))
-    found = place[on]
-    return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def runs_of(places: np.ndarray) -> list[dict]:
-    """Covered bytes (from the anchor) of strings that start at the sorted places."""
-    if not len(places):
-        return []
-    cut = np.flatnonzero(np.diff(places) > LENGTH) + 1
-    return [{"a": int(p[0]), "b": int(p[-1]) + LENGTH} for p in np.split(places, cut)]
-
-
-RUNS = "array<struct<a: int, b: int>>"
-RUNS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-
-def shards(work: DataFrame) -> DataFrame:
-    """(gram, context, runs) from rows (gram, salt, context, left, bytes) that stand group by group."""
+    return owner, place, on
+
+
+#: A string as a shard publishes it: its hash, whose it is, its place, and whether its owner asks for others.
+STRING = np.dtype([("hash", "<u8"), ("gram", "<i8"), ("context", "<i8"), ("place", "<i2"), ("asks", "u1")])
+FOUND = "gram long, context long, a int, b int"
+
+
+def least_and_greatest(gram: np.ndarray, context: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
+    """One row for each context, with the least ``a`` and the greatest ``b``."""
+    order = np.lexsort((context, gram))
+    gram, context, a, b = gram[order], context[order], a[order], b[order]
+    cut = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    least = np.minimum.reduceat(a, cut) if len(cut) else a
+    greatest = np.maximum.reduceat(b, cut) if len(cut) else b
+    return {"gram": pa.array(gram[cut], pa.int64()), "context": pa.array(context[cut], pa.int64()), "a": pa.array(least.astype(np.int32)), "b": pa.array(greatest.astype(np.int32))}
+
+
+def resolve(rows: pa.RecordBatch, ranges: int) -> Iterator[pa.RecordBatch]:
+    """What whole groups of rows (gram, core, salt, crowded, hull, context, j, nl, nr, alone, bytes) share, and what is published of crowded ones."""
+    gram, core, hull, context = (rows.column(c).to_numpy() for c in ("gram", "core", "hull", "context"))
+    salt, j, nl, nr = (rows.column(c).to_numpy().astype(np.int64) for c in ("salt", "j", "nl", "nr"))
+    alone, crowded = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("alone", "crowded"))
+    data, offsets = as_bytes(rows.column("bytes"))
+    change = np.ones(len(gram), bool)
+    change[1:] = (gram[1:] != gram[:-1]) | (core[1:] != core[:-1]) | (salt[1:] != salt[:-1])
+    group = np.cumsum(change) - 1
+    # a row of documents that repeat id and text comes as often as they do
+    order = np.lexsort((context, group))
+    once = np.ones(len(order), bool)
+    once[1:] = (group[order][1:] != group[order][:-1]) | (context[order][1:] != context[order][:-1])
+    on = np.sort(order[once])
+    on = on[(np.bincount(group[on], minlength=group[-1] + 1)[group[on]] > 1) | crowded[on]]
+    if not len(on):
+        return
+    # equal hulls share all their strings; the first of them stands for the others
+    order = on[np.lexsort((hull[on], group[on]))]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (group[order][1:] != group[order][:-1]) | (hull[order][1:] != hull[order][:-1])
+    kind = np.cumsum(fresh) - 1
+    rep = order[fresh]
+    often = np.bincount(kind) > 1
+    low, high = np.where(often, STRIDE - nr[rep], STRIDE + 1), np.where(often, nl[rep], -1)
+    kinds = np.bincount(group[rep], minlength=group[-1] + 1)[group[rep]]
+    tried = np.flatnonzero((kinds > 1) | crowded[rep])
+    if len(tried):
+        own = rep[tried]
+        size = nl[own] + nr[own]
+        ends = np.cumsum(size)
+        text = data[np.repeat(offsets[own] - (ends - size), size) + np.arange(ends[-1])]
+        owner, place, shared = shared_places(text, size, group[own], nl[own])
+        np.minimum.at(low, tried[owner[shared]], place[shared])
+        np.maximum.at(high, tried[owner[shared]], place[shared])
+        public = crowded[own][owner]
+        if public.any():
+            yield from published(text, own, owner[public], place[public], (ends - size), low[tried], high[tried], group, gram, core, context, j, nl, alone, ranges)
+    # the least place starts farthest before the anchor
+    told = np.flatnonzero(alone[order] & (high[kind] >= low[kind]))
+    who, what = order[told], kind[told]
+    if len(who):
+        found = least_and_greatest(gram[who], context[who], -(STRIDE * j[who] + high[what]), -(STRIDE * j[who] + low[what]))
+        yield pa.record_batch(found | {"range": pa.nulls(len(found["gram"]), pa.int32()), "strings": pa.nulls(len(found["gram"]), pa.binary())})
+
+
+def published(text, own, owner, place, start, low, high, group, gram, core, context, j, nl, alone, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The distinct strings of a shard's crowded cores as sorted runs, a row for each range of hashes."""
+    row = own[owner]
+    at = start[owner] + nl[row] - place
+    seed = mix(gram[row].view(np.uint64) ^ mix(core[row].view(np.uint64))) + place.astype(np.uint64)
+    hashes = mix(span_hash(prefix_hash(text), at, at + STRIDE) ^ seed)
+    out = np.empty(len(row), STRING)
+    out["hash"], out["gram"], out["context"] = hashes, gram[row], context[row]
+    out["place"] = -(STRIDE * j[row] + place)
+    # places between two that are known to be shared say nothing new
+    out["asks"] = alone[row] & ((place < low[owner]) | (place > high[owner]))
+    # one of the equal strings of a group; those of two groups of one core are for the merge to find
+    order = np.lexsort((group[row], hashes))
+    out, owned = out[order], group[row][order]
+    once = np.ones(len(out), bool)
+    once[1:] = (out["hash"][1:] != out["hash"][:-1]) | (owned[1:] != owned[:-1])
+    out = out[once]
+    bounds = (np.arange(ranges + 1, dtype=np.float64) / ranges * 2.0**64)[1:-1].astype(np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(out["hash"], bounds), [len(out)]])
+    full = np.flatnonzero(np.diff(cuts))
+    none = pa.nulls(len(full), pa.int64())
+    raw = pa.array([out[cuts[k] : cuts[k + 1]].tobytes() for k in full], pa.binary())
+    yield pa.record_batch({"gram": none, "context": none, "a": none.cast(pa.int32()), "b": none.cast(pa.int32()), "range": pa.array(full.astype(np.int32)), "strings": raw})
+
+
+def shards(work: DataFrame, ranges: int) -> DataFrame:
+    """(gram, context, a, b) of places shared within a shard, and (range, strings) for what is merged across shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < SHARD_ROWS:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            keys = [whole.column(c).to_numpy() for c in ("gram", "core", "salt")]
+            last = size - 1
+            ends = np.flatnonzero(np.logical_or.reduce([k[:-1] != k[last] for k in keys]))
+            cut = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on
+            if cut:
+                yield from resolve(whole.slice(0, cut), ranges)
+            held, size = [whole.slice(cut)], whole.num_rows - cut
+        if size:
+            yield from resolve(pa.Table.from_batches(held).combine_chunks().to_batches()[0], ranges)
+
+    return work.mapInArrow(run, f"{FOUND}, range int, strings binary")
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """(gram, context, a, b): places of asking strings that several shards have published; rows stand range by range."""
+
+    def merge(parts: list[bytes]) -> pa.RecordBatch:
+        strings = np.concatenate([np.frombuffer(p, STRING) for p in parts])
+        order = np.argsort(strings["hash"], kind="stable")
+        sorted_ = strings["hash"][order]
+        equal = sorted_[1:] == sorted_[:-1]
+        on = np.zeros(len(strings), bool)
+        on[order[1:][equal]] = True
+        on[order[:-1][equal]] = True
+        asked = strings[on & (strings["asks"] > 0)]
+        place = asked["place"].astype(np.int32)
+        return pa.record_batch(least_and_greatest(asked["gram"].copy(), asked["context"].copy(), place, place))
 
-        def close() -> pa.RecordBatch:
-            groups: dict[tuple, int] = {}
-            number = np.array([groups.setdefault((g, s), len(groups)) for g, s, *_ in held])
-            places = repeated_places([x[4] for x in held], number, np.array([x[3] for x in held]))
-            return pa.record_batch({"gram": pa.array([x[0] for x in held], pa.int64()), "context": pa.array([x[2] for x in held], pa.int64()), "runs": pa.array([runs_of(p) for p in places], RUNS_ARROW)})
-
-        for batch in (part for whole in batches for part in slices(whole, "bytes")):
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "salt", "context", "left", "bytes"))):
-                if held and size >= SHARD_BYTES and row[:2] != held[-1][:2]:
-                    yield close()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        at = None
+        for batch in batches:
+            for key, strings in zip(batch.column("range").to_pylist(), batch.column("strings").to_pylist()):
+                if held and key != at:
+                    yield merge(held)
+                    held = []
+                at = key
+                held.append(strings)
         if held:
-            yield close()
+            yield merge(held)
 
-    return work.mapInArrow(run, f"gram long, context long, runs {RUNS}")
+    return runs.mapInArrow(run, FOUND)
 
 
-def merged(hot: DataFrame) -> DataFrame | None:
-    """(gram, context, a, b): covered bytes that contexts of a hot gram share across its shards.
+def sides(texts: DataFrame) -> DataFrame:
+    """A row for each range of places of each wanted context of ``texts`` (text, wants).
 
-    ``hot`` has the runs that each context's own shard has covered.  Places from -REACH to 0
-    are halved level by level; all contexts halve alike.  A context is open for a range while
-    bytes under it are not covered; contexts that agree on all those bytes are done with
-    it, and one of those that are done or not open goes on as a partner for the open ones.
-    """
-    found: DataFrame | None = None
-    own_low, own_high = -F.col("left"), F.col("right") - LENGTH
-    names = ["gram", "context", "left", "right", "bytes", "runs", "open"]
-    state = hot.where(f"left + right >= {LENGTH}").withColumn("open", F.lit(True)).select(*names, F.lit(-REACH).alias("lo"), F.lit(0).alias("hi"))
-    key = ["gram", "lo", "hi"]
-
-    def bytes_between(a, b):
-        return F.sha2(F.substring("bytes", F.col("left") + a + 1, b - a), 256)
-
-    while True:
-        first, last = F.greatest(F.col("lo"), own_low), F.least(F.col("hi"), own_high) + LENGTH
-        known = F.exists("runs", lambda r: (r["a"] <= first) & (r["b"] >= last))
-        state = state.where((F.col("lo") <= own_high) & (F.col("hi") >= own_low)).withColumn("open", F.col("open") & ~known)
-        state = settle(state, "halves")
-        if state.isEmpty():
-            return found
-        inside = (F.col("lo") >= own_low) & (F.col("hi") <= own_high)
-        # the bytes that all strings of the range have in common lie in any context that has one of
-        # them; the bytes under all of them only in one that has them all
-        core = bytes_between(F.col("hi"), F.col("lo") + LENGTH)
-        hull = F.when(inside, bytes_between(F.col("lo"), F.col("hi") + LENGTH))
-        ranges = state.withColumn("core", core).withColumn("hull", hull)
-        cores = ranges.groupBy(*key, "core").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select(*key, "core")
-        alive = settle(ranges.join(cores, [*key, "core"], "left_semi").drop("core"), "alive")
-        hulls = alive.where("hull IS NOT NULL").groupBy(*key, "hull").agg(F.count("*").alias("n"), F.min("context").alias("partner")).where("n > 1").drop("n")
-        judged = settle(alive.where("open").join(hulls, [*key, "hull"], "left"), "judged")
-        done = judged.where("partner IS NOT NULL").select("gram", "context", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
-        found = done if found is None else found.unionByName(done)
-        columns_ = [*names, "lo", "hi"]
-        going = judged.where("partner IS NULL OR partner = context").withColumn("open", F.col("partner").isNull()).select(*columns_)
-        quiet = alive.where("NOT open")
-        quiet = quiet.where("hull IS NULL").select(*columns_).unionByName(quiet.where("hull IS NOT NULL").dropDuplicates([*key, "hull"]).select(*columns_))
-        rest = going.unionByName(quiet).where("lo < hi")
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
-        state = rest.withColumn("half", F.explode(halves)).select(*names, F.col("half.lo").alias("lo"), F.col("half.hi").alias("hi"))
-
-
-def matchable(pieces: DataFrame) -> DataFrame:
-    """The pieces that can share a string of LENGTH bytes with another one of their gram.
-
-    Two contexts that agree on L bytes before the gram and R behind it, L + R >= REACH, agree
-    for some j on STRIDE * j bytes before it and REACH - STRIDE * (j + 1) behind it.
+    gram, core: the key; hull: hash of all bytes under the range's strings; j: the range;
+    nl, nr: bytes beside the core, which ``bytes`` holds; alone: whether the context stands once.
     """
-    tests = []
-    for j in range(REACH // STRIDE):
-        before, size = STRIDE * j, LENGTH - STRIDE
-        fits = (F.col("left") >= before) & (F.col("right") >= size - before)
-        tests.append(F.when(fits, F.xxhash64(F.lit(j), F.substring("bytes", F.col("left") - before + 1, F.lit(size)))))
-    rows = pieces.select("gram", "context", F.explode(F.array(*tests)).alias("test")).where("test IS NOT NULL")
-    shared = rows.groupBy("gram", "test").agg(F.min("context").alias("x"), F.max("context").alias("y")).where("x <> y").select("gram", "test")
-    good = settle(rows.join(shared, ["gram", "test"], "left_semi").select("gram", "context").distinct(), "matchable")
-    return pieces.join(good, ["gram", "context"], "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                data, offsets = as_bytes(part.column("text"))
+                wants = part.column("wants")
+                owner = np.repeat(np.arange(part.num_rows), wants.value_lengths().to_numpy())
+                want = wants.flatten()
+                gram, context, n, pos, left, right = (want.field(c).to_numpy().astype(np.int64) for c in ("gram", "context", "n", "pos", "left", "right"))
+                at = offsets[owner] + pos
+                prefix = prefix_hash(data)
+                for j in range(TESTS):
+                    before, behind = STRIDE * j, CORE - STRIDE * j
+                    nl, nr = np.minimum(left - before, STRIDE), np.minimum(right - behind, STRIDE)
+                    on = np.flatnonzero((nl >= 0) & (nr >= 0) & (nl + nr >= STRIDE))
+                    nl, nr, start = nl[on], nr[on], at[on] - before
+                    core = mix(span_hash(prefix, start, start + CORE) ^ np.uint64(j))
+                    hull = mix(span_hash(prefix, start - nl, start + CORE + nr) ^ (nl * 1024 + nr).astype(np.uint64))
+                    size = nl + nr
+                    ends = np.cumsum(size)
+                    inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+                    source = np.repeat(start - nl, size) + inner + np.where(inner < np.repeat(nl, size), 0, CORE)
+                    raw = pa.Array.from_buffers(pa.binary(), len(on), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(data[source].tobytes())])
+                    yield pa.record_batch(
+                        {
+                            "gram": pa.array(gram[on]),
+                            "core": pa.array(core.view(np.int64)),
+                            "hull": pa.array(hull.view(np.int64)),
+                            "context": pa.array(context[on]),
+                            "j": pa.array(np.full(len(on), j, np.int16)),
+                            "nl": pa.array(nl.astype(np.int16)),
+                            "nr": pa.array(nr.astype(np.int16)),
+                            "alone": pa.array(n[on] == 1),
+                            "bytes": raw,
+                        }
+                    )
+
+    return texts.mapInArrow(run, "gram long, core long, hull long, context long, j short, nl short, nr short, alone boolean, bytes binary")
+
+
+def shared_runs(rows: DataFrame) -> DataFrame:
+    """(gram, context, a, b): of each context alone that shares a string, the least and the greatest place of those it shares."""
+    spark = rows.sparkSession
+    total = rows.count()
+    crowds = settle(rows.groupBy("gram", "core").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowds")
+    size = crowds.agg(F.count("*").alias("cores"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    known = F.broadcast(crowds) if size["cores"] <= BROADCAST_CORES else crowds
+    salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("context"), F.ceil(F.col("n") * 2 / CROWD)))
+    dealt = rows.join(known, ["gram", "core"], "left").withColumn("salt", salt.cast("int")).withColumn("crowded", F.col("n").isNotNull()).drop("n")
+    # a count of its own, so that no task is merged with others because its bytes are few
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 200_000))
+    key = ["gram", "core", "salt"]
+    ranges = max(1, -(-size["n"] * (STRIDE + 1) * STRING.itemsize // RANGE_BYTES))
+    done = settle(shards(dealt.repartition(parts, *key).sortWithinPartitions(*key), ranges), "shards")
+    runs = done.where("range IS NOT NULL").select("range", "strings").repartition(min(ranges, parts), "range").sortWithinPartitions("range")
+    found = done.where("range IS NULL").select("gram", "context", "a", "b").unionByName(merged(runs))
+    return settle(found.groupBy("gram", "context").agg(F.min("a").alias("a"), F.max("b").alias("b")), "covered")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(row, spans): byte ranges to remove of every text that loses any."""
     anchors = settle(anchors_of(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
-    twice = anchors.groupBy("gram").count().where("count > 1").select("gram")
-    anchors = settle(anchors.join(twice, "gram"), "shared-anchors")
-    contexts = anchors.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "left", "right")).alias("first"))
+    floor = anchors.count() // HOT_KEYS
+    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
+    grams = settle(grams.select("gram", "n", (F.col("low") != F.col("high")).alias("mixed")), "grams")
+    hot = grams.where(F.col("n") > floor).select("gram")
+    shared = settle(spread_join(anchors, grams.drop("n"), ["gram"], hot), "shared-anchors")
+    mixed = shared.where("mixed")
+    contexts = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "left", "right")).alias("first"))
     contexts = settle(contexts, "contexts")
-    # grams with a context that stands alone and another one
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram", "kinds")
-    salt = F.when(F.col("kinds") > HOT_CONTEXTS, F.pmod(F.col("context"), F.ceil(F.col("kinds") / (HOT_CONTEXTS // 2)))).otherwise(0).cast("int")
-    wanted = contexts.join(mixed, "gram").select("first.row", F.struct("gram", salt.alias("salt"), "context", "n", "first.pos", "first.left", "first.right", (F.col("kinds") > HOT_CONTEXTS).alias("hot")).alias("want"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))  # a text's own anchors
-    texts = docs.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "salt", "context", "n", "left", "right", "hot")
-        for batch in batches:
-            for part in slices(batch):
-                data, offsets = as_bytes(part.column("text"))
-                raw = data.tobytes()
-                rows: list[tuple] = []
-                for i, wants in enumerate(part.column("wants").to_pylist()):
-                    for w in wants:
-                        at = offsets[i] + w["pos"]
-                        rows.append((*(w[c] for c in names), raw[at - w["left"] : at + w["right"]]))
-                if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*names, "bytes"])
-
-    pieces = settle(texts.mapInArrow(cut, "gram long, salt int, context long, n long, left int, right int, hot boolean, bytes binary"), "pieces")
-    pieces = settle(matchable(pieces), "matchable-pieces")
-    work = pieces.select("gram", "salt", "context", "left", "bytes").repartition("gram", "salt").sortWithinPartitions("gram", "salt")
-    local = settle(shards(work).where("size(runs) > 0"), "covered")
-    covered = local.select("gram", "context", F.explode("runs").alias("run")).select("gram", "context", "run.a", "run.b")
-    open_pieces = pieces.where("hot").select("gram", "context", "left", "right", "bytes").join(local, ["gram", "context"], "left")
-    hot = merged(open_pieces.withColumn("runs", F.coalesce("runs", F.array().cast(RUNS))))
-    if hot is not None:
-        covered = covered.unionByName(hot)
+    want = F.struct("gram", "context", "n", "first.pos", "first.left", "first.right").alias("want")
+    wanted = contexts.where(f"first.left + first.right >= {LENGTH}").select("first.row", want)
+    wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))  # a text's own anchors
+    covered = shared_runs(settle(sides(docs.select("row", "text").join(wanted, "row")), "sides"))
 
     alone = contexts.where("n = 1").select("gram", "context", "first.row", "first.pos")
-    spans = alone.join(covered, ["gram", "context"]).select("row", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
-    many = contexts.where("n > 1").select("gram", "context")
-    equal = anchors.where(f"left + right >= {LENGTH}").join(many, ["gram", "context"], "left_semi")
+    spans = alone.join(covered, ["gram", "context"]).select("row", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b") + LENGTH).alias("b"))
+    many = contexts.where("n > 1")
+    equal = spread_join(mixed, many.select("gram", "context"), ["gram", "context"], many.where(F.col("n") > floor).select("gram", "context"))
+    equal = shared.where("NOT mixed").unionByName(equal).where(f"left + right >= {LENGTH}")
     spans = spans.unionByName(equal.select("row", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")))
     return spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))  # a text's own ranges
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row of ``docs``."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row of ``docs``.
+
+    text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
+    """
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     with batch_rows(docs.sparkSession, 1000):
@@ -399,4 +500,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)

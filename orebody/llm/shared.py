@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orebody.sources.scratch import scratch, settle
 
-__all__ = ["batch_rows", "columns", "scratch", "settle", "table"]
+__all__ = ["batch_rows", "columns", "scratch", "settle", "spread_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,17 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salts: int = 64) -> DataFrame:
+    """Inner join on ``keys`` in which hot keys are dealt over ``salts`` tasks.
+
+    ``hot`` holds keys, no more than its caller has proved, and is broadcast: left rows of
+    those are salted by a hash of all their columns, right rows are repeated for each salt.
+    """
+    mark = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(0)
+    salted = left.join(mark, keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
+    each = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(mark, keys, "left").withColumn("__salt", F.explode(each)).drop("__hot")
+    return salted.join(copied, [*keys, "__salt"]).drop("__salt")

@@ -115,9 +115,11 @@ def removal_truth(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1024, 2])
-def test_repeats_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+@pytest.mark.parametrize("crowd,part", [(4096, 1 << 22), (2, 1 << 22), (5, 1000)])
+def test_repeats_brute_force(spark, monkeypatch, crowd, part):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "PART", part)  # texts beyond it are scanned in parts
     rows = [r for r in corpus() if len(r[1] or "") < 20_000]
     passage = prose(110, 77)
     rows += [(900 + k, prose(12 + k, 300 + k) + " " + passage[k * 3 :] + prose(9, k)) for k in range(8)]
