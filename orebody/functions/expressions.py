@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vocabulary import EMPTY_REMARKS, PROBLEMS
+from .vocabulary import EMPTY_REMARKS, PROBLEM_HEADS, PROBLEMS, UNIT_NAMES
 
 EARTH_KM = 6371.0
 
@@ -50,7 +50,26 @@ def barrels_equivalent(oil: Column, gas: Column) -> Column:
 
 
 def is_forecast(year: Column, hist_year: Column, report_year: Column) -> Column:
-    return F.coalesce(year > hist_year, year > report_year)
+    """Whether a year lies behind the last one with history, or behind the report's; an unknown one says nothing."""
+    return F.coalesce(year > hist_year, F.lit(False)) | F.coalesce(year > report_year, F.lit(False))
+
+
+def in_years(date: Column, years: list[int] | tuple[int, ...]) -> Column:
+    """Whether a date or timestamp falls in one of the years, as ranges that reach the scan."""
+    out = F.lit(False)
+    for y in years:
+        out = out | ((date >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (date < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+    return out
+
+
+def shown_value(value: Column, unit: str) -> Column:
+    """``1,234.50 MSTB (Thousand Stock Tank Barrels)``; ``N/A`` for no value."""
+    return F.when(value.isNull(), "N/A").otherwise(F.concat(F.format_number(value, 2), F.lit(f" {unit} ({UNIT_NAMES.get(unit, unit)})")))
+
+
+def shortened(text: Column, limit: int = 200) -> Column:
+    """The text, or its first ``limit`` characters and three dots."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
 def haversine_km(lat_1: Column, long_1: Column, lat_2: Column, long_2: Column) -> Column:
@@ -116,20 +135,50 @@ def check_digit(payload: Column) -> Column:
     return F.when(payload.rlike("^[0-9A-Fa-f]+$"), digit)
 
 
+def _compact(value: Column) -> Column:
+    return F.replace(F.upper(F.trim(value)), F.lit("-"))
+
+
+def _distinct_digits(text: Column) -> Column:
+    return F.size(F.array_distinct(F.split(text, ""))) == F.length(text)
+
+
 def valid_field_id(field_id: Column) -> Column:
-    """Whether F-GG-SSSS-C carries the check digit of its grid and suffix."""
-    pattern = "^F-([0-9A-F]{2})-([0-9A-F]{4})-([0-9A-F])$"
-    payload = F.concat(F.regexp_extract(field_id, pattern, 1), F.regexp_extract(field_id, pattern, 2))
-    return F.coalesce(field_id.rlike(pattern) & (check_digit(payload) == F.regexp_extract(field_id, pattern, 3)), F.lit(False))
+    """Whether F-GG-SSSS-C, with or without dashes, has four different decimal digits and the check digit of grid and suffix."""
+    raw = _compact(field_id)
+    sound = raw.rlike("^F[0-9A-F]{2}[0-9]{4}[0-9A-F]$") & _distinct_digits(F.substring(raw, 4, 4)) & (check_digit(F.substring(raw, 2, 6)) == F.substring(raw, 8, 1))
+    return F.coalesce(sound, F.lit(False))
+
+
+def valid_project_id(project_id: Column) -> Column:
+    """Whether P-FFFFFFF-NN holds a valid field id and a number from 01 to 99."""
+    raw = _compact(project_id)
+    sound = raw.rlike("^P[0-9A-F]{7}[0-9]{2}$") & valid_field_id(F.concat(F.lit("F"), F.substring(raw, 2, 7))) & (F.substring(raw, 9, 2) != "00")
+    return F.coalesce(sound, F.lit(False))
+
+
+def valid_zone_id(zone_id: Column) -> Column:
+    """Whether Z-FFFFFFF-SSS-C holds a valid field id, three different digits and the check digit of both."""
+    raw = _compact(zone_id)
+    sound = raw.rlike("^Z[0-9A-F]{7}[0-9]{3}[0-9A-F]$") & valid_field_id(F.concat(F.lit("F"), F.substring(raw, 2, 7)))
+    sound = sound & _distinct_digits(F.substring(raw, 9, 3)) & (check_digit(F.substring(raw, 2, 10)) == F.substring(raw, 12, 1))
+    return F.coalesce(sound, F.lit(False))
 
 
 def problem_codes(text: Column) -> Column:
-    """Known problem codes of a text: those after a keyword first, then bare ones, each once."""
+    """Known problem codes of a text, each once: those behind a head word, by the order of heads, then bare ones.
+
+    One scan finds every number with the word before it and what clings to its end.
+    """
+    scan = F.lit(r"(?i)(?:\b(problem cluster|\p{L}+)[:\s]+)?(?<![\w])(\d(?:\.\d+){1,2})(\w?)")
+    word, code, tail = (F.regexp_extract_all(text, scan, F.lit(k)) for k in (1, 2, 3))
+    heads = F.array(*[F.lit(h) for h in PROBLEM_HEADS])
     known = F.array(*[F.lit(c) for c in PROBLEMS])
-    keyed = [F.regexp_extract_all(text, F.lit(rf"(?i){word}[:\s]+(\d(?:\.\d+){{1,2}})"), F.lit(1)) for word in ("Problem Cluster", "Kendala", "Cluster", "Masalah")]
-    bare = F.regexp_extract_all(text, F.lit(r"\b(\d(?:\.\d+){1,2})\b"), F.lit(1))
-    found = F.concat(*keyed, bare)
-    return F.coalesce(F.array_distinct(F.filter(found, lambda c: F.array_contains(known, c))), F.array().cast("array<string>"))
+    rows = F.transform(F.arrays_zip(word.alias("word"), code.alias("code"), tail.alias("tail")), lambda r, k: F.struct(F.array_position(heads, F.lower(r["word"])).alias("head"), k.alias("at"), r["code"].alias("code"), r["tail"].alias("tail")))
+    rows = F.filter(rows, lambda r: F.array_contains(known, r["code"]) & ((r["head"] > 0) | (r["tail"] == "")))
+    ranked = F.transform(rows, lambda r: F.struct(F.when(r["head"] > 0, r["head"]).otherwise(len(PROBLEM_HEADS) + 1).alias("rank"), r["at"], r["code"]))
+    found = F.array_distinct(F.transform(F.array_sort(ranked), lambda r: r["code"]))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def match_confidence(name: Column, term: str) -> Column:

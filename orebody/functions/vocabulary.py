@@ -10,12 +10,21 @@ from pyspark.sql import types as T
 LOW, MIDDLE, HIGH = "1. Low Value", "2. Middle Value", "3. High Value"
 CLASSES = {
     "reserves": "1. Reserves & GRR",
+    "cadangan": "1. Reserves & GRR",
     "grr": "1. Reserves & GRR",
     "contingent": "2. Contingent Resources",
+    "kontingen": "2. Contingent Resources",
     "prospective": "3. Prospective Resources",
+    "prospektif": "3. Prospective Resources",
     "abandoned": "4. Abandoned",
 }
-STAGES = {"exploitation": "1. Exploitation", "exploration": "2. Exploration", "abandoned": "3. Abandoned"}
+#: Words of a question that ask for a stage, as the derived column spells it.
+STAGES = {
+    "Exploration": ("eksplorasi", "exploration", "explorasi"),
+    "Exploitation": ("eksploitasi", "exploitation", "pengembangan", "development"),
+}
+#: Long names of units.
+UNIT_NAMES = {"MSTB": "Thousand Stock Tank Barrels", "BSCF": "Billion Standard Cubic Feet", "MBOE": "Thousand Barrels Oil Equivalent"}
 SUBSTANCES = ("oil", "con", "ga", "gn", "oc", "an")
 #: Texts that stand for no remark.
 EMPTY_REMARKS = ("", "-", "null", "none", "n/a", "na")
@@ -138,3 +147,43 @@ PROBLEMS = {
     "4.2": "Social Problems",
     "4.3": "Local Customs",
 }
+
+#: Words that announce a code, in the order in which codes are reported.
+PROBLEM_HEADS = ("problem cluster", "kendala", "cluster", "masalah")
+#: Categories of codes by how the codes begin.
+PROBLEM_CATEGORIES = {
+    "1.1": "Technical > Subsurface",
+    "1.2": "Technical > Non Subsurface",
+    "2": "Economics",
+    "3.1": "Legal > Law and Regulations",
+    "3.2": "Legal > T&C Contracts",
+    "4": "Social and Environment",
+}
+#: Words by which a code is searched.
+PROBLEM_WORDS = {
+    "1.1.1": ("fluid contact", "reservoir properties", "carbonate", "uncertainty", "tidak terdefinisi"),
+    "1.1.2": ("data", "tidak tersedia", "seismik", "well test", "core"),
+    "1.1.3": ("teknologi", "tidak tersedia", "EOR", "surfactant", "horizontal well"),
+    "1.1.4": ("well performance", "laju alir", "permeabilitas", "skin factor"),
+    "1.2.1": ("workover", "well service", "acidizing", "hydraulic fracturing", "skin"),
+    "1.2.2": ("fasilitas", "facility", "treatment", "CO2", "production facilities"),
+    "1.2.3": ("flow assurance", "hydrate", "wax", "heater", "H2S", "solvent"),
+    "2.1": ("marginal", "fiscal term", "perpajakan", "ekonomi", "tidak menarik"),
+    "2.2": ("uneconomic", "NPV", "negatif", "tidak ekonomis", "investasi besar"),
+    "2.3": ("portfolio", "prioritas", "pinjaman", "lender", "investasi"),
+    "2.4": ("market", "buyer", "tidak tersedia", "penyerapan"),
+    "2.5": ("transportasi", "transmisi", "pipeline", "lokasi", "jauh"),
+    "3.1.1": ("regulasi", "aturan", "konservasi", "tumpang tindih", "pemerintah"),
+    "3.1.2": ("AMDAL", "izin lingkungan", "persetujuan"),
+    "3.1.3": ("permit", "izin", "beroperasi", "latihan militer"),
+    "3.1.4": ("geopolitik", "perbatasan", "perselisihan", "negara"),
+    "3.2.1": ("PSC", "batasan kontrak", "durasi", "kontrak"),
+    "3.2.2": ("sales agreement", "ketidaksepakatan", "T&C", "kontrak jual beli"),
+    "4.1": ("land acquisition", "pengadaan lahan", "penolakan", "harga tanah"),
+    "4.2": ("social", "masyarakat", "konflik", "penolakan", "gejolak sosial"),
+    "4.3": ("customs", "adat", "tanah adat", "kepala adat", "persetujuan adat"),
+}
+
+
+def problem_category(code: str) -> str:
+    return next(name for start, name in PROBLEM_CATEGORIES.items() if code == start or code.startswith(start + "."))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.functions.vocabulary import uncertainty
+from orebody.functions.vocabulary import CLASSES, uncertainty
 
 
 def level_sum(column: str, name: str, level: str = "uncert_level") -> Column:
@@ -69,18 +69,57 @@ def potential(df: DataFrame, recoverable: str, reserves: str, name: str = "poten
     return df.withColumn(name, F.col(recoverable) - F.col(reserves))
 
 
+def concept_total(df: DataFrame, columns: tuple[str, str], place: tuple[str, str] | None = None, level: str | None = None, kind: str | None = None, year: str = "report_year") -> DataFrame:
+    """(oil_condensate, gas) of the latest year: the sums of a concept's two columns.
+
+    place: a column and a part of its text; level: ``1P`` .. ``3U`` or a name of one;
+    kind: a word for a project class.
+    """
+    rows = df.where(F.col(year) == df.agg(F.max(year).alias("y")).first()["y"])  # one row
+    if place is not None:
+        rows = rows.where(F.col(place[0]).contains(place[1]))
+    if level is not None:
+        rows = rows.where(F.col("uncert_level") == uncertainty(level).level)
+    if kind is not None:
+        rows = rows.where(F.col("project_class") == CLASSES[kind.lower()])
+    return rows.agg(F.sum(columns[0]).alias("oil_condensate"), F.sum(columns[1]).alias("gas"))
+
+
 def top(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     """The n largest keys by the sum of a value; equal ones by key."""
     return df.groupBy(*keys).agg(F.sum(value).alias(value)).orderBy(F.col(value).desc(), *keys).limit(n)
 
 
+#: Ranges of time into which an as-of join cuts every key.
+TIME_RANGES = 256
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """Each left row with the value of the last right row at or before its time, without a range join."""
+    """Each left row with the value of the last right row at or before its time, without a range join.
+
+    Time is cut into equal ranges, so that one key is many groups; what a range begins with
+    is the last value of the ranges before it, one row for each key and range.
+    """
     from pyspark.sql import Window
 
-    both = left.withColumn("__t", F.col(left_time)).withColumn("__v", F.lit(None)).withColumn("__left", F.lit(True)).unionByName(
-        right.select(*keys, F.col(right_time).alias("__t"), F.col(value).alias("__v")).withColumn("__left", F.lit(False)), allowMissingColumns=True
-    )
-    before = Window.partitionBy(*keys).orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn(value, F.last("__v", ignorenulls=True).over(before))
-    return found.where("__left").drop("__t", "__v", "__left")
+    def number(column: str) -> Column:
+        return F.col(column).cast("timestamp").cast("double") if "timestamp" in dict(left.dtypes).get(left_time, "") else F.col(column).cast("double")
+
+    known = right.select(*keys, F.col(right_time).alias("__t"), number(right_time).alias("__at"), F.col(value).alias("__v")).where("__at IS NOT NULL")
+    ends = known.agg(F.min("__at").alias("a"), F.max("__at").alias("b")).first()  # one row
+    start, width = ends["a"] or 0.0, max(((ends["b"] or 0.0) - (ends["a"] or 0.0)) / TIME_RANGES, 1e-9)
+    part = F.floor((F.col("__at") - F.lit(start)) / F.lit(width))
+    part = F.greatest(F.lit(-1), F.least(F.lit(TIME_RANGES), part)).cast("int")
+    known = known.withColumn("__part", part)
+    asked = left.withColumn("__at", number(left_time)).withColumn("__part", part)
+    # the last value of a range, and what each later range with rows begins with
+    last = known.where("__v IS NOT NULL").groupBy(*keys, "__part").agg(F.max_by("__v", "__t").alias("__carry"))
+    slots = last.unionByName(asked.select(*keys, "__part").distinct().withColumn("__carry", F.lit(None)))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
+    carried = slots.withColumn("__before", F.last("__carry", ignorenulls=True).over(earlier)).groupBy(*keys, "__part").agg(F.first("__before").alias("__before"))
+    both = asked.withColumn("__t", F.col(left_time)).withColumn("__v", F.lit(None)).withColumn("__left", F.lit(True)).unionByName(known.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "__part").orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__own", F.last("__v", ignorenulls=True).over(before)).where("__left")
+    renamed = carried.select(*[F.col(k).alias(f"__{k}_") for k in (*keys, "__part")], "__before")
+    joined = found.join(renamed, F.expr(" AND ".join(f"`{k}` <=> `__{k}_`" for k in (*keys, "__part"))), "left")
+    return joined.select(*left.columns, F.when(F.col("__at").isNotNull(), F.coalesce("__own", "__before")).alias(value))

@@ -1,7 +1,8 @@
-"""What a table of questions asks for: year, substance, level and class; candidates for one literal term.
+"""What a table of questions asks for: year, substance, level, class, stage and names.
 
-Everything is an expression over the text, so a million questions are resolved like one.
-Words count where they stand alone.  Names of a table of names are not looked for.
+What closed words say is an expression over the text; names are found by an equi-join of a
+question's runs of words with a table of names.  A million questions are resolved like one.
+Words count where they stand alone.
 """
 
 from __future__ import annotations
@@ -10,27 +11,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebody.functions.expressions import match_confidence
-from orebody.functions.vocabulary import CLASSES, HIGH, LOW, MIDDLE
+from orebody.functions.vocabulary import CLASSES, HIGH, LOW, MIDDLE, STAGES
 
 #: Words of a question and what they stand for.
 OIL_WORDS = ("minyak", "oil", "crude", "petroleum", "mentah", "kondensat", "condensate")
 GAS_WORDS = ("gas", "asso", "non-asso", "associated", "non-associated", "bscfd", "mmscfd")
-LEVEL_WORDS = {LOW: ("1p", "1r", "1c", "1u", "low", "p90", "proven"), MIDDLE: ("2p", "2r", "2c", "2u", "mid", "middle", "p50"), HIGH: ("3p", "3r", "3c", "3u", "high", "p10")}
+LEVEL_WORDS = {
+    LOW: ("1p", "1r", "1c", "1u", "low", "p90", "proven", "terbukti"),
+    MIDDLE: ("2p", "2r", "2c", "2u", "mid", "middle", "p50", "probable", "mungkin"),
+    HIGH: ("3p", "3r", "3c", "3u", "high", "p10", "possible", "harapan"),
+}
+#: Words by which a question asks for a series instead of a snapshot.
+SERIES_WORDS = ("produksi", "forecast", "profil", "rate")
+#: Kinds of names, most specific first: the table of snapshots and of series, and the column that a name filters.
+NAME_KINDS = {"Field": ("field_resources", "field_timeseries", "field_name"), "WorkingArea": ("wa_resources", "wa_timeseries", "wk_name"), "Operator": ("project_resources", "project_resources", "operator_name")}
 
 
 def has_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(" + "|".join(words) + r")(?![\p{L}\p{N}])")
 
 
+#: Words that announce a year.
+YEAR_WORDS = ("tahun", "year")
+
+
 def asked_year(text: Column) -> Column:
-    """A year from 2000 to 2100: after a word for year first, else one that stands alone, else two digits after the word."""
-    low = F.lower(F.trim(text))
-    found = [F.regexp_extract(low, p, 1) for p in (r"tahun\s*(\d{4})", r"year\s*(\d{4})", r"(?:^|\s)(\d{4})(?:\s|$)", r"tahun\s*(\d{2})(?!\d)")]
-    out = F.lit(None).cast("int")
-    for k in reversed(range(len(found))):
-        year = found[k].try_cast("int") + (2000 if k == 3 else 0)
-        out = F.when((found[k] != "") & year.between(2000, 2100), year).otherwise(out)
-    return out
+    """The year from 2000 to 2100 that a text asks for.
+
+    Words are read with the one before them.  A word for year makes the four digits that
+    begin the next word a year; else a word of four digits is one; else two digits behind
+    the first of the year words are one of this century.
+    """
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), f"({'|'.join(YEAR_WORDS)})", " $1 ")), "\\s+")
+    pairs = F.arrays_zip(F.concat(F.array(F.lit("")), words).alias("before"), F.concat(words, F.array(F.lit(""))).alias("word"))
+
+    def first(test, digits: int) -> Column:
+        found = F.try_element_at(F.filter(pairs, test), F.lit(1))["word"]
+        return F.substring(found, 1, digits).try_cast("int")
+
+    def behind(head: str, pattern: str):
+        return lambda p: (p["before"] == head) & p["word"].rlike(pattern)
+
+    readings = [first(behind(w, "^[0-9]{4}"), 4) for w in YEAR_WORDS]
+    readings.append(first(lambda p: p["word"].rlike("^[0-9]{4}$"), 4))
+    readings.append(first(behind(YEAR_WORDS[0], "^[0-9]{2}([^0-9]|$)"), 2) + 2000)
+    return F.coalesce(*[F.when(y.between(2000, 2100), y) for y in readings])
 
 
 def asked_substance(text: Column) -> Column:
@@ -51,6 +76,85 @@ def asked_class(text: Column) -> Column:
     return out
 
 
+def asked_stage(text: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for stage, words in reversed(STAGES.items()):
+        out = F.when(has_word(text, words), stage).otherwise(out)
+    return out
+
+
+def named(questions: DataFrame, key: str, text: str, names: DataFrame, longest: int = 4) -> DataFrame:
+    """(key, kind, name) of the names (kind, name) that stand in each question as whole words, case aside.
+
+    Every run of up to ``longest`` words is a key of the join; a name of more words is not found.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r'[\s,.;:!?"()]+'), lambda w: w != "")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("__words", i, n), " "))))
+    asked = questions.select(key, words.alias("__words")).where(F.size("__words") > 0)
+    asked = asked.select(key, F.explode(F.array_distinct(runs)).alias("__run"))
+    return asked.join(names.select(F.lower("name").alias("__run"), "kind", "name").distinct(), "__run").select(key, "kind", "name").distinct()
+
+
+def resolve_names(questions: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, status, kind, name, suggested_table, filter_column) of every question.
+
+    Of the names found those of the most specific kind count, and of these the longest.
+    status: ``success`` for one name, ``ambiguous`` for several as long, ``failed`` for none.
+    """
+    kinds = F.array(*[F.lit(k) for k in NAME_KINDS])
+    rank = F.struct(F.array_position(kinds, F.col("kind")).alias("order"), (-F.size(F.split("name", " "))).alias("words"))
+    found = named(questions, key, text, names).withColumn("rank", rank)
+    # a question's own names, no more than it has runs of words
+    best = found.groupBy(key).agg(F.min("rank").alias("best"), F.collect_list(F.struct("rank", "kind", "name")).alias("all"))
+    top = F.array_sort(F.transform(F.filter("all", lambda r: r["rank"] == F.col("best")), lambda r: F.struct(r["name"], r["kind"])))
+    best = best.select(key, top.alias("top"))
+    joined = questions.select(key, has_word(F.col(text), SERIES_WORDS).alias("__series")).join(best, key, "left")
+    one = F.size("top") == 1
+    kind, name = F.when(one, F.col("top")[0]["kind"]), F.when(one, F.col("top")[0]["name"])
+    table = F.lit(None).cast("string")
+    column = F.lit(None).cast("string")
+    for k, (snapshot, series, filter_column) in NAME_KINDS.items():
+        table = F.when(kind == k, F.when(F.col("__series"), series).otherwise(snapshot)).otherwise(table)
+        column = F.when(kind == k, filter_column).otherwise(column)
+    status = F.when(F.col("top").isNull(), "failed").when(one, "success").otherwise("ambiguous")
+    return joined.select(key, status.alias("status"), kind.alias("kind"), name.alias("name"), F.coalesce(table, F.lit("project_resources")).alias("suggested_table"), column.alias("filter_column"))
+
+
+def entity_filter(df: DataFrame, entities: dict[str, object]) -> Column:
+    """Equality with each entity that is given; a column that the table lacks is an error.
+
+    Entities: year, level, class, field, working_area, operator.
+    """
+    at = {"year": "report_year", "level": "uncert_level", "class": "project_class", "field": "field_name", "working_area": "wk_name", "operator": "operator_name"}
+    unknown = [e for e in entities if e not in at or at[e] not in df.columns]
+    if unknown:
+        raise ValueError(f"nothing to filter by for {unknown}")
+    out = F.lit(True)
+    for entity, value in entities.items():
+        if value is not None:
+            out = out & (F.col(at[entity]) == F.lit(value))
+    return out
+
+
+def rows_asked_for(asked: DataFrame, key: str, df: DataFrame) -> DataFrame:
+    """(key, the columns of ``df``) of the rows that each resolved question (key, name, filter_column, year, level, class) asks for.
+
+    Questions are joined with the table on the name that they filter by, kind by kind; year,
+    level and class hold where the question has one.  A question without a name asks for nothing.
+    """
+    out = None
+    for _, _, column in NAME_KINDS.values():
+        if column not in df.columns:
+            continue
+        own = asked.where(F.col("filter_column") == column).select(F.col(key).alias("__key"), F.col("name").alias("__name"), F.col("year").alias("__year"), F.col("level").alias("__level"), F.col("class").alias("__class"))
+        hit = own.join(df, F.col("__name") == df[column])
+        for given, name in (("__year", "report_year"), ("__level", "uncert_level"), ("__class", "project_class")):
+            hit = hit.where(F.col(given).isNull() | (F.col(given) == F.col(name)))
+        hit = hit.select(F.col("__key").alias(key), *[F.col(c) for c in df.columns])
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
 def candidates(names: DataFrame, key: str, name: str, term: str, limit: int = 10) -> DataFrame:
     """(key, name, confidence) of the names that hold a term, surest first."""
     found = names.where(F.lower(F.col(name)).contains(term.lower())).select(key, name, match_confidence(F.col(name), term).alias("confidence"))
@@ -58,6 +162,6 @@ def candidates(names: DataFrame, key: str, name: str, term: str, limit: int = 10
 
 
 def resolve(questions: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, year, substance, level, class) of each question."""
+    """(key, year, substance, level, class, stage) of each question."""
     t = F.col(text)
-    return questions.select(key, asked_year(t).alias("year"), asked_substance(t).alias("substance"), asked_level(t).alias("level"), asked_class(t).alias("class"))
+    return questions.select(key, asked_year(t).alias("year"), asked_substance(t).alias("substance"), asked_level(t).alias("level"), asked_class(t).alias("class"), asked_stage(t).alias("stage"))

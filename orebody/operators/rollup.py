@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orebody.functions.expressions import guarded_ratio
+from orebody.functions.vocabulary import SERIES_SUMS, SNAPSHOT_SUMS
 
 
 @dataclass(frozen=True)
@@ -21,17 +22,23 @@ class Level:
     greatest: tuple[str, ...] = ()
     sums: tuple[str, ...] = ()
     means: tuple[str, ...] = ()
+    averages: dict[str, str] = field(default_factory=dict)  # name -> column that is averaged under that name
     counts: dict[str, str] = field(default_factory=dict)  # name -> column that is neither null nor ''
+    totals: dict[str, str] = field(default_factory=dict)  # name -> column that is summed under that name
     rows: str | None = None
     ratios: dict[str, tuple[str, str]] = field(default_factory=dict)  # name -> over, under (expressions in sums)
     remarks: dict[str, tuple[str, str]] = field(default_factory=dict)  # name -> label, text
+    between: str = "\n"  # what stands between joined remarks
 
 
-def joined_remarks(label: Column, text: Column, order: Column) -> Column:
-    """One row's own text; of several, ``label: text`` lines in order, or '' where the first text is empty."""
+def joined_remarks(label: Column, text: Column, order: Column, between: str = "\n") -> Column:
+    """One row's own text; of several, ``label: text`` in order, or '' where the first text is empty.
+
+    The result holds all texts of its group in one cell, which is what is asked for.
+    """
     rows = F.array_sort(F.collect_list(F.struct(order.alias("k"), label.alias("label"), text.alias("text"))))
     named = F.filter(rows, lambda r: r["text"].isNotNull() & r["label"].isNotNull())
-    lines = F.array_join(F.transform(named, lambda r: F.concat(r["label"], F.lit(": "), r["text"])), "\n")
+    lines = F.array_join(F.transform(named, lambda r: F.concat(r["label"], F.lit(": "), r["text"])), between)
     first = F.try_element_at(F.filter(rows, lambda r: r["text"].isNotNull()), F.lit(1))["text"]
     return F.when(F.count("*") > 1, F.when(F.coalesce(first, F.lit("")) == "", "").otherwise(lines)).otherwise(first)
 
@@ -41,15 +48,103 @@ def roll_up(df: DataFrame, level: Level, order: str | None = None) -> DataFrame:
     parts: list[Column] = []
     parts += [F.min(c).alias(c) for c in level.least]
     parts += [F.max(c).alias(c) for c in level.greatest]
-    parts += [F.count(F.nullif(F.col(c), F.lit(""))).alias(name) for name, c in level.counts.items()]
+    parts += [F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(name) for name, c in level.counts.items()]
     parts += [F.count("*").alias(level.rows)] if level.rows else []
-    parts += [joined_remarks(F.col(a), F.col(b), F.col(order or a)).alias(name) for name, (a, b) in level.remarks.items()]
+    place = F.struct(*[F.col(c) for c in order.split(",")]) if order else None
+    parts += [joined_remarks(F.col(a), F.col(b), F.col(a) if place is None else place, level.between).alias(name) for name, (a, b) in level.remarks.items()]
+    parts += [F.sum(c).alias(name) for name, c in level.totals.items()]
     parts += [F.sum(c).alias(c) for c in level.sums]
     parts += [F.avg(c).alias(c) for c in level.means]
+    parts += [F.avg(c).alias(name) for name, c in level.averages.items()]
     parts += [guarded_ratio(F.sum(F.expr(over)), F.sum(F.expr(under))).alias(name) for name, (over, under) in level.ratios.items()]
     return df.groupBy(*level.keys).agg(*parts)
 
 
+def _recovery(oil: str, gas: str) -> dict[str, tuple[str, str]]:
+    """Recovery factors: what is sold, and sold with what is left, over the volumes in place."""
+    out = {"rf_oil": ("cprd_sls_oil", oil), "rf_gas": ("cprd_sls_gn", gas)}
+    for kind in ("rec", "res"):
+        out |= {f"urf_{kind}_oil": (f"cprd_sls_oil + {kind}_oil", oil), f"urf_{kind}_gas": (f"cprd_sls_gn + {kind}_gn", gas)}
+    return out
+
+
+#: Columns that say the same for all rows of a work area, and of a field.
+AREA_FACTS = ("report_date", "report_status", "wk_id", "wk_name", "wk_lat", "wk_long", "wk_area_ori", "wk_area_latest", "wk_subgroup", "psc_eff_start", "psc_eff_end", "operator_group", "operator_name", "onstream_year", "onstream_actual", "project_level", "prod_stage")
+FIELD_FACTS = ("basin86_id", "basin86", "basin128_id", "basin128", "prov_id", "province", "field_name", "field_lat", "field_long", "field_area", "is_unitization")
+SERIES_AREA_FACTS = ("report_date", "report_status", "wk_name", "wk_lat", "wk_long", "wk_area", "wk_subgroup", "psc_eff_start", "psc_eff_end", "operator_group", "operator_name", "prod_stage", "onstream_year", "onstream_actual")
+SERIES_FIELD_FACTS = ("basin86_id", "basin128", "province", "field_name", "field_lat", "field_long")
+#: Flags that are counted, and the names of the counts.
+ACTIVE = {"project_active_count": "project_isactive", "groovy_count": "groovy_isactive", "fusion_count": "fusion_isactive"}
+
+
+def _without(columns: tuple[str, ...], keys: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(c for c in columns if c not in keys)
+
+
+def resource_levels() -> tuple[Level, Level, Level]:
+    """Field, work area and nation of the whole snapshot schema: all measures, counts, factors and remarks."""
+    volumes = tuple(c for c in SNAPSHOT_SUMS if c not in ("prj_ioip", "prj_igip"))
+    keys = ("report_year", "wk_id", "field_id", "project_stage", "project_class", "uncert_level")
+    field_ = Level(
+        keys,
+        least=_without((*AREA_FACTS, *FIELD_FACTS), keys),
+        greatest=("is_offshore", "is_discovered"),
+        sums=volumes,
+        counts={"pod_count": "pod_name"},
+        totals={"ioip": "prj_ioip", "igip": "prj_igip"} | ACTIVE,
+        rows="project_count",
+        ratios=_recovery("prj_ioip", "prj_igip"),
+        remarks={"field_remarks": ("project_name", "project_remarks"), "field_vol_remarks": ("project_name", "vol_remarks")},
+    )
+    keys = ("report_year", "wk_name", "project_stage", "project_class", "uncert_level")
+    counts = ("pod_count", "project_count", *ACTIVE)
+    area = Level(
+        keys,
+        least=_without(AREA_FACTS, keys),
+        greatest=("is_offshore", "is_discovered"),
+        sums=(*volumes, "ioip", "igip", *counts),
+        totals={"unitisasi_count": "is_unitization"},
+        rows="field_count",
+        ratios=_recovery("ioip", "igip"),
+        remarks={"wa_remarks": ("field_name", "field_remarks"), "wa_vol_remarks": ("field_name", "field_vol_remarks")},
+        between="\n\n",
+    )
+    nation = Level(
+        ("report_year", "project_stage", "project_class", "uncert_level"),
+        least=("report_status",),
+        greatest=("is_discovered",),
+        sums=(*volumes, "ioip", "igip", *counts, "field_count", "unitisasi_count"),
+        counts={"wa_count": "wk_id"},
+    )
+    return field_, area, nation
+
+
+def forecast_levels() -> tuple[Level, Level, Level]:
+    """Field, work area and nation of the whole series schema; heating values are averages of averages."""
+    keys = ("report_year", "wk_id", "field_id", "project_class", "project_level", "year")
+    own = tuple(dict.fromkeys(SERIES_SUMS))
+    field_ = Level(keys, least=_without((*SERIES_AREA_FACTS, *SERIES_FIELD_FACTS), keys), greatest=("is_offshore",), sums=own, totals={"active_project_count": "project_isactive"}, averages={"ghv_avg": "ghv"}, rows="project_count")
+    counts = ("project_count", "active_project_count")
+    area = Level(("report_year", "wk_id", "project_class", "project_level", "year"), least=SERIES_AREA_FACTS, greatest=("is_offshore",), sums=(*own, *counts), means=("ghv_avg",), rows="field_count")
+    nation = Level(("report_year", "project_class", "project_level", "year"), least=("report_status", "prod_stage"), sums=(*own, *counts, "field_count"), means=("ghv_avg",), rows="wa_count")
+    return field_, area, nation
+
+
+def resources(df: DataFrame, up_to: int = 3) -> list[DataFrame]:
+    """Field, work area and national resources of snapshot rows, each from the one below it."""
+    orders = ("project_name,project_id", "field_name,field_id", None)
+    out: list[DataFrame] = []
+    for level, order in list(zip(resource_levels(), orders))[:up_to]:
+        df = roll_up(df, level, order)
+        out.append(df)
+    return out
+
+
+def forecasts(df: DataFrame, up_to: int = 3) -> list[DataFrame]:
+    """Field, work area and national series, each from the one below it."""
+    return stack(df, forecast_levels()[:up_to])
+
+
 def snapshot_levels(sums: tuple[str, ...]) -> tuple[Level, Level, Level]:
     """Field, work area and nation of a snapshot; a work area is known by its name."""
     field_ = Level(("report_year", "wk_id", "field_id", "project_stage", "project_class", "uncert_level"), ("wk_name", "field_name"), ("is_discovered",), sums, counts={"pod_count": "pod_name"}, rows="project_count")

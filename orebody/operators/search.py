@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orebody.functions.expressions import cosine, problem_codes
-from orebody.functions.vocabulary import PROBLEMS
+from orebody.functions.expressions import contains_text, cosine, problem_codes
+from orebody.functions.vocabulary import PROBLEM_WORDS, PROBLEMS, problem_category
+from orebody.sources.files import upsert
 from orebody.sources.scratch import settle
 
 #: Accented letters and their plain ones.
@@ -28,10 +30,12 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> DataFrame:
     """(key, score) of the k best documents; documents without a term have no row.
 
+    Query terms are folded like the texts, and cut where the texts are.
+
     One pass counts the query's terms in each document, so nothing is exploded: a few
     numbers a document, one row of corpus statistics beside them.
     """
-    terms = list(dict.fromkeys(w.lower() for w in query))
+    terms = list(dict.fromkeys(w for text_ in query for w in re.findall("[a-z0-9]+", text_.lower().translate(str.maketrans(*ACCENTS)))))
     plain = docs.select(F.col(key), F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS).alias("__plain"))
 
     def count_of(term: str) -> Column:
@@ -46,6 +50,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> Data
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    if not terms:
+        return counted.select(key, score.alias("score")).limit(0)
     any_term = F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0
     # the statistics are a single row
     scored = counted.where(any_term).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
@@ -69,11 +75,70 @@ def code_histogram(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return code_rows(df, key, columns).groupBy("code").agg(F.count("*").alias("n"))
 
 
-def snippet(text: Column, code: str, around: int = 50) -> Column:
+def snippet(text: Column, code: Column, around: int = 50) -> Column:
     """A code with up to ``around`` characters on either side."""
-    at = F.instr(text, code)
+    at = F.position(code, text)
     start = F.greatest(F.lit(1), at - around)
-    return F.when(at > 0, F.trim(F.substring(text, start, at - start + len(code) + around)))
+    return F.when(at > 0, F.trim(F.substring(text, start, at - start + F.length(code) + around)))
+
+
+def code_table(spark: SparkSession) -> DataFrame:
+    """(code, name, category, words) of the problem codes."""
+    rows = [(code, name, problem_category(code), list(PROBLEM_WORDS[code])) for code, name in PROBLEMS.items()]
+    return spark.createDataFrame(rows, "code string, name string, category string, words array<string>")
+
+
+def code_search(asked: DataFrame, key: str, text: str, limit: int = 3) -> DataFrame:
+    """(key, code, name, score) of the ``limit`` best codes for each asked text; equal scores by code.
+
+    100 for the code itself, 90 for a part of it, 50 more for a name and 30 more for a
+    word that holds the text, case aside.  The codes are a fixed table beside each row.
+    """
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(n).alias("name"), F.array(*[F.lit(w.lower()) for w in PROBLEM_WORDS[c]]).alias("words")) for c, n in PROBLEMS.items()])
+    whole = F.col(text)
+    low = F.trim(F.lower(whole))
+
+    def score(c: Column) -> Column:
+        by_code = F.when(c["code"] == whole, 100).when(F.contains(c["code"], whole), 90).otherwise(0)
+        by_name = F.when(F.contains(F.lower(c["name"]), low), 50).otherwise(0)
+        by_word = F.when(F.exists(c["words"], lambda w: F.contains(w, low)), 30).otherwise(0)
+        return by_code + by_name + by_word
+
+    scored = F.transform(codes, lambda c: F.struct((-score(c)).alias("less"), c["code"].alias("code"), c["name"].alias("name")))
+    best = F.slice(F.array_sort(F.filter(scored, lambda r: r["less"] < 0)), 1, limit)
+    found = asked.where(whole.isNotNull()).select(key, F.explode(best).alias("r"))
+    return found.select(key, "r.code", "r.name", (-F.col("r.less")).alias("score"))
+
+
+def codes_in_category(spark: SparkSession, category: str) -> DataFrame:
+    """(code, name, category, words) of the codes whose category holds a text, case aside."""
+    return code_table(spark).where(contains_text(F.col("category"), category))
+
+
+#: Columns that a contextual filter may name, each a part of the text in it.
+CONTEXT = ("field_name", "pod_name", "wk_name", "province", "basin128", "project_class", "project_stage", "project_level", "operator_name", "operator_group", "wk_subgroup", "wk_regionisasi_ngi", "wk_area_perwakilan_skkmigas")
+
+
+def contextual(df: DataFrame, filters: dict[str, object]) -> Column:
+    """All of the filters at once: report_year by equality, the columns of CONTEXT by a part of their text."""
+    unknown = [c for c in filters if c not in (*CONTEXT, "report_year") or c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such filter: {unknown}")
+    out = F.lit(True)
+    for name, value in filters.items():
+        out = out & (F.col(name) == F.lit(value) if name == "report_year" else contains_text(F.col(name), str(value)))
+    return out
+
+
+def refresh_embeddings(kept: DataFrame | None, docs: DataFrame, keys: list[str], text: str, order: list[str], embed: Callable[[pd.Series], np.ndarray]) -> DataFrame:
+    """The table of embeddings after ``docs``: one vector for each key, new ones in place of old ones.
+
+    Of rows that repeat a key the first by ``order`` is embedded; rows without a text are not.
+    """
+    first = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    once = docs.where(F.length(text) > 0).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    fresh = embed_column(once, text, "embedding", embed)
+    return fresh if kept is None else upsert(kept, fresh, keys, order)
 
 
 def top_similar(vectors: DataFrame, key: str, column: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -91,8 +156,8 @@ def hashing_embedder(size: int) -> Callable[[pd.Series], np.ndarray]:
         out = np.zeros((len(texts), size), np.float32)
         for i, text in enumerate(texts):
             for word in (text or "").lower().split():
-                code = int.from_bytes(word.encode()[:16].ljust(16, b"\0"), "little") * 0x9E3779B97F4A7C15 >> 17
-                out[i, code % size] += 1 if code >> 40 & 1 else -1
+                code = zlib.crc32(word.encode())
+                out[i, code % size] += 1 if code >> 31 else -1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return embed

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from math import cos, pi, radians
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.functions.expressions import EARTH_KM, ellipsoid_km, haversine_km
+from orebody.functions.expressions import EARTH_KM, contains_text, ellipsoid_km, haversine_km
 from orebody.operators.components import components
+from orebody.operators.running import running
 from orebody.sources.scratch import settle
 
 KM_PER_DEGREE = EARTH_KM * pi / 180
@@ -80,14 +81,92 @@ def near_each(references: DataFrame, points: DataFrame, radius_km: float) -> Dat
     return both.join(references.select(F.col("id").alias("ref_id")), "ref_id", "left_semi")
 
 
+#: Named points that pair statistics take at most: all their pairs are asked for.
+MAX_NAMED = 1000
+
+
 def pair_statistics(points: DataFrame) -> DataFrame:
-    """Mean, least, greatest and number of the distances of all pairs of a named few points."""
-    a, b = points.select("id", "lat", "long"), points.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
+    """Mean, least, greatest and number of the distances of all pairs of a named few points; more than MAX_NAMED are an error."""
+    few = points.select("id", "lat", "long").limit(MAX_NAMED + 1)
+    if few.count() > MAX_NAMED:
+        raise ValueError(f"more than {MAX_NAMED} points: ask for pairs within a radius")
+    a, b = few, few.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
     km = haversine_km(F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
-    pairs = a.join(b, F.col("id") < F.col("id_b")).select(km.alias("km"))
+    pairs = a.join(F.broadcast(b), F.col("id") < F.col("id_b")).select(km.alias("km"))
     return pairs.agg(F.avg("km").alias("avg_km"), F.min("km").alias("min_km"), F.max("km").alias("max_km"), F.count("*").alias("n_pairs"))
 
 
+def place_named(points: DataFrame, name: str, area: str | None = None) -> DataFrame:
+    """The one point (id, name, wk_name, lat, long) that a name means: the name itself first, then the first that holds it, by name and id."""
+    found = points.where(contains_text(F.col("name"), name) & F.col("lat").isNotNull() & F.col("long").isNotNull())
+    if area:
+        found = found.where(contains_text(F.col("wk_name"), area))
+    exact = F.when(F.lower("name") == name.lower(), 0).otherwise(1)
+    return found.orderBy(exact, "name", "id").limit(1)
+
+
+def distance_between(points: DataFrame, start: str, end: str, area: str | None = None) -> DataFrame:
+    """(from_name, to_name, distance_km) on the sphere between two named points; no row where either is missing."""
+    a = place_named(points, start, area).select(F.col("name").alias("from_name"), F.col("lat").alias("lat_a"), F.col("long").alias("long_a"))
+    b = place_named(points, end, area).select(F.col("name").alias("to_name"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
+    # a row on either side at most
+    km = haversine_km(F.col("lat_a"), F.col("long_a"), F.col("lat_b"), F.col("long_b"))
+    return a.crossJoin(F.broadcast(b)).select("from_name", "to_name", F.round(km, 2).alias("distance_km"))
+
+
+def near_named(points: DataFrame, name: str, radius_km: float = 20.0, limit: int = 10, area: str | None = None, kind: str = "ellipsoid") -> DataFrame:
+    """The points around a named one, without it, nearest first; no row where the name means nothing."""
+    at = place_named(points, name, area).first()
+    if at is None:
+        return points.withColumn("km", F.lit(0.0)).limit(0)
+    around = points if not area else points.where(contains_text(F.col("wk_name"), area))
+    return within(around, at["lat"], at["long"], radius_km, limit, kind, exclude=at["id"])
+
+
+def points_in_area(points: DataFrame, area: str, limit: int = 50) -> DataFrame:
+    """(id, name, wk_name, lat, long) of the points of a work area, by name."""
+    return points.where(contains_text(F.col("wk_name"), area)).select("id", "name", "wk_name", "lat", "long").distinct().orderBy("name", "id").limit(limit)
+
+
+def area_centres(points: DataFrame) -> DataFrame:
+    """(id, name, wk_name, lat, long): each work area at the mean of its points."""
+    centres = points.where("wk_name IS NOT NULL").groupBy("wk_name").agg(F.avg("lat").alias("lat"), F.avg("long").alias("long"))
+    return centres.select(F.col("wk_name").alias("id"), F.col("wk_name").alias("name"), "wk_name", "lat", "long")
+
+
+#: Questions about places: what answers them, and the arguments that they need.
+PLACE_QUESTIONS = {
+    "near_field": (near_named, ("name",)),
+    "in_area": (points_in_area, ("area",)),
+    "distance": (distance_between, ("start", "end")),
+    "coordinates": (place_named, ("name",)),
+    "nearest": (within, ("lat", "long", "radius_km", "limit")),
+    "clusters": (lambda points, radius_km=20.0, least=2: clusters(points, radius_km, least), ()),
+    "adjacent_areas": (lambda points, area, radius_km=20.0, limit=10: near_named(area_centres(points), area, radius_km, limit), ("area",)),
+    "average_distance": (lambda points, names: pair_statistics(points.where(F.lower("name").isin(*[n.lower() for n in names]))), ("names",)),
+}
+
+
+def ask_places(points: DataFrame, question: str, **given) -> tuple[str, DataFrame | None]:
+    """(status, rows) of a question about points (id, name, wk_name, lat, long).
+
+    status: ``success``; ``no_results`` where a place is known and nothing is around it;
+    ``not_found`` where a name means no place; ``error`` for an unknown question or
+    a missing argument.
+    """
+    if question not in PLACE_QUESTIONS or any(a not in given for a in PLACE_QUESTIONS[question][1]):
+        return "error", None
+    rows = PLACE_QUESTIONS[question][0](points, **given)
+    if not rows.isEmpty():
+        return "success", rows
+    known = question in ("nearest", "clusters")
+    if question == "near_field":
+        known = not place_named(points, given["name"], given.get("area")).isEmpty()
+    elif question == "adjacent_areas":
+        known = not place_named(area_centres(points), given["area"]).isEmpty()
+    return ("no_results" if known else "not_found"), rows
+
+
 def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:
     """(id, cluster, size): density clusters; a core point has ``least`` points within the radius, itself included.
 
@@ -105,9 +184,8 @@ def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:
     border = outer.groupBy("a").agg(F.min_by("component", "b").alias("component")).select(F.col("a").alias("id"), "component")
     members = settle(cored.unionByName(border), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    # a row for each cluster
-    named = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.col("size").desc(), "component")) - 1)
-    return members.join(named, "component").select("id", "cluster", "size")
+    numbers = running(sizes, [F.col("size").desc(), F.col("component").asc()], number="cluster")
+    return members.join(numbers, "component").select("id", F.col("cluster").cast("int").alias("cluster"), "size")
 
 
 def centroids(points: DataFrame, members: DataFrame) -> DataFrame:

@@ -8,13 +8,16 @@ uncertainty levels and order years for report years.  Coordinates are a rule ove
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.functions import expressions as X
+from orebody.functions import vocabulary as V
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
-from orebody.operators import analysis, graph, resolve, rollup, search, spatial, views
+from orebody.operators import analysis, graph, ids, resolve, rollup, search, spatial, views
 from orebody.plans import sqlgate
 from orebody.streaming import events as streams
 
@@ -41,11 +44,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot rows: a project at an uncertainty level in a report year."""
     o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    level = F.when(F.col("o_orderpriority") == "1-URGENT", LOW).when(F.col("o_orderpriority") == "2-HIGH", MIDDLE).when(F.col("o_orderpriority") == "3-MEDIUM", HIGH)
+    level = F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), LOW).when(F.col("o_orderpriority").isin("2-HIGH", "4-NOT SPECIFIED"), MIDDLE).otherwise(HIGH)
     stage = F.when(F.col("o_orderstatus") == "F", "Exploitation").when(F.col("o_orderstatus") == "O", "Exploration").otherwise("Abandoned")
     # nations and regions are few by definition of the tables; customers are joined as AQE sees fit
     places = c.join(F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"])), c["c_nationkey"] == n["n_nationkey"])
-    joined = o.where(level.isNotNull()).join(places, o["o_custkey"] == c["c_custkey"])
+    joined = o.join(places, o["o_custkey"] == c["c_custkey"])
     return joined.select(
         F.year("o_orderdate").cast("int").alias("report_year"),
         F.col("n_nationkey").alias("wk_id"),
@@ -69,11 +72,10 @@ projects AS (
   SELECT year(o_orderdate)::INT AS report_year, n_nationkey AS wk_id, n_name AS wk_name, r_name AS region_name, c_custkey AS field_id, c_name AS field_name,
          o_orderkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'Exploitation' WHEN 'O' THEN 'Exploration' ELSE 'Abandoned' END AS project_stage,
          c_mktsegment AS project_class,
-         CASE o_orderpriority WHEN '1-URGENT' THEN '{LOW}' WHEN '2-HIGH' THEN '{MIDDLE}' ELSE '{HIGH}' END AS uncert_level,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '{LOW}' WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') THEN '{MIDDLE}' ELSE '{HIGH}' END AS uncert_level,
          NULLIF(o_orderstatus, 'P') AS pod_name, CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END AS is_discovered,
          o_totalprice AS rec_oc, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS res_oc
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))"""
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,10 +290,15 @@ def trend(spark, sf_dir):
     return rounded(analysis.trend(series(spark, sf_dir), ["wk_id"], "tpf_oc", 1996, 1999), tpf_oc=2)
 
 
-@query("forecast_flag", f"WITH {SERIES} SELECT year > 1998 AS is_forecast, COUNT(*) AS n FROM series GROUP BY 1")
+@query(
+    "forecast_flag",
+    f"""WITH {SERIES}, known AS (SELECT *, CASE wk_id % 4 WHEN 0 THEN NULL ELSE 1995 + wk_id % 4 END AS last_history, CASE field_id % 3 WHEN 0 THEN NULL ELSE 1996 + field_id % 3 END AS reported FROM series)
+SELECT wk_id, year, CASE WHEN year > last_history THEN TRUE WHEN year > reported THEN TRUE ELSE FALSE END AS is_forecast, COUNT(*) AS n FROM known GROUP BY ALL""",
+)
 def forecast_flag(spark, sf_dir):
-    flag = X.is_forecast(F.col("year"), F.lit(1998), F.col("report_year"))
-    return series(spark, sf_dir).groupBy(flag.alias("is_forecast")).agg(F.count("*").alias("n"))
+    wk, field = F.col("wk_id"), F.col("field_id")
+    flag = X.is_forecast(F.col("year"), F.when(wk % 4 != 0, wk % 4 + 1995), F.when(field % 3 != 0, field % 3 + 1996))
+    return series(spark, sf_dir).groupBy("wk_id", "year", flag.alias("is_forecast")).agg(F.count("*").alias("n"))
 
 
 @query("unit_daily", f"WITH {SERIES} SELECT field_id, year, ROUND(SUM(tpf_oc) * 1000 / CASE WHEN year % 4 = 0 THEN 366 ELSE 365 END, 4) AS bopd FROM series GROUP BY field_id, year")
@@ -305,9 +312,9 @@ def barrels_equivalent(spark, sf_dir):
     return s.select("wk_id", F.round(X.barrels_equivalent(F.col("oil"), F.col("gas")), 0).alias("mboe"))
 
 
-@query("sales_potential", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS potential FROM lineitem WHERE l_quantity > 49")
+@query("sales_potential", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS potential FROM lineitem")
 def sales_potential(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").where("l_quantity > 49").withColumn("sold", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    l = read(spark, sf_dir, "lineitem").withColumn("sold", F.col("l_extendedprice") * (1 - F.col("l_discount")))
     return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
 
 
@@ -317,6 +324,137 @@ def sales_potential_all(spark, sf_dir):
     return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
 
 
+# ---------------------------------------------------------------- rollups of the whole schema
+
+def _factor(column: str) -> int:
+    """A number from 1 to 9 for each measure, so that no two families add up alike."""
+    return crc32(column.encode()) % 9 + 1
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot rows with every column that the rollups read; measures are multiples of the price, with gaps."""
+    o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    places = c.join(F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"])), c["c_nationkey"] == n["n_nationkey"])
+    rows = o.join(places, o["o_custkey"] == c["c_custkey"])
+    key = F.col("o_orderkey")
+    level = F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), LOW).when(F.col("o_orderpriority").isin("2-HIGH", "4-NOT SPECIFIED"), MIDDLE).otherwise(HIGH)
+    numbers = {"wk_id": "n_nationkey", "field_id": "c_custkey % 500", "project_id": "o_orderkey", "report_year": "int(year(o_orderdate))", "wk_lat": "n_nationkey - 12.5D", "wk_long": "n_nationkey * 4.25D", "wk_area_ori": "double(n_regionkey)", "wk_area_latest": "n_regionkey + 0.5D", "field_lat": "c_custkey % 80 + 0.25D", "field_long": "c_custkey % 170 + 0.5D", "field_area": "double(c_custkey % 7)"}
+    flags = {"is_offshore": "int(c_custkey % 2)", "is_discovered": "int(if(o_orderkey % 3 = 0, null, o_orderkey % 2))", "is_unitization": "int(c_custkey % 3 = 0)", "project_isactive": "int(o_orderkey % 2)", "groovy_isactive": "int(o_orderkey % 3 = 1)", "fusion_isactive": "int(o_orderkey % 5 = 1)", "onstream_year": "int(1990 + o_orderkey % 20)"}
+    texts = {"report_date": "concat('2024-0', 1 + o_orderkey % 9)", "report_status": "o_orderstatus", "wk_name": "n_name", "wk_subgroup": "r_name", "psc_eff_start": "concat('19', 70 + n_nationkey)", "psc_eff_end": "concat('20', 10 + n_nationkey)", "operator_group": "r_name", "operator_name": "c_mktsegment", "basin86_id": "concat('B', c_custkey % 86)", "basin86": "concat('Basin ', c_custkey % 86)", "basin128_id": "concat('C', c_custkey % 128)", "basin128": "concat('Area ', c_custkey % 128)", "prov_id": "concat('P', c_custkey % 30)", "province": "concat('Province ', c_custkey % 30)", "field_name": "concat('Field ', c_custkey % 500)", "project_name": "concat('Project ', o_orderkey % 50)", "onstream_actual": "concat('20', 10 + o_orderkey % 10)", "pod_name": "if(o_orderkey % 4 = 0, '', if(o_orderkey % 4 = 1, null, 'pod'))", "project_level": "o_orderpriority", "prod_stage": "o_orderstatus", "project_stage": "if(o_orderstatus = 'F', 'Exploitation', 'Exploration')", "project_class": "c_mktsegment", "project_remarks": "if(o_orderkey % 7 = 0, '', if(o_orderkey % 7 = 1, null, concat('remark ', o_orderkey)))", "vol_remarks": "if(o_orderkey % 5 = 0, null, concat('volume ', o_orderkey))"}
+    measures = [F.when((key + _factor(m)) % 7 != 0, F.col("o_totalprice") * _factor(m)).alias(m) for m in V.SNAPSHOT_SUMS]
+    return rows.select(*[F.expr(e).alias(name) for name, e in (numbers | flags | texts).items()], level.alias("uncert_level"), *measures)
+
+
+# DuckDB's own spelling of the same rows
+_SNAP_COLUMNS = """n_nationkey AS wk_id, c_custkey % 500 AS field_id, o_orderkey AS project_id, year(o_orderdate)::INT AS report_year, n_nationkey - 12.5::DOUBLE AS wk_lat, n_nationkey * 4.25::DOUBLE AS wk_long,
+ n_regionkey::DOUBLE AS wk_area_ori, n_regionkey + 0.5::DOUBLE AS wk_area_latest, c_custkey % 80 + 0.25::DOUBLE AS field_lat, c_custkey % 170 + 0.5::DOUBLE AS field_long, (c_custkey % 7)::DOUBLE AS field_area,
+ (c_custkey % 2)::INT AS is_offshore, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 2)::INT END AS is_discovered, (c_custkey % 3 = 0)::INT AS is_unitization, (o_orderkey % 2)::INT AS project_isactive,
+ (o_orderkey % 3 = 1)::INT AS groovy_isactive, (o_orderkey % 5 = 1)::INT AS fusion_isactive, (1990 + o_orderkey % 20)::INT AS onstream_year,
+ '2024-0' || (1 + o_orderkey % 9) AS report_date, o_orderstatus AS report_status, n_name AS wk_name, r_name AS wk_subgroup, '19' || (70 + n_nationkey) AS psc_eff_start, '20' || (10 + n_nationkey) AS psc_eff_end, r_name AS operator_group,
+ c_mktsegment AS operator_name, 'B' || (c_custkey % 86) AS basin86_id, 'Basin ' || (c_custkey % 86) AS basin86, 'C' || (c_custkey % 128) AS basin128_id, 'Area ' || (c_custkey % 128) AS basin128, 'P' || (c_custkey % 30) AS prov_id,
+ 'Province ' || (c_custkey % 30) AS province, 'Field ' || (c_custkey % 500) AS field_name, 'Project ' || (o_orderkey % 50) AS project_name, '20' || (10 + o_orderkey % 10) AS onstream_actual,
+ CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'pod' END AS pod_name, o_orderpriority AS project_level, o_orderstatus AS prod_stage, CASE o_orderstatus WHEN 'F' THEN 'Exploitation' ELSE 'Exploration' END AS project_stage, c_mktsegment AS project_class,
+ CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'remark ' || o_orderkey END AS project_remarks, CASE o_orderkey % 5 WHEN 0 THEN NULL ELSE 'volume ' || o_orderkey END AS vol_remarks"""
+_SUBSTANCES = ("oil", "con", "ga", "gn", "oc", "an")
+_SNAP_MEASURES = [f"{p}_{x}{q}" for p, q in (("rec", ""), ("rec", "_risked"), ("res", ""), ("eur_rec", ""), ("eur_res", ""), ("rate_grs", ""), ("rate_sls", ""), ("cprd_grs", ""), ("cprd_sls", ""), ("dcpy_um", ""), ("dcpy_ppa", ""), ("dcpy_wi", ""), ("dcpy_cio", ""), ("dcpy_uc", "")) for x in _SUBSTANCES] + ["ghv_avg"]
+
+
+def _measure_sql(names, price: str, key: str) -> str:
+    return ", ".join(f"CASE WHEN ({key} + {_factor(m)}) % 7 <> 0 THEN {price} * {_factor(m)} END AS {m}" for m in names)
+
+
+SNAPSHOTS = f"""snap AS (SELECT {_SNAP_COLUMNS}, CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN '{LOW}' WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') THEN '{MIDDLE}' ELSE '{HIGH}' END AS uncert_level,
+ {_measure_sql([*_SNAP_MEASURES, "prj_ioip", "prj_igip"], "o_totalprice", "o_orderkey")}
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _remark_sql(label: str, text: str, order: str, between: str) -> str:
+    first = f"first({text} ORDER BY {order}) FILTER (WHERE {text} IS NOT NULL)"
+    return f"CASE WHEN COUNT(*) > 1 THEN CASE WHEN COALESCE({first}, '') = '' THEN '' ELSE string_agg({label} || ': ' || {text}, E'{between}' ORDER BY {order}) END ELSE {first} END"
+
+
+def _factors_sql(oil: str, gas: str) -> str:
+    ratio = "CASE WHEN SUM({d}) > 0 THEN SUM({n}) / SUM({d}) ELSE 0 END AS {name}"
+    parts = [("rf_oil", "cprd_sls_oil", oil), ("rf_gas", "cprd_sls_gn", gas)]
+    parts += [(f"urf_{k}_{s}", f"cprd_sls_{c} + {k}_{c}", d) for k in ("rec", "res") for s, c, d in (("oil", "oil", oil), ("gas", "gn", gas))]
+    return ", ".join(ratio.format(name=name, n=n, d=d) for name, n, d in parts)
+
+
+_AREA_MIN = "report_date report_status wk_lat wk_long wk_area_ori wk_area_latest wk_subgroup psc_eff_start psc_eff_end operator_group operator_name onstream_year onstream_actual project_level prod_stage".split()
+_FIELD_MIN = "basin86_id basin86 basin128_id basin128 prov_id province field_name field_lat field_long field_area is_unitization".split()
+_COUNTS = ("pod_count", "project_count", "project_active_count", "groovy_count", "fusion_count")
+RESOURCE_SQL = f"""{SNAPSHOTS},
+f AS (SELECT report_year, wk_id, field_id, project_stage, project_class, uncert_level, MIN(wk_name) AS wk_name, {', '.join(f'MIN({c}) AS {c}' for c in (*_AREA_MIN, *_FIELD_MIN))},
+  MAX(is_offshore) AS is_offshore, MAX(is_discovered) AS is_discovered, COUNT(NULLIF(pod_name, '')) AS pod_count, COUNT(*) AS project_count, SUM(project_isactive)::BIGINT AS project_active_count, SUM(groovy_isactive)::BIGINT AS groovy_count,
+  SUM(fusion_isactive)::BIGINT AS fusion_count, {_remark_sql('project_name', 'project_remarks', 'project_name, project_id', chr(92) + 'n')} AS field_remarks, {_remark_sql('project_name', 'vol_remarks', 'project_name, project_id', chr(92) + 'n')} AS field_vol_remarks,
+  SUM(prj_ioip) AS ioip, SUM(prj_igip) AS igip, {_factors_sql('prj_ioip', 'prj_igip')}, {', '.join(f'SUM({m}) AS {m}' for m in _SNAP_MEASURES)}
+  FROM snap GROUP BY report_year, wk_id, field_id, project_stage, project_class, uncert_level),
+a AS (SELECT report_year, wk_name, project_stage, project_class, uncert_level, MIN(wk_id) AS wk_id, {', '.join(f'MIN({c}) AS {c}' for c in _AREA_MIN)}, MAX(is_offshore) AS is_offshore, MAX(is_discovered) AS is_discovered, COUNT(*) AS field_count,
+  SUM(is_unitization)::BIGINT AS unitisasi_count, {', '.join(f'SUM({c})::BIGINT AS {c}' for c in _COUNTS)},
+  {_remark_sql('field_name', 'field_remarks', 'field_name, field_id', chr(92) + 'n' + chr(92) + 'n')} AS wa_remarks, {_remark_sql('field_name', 'field_vol_remarks', 'field_name, field_id', chr(92) + 'n' + chr(92) + 'n')} AS wa_vol_remarks,
+  SUM(ioip) AS ioip, SUM(igip) AS igip, {_factors_sql('ioip', 'igip')}, {', '.join(f'SUM({m}) AS {m}' for m in _SNAP_MEASURES)}
+  FROM f GROUP BY report_year, wk_name, project_stage, project_class, uncert_level),
+n AS (SELECT report_year, project_stage, project_class, uncert_level, MIN(report_status) AS report_status, COUNT(NULLIF(wk_id::VARCHAR, '')) AS wa_count, SUM(field_count)::BIGINT AS field_count, SUM(unitisasi_count)::BIGINT AS unitisasi_count,
+  {', '.join(f'SUM({c})::BIGINT AS {c}' for c in _COUNTS)}, MAX(is_discovered) AS is_discovered, SUM(ioip) AS ioip, SUM(igip) AS igip, {', '.join(f'SUM({m}) AS {m}' for m in _SNAP_MEASURES)}
+  FROM a GROUP BY report_year, project_stage, project_class, uncert_level)"""
+_RATIOS = ("rf_oil", "rf_gas", "urf_rec_oil", "urf_rec_gas", "urf_res_oil", "urf_res_gas")
+
+
+def _rounded_sql(measures, ratios=(), places: int = 6) -> str:
+    return "* REPLACE (" + ", ".join([f"ROUND({m}, 2) AS {m}" for m in measures] + [f"ROUND({c}, {places}) AS {c}" for c in ratios]) + ")"
+
+
+def _full(name: str, at: int, table: str, ratios: tuple[str, ...]) -> None:
+    @query(name, f"WITH {RESOURCE_SQL} SELECT {_rounded_sql([*_SNAP_MEASURES, 'ioip', 'igip'], ratios)} FROM {table}")
+    def run(spark, sf_dir):
+        volumes = [c for c in V.SNAPSHOT_SUMS if not c.startswith("prj_")]
+        rows = rollup.resources(snapshots(spark, sf_dir), at)[-1]
+        return rounded(rows, **{c: 2 for c in (*volumes, "ioip", "igip")}, **{c: 6 for c in ratios})
+
+
+_full("resources_field", 1, "f", _RATIOS)
+_full("resources_work_area", 2, "a", _RATIOS)
+_full("resources_national", 3, "n", ())
+
+
+def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series rows with every column that the rollups read."""
+    l, s, n, r = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
+    places = s.join(F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"])), s["s_nationkey"] == n["n_nationkey"])
+    rows = l.join(places, l["l_suppkey"] == s["s_suppkey"])
+    own = {"report_year": "2024", "wk_id": "s_nationkey", "field_id": "s_suppkey % 40", "project_id": "l_partkey", "year": "int(year(l_shipdate))", "project_class": "l_returnflag", "project_level": "l_linestatus", "is_offshore": "int(s_suppkey % 2)", "project_isactive": "int(l_orderkey % 2)", "onstream_year": "int(1990 + l_partkey % 20)", "ghv": "l_discount", "wk_lat": "n_nationkey - 12.5D", "wk_long": "n_nationkey * 4.25D", "wk_area": "double(n_regionkey)", "field_lat": "s_suppkey % 80 + 0.25D", "field_long": "s_suppkey % 170 + 0.5D"}
+    own |= {"report_date": "concat('2024-0', 1 + l_partkey % 9)", "report_status": "l_linestatus", "wk_name": "n_name", "wk_subgroup": "r_name", "psc_eff_start": "concat('19', 70 + n_nationkey)", "psc_eff_end": "concat('20', 10 + n_nationkey)", "operator_group": "r_name", "operator_name": "concat('Operator ', s_suppkey % 9)", "prod_stage": "l_linestatus", "onstream_actual": "concat('20', 10 + l_partkey % 10)", "basin86_id": "concat('B', s_suppkey % 86)", "basin128": "concat('Area ', s_suppkey % 128)", "province": "concat('Province ', s_suppkey % 30)", "field_name": "concat('Field ', s_suppkey % 40)"}
+    measures = [F.when((F.col("l_orderkey") + _factor(m)) % 7 != 0, F.col("l_extendedprice") * _factor(m)).alias(m) for m in dict.fromkeys(V.SERIES_SUMS)]
+    return rows.select(*[F.expr(e).alias(c) for c, e in own.items()], *measures)
+
+
+_SERIES_MEASURES = [f"{p}_{x}" for p in ("tpf", "tpf_risked", "slf", "spf", "crf", "prf", "ciof", "lossf", "cprd_grs", "cprd_sls", "rate") for x in _SUBSTANCES]
+_SERIES_MIN = "report_date report_status wk_name wk_lat wk_long wk_area wk_subgroup psc_eff_start psc_eff_end operator_group operator_name prod_stage onstream_year onstream_actual".split()
+FORECAST_SQL = f"""rows_ AS (SELECT 2024 AS report_year, s_nationkey AS wk_id, s_suppkey % 40 AS field_id, year(l_shipdate)::INT AS year, l_returnflag AS project_class, l_linestatus AS project_level, (s_suppkey % 2)::INT AS is_offshore,
+  (l_orderkey % 2)::INT AS project_isactive, (1990 + l_partkey % 20)::INT AS onstream_year, l_discount AS ghv, n_nationkey - 12.5::DOUBLE AS wk_lat, n_nationkey * 4.25::DOUBLE AS wk_long, n_regionkey::DOUBLE AS wk_area, s_suppkey % 80 + 0.25::DOUBLE AS field_lat,
+  s_suppkey % 170 + 0.5::DOUBLE AS field_long, '2024-0' || (1 + l_partkey % 9) AS report_date, l_linestatus AS report_status, n_name AS wk_name, r_name AS wk_subgroup, '19' || (70 + n_nationkey) AS psc_eff_start, '20' || (10 + n_nationkey) AS psc_eff_end,
+  r_name AS operator_group, 'Operator ' || (s_suppkey % 9) AS operator_name, l_linestatus AS prod_stage, '20' || (10 + l_partkey % 10) AS onstream_actual, 'B' || (s_suppkey % 86) AS basin86_id, 'Area ' || (s_suppkey % 128) AS basin128,
+  'Province ' || (s_suppkey % 30) AS province, 'Field ' || (s_suppkey % 40) AS field_name, {_measure_sql(_SERIES_MEASURES, "l_extendedprice", "l_orderkey")}
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT report_year, wk_id, field_id, project_class, project_level, year, {', '.join(f'MIN({c}) AS {c}' for c in (*_SERIES_MIN, 'basin86_id', 'basin128', 'province', 'field_name', 'field_lat', 'field_long'))}, MAX(is_offshore) AS is_offshore, COUNT(*) AS project_count,
+  SUM(project_isactive)::BIGINT AS active_project_count, AVG(ghv) AS ghv_avg, {', '.join(f'SUM({m}) AS {m}' for m in _SERIES_MEASURES)} FROM rows_ GROUP BY report_year, wk_id, field_id, project_class, project_level, year),
+a AS (SELECT report_year, wk_id, project_class, project_level, year, {', '.join(f'MIN({c}) AS {c}' for c in _SERIES_MIN)}, MAX(is_offshore) AS is_offshore, COUNT(*) AS field_count, SUM(project_count)::BIGINT AS project_count,
+  SUM(active_project_count)::BIGINT AS active_project_count, AVG(ghv_avg) AS ghv_avg, {', '.join(f'SUM({m}) AS {m}' for m in _SERIES_MEASURES)} FROM f GROUP BY report_year, wk_id, project_class, project_level, year),
+n AS (SELECT report_year, project_class, project_level, year, MIN(report_status) AS report_status, MIN(prod_stage) AS prod_stage, COUNT(*) AS wa_count, SUM(field_count)::BIGINT AS field_count, SUM(project_count)::BIGINT AS project_count,
+  SUM(active_project_count)::BIGINT AS active_project_count, AVG(ghv_avg) AS ghv_avg, {', '.join(f'SUM({m}) AS {m}' for m in _SERIES_MEASURES)} FROM a GROUP BY report_year, project_class, project_level, year)"""
+
+
+def _full_series(name: str, at: int, table: str) -> None:
+    @query(name, f"WITH {FORECAST_SQL} SELECT {_rounded_sql(_SERIES_MEASURES, ('ghv_avg',))} FROM {table}")
+    def run(spark, sf_dir):
+        return rounded(rollup.forecasts(forecast_rows(spark, sf_dir), at)[-1], **{c: 2 for c in dict.fromkeys(V.SERIES_SUMS)}, ghv_avg=6)
+
+
+_full_series("forecasts_field", 1, "f")
+_full_series("forecasts_work_area", 2, "a")
+_full_series("forecasts_national", 3, "n")
+
+
 # ---------------------------------------------------------------- views and filters
 
 @query("detail_projection", f"WITH {PROJECTS} SELECT report_year, wk_name, field_name, project_stage, project_class, uncert_level, res_oc AS reserves_mstb FROM projects WHERE report_year IN (1996, 1998)")
@@ -332,7 +470,7 @@ def ilike_filter(spark, sf_dir):
 
 @query("year_in", "SELECT o_orderkey, year(o_orderdate)::INT AS report_year FROM orders WHERE year(o_orderdate) IN (1997, 1999)")
 def year_in(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").withColumn("report_year", F.year("o_orderdate").cast("int"))
+    o = read(spark, sf_dir, "orders").where(X.in_years(F.col("o_orderdate"), (1997, 1999))).withColumn("report_year", F.year("o_orderdate").cast("int"))
     return views.apply_view(o, views.View(columns=("o_orderkey", "report_year"), years=(1997, 1999)))
 
 
@@ -376,10 +514,13 @@ def not_null_text(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in ("orders", "lineitem", "documents", "events")))
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in TABLES))
 def table_counts(spark, sf_dir):
-    parts = [read(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t in ("orders", "lineitem", "documents", "events")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parts = [read(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t in TABLES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 SQL_TEXT = """WITH spend AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM {orders} GROUP BY o_custkey)
@@ -474,6 +615,49 @@ def density_clusters(spark, sf_dir):
     return spatial.clusters(places(spark, sf_dir), 450.0, 4)
 
 
+@query(
+    "cluster_centroids",
+)
+def cluster_centroids(spark, sf_dir):
+    p = places(spark, sf_dir)
+    return spatial.centroids(p, spatial.clusters(p, 450.0, 4)).orderBy("cluster")
+
+
+def named_places(spark, sf_dir) -> DataFrame:
+    """Customers with a work area's name beside the key of their nation."""
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("wk_id"), F.col("n_name").alias("wk_name"))
+    return places(spark, sf_dir).join(F.broadcast(n), "wk_id").select("id", "name", "wk_name", "lat", "long")
+
+
+NAMED = f"{PLACES}, named AS (SELECT id, name, n_name AS wk_name, lat, long FROM places JOIN nation ON wk_id = n_nationkey)"
+
+
+def _one(name: str, text: str, area: str = "") -> str:
+    inside = f" AND wk_name ILIKE '%{area}%'" if area else ""
+    return f"{name} AS (SELECT * FROM named WHERE name ILIKE '%{text}%'{inside} ORDER BY lower(name) <> lower('{text}'), name, id LIMIT 1)"
+
+
+@query("distance_of_names", f"WITH {NAMED}, {_one('x', '0000011')}, {_one('y', 'customer#000000023')} SELECT x.name AS from_name, y.name AS to_name, ROUND({_km('x', 'y')}, 2) AS distance_km FROM x, y")
+def distance_of_names(spark, sf_dir):
+    return spatial.ask_places(named_places(spark, sf_dir), "distance", start="0000011", end="customer#000000023")[1]
+
+
+@query("coordinates_of_name", f"WITH {NAMED}, {_one('x', '00001', 'nation_1')} SELECT * FROM x")
+def coordinates_of_name(spark, sf_dir):
+    return spatial.ask_places(named_places(spark, sf_dir), "coordinates", name="00001", area="nation_1")[1]
+
+
+@query("near_name_in_area", f"WITH {NAMED}, {_one('r', '00001', 'nation_1')} SELECT p.id, p.name, ROUND({_km('r', 'p')}, 4) AS km FROM r, named p WHERE p.wk_name ILIKE '%nation_1%' AND p.id <> r.id AND {_km('r', 'p')} <= 4000 ORDER BY {_km('r', 'p')}, p.id LIMIT 10")
+def near_name_in_area(spark, sf_dir):
+    near = spatial.near_named(named_places(spark, sf_dir), "00001", 4000.0, 10, "nation_1", "haversine")
+    return rounded(near.select("id", "name", "km"), km=4)
+
+
+@query("places_in_area", f"WITH {NAMED} SELECT DISTINCT id, name, wk_name, lat, long FROM named WHERE wk_name ILIKE '%nation_2%' ORDER BY name, id LIMIT 50")
+def places_in_area(spark, sf_dir):
+    return spatial.ask_places(named_places(spark, sf_dir), "in_area", area="nation_2")[1]
+
+
 # ---------------------------------------------------------------- texts, codes, vectors
 
 TERMS = ["that", "ther", "avec"]
@@ -528,6 +712,35 @@ def code_filter(spark, sf_dir):
     return remarks(spark, sf_dir).where(F.array_contains(X.problem_codes(F.col("remark")), "2.3")).select("conv_id", "turn")
 
 
+@query(
+    "code_search",
+    "WITH codes(code, name, words) AS (VALUES " + ", ".join(f"('{c}', '{n}', [{', '.join(repr(w) for w in V.PROBLEM_WORDS[c])}])" for c, n in PROBLEMS.items()) + """),
+asked AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'DATA' WHEN 1 THEN '1.1' WHEN 2 THEN '2.4' ELSE left(text, 3) END AS asked FROM conversations),
+scored AS (SELECT conv_id, turn, code, name, CASE WHEN code = asked THEN 100 WHEN contains(code, asked) THEN 90 ELSE 0 END + CASE WHEN contains(lower(name), trim(lower(asked))) THEN 50 ELSE 0 END
+           + CASE WHEN len(list_filter(words, lambda w: contains(lower(w), trim(lower(asked))))) > 0 THEN 30 ELSE 0 END AS score FROM asked, codes WHERE asked IS NOT NULL)
+SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, code) <= 3""",
+)
+def code_search(spark, sf_dir):
+    kind = F.col("turn") % 4
+    asked = F.when(kind == 0, "DATA").when(kind == 1, "1.1").when(kind == 2, "2.4").otherwise(F.left("text", F.lit(3)))
+    rows = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), asked.alias("asked"))
+    return search.code_search(rows, "key", "asked").select("key.conv_id", "key.turn", "code", "name", "score")
+
+
+@query("code_categories", f"WITH {_CODE_ROWS} SELECT CASE WHEN code LIKE '1.1%' THEN 'Technical > Subsurface' ELSE 'Technical > Non Subsurface' END AS category, COUNT(*) AS n FROM z WHERE code LIKE '1.%' GROUP BY 1")
+def code_categories(spark, sf_dir):
+    rows = remarks(spark, sf_dir).select(F.explode(X.problem_codes(F.col("remark"))).alias("code"))
+    # the table of codes is fixed and small
+    return rows.join(F.broadcast(search.codes_in_category(spark, "technical")), "code").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("code_snippets", f"WITH {_CODE_ROWS} SELECT z.conv_id, z.turn, code, trim(substr(remark, GREATEST(1, instr(remark, code) - 50), instr(remark, code) - GREATEST(1, instr(remark, code) - 50) + len(code) + 50)) AS snippet FROM z JOIN x ON z.conv_id = x.conv_id AND z.turn = x.turn")
+def code_snippets(spark, sf_dir):
+    r = remarks(spark, sf_dir)
+    rows = r.select("conv_id", "turn", "remark", F.explode(X.problem_codes(F.col("remark"))).alias("code"))
+    return rows.select("conv_id", "turn", "code", search.snippet(F.col("remark"), F.col("code")).alias("snippet"))
+
+
 QUERY_VECTOR = [round(((i * 37) % 17 - 8) / 8, 3) for i in range(64)]
 _QV = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 _COS = f"list_dot_product(embedding::DOUBLE[], {_QV}) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({_QV}, {_QV})))"
@@ -545,8 +758,29 @@ def cosine_filtered(spark, sf_dir):
 
 @query("embed_documents")
 def embed_documents(spark, sf_dir):
-    d = search.embed_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "vector", search.hashing_embedder(32))
-    return d.select("doc_id", F.size("vector").alias("n_dims"))
+    return search.embed_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "vector", search.hashing_embedder(32))
+
+
+@query("contextual_filter", f"WITH {SNAPSHOTS} SELECT project_id, report_year FROM snap WHERE report_year = 1997 AND wk_name ILIKE '%nation_1%' AND province ILIKE '%province 1%' AND project_stage ILIKE '%explo%'")
+def contextual_filter(spark, sf_dir):
+    rows = snapshots(spark, sf_dir)
+    return rows.where(search.contextual(rows, {"report_year": 1997, "wk_name": "nation_1", "province": "province 1", "project_stage": "explo"})).select("project_id", "report_year")
+
+
+@query("concept_total", f"WITH {SNAPSHOTS} SELECT ROUND(SUM(res_oc), 2) AS oil_condensate, ROUND(SUM(res_an), 2) AS gas FROM snap WHERE report_year = (SELECT MAX(report_year) FROM snap) AND wk_name LIKE '%NATION_1%' AND uncert_level = '{LOW}'")
+def concept_total(spark, sf_dir):
+    return rounded(analysis.concept_total(snapshots(spark, sf_dir), ("res_oc", "res_an"), ("wk_name", "NATION_1"), "1P"), oil_condensate=2, gas=2)
+
+
+@query("shown_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' ELSE format('{:,.2f}', o_totalprice) || ' MSTB (Thousand Stock Tank Barrels)' END AS shown FROM orders")
+def shown_values(spark, sf_dir):
+    value = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", X.shown_value(value, "MSTB").alias("shown"))
+
+
+@query("shortened_texts", "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS text FROM documents")
+def shortened_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", X.shortened(F.col("text")).alias("text"))
 
 
 # ---------------------------------------------------------------- graph, entities, ids
@@ -577,6 +811,52 @@ def graph_reverse(spark, sf_dir):
     return m.rows.groupBy(F.col("r_r_name").alias("r_name")).agg(F.count("*").alias("n_customers"))
 
 
+def domain_graph(spark, sf_dir) -> graph.Graph:
+    snap = snapshots(spark, sf_dir)
+    for c in ("is_pse_approved", "is_pod_approved"):
+        snap = snap.withColumn(c, F.col("project_isactive"))
+    return graph.resource_graph(snap.withColumn("dcpy_gtr_oc", F.col("dcpy_uc_oc")), forecast_rows(spark, sf_dir), 60.0)
+
+
+FIELD_OF = "field_name = 'Field 7' AND report_year = 1997"
+
+
+@query("graph_field_status", f"WITH {SNAPSHOTS} SELECT field_name, MIN(wk_name) OVER () AS wk_name, project_stage, project_class, onstream_year, report_status, project_isactive AS is_pse_approved, project_isactive AS is_pod_approved, ROUND(res_oc, 2) AS res_oc, ROUND(res_an, 2) AS res_an FROM (SELECT * REPLACE ((SELECT MIN(wk_name) FROM snap WHERE field_name = 'Field 7') AS wk_name) FROM snap) WHERE {FIELD_OF} AND uncert_level = '{MIDDLE}'")
+def graph_field_status(spark, sf_dir):
+    return rounded(graph.field_status(domain_graph(spark, sf_dir), "Field 7", 1997), res_oc=2, res_an=2)
+
+
+@query("graph_field_reserves", f"WITH {SNAPSHOTS} SELECT field_name, uncert_level, ROUND(res_oc, 2) AS res_oc, ROUND(res_an, 2) AS res_an, ROUND(eur_res_oc, 2) AS eur_res_oc, ROUND(eur_res_an, 2) AS eur_res_an, report_date, report_status FROM snap WHERE {FIELD_OF}")
+def graph_field_reserves(spark, sf_dir):
+    return rounded(graph.field_reserves(domain_graph(spark, sf_dir), "Field 7", 1997), res_oc=2, res_an=2, eur_res_oc=2, eur_res_an=2)
+
+
+@query("graph_field_issues", f"WITH {SNAPSHOTS} SELECT field_name, project_remarks, vol_remarks, report_status FROM snap WHERE {FIELD_OF}")
+def graph_field_issues(spark, sf_dir):
+    return graph.field_issues(domain_graph(spark, sf_dir), "Field 7", 1997)
+
+
+@query("graph_area_reserves", f"WITH {SNAPSHOTS}, own AS (SELECT DISTINCT field_id FROM snap WHERE wk_name = 'NATION_3') SELECT 'NATION_3' AS wk_name, ROUND(SUM(res_oc), 2) AS res_oc, ROUND(SUM(res_an), 2) AS res_an, ROUND(SUM(eur_res_oc), 2) AS eur_res_oc, ROUND(SUM(eur_res_an), 2) AS eur_res_an FROM snap JOIN own USING (field_id) WHERE report_year = 1997 AND uncert_level = '{MIDDLE}'")
+def graph_area_reserves(spark, sf_dir):
+    return rounded(graph.area_reserves(domain_graph(spark, sf_dir), "NATION_3", 1997), res_oc=2, res_an=2, eur_res_oc=2, eur_res_an=2)
+
+
+@query("graph_field_recovery", f"WITH {SNAPSHOTS} SELECT field_name, ROUND(SUM(prj_ioip), 2) AS ioip, ROUND(SUM(prj_igip), 2) AS igip, ROUND(CASE WHEN SUM(prj_ioip) > 0 THEN SUM(cprd_sls_oil) / SUM(prj_ioip) ELSE 0 END, 6) AS rf_oil, ROUND(CASE WHEN SUM(prj_igip) > 0 THEN SUM(cprd_sls_gn) / SUM(prj_igip) ELSE 0 END, 6) AS rf_gas FROM snap WHERE {FIELD_OF} AND uncert_level = '{MIDDLE}' GROUP BY field_name")
+def graph_field_recovery(spark, sf_dir):
+    return rounded(graph.field_recovery(domain_graph(spark, sf_dir), "Field 7", 1997), ioip=2, igip=2, rf_oil=6, rf_gas=6)
+
+
+@query("graph_field_changes", f"WITH {SNAPSHOTS} SELECT field_name, ROUND(dcpy_um_oc, 2) AS update_model, ROUND(dcpy_ppa_oc, 2) AS production_analysis, ROUND(dcpy_wi_oc, 2) AS well_intervention, ROUND(dcpy_uc_oc, 2) AS commerciality_change, ROUND(dcpy_uc_oc, 2) AS unaccounted, project_remarks FROM snap WHERE {FIELD_OF}")
+def graph_field_changes(spark, sf_dir):
+    names = ("update_model", "production_analysis", "well_intervention", "commerciality_change", "unaccounted")
+    return rounded(graph.field_changes(domain_graph(spark, sf_dir), "Field 7", 1997), **{c: 2 for c in names})
+
+
+@query("graph_near_fields", f"WITH {SNAPSHOTS}, g AS (SELECT field_id, MIN(field_name) AS field_name, MIN(field_lat) AS lat, MIN(field_long) AS long FROM snap GROUP BY field_id) SELECT y.field_name, ROUND({_km('x', 'y')}, 4) AS km FROM g x JOIN g y ON x.field_name = 'Field 7' AND x.field_id <> y.field_id AND {_km('x', 'y')} <= 60.0")
+def graph_near_fields(spark, sf_dir):
+    return rounded(graph.fields_near(domain_graph(spark, sf_dir), "Field 7"), km=4)
+
+
 @query("entity_confidence", "SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part#7' THEN 1.0::DOUBLE WHEN starts_with(lower(p_name), 'part#7') THEN 0.9::DOUBLE WHEN contains(lower(p_name), 'part#7') THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS confidence FROM part")
 def entity_confidence(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", "p_name", X.match_confidence(F.col("p_name"), "part#7").alias("confidence"))
@@ -592,20 +872,28 @@ def _stands(words) -> str:
 
 
 # a question is written in front of each turn, so that every kind of year and word occurs
-ASKED = "CASE conv_id % 5 WHEN 0 THEN 'tahun ' || (2000 + turn) WHEN 1 THEN 'data ' || (1990 + turn * 5) || ' minyak' WHEN 2 THEN 'tahun ' || (10 + turn) || ' gas 2P' WHEN 3 THEN 'gasoline 3p contingent' ELSE 'low flow' END"
+ASKED = "CASE conv_id % 5 WHEN 0 THEN 'tahun ' || (2000 + turn) WHEN 1 THEN 'data ' || (1990 + turn * 5) || ' minyak' WHEN 2 THEN 'tahun ' || (10 + turn) || ' gas 2P' WHEN 3 THEN 'gasoline 3p contingent eksplorasi' ELSE 'low flow' END"
+
+
+# words with the one before them; per reading of a year the first word that fits
+_YEARS = r"""w AS (SELECT *, regexp_split_to_array(trim(regexp_replace(lower(asked), '(tahun|year)', ' \1 ', 'g')), '\s+') AS w FROM q),
+y AS (SELECT *, list_filter(range(1, len(w) + 1), lambda k: k > 1 AND w[k - 1] = 'tahun' AND regexp_matches(w[k], '^[0-9]{4}'))[1] AS k1,
+             list_filter(range(1, len(w) + 1), lambda k: k > 1 AND w[k - 1] = 'year' AND regexp_matches(w[k], '^[0-9]{4}'))[1] AS k2,
+             list_filter(range(1, len(w) + 1), lambda k: regexp_matches(w[k], '^[0-9]{4}$'))[1] AS k3,
+             list_filter(range(1, len(w) + 1), lambda k: k > 1 AND w[k - 1] = 'tahun' AND regexp_matches(w[k], '^[0-9]{2}([^0-9]|$)'))[1] AS k4 FROM w),
+z AS (SELECT *, list_filter([TRY_CAST(left(w[k1], 4) AS INT), TRY_CAST(left(w[k2], 4) AS INT), TRY_CAST(w[k3] AS INT), 2000 + TRY_CAST(left(w[k4], 2) AS INT)], lambda v: v BETWEEN 2000 AND 2100)[1] AS year FROM y)"""
 
 
 @query(
     "question_resolution",
-    f"""WITH q AS (SELECT conv_id, turn, {ASKED} AS asked FROM conversations),
-y AS (SELECT *, TRY_CAST(COALESCE(NULLIF(regexp_extract(asked, 'tahun\s*(\d{{4}})', 1), ''), NULLIF(regexp_extract(asked, '(?:^|\s)(\d{{4}})(?:\s|$)', 1), '')) AS INT) AS y4,
-             2000 + TRY_CAST(NULLIF(regexp_extract(asked, 'tahun\s*(\d{{2}})(?:\D|$)', 1), '') AS INT) AS y2 FROM q)
-SELECT conv_id, turn, CASE WHEN y4 BETWEEN 2000 AND 2100 THEN y4 ELSE y2 END AS year,
+    f"""WITH q AS (SELECT conv_id, turn, {ASKED} AS asked FROM conversations), {_YEARS}
+SELECT conv_id, turn, year,
        CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.OIL_WORDS)}') THEN 'oil' WHEN regexp_matches(lower(asked), '{_stands(resolve.GAS_WORDS)}') THEN 'gas' END AS substance,
        CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[LOW])}') THEN '{LOW}' WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[MIDDLE])}') THEN '{MIDDLE}'
             WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[HIGH])}') THEN '{HIGH}' END AS level,
-       CASE WHEN regexp_matches(lower(asked), '{_stands(["contingent"])}') THEN '2. Contingent Resources' END AS class
-FROM y""",
+       CASE WHEN regexp_matches(lower(asked), '{_stands(["contingent"])}') THEN '2. Contingent Resources' END AS class,
+       CASE WHEN regexp_matches(lower(asked), '{_stands(["eksplorasi"])}') THEN 'Exploration' END AS stage
+FROM z""",
 )
 def question_resolution(spark, sf_dir):
     conv, turn = F.col("conv_id"), F.col("turn")
@@ -614,11 +902,62 @@ def question_resolution(spark, sf_dir):
         F.when(conv % 5 == 0, F.concat(F.lit("tahun "), number(turn + 2000)))
         .when(conv % 5 == 1, F.concat(F.lit("data "), number(turn * 5 + 1990), F.lit(" minyak")))
         .when(conv % 5 == 2, F.concat(F.lit("tahun "), number(turn + 10), F.lit(" gas 2P")))
-        .when(conv % 5 == 3, "gasoline 3p contingent")
+        .when(conv % 5 == 3, "gasoline 3p contingent eksplorasi")
         .otherwise("low flow")
     )
     q = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), asked.alias("asked"))
-    return resolve.resolve(q, "key", "asked").select("key.conv_id", "key.turn", "year", "substance", "level", "class")
+    return resolve.resolve(q, "key", "asked").select("key.conv_id", "key.turn", "year", "substance", "level", "class", "stage")
+
+
+def name_table(spark, sf_dir) -> DataFrame:
+    """Names that a question may hold: of customers as fields, of nations as work areas, of segments as operators."""
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    kinds = [c.select(F.lit("Field").alias("kind"), F.col("c_name").alias("name")), n.select(F.lit("WorkingArea").alias("kind"), F.col("n_name").alias("name")), c.select(F.lit("Operator").alias("kind"), F.col("c_mktsegment").alias("name")).distinct()]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def name_questions(spark, sf_dir) -> DataFrame:
+    """A question for each customer, by turns about the customer, two nations, its segment's rates, or nothing known."""
+    k = F.col("c_custkey")
+    asked = F.when(k % 5 == 0, F.concat(F.lit("tahun 1997 cadangan 2P "), F.lower("c_name"), F.lit(", "), "c_mktsegment")).when(k % 5 == 1, F.concat(F.lit("produksi nation_"), (k % 25).cast("string"), F.lit(" dan nation_"), ((k + 1) % 25).cast("string")))
+    asked = asked.when(k % 5 == 2, F.concat(F.lit("forecast nation_"), (k % 25).cast("string"), F.lit("?"))).when(k % 5 == 3, F.concat(F.lit("rate: "), "c_mktsegment")).otherwise("lapangan besar")
+    return read(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"))
+
+
+NAME_QUESTIONS = """q AS (SELECT c_custkey, c_custkey % 5 AS kind_no, c_name, c_mktsegment FROM customer)"""
+
+
+@query(
+    "name_resolution",
+    f"""WITH {NAME_QUESTIONS}
+SELECT c_custkey, CASE kind_no WHEN 1 THEN 'ambiguous' WHEN 4 THEN 'failed' ELSE 'success' END AS status,
+       CASE kind_no WHEN 0 THEN 'Field' WHEN 2 THEN 'WorkingArea' WHEN 3 THEN 'Operator' END AS kind, CASE kind_no WHEN 0 THEN c_name WHEN 2 THEN 'NATION_' || (c_custkey % 25) WHEN 3 THEN c_mktsegment END AS name,
+       CASE kind_no WHEN 0 THEN 'field_resources' WHEN 2 THEN 'wa_timeseries' ELSE 'project_resources' END AS suggested_table,
+       CASE kind_no WHEN 0 THEN 'field_name' WHEN 2 THEN 'wk_name' WHEN 3 THEN 'operator_name' END AS filter_column
+FROM q""",
+)
+def name_resolution(spark, sf_dir):
+    return resolve.resolve_names(name_questions(spark, sf_dir), "c_custkey", "asked", name_table(spark, sf_dir))
+
+
+@query(
+    "rows_of_questions",
+    f"""WITH {NAME_QUESTIONS}, {PROJECTS}, hits AS (
+SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 0 AND p.field_name = q.c_name AND p.report_year = 2097 AND p.uncert_level = '{MIDDLE}'
+UNION ALL SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 2 AND p.wk_name = 'NATION_' || (q.c_custkey % 25))
+SELECT c_custkey, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM hits GROUP BY c_custkey""",
+)
+def rows_of_questions(spark, sf_dir):
+    q = name_questions(spark, sf_dir).withColumn("asked", F.replace(F.col("asked"), F.lit("1997"), F.lit("2097")))
+    named = resolve.resolve_names(q, "c_custkey", "asked", name_table(spark, sf_dir)).join(resolve.resolve(q, "c_custkey", "asked"), "c_custkey")
+    rows = resolve.rows_asked_for(named, "c_custkey", projects(spark, sf_dir))
+    return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
+
+
+@query("entity_rows", f"WITH {PROJECTS} SELECT project_id FROM projects WHERE report_year = 1997 AND wk_name = 'NATION_3' AND uncert_level = '{HIGH}'")
+def entity_rows(spark, sf_dir):
+    rows = projects(spark, sf_dir)
+    return rows.where(resolve.entity_filter(rows, {"year": 1997, "working_area": "NATION_3", "level": HIGH})).select("project_id")
 
 
 _DIGIT = """list_sum(list_transform(range(1, 7), lambda i: CASE WHEN (6 - i) % 2 = 0 THEN CASE WHEN 2 * d(i) >= 16 THEN 2 * d(i) - 15 ELSE 2 * d(i) END ELSE d(i) END))""".replace("d(i)", "(instr('0123456789ABCDEF', payload[i]) - 1)")
@@ -630,14 +969,75 @@ def check_digits(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", payload.alias("payload"), X.check_digit(payload).alias("digit"))
 
 
-@query("id_verify", "SELECT COUNT(*) AS n, COUNT(*) AS n_valid, 0::BIGINT AS n_broken FROM customer")
+def _digit_of(payload: str, size: int) -> str:
+    """The check digit in SQL: every second digit from the end counts twice, less 15 from 16 on."""
+    d = f"(instr('0123456789ABCDEF', {payload}[i]) - 1)"
+    total = f"list_sum(list_transform(range(1, {size + 1}), lambda i: CASE WHEN ({size} - i) % 2 = 0 THEN CASE WHEN 2 * {d} >= 16 THEN 2 * {d} - 15 ELSE 2 * {d} END ELSE {d} END))"
+    return f"'0123456789ABCDEF'[1 + ((16 - ({total})::INT % 16) % 16)]"
+
+
+ID_ROWS = f"""x AS (SELECT c_custkey, lpad(upper(to_hex(c_custkey % 256)), 2, '0') AS grid, lpad((c_custkey * 7 % 10000)::VARCHAR, 4, '0') AS suffix FROM customer),
+made AS (SELECT *, grid || suffix AS payload, '0123456789ABCDEF'[1 + c_custkey % 16] AS given FROM x),
+checked AS (SELECT *, {_digit_of('payload', 6)} AS digit, len(list_distinct(string_split(suffix, ''))) = 4 AS differ FROM made)"""
+
+
+def id_rows(spark, sf_dir) -> DataFrame:
+    """Field ids from a rule over customers: some with repeated digits, most with a wrong check digit."""
+    k = F.col("c_custkey")
+    grid, suffix = F.lpad(F.hex(k % 256), 2, "0"), F.lpad((k * 7 % 10000).cast("string"), 4, "0")
+    given = F.hex(k % 16)
+    made = F.concat(F.lit("f-"), F.lower(grid), F.lit("-"), suffix, F.lit("-"), given)
+    return read(spark, sf_dir, "customer").select("c_custkey", grid.alias("grid"), suffix.alias("suffix"), made.alias("field_id"))
+
+
+@query("id_verify", f"WITH {ID_ROWS} SELECT c_custkey, digit, differ AND digit = given AS is_valid FROM checked")
 def id_verify(spark, sf_dir):
-    payload = F.lpad(F.hex("c_custkey"), 6, "0")
-    digit = X.check_digit(payload)
-    made = F.concat(F.lit("F-"), F.substring(payload, 1, 2), F.lit("-"), F.substring(payload, 3, 4), F.lit("-"))
-    other = F.substring(F.lit("123456789ABCDEF0"), F.conv(digit, 16, 10).cast("int") + 1, F.lit(1))
-    ids = read(spark, sf_dir, "customer").select(F.concat(made, digit).alias("right_id"), F.concat(made, other).alias("wrong_id"))
-    return ids.agg(F.count("*").alias("n"), F.count_if(X.valid_field_id(F.col("right_id"))).alias("n_valid"), F.count_if(X.valid_field_id(F.col("wrong_id"))).alias("n_broken"))
+    rows = id_rows(spark, sf_dir)
+    return rows.select("c_custkey", X.check_digit(F.concat("grid", "suffix")).alias("digit"), X.valid_field_id(F.col("field_id")).alias("is_valid"))
+
+
+@query(
+    "ids_of_fields",
+    f"""WITH {ID_ROWS}, used AS (SELECT DISTINCT grid, suffix FROM checked WHERE differ AND digit = given),
+wanted AS (SELECT grid, COUNT(*) % 3 + 1 AS total FROM checked GROUP BY grid),
+every AS (SELECT lpad(n::VARCHAR, 4, '0') AS suffix FROM range(10000) t(n) WHERE len(list_distinct(string_split(lpad(n::VARCHAR, 4, '0'), ''))) = 4),
+free AS (SELECT grid, suffix, total, row_number() OVER (PARTITION BY grid ORDER BY suffix) AS k FROM wanted, every WHERE (grid, suffix) NOT IN (SELECT (grid, suffix) FROM used)),
+given AS (SELECT grid, suffix, grid || suffix AS payload FROM free WHERE k <= total)
+SELECT grid, 'F-' || grid || '-' || suffix || '-' || {_digit_of('payload', 6)} AS field_id FROM given""",
+)
+def ids_of_fields(spark, sf_dir):
+    rows = id_rows(spark, sf_dir)
+    wanted = rows.groupBy("grid").agg((F.count("*") % 3 + 1).alias("total"))
+    return ids.next_field_ids(wanted, rows)
+
+
+_ZONES = f"""WITH {ID_ROWS}, valid AS (SELECT c_custkey, payload || digit AS field FROM checked WHERE differ)"""
+
+
+@query(
+    "ids_of_projects",
+    f"""{_ZONES} SELECT 'F-' || field[1:2] || '-' || field[3:6] || '-' || field[7] AS field_id, 'P-' || field || '-' || lpad((n + 1)::VARCHAR, 2, '0') AS project_id
+FROM (SELECT field, SUM(1 + c_custkey % 2)::BIGINT AS total FROM valid GROUP BY field), range(99) t(n) WHERE n < total""",
+)
+def ids_of_projects(spark, sf_dir):
+    rows = id_rows(spark, sf_dir)
+    field = F.concat(F.lit("F"), "grid", "suffix", X.check_digit(F.concat("grid", "suffix")))
+    wanted = rows.select(field.alias("field_id"), (F.col("c_custkey") % 2 + 1).alias("total")).where(X.valid_field_id(F.col("field_id")))
+    return ids.next_project_ids(wanted, rows.select(F.lit(None).cast("string").alias("project_id")).limit(0))
+
+
+@query(
+    "ids_of_zones",
+    f"""{_ZONES}, every AS (SELECT lpad(n::VARCHAR, 3, '0') AS suffix FROM range(1000) t(n) WHERE len(list_distinct(string_split(lpad(n::VARCHAR, 3, '0'), ''))) = 3),
+wanted AS (SELECT field, COUNT(*) AS total FROM valid GROUP BY field),
+given AS (SELECT field, suffix, field || suffix AS payload, total, row_number() OVER (PARTITION BY field ORDER BY suffix) AS k FROM wanted, every)
+SELECT 'F-' || field[1:2] || '-' || field[3:6] || '-' || field[7] AS field_id, 'Z-' || field || '-' || suffix || '-' || {_digit_of('payload', 10)} AS zone_id FROM given WHERE k <= total""",
+)
+def ids_of_zones(spark, sf_dir):
+    rows = id_rows(spark, sf_dir)
+    field = F.concat(F.lit("F"), "grid", "suffix", X.check_digit(F.concat("grid", "suffix")))
+    wanted = rows.select(field.alias("field_id"), F.lit(1).alias("total")).where(X.valid_field_id(F.col("field_id")))
+    return ids.next_zone_ids(wanted, rows.select(F.lit(None).cast("string").alias("zone_id")).limit(0))
 
 
 # ---------------------------------------------------------------- windows over events

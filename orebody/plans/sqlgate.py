@@ -1,26 +1,73 @@
-"""Read-only SQL: a statement that only reads may run, and its result is bounded where it is shown."""
+"""Read-only SQL: one query that reads tables of the session may run, and nothing else.
+
+Spark's own parser says what a text is: it has to be a single query, so that commands of
+any kind are refused and words inside names or quotes do not count.  A query may neither
+run a script or a Java method nor read a path as a table.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-READS = re.compile(r"\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*)*\(*\s*(select|with|values|from|describe|show|explain)\b", re.IGNORECASE | re.DOTALL)
-WRITES = re.compile(r"\b(insert|overwrite|merge|update|delete|drop|create|alter|truncate|replace\s+table|cache|uncache|refresh|add\s+jar|set)\b", re.IGNORECASE)
-QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 NAME = re.compile(r"^[a-zA-Z0-9_-]+$")
+#: Functions that call into the virtual machine.
+CALLS = {"reflect", "try_reflect", "java_method"}
+#: Plan nodes of Spark's parser that are no part of a query.
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+FORBIDDEN = re.compile(r"Command|ScriptTransformation|ScriptInputOutput|InsertInto|Create|Drop|Replace|Alter|Truncate|Delete|Update|Merge|Overwrite|Cache|Refresh|SetCatalog|SetNamespace|Describe|Show|Explain|Compound")
+
+
+def _all(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _is_plan(spark: SparkSession, node) -> bool:
+    return spark._jvm.py4j.reflection.TypeUtil.isInstanceOf(spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"), node)
+
+
+def _faults(spark: SparkSession, node) -> str | None:
+    """What in a parsed plan or expression goes beyond reading tables."""
+    kind = node.getClass().getSimpleName()
+    if FORBIDDEN.search(kind):
+        return kind
+    if kind == "UnresolvedRelation":
+        parts = _all(node.multipartIdentifier())
+        if len(parts) > 1 and not spark.catalog.databaseExists(".".join(parts[:-1])):
+            return ".".join(parts)
+    if kind == "UnresolvedFunction" and _all(node.nameParts())[-1].lower() in CALLS:
+        return _all(node.nameParts())[-1]
+    inner = _all(node.children()) + _all(node.innerChildren())
+    if _is_plan(spark, node):
+        inner += _all(node.expressions())
+    elif kind in SUBQUERIES:
+        inner.append(node.plan())
+    for child in inner:
+        if (found := _faults(spark, child)) is not None:
+            return found
+    return None
+
+
+def refusal(spark: SparkSession, text: str) -> str | None:
+    """Why a text may not run; None where it may."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except PySparkException as error:
+        return str(error).splitlines()[0]
+    found = _faults(spark, plan)
+    return None if found is None else f"{found} is not allowed"
 
 
-def reads_only(text: str) -> bool:
-    """Whether the text is one statement that reads; words inside quotes do not count."""
-    bare = QUOTED.sub(" '' ", text).strip().rstrip(";")
-    return bool(READS.match(text)) and ";" not in bare and not WRITES.search(bare)
+def reads_only(text: str, spark: SparkSession | None = None) -> bool:
+    """Whether the text is one query that only reads tables."""
+    return refusal(spark or SparkSession.builder.getOrCreate(), text) is None
 
 
 def run_sql(spark: SparkSession, text: str, args: dict | list | None = None) -> DataFrame:
-    if not reads_only(text):
-        raise ValueError("only one reading statement may run")
+    if (why := refusal(spark, text)) is not None:
+        raise ValueError(f"only one reading query may run: {why}")
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orebody.functions.vocabulary import series_schema, snapshot_schema
+
 MAX_ROWS, MAX_CHARS = 50, 10_000
 
 
@@ -53,11 +55,13 @@ def read_table(spark: SparkSession, folder: str, name: str, kind: str, schema: T
 
 
 def derive(df: DataFrame) -> DataFrame:
-    """Ids, discovery flag and stage that follow from a row's own columns."""
+    """Ids, discovery flag and stage that follow from a row's own columns; a series has no stage."""
     kind = F.substring("project_class", 1, 1)
-    stage = F.substring("project_stage", 1, 1)
-    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project_id", "report_year", "uncert_level") if c in df.columns]
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("project_id", "report_year", "uncert_level", "year", "project_class", "project_level") if c in df.columns]
     out = df.withColumn("uuid", F.sha2(F.concat_ws("|", *key), 256)).withColumn("project_uuid", F.sha2(F.coalesce(F.col("project_id"), F.lit("")), 256))
+    if "project_stage" not in df.columns:
+        return out
+    stage = F.substring("project_stage", 1, 1)
     out = out.withColumn("is_discovered", F.when(kind.isin("1", "2"), 1).when(kind == "3", 0))
     return out.withColumn("project_stage", F.when(stage == "1", "Exploitation").when(stage == "2", "Exploration").when(stage == "3", "Abandoned").otherwise(F.col("project_stage")))
 
@@ -66,6 +70,22 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("report_year").parquet(path)
 
 
+#: The base tables and their schemas.
+BASE_TABLES = {"project_resources": snapshot_schema, "project_timeseries": series_schema}
+
+
+def load(spark: SparkSession, folder: str, out: str, kind: str = "csv") -> dict[str, DataFrame]:
+    """Read every base table of a folder, derive its columns and write it below ``out`` by report year.
+
+    Each table replaces what was there; the tables as written come back by name.
+    """
+    loaded = {}
+    for name, schema in BASE_TABLES.items():
+        write_table(derive(read_table(spark, folder, name, kind, schema())), f"{out.rstrip('/')}/{name}")
+        loaded[name] = spark.read.parquet(f"{out.rstrip('/')}/{name}")
+    return loaded
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """New rows replace old ones of the same key; of equal new ones the first by ``order``."""
     last = Window.partitionBy(*keys).orderBy(F.col("__new").desc(), *[F.col(c).asc_nulls_last() for c in order])

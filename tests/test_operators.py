@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
-from orebody.operators import analysis, graph, rollup, search, spatial, views
+from orebody.operators import analysis, graph, ids, resolve, rollup, search, spatial, views
+from orebody.operators.running import running
 from orebody.plans import sqlgate
-from orebody.sources import files
+from orebody.sources import files, scratch
 from orebody.streaming import events as streams
 
 
@@ -247,3 +248,213 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = {(r.window_start, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r.window_start, r.event_type): r.n for r in streams.windowed(events).collect()}
     assert stream and all(batch[k] == n for k, n in stream.items())
+
+
+def test_forecast_flag_takes_either_year(spark):
+    rows = spark.createDataFrame([(2025, 2025, 2024), (2025, 2024, 2026), (2025, None, 2024), (2024, 2024, None), (2023, 2024, 2024), (None, 2024, 2024)], "year int, hist int, report int")
+    flag = X.is_forecast(F.col("year"), F.col("hist"), F.col("report"))
+    assert [r.x for r in rows.select(flag.alias("x")).collect()] == [True, True, True, False, False, False]
+
+
+def test_query_terms_lose_their_accents(spark):
+    docs = spark.createDataFrame([(1, "Café au lait"), (2, "cafe noir"), (3, "tea")], "id int, t string")
+    assert {r.id for r in search.bm25(docs, "id", "t", ["Café"], 10).collect()} == {1, 2}
+    assert search.bm25(docs, "id", "t", ["..."], 10).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,ok",
+    [
+        ("select java_method('java.lang.System', 'getProperty', 'user.home')", False),
+        ("select `reflect`('java.lang.System', 'getProperty', 'user.home')", False),
+        ("select 1 where exists (select try_reflect('java.lang.System', 'lineSeparator'))", False),
+        ("select transform(a) using 'cat' from values (1) t(a)", False),
+        ("with q as (select transform(a) using 'cat' from values (1) t(a)) select * from q", False),
+        ("select * from parquet.`/etc`", False),
+        ("select * from (select * from text.`/etc/passwd`)", False),
+        ("select (select max(value) from csv.`/etc/passwd`)", False),
+        ("select 'java_method(' as `update`, a.`drop` from values (1) a(`drop`)", True),
+        ("select * from t where a in (select b from u)", True),
+        ("show tables", False),
+        ("set x = 1", False),
+        ("describe t", False),
+        ("explain select 1", False),
+        ("begin select 1; end", False),
+        ("not sql", False),
+    ],
+)
+def test_gate_lets_only_reading_queries_run(spark, text, ok):
+    assert sqlgate.reads_only(text, spark) is ok
+    if not ok:
+        with pytest.raises(ValueError):
+            sqlgate.run_sql(spark, text)
+
+
+def test_gate_runs_with_arguments(spark):
+    assert sqlgate.run_sql(spark, "select :a + 1 as x", {"a": 2}).first()["x"] == 3
+    assert sqlgate.checked_name(spark, "range_of") if spark.catalog.tableExists("range_of") else True
+    with pytest.raises(ValueError):
+        sqlgate.checked_name(spark, "no such table")
+
+
+def test_ids_go_on_where_existing_ones_end(spark):
+    ask = lambda k, n, name: spark.createDataFrame([(k, n)], f"{name} string, total int")
+    have = lambda rows, name: spark.createDataFrame([(r,) for r in rows], f"{name} string")
+    first = [r.field_id for r in ids.next_field_ids(ask("2C", 3, "grid"), have([], "field_id")).orderBy("field_id").collect()]
+    assert first == ["F-2C-0123-B", "F-2C-0124-9", "F-2C-0125-7"]
+    more = [r.field_id for r in ids.next_field_ids(ask("2c", 2, "grid"), have(["F-2C-0123-B", "f2c01249", "F-2C-0125-0", None], "field_id")).orderBy("field_id").collect()]
+    assert more == ["F-2C-0125-7", "F-2C-0126-5"]
+    got = [r.project_id for r in ids.next_project_ids(ask("F-2C-0123-B", 2, "field_id"), have(["P-2C0123B-01", "P-2C0123B-02", "P-2C0123B-03"], "project_id")).orderBy("project_id").collect()]
+    assert got == ["P-2C0123B-04", "P-2C0123B-05"]
+    got = [r.zone_id for r in ids.next_zone_ids(ask("F-2C-0123-B", 2, "field_id"), have(["Z-2C0123B-012-B", "Z-2C0123B-013-9"], "zone_id")).orderBy("zone_id").collect()]
+    assert got == ["Z-2C0123B-014-7", "Z-2C0123B-015-5"]
+    with pytest.raises(Exception, match="no suffix is left"):
+        ids.next_project_ids(ask("F-2C-0123-B", 100, "field_id"), have([], "project_id")).collect()
+    with pytest.raises(Exception, match="no field id"):
+        ids.next_zone_ids(ask("F-2C-0123-C", 1, "field_id"), have([], "zone_id")).collect()
+
+
+@pytest.mark.parametrize("value,valid", [("Z-2C0123B-012-B", True), ("z2c0123b012b", True), ("Z-2C0123B-012-C", False), ("Z-2C0123B-011-B", False), (None, False)])
+def test_zone_id(spark, value, valid):
+    assert one(spark, X.valid_zone_id(F.lit(value).cast("string"))) is valid
+
+
+def named_points(spark):
+    rows = [(1, "Duri", "Rokan", 1.0, 101.0), (2, "Duri North", "Rokan", 1.1, 101.0), (3, "Minas", "Rokan", 1.3, 101.0), (4, "Minas", "Other", -5.0, 110.0), (5, "Nowhere", "Other", None, None)]
+    return spark.createDataFrame(rows, "id int, name string, wk_name string, lat double, long double")
+
+
+def test_places_by_name(spark):
+    p = named_points(spark)
+    assert spatial.place_named(p, "duri").first()["id"] == 1 and spatial.place_named(p, "MIN").first()["id"] == 3
+    assert spatial.place_named(p, "minas", "other").first()["id"] == 4
+    status, rows = spatial.ask_places(p, "near_field", name="Duri", radius_km=20.0)
+    assert status == "success" and [r.id for r in rows.collect()] == [2]
+    assert spatial.ask_places(p, "near_field", name="Minas", area="Other", radius_km=20.0)[0] == "no_results"
+    assert spatial.ask_places(p, "near_field", name="Atlantis")[0] == "not_found"
+    assert spatial.ask_places(p, "distance", start="Duri", end="Atlantis")[0] == "not_found"
+    assert spatial.ask_places(p, "distance", start="Duri", end="Minas")[1].first()["distance_km"] == pytest.approx(33.36, abs=0.01)
+    assert [r.id for r in spatial.ask_places(p, "in_area", area="rokan")[1].collect()] == [1, 2, 3]
+    assert spatial.ask_places(p, "coordinates", name="Nowhere")[0] == "not_found"
+    assert spatial.ask_places(p, "nearest", lat=0.0, long=0.0, radius_km=1.0, limit=3)[0] == "no_results"
+    assert spatial.ask_places(p, "adjacent_areas", area="Rokan", radius_km=2000.0)[1].first()["name"] == "Other"
+    assert spatial.ask_places(p, "average_distance", names=["duri", "minas"])[1].first()["n_pairs"] == 3
+    assert spatial.ask_places(p, "anything")[0] == "error" and spatial.ask_places(p, "near_field")[0] == "error"
+
+
+def test_pair_statistics_refuse_many_points(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_NAMED", 2)
+    with pytest.raises(ValueError):
+        spatial.pair_statistics(named_points(spark))
+
+
+def test_running_numbers_and_sums(spark):
+    df = spark.createDataFrame([(k * 7 % 50, k, float(k % 3)) for k in range(50)], "a int, b int, v double").repartition(5)
+    rows = running(df, [F.col("a").desc(), F.col("b").asc()], ("v",)).orderBy("number").collect()
+    assert [r.number for r in rows] == list(range(50)) and [r.a for r in rows] == sorted((r.a for r in rows), reverse=True)
+    assert [r.v_before for r in rows] == list(itertools.accumulate([0.0] + [r.v for r in rows]))[:-1]
+    assert running(df.limit(0), [F.col("a").asc()]).count() == 0
+
+
+def test_load_from_files(spark, tmp_path):
+    (tmp_path / "project_resources.csv").write_text("project_id;report_year;uncert_level;project_class;project_stage;rec_oil\n1;2024;2. Middle Value;1. Reserves & GRR;2. Exploration;1.5\n2;2023;;4. Abandoned;;\n")
+    (tmp_path / "project_timeseries.csv").write_text("project_id;report_year;year;wk_lat;tpf_oc\n1;2024;2030;9.5;2\n1;2024;2031;10.5;3\n")
+    out = files.load(spark, str(tmp_path), str(tmp_path / "out"))
+    snap = {r.project_id: r for r in out["project_resources"].collect()}
+    assert (snap["1"].project_stage, snap["1"].is_discovered, snap["2"].is_discovered, snap["1"].report_year) == ("Exploration", 1, None, 2024)
+    years = out["project_timeseries"].collect()
+    assert len({r.uuid for r in years}) == 2 and {r.project_uuid for r in years} == {snap["1"].project_uuid} and min(r.wk_lat for r in years) == 9.5
+    assert out["project_resources"].where("report_year = 2024").count() == 1
+    with pytest.raises(ValueError):
+        files.read_table(spark, str(tmp_path), "project_resources", "zip", V.snapshot_schema())
+    assert files.source_url("https://host/", "project_timeseries", 2020).endswith("v2/project-timeseries?verbose=3&output=csv&report-year=2024")
+    snap_frame = out["project_resources"]
+    snap_frame.createOrReplaceTempView("loaded_snapshot")
+    assert ("project_id", "string") in files.table_columns(spark, "loaded_snapshot")
+    assert {r.table_name: r.n_rows for r in files.table_sizes(spark).collect()}["loaded_snapshot"] == 2
+
+
+def test_all_levels_of_the_whole_schema(spark):
+    snap = spark.createDataFrame([], V.snapshot_schema())
+    field, area, nation = rollup.resources(snap)
+    assert {"rf_gas", "urf_res_oil", "field_remarks", "groovy_count", "dcpy_uc_an", "ioip"} <= set(field.columns)
+    assert {"wa_remarks", "unitisasi_count", "pod_count", "urf_rec_gas", "wk_id"} <= set(area.columns)
+    assert {"wa_count", "pod_count", "field_count"} <= set(nation.columns) and "rf_oil" not in nation.columns
+    assert [x.count() for x in rollup.forecasts(spark.createDataFrame([], V.series_schema()))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("text,year", [("cadangan tahun 2023", 2023), ("tahun2021", 2021), ("data year 2019 ok", 2019), ("in 2020 and 2021", 2020), ("tahun 23", 2023), ("tahun 1999", None), ("kode 20233", None), ("nothing", None), (None, None)])
+def test_asked_year(spark, text, year):
+    assert one(spark, resolve.asked_year(F.lit(text).cast("string"))) == year
+
+
+def test_entities_become_filters(spark):
+    q = spark.createDataFrame([(1, "cadangan terbukti lapangan duri tahun 2024"), (2, "produksi Rokan"), (3, "duri dan minas"), (4, "apa saja"), (5, None)], "k int, t string")
+    names = spark.createDataFrame([("Field", "Duri"), ("Field", "Minas"), ("WorkingArea", "Rokan"), ("Field", "Duri")], "kind string, name string")
+    got = {r.k: (r.status, r.name, r.suggested_table, r.filter_column) for r in resolve.resolve_names(q, "k", "t", names).collect()}
+    assert got[1] == ("success", "Duri", "field_resources", "field_name") and got[2] == ("success", "Rokan", "wa_timeseries", "wk_name")
+    assert got[3][0] == "ambiguous" and got[4] == got[5] == ("failed", None, "project_resources", None)
+    rows = rollup_rows(spark)
+    assert rows.where(resolve.entity_filter(rows, {"year": 2023, "level": V.LOW, "field": None})).count() == 1
+    with pytest.raises(ValueError):
+        resolve.entity_filter(rows, {"operator": "x"})
+    said = resolve.resolve(q, "k", "t").where("k = 1").first()
+    assert (said.year, said.level, said["class"]) == (2024, V.LOW, "1. Reserves & GRR")
+
+
+def test_contextual_filters(spark):
+    rows = rollup_rows(spark)
+    assert rows.where(search.contextual(rows, {"report_year": 2024, "wk_name": "nor", "field_name": "a"})).count() == 1
+    with pytest.raises(ValueError):
+        search.contextual(rows, {"1=1": "x"})
+    with pytest.raises(ValueError):
+        search.contextual(rows, {"province": "x"})
+
+
+def test_embeddings_are_refreshed(spark):
+    embed = search.hashing_embedder(8)
+    old = search.refresh_embeddings(None, spark.createDataFrame([(1, "a", "alpha beta"), (1, "b", "gamma"), (2, "a", ""), (3, "a", None)], "id int, o string, t string"), ["id"], "t", ["o"], embed)
+    assert [(r.id, r.o) for r in old.collect()] == [(1, "a")]
+    new = search.refresh_embeddings(old, spark.createDataFrame([(1, "z", "delta"), (4, "z", "x")], "id int, o string, t string"), ["id"], "t", ["o"], embed)
+    assert sorted((r.id, r.o) for r in new.collect()) == [(1, "z"), (4, "z")]
+    # a long word counts with all of it
+    a, b = (r.v for r in search.embed_column(spark.createDataFrame([("x" * 40 + "a",), ("x" * 40 + "b",)], "t string"), "t", "v", search.hashing_embedder(512)).collect())
+    assert a != b
+
+
+def test_code_search_scores(spark):
+    asked = spark.createDataFrame([(1, "subsurface"), (2, "1.1.1"), (3, "zzz"), (4, None)], "k int, q string")
+    got = {}
+    for r in search.code_search(asked, "k", "q").collect():
+        got.setdefault(r.k, []).append((r.code, r.score))
+    assert got == {1: [("1.1.1", 50)], 2: [("1.1.1", 100)]}
+    assert search.codes_in_category(spark, "economics").count() == 5
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        scratch.root(Cluster())
+    kept = scratch.settle(spark.range(3), "kept")
+    assert kept.count() == 3 and scratch.clear_scratch(spark) and not scratch.clear_scratch(spark)
+
+
+def test_as_of_join_of_one_key_over_many_ranges(spark):
+    r = np.random.default_rng(2)
+    left = [(1, int(t)) for t in r.integers(-50, 3000, 400)] + [(None, 5), (1, None)]
+    right = [(1, int(t), f"v{k}") for k, t in enumerate(np.unique(r.integers(0, 2900, 150)))] + [(None, 2, "n"), (1, None, "x"), (1, 100, None)]
+    got = sorted((str(x.k), str(x.t), str(x.v)) for x in analysis.as_of_join(spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "k int, t int, v string"), ["k"], "t", "t", "v").collect())
+    want = []
+    for k, t in left:
+        best = max((x for x in right if x[0] == k and x[1] is not None and t is not None and x[1] <= t and x[2] is not None), key=lambda x: x[1], default=None)
+        want.append((str(k), str(t), str(best[2] if best else None)))
+    assert got == sorted(want)
