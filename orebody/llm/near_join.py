@@ -4,14 +4,16 @@ Documents with equal sets of five-word shingles are one class.  Classes that sha
 of MinHash values fall into one cluster; inside a cluster every pair is compared a few
 MinHash values at a time and dropped once the posterior probability that its similarity
 reaches the threshold is below a tolerance; what remains is verified on the exact sets.
-A large cluster is cut into blocks, each pair of blocks is a task's work, and only counts
-and a spanning forest leave it, never the pairs.
+A cluster beyond one block is cut into blocks by the size of the sets, so that blocks
+whose sizes cannot reach the threshold never meet; each pair of blocks is a task's work,
+and only counts and a spanning forest leave it, never the pairs.
 
 Words are runs without ASCII blanks, compared as they stand.  Defined results: a null or
 blank text has no shingle and no link; a text of one to four words is one shingle; rows
-that repeat a doc_id are one document (their classes fall into one component); a row with
-a null doc_id is returned without a component and takes no part; an empty table gives an
-empty result.  Columns other than doc_id and text are ignored.
+that repeat a doc_id are rows of their own, compared with each other like all, counted
+each, and known by their id in what is returned; a row with a null doc_id is returned
+without a component and takes no part; an empty table gives an empty result.  Columns
+other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebody.operators.components import components
@@ -39,6 +41,8 @@ STEP, COMPARED = 16, 64
 TOLERANCE = 1e-6
 #: A block of a cluster holds about so many classes, or bytes of shingles.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 12_000_000
+#: Sets at the threshold differ in size by a factor of 1.25 at most, so by one level.
+LEVEL_BASE = 1.26
 TILE = 512
 
 
@@ -84,7 +88,7 @@ def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, lo, hi, bands): size and 128-bit sum of the shingle set, and its band keys."""
+    """(doc_id, mark, n, lo, hi, bands): size and 128-bit sum of the shingle set of rows (doc_id, mark, text), and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,6 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
+                        "mark": part.column("mark"),
                         "n": pa.array(sizes, pa.int64()),
                         "lo": pa.array(lo, pa.int64()),
                         "hi": pa.array(hi, pa.int64()),
@@ -114,11 +119,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, n long, lo long, hi long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, lo long, hi long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the exact set as sorted 64-bit words."""
+    """(doc_id, mark, shingles): the exact set of rows (doc_id, mark, text) as sorted 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +131,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 shingles, bounds = sets_of(part)
                 raw = pa.py_buffer(np.ascontiguousarray(shingles, "<u8").tobytes())
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), raw])
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "shingles": column.cast(pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "mark": part.column("mark"), "shingles": column.cast(pa.binary())})
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, shingles binary")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -198,17 +203,17 @@ def exact_shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nda
 
 
 def compare_blocks(work: DataFrame) -> DataFrame:
-    """(rep, links, root) from rows (cluster, b1, b2, block, rep, mult, shingles) that stand group by group."""
+    """(cls, links, root) from rows (*UNIT, level, block, cls, mult, shingles) that stand unit by unit."""
     limits = least_matches(THRESHOLD[0] / THRESHOLD[1], TOLERANCE, STEP, COMPARED)
 
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        rep = whole.column("rep").to_numpy()
-        block, mult = whole.column("block").to_numpy(), whole.column("mult").to_numpy()
+        rep = whole.column("cls").to_numpy()
+        level, block, mult = (whole.column(c).to_numpy() for c in ("level", "block", "mult"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in whole.column("shingles")]
-        b1, b2 = whole.column("b1")[0].as_py(), whole.column("b2")[0].as_py()
-        left = np.flatnonzero(block == b1)
-        right = left if b1 == b2 else np.flatnonzero(block == b2)
+        one, two = ((whole.column(f"l{k}")[0].as_py(), whole.column(f"b{k}")[0].as_py()) for k in (1, 2))
+        left = np.flatnonzero((level == one[0]) & (block == one[1]))
+        right = left if one == two else np.flatnonzero((level == two[0]) & (block == two[1]))
         links = np.zeros(len(rep), np.int64)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for i, j in linked_pairs(sets, left, right, limits) if len(left) and len(right) else ():
@@ -223,7 +228,7 @@ def compare_blocks(work: DataFrame) -> DataFrame:
         label = forest(len(rep), *(place[np.concatenate(x)] for x in zip(*ends)))
         root = rep[order][label][place]
         on = links > 0
-        return pa.record_batch({"rep": pa.array(rep[on]), "links": pa.array(links[on]), "root": pa.array(root[on])})
+        return pa.record_batch({"cls": pa.array(rep[on]), "links": pa.array(links[on]), "root": pa.array(root[on])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,7 +236,7 @@ def compare_blocks(work: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "b1", "b2")])
+            keys = np.stack([batch.column(c).to_numpy() for c in UNIT])
             cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key = tuple(keys[:, a])
@@ -244,75 +249,150 @@ def compare_blocks(work: DataFrame) -> DataFrame:
         if held and (out := group(held)) is not None:
             yield out
 
-    return work.mapInArrow(run, "rep long, links long, root long")
+    return work.mapInArrow(run, "cls long, links long, root long")
+
+
+#: What a task's unit of work is known by: two blocks of a cluster, each of a level of sizes.
+UNIT = ["cluster", "l1", "b1", "l2", "b2"]
+
+
+def units(sets: DataFrame) -> DataFrame:
+    """Rows (*UNIT, level, block, cls, mult, shingles): each set in every unit that its block is part of.
+
+    A cluster of one block is one unit.  A larger one is cut by levels of set sizes, and a
+    level into blocks; a block meets the blocks of its own level and of the next.
+    """
+    whole = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes")).where("rows > 1")
+    small = (F.col("rows") <= BLOCK_ROWS) & (F.col("bytes") <= BLOCK_BYTES)
+    level = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.length("shingles") / 8) / F.log(F.lit(LEVEL_BASE)))).cast("int")
+    levelled = sets.join(whole.select("cluster", small.alias("small")), "cluster").withColumn("level", level)
+    sizes = levelled.groupBy("cluster", "level").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = settle(sizes.select("cluster", "level", blocks.alias("here")), "levels")
+    for name, step in (("above", 1), ("below", -1)):
+        other = sizes.select("cluster", (F.col("level") - step).alias("level"), F.col("here").alias(name))
+        sizes = sizes.join(other, ["cluster", "level"], "left")
+    dealt = levelled.join(sizes.na.fill(0, ["above", "below"]), ["cluster", "level"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("here")).cast("int"))
+    at, own = F.col("level"), F.col("block")
+
+    def each(count: str, unit) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), lambda o: o < F.col(count)), unit)
+
+    def pair(l1: Column, b1: Column, l2: Column, b2: Column) -> Column:
+        return F.struct(*[c.cast("int").alias(n) for n, c in zip(UNIT[1:], (l1, b1, l2, b2))])
+
+    every = F.concat(
+        each("here", lambda o: pair(at, F.least(own, o), at, F.greatest(own, o))),
+        each("above", lambda o: pair(at, own, at + 1, o)),
+        each("below", lambda o: pair(at - 1, o, at, own)),
+    )
+    return dealt.withColumn("unit", F.explode(every)).select("cluster", "unit.*", "level", "block", "cls", "mult", "shingles")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): rows and a hash of their text, which tells rows of one id apart."""
+    return columns(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
 
 
 def near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links): each document's class, and each linked class's links and component.
+    """(members, links): each row's class, and each linked class's links and component.
 
-    members: doc_id, rep (least doc_id of the class), mult (documents in it).
-    links: rep, links (documents of other classes linked with it), component.
+    members: doc_id, mark, cls, first (least doc_id and mark of the class), mult (rows in it).
+    links: cls, links (rows of other classes linked with it), least (least first of the component).
     """
     with batch_rows(docs.sparkSession, 1000):
-        return _near_join(columns(docs, doc_id="long", text="string"))
+        return _near_join(marked(docs))
 
 
 def _near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = settle(fingerprints(docs), "prints")
     usable = prints.where("n > 0 AND doc_id IS NOT NULL")
-    classes = settle(usable.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "classes")
-    members = settle(usable.select("doc_id", "lo", "hi").join(classes, ["lo", "hi"]).select("doc_id", "rep", "mult"), "members")
-
-    firsts = usable.join(classes.select("lo", "hi", F.col("rep").alias("doc_id"), "mult"), ["lo", "hi", "doc_id"], "left_semi")
-    bands = firsts.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("band", "first")
-    stars = bands.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-    wanted = clusters.join(members.where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "mult"), "rep")
-    texts = docs.join(clusters.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = shingle_sets(texts).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    sets = settle(sets.join(wanted, "rep").where(F.length("shingles") > 0), "sets")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = sizes.where("rows > 1").select("cluster", blocks.alias("blocks"))
-    dealt = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = dealt.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "rep", "mult", "shingles")
-    work = work.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2")
+    classes = usable.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("mult"))
+    # numbers need only differ; they are written once
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = settle(usable.select("doc_id", "mark", "lo", "hi").join(classes, ["lo", "hi"]).select("doc_id", "mark", "cls", "first", "mult"), "members")
+
+    firsts = usable.join(classes.select("lo", "hi", "cls", "first.doc_id", "first.mark"), ["lo", "hi", "doc_id", "mark"])
+    bands = firsts.select("cls", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least <> last").select("band", "least")
+    stars = bands.join(buckets, "band").where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    clusters = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+
+    wanted = settle(clusters.join(classes, "cls").select("cls", "cluster", "mult", "first.doc_id", "first.mark"), "wanted")
+    texts = docs.join(wanted.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
+    sets = shingle_sets(texts).dropDuplicates(["doc_id", "mark"])
+    sets = settle(sets.join(wanted, ["doc_id", "mark"]).where(F.length("shingles") > 0).select("cls", "cluster", "mult", "shingles"), "sets")
+    work = units(sets).repartition(*UNIT).sortWithinPartitions(*UNIT)
     found = settle(compare_blocks(work), "found")
 
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    return members, settle(counts.join(linked.withColumnRenamed("node", "rep"), "rep"), "linked")
+    linked = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+    least = linked.join(classes.select("cls", "first"), "cls").groupBy("component").agg(F.min("first").alias("least"))
+    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    return members, settle(counts.join(linked.join(least, "component"), "cls").select("cls", "links", "least"), "linked")
 
 
 def annotate(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, component_id, n_links, kept) of every row of ``docs``.
 
     class_id: least doc_id with the same shingle set; component_id: least doc_id that links
-    lead to; n_links: other documents at the threshold or above, copies included; kept:
-    whether the document stands for its component.
+    lead to; n_links: other rows at the threshold or above, copies included; kept: whether
+    the row stands for its component.
     """
     members, links = near_join(docs)
-    joined = members.join(links, "rep", "left").select(
+    least = F.coalesce("least", "first")
+    joined = members.join(links, "cls", "left").select(
         "doc_id",
-        F.col("rep").alias("class_id"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.col("first.doc_id").alias("class_id"),
+        least["doc_id"].alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"),
+        (F.struct("doc_id", "mark") == least).alias("kept"),
     )
     # rows without a shingle or without an id stand for themselves
     alone = columns(docs, doc_id="long", text="string").where("doc_id IS NULL OR coalesce(text, '') NOT RLIKE '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]'")
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return joined.unionByName(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component: the copies of its least doc_id go to one row."""
+    """One row of each component: that of the least doc_id (of rows that repeat it, the least by a hash of the text).
+
+    Rows without a shingle or without an id stay.
+    """
     members, links = near_join(docs)
-    doomed = members.join(links, "rep", "left").where("doc_id <> coalesce(component, rep)").select("doc_id").distinct()
-    return docs.join(doomed, docs["doc_id"] == doomed["doc_id"], "left_anti")
+    settled = settle(members.join(links, "cls", "left").select("doc_id", "mark", F.coalesce("least", "first").alias("least")), "standing")
+    gone = settled.where(F.struct("doc_id", "mark") != F.col("least")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    names = {c.lower(): c for c in docs.columns}
+    own_id, own_mark = docs[names["doc_id"]].cast("long"), F.xxhash64(docs[names["text"]].cast("string"))
+    left = docs.join(gone, (own_id == F.col("__id")) & (own_mark == F.col("__mark")), "left_anti")
+    # rows that repeat id and text are one; those alone are shuffled
+    twice = settled.where(F.struct("doc_id", "mark") == F.col("least")).groupBy("doc_id", "mark").count().where("count > 1")
+    twice = settle(twice.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), "repeated")
+    if twice.isEmpty():
+        return left
+    same = (left[names["doc_id"]].cast("long") == F.col("__id")) & (F.xxhash64(left[names["text"]].cast("string")) == F.col("__mark"))
+    repeated = left.join(twice, same, "left_semi").dropDuplicates([names["doc_id"], names["text"]])
+    return left.join(twice, same, "left_anti").unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = r"regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
+_RUNS = "unnest(list_transform(range(1, CASE WHEN len(w) >= 5 THEN len(w) - 3 WHEN len(w) > 0 THEN 2 ELSE 1 END), lambda i: array_to_string(w[i:i + 4], ' ')))"
+#: Exact Jaccard similarities of all pairs that share a shingle, and the transitive closure of the links.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+runs AS MATERIALIZED (SELECT DISTINCT doc_id, {_RUNS} AS run FROM d),
+n AS MATERIALIZED (SELECT doc_id, COUNT(*) AS size FROM runs GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS common FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT x, y, common = p.size AND common = q.size AS same FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE common * {sum(THRESHOLD)} >= {THRESHOLD[0]} * (p.size + q.size)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, y FROM reach r JOIN links ON x = r.other),
+least AS (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY doc_id),
+own AS (SELECT x AS doc_id, COUNT(*) AS n_links, MIN(CASE WHEN same THEN y END) AS twin FROM links GROUP BY x)
+SELECT doc_id, LEAST(doc_id, COALESCE(twin, doc_id)) AS class_id, component_id, COALESCE(n_links, 0)::BIGINT AS n_links, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN own USING (doc_id)
+"""

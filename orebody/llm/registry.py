@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_warc": warc.ORACLE,
+    "op4_near_join": near_join.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }

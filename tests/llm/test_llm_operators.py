@@ -96,6 +96,25 @@ def test_near_join_edges(spark):
     assert {r.doc_id for r in kept.collect()} == set(component.values()) and kept.columns == documents(spark, []).columns
 
 
+def test_near_join_of_rows_that_repeat_an_id(spark):
+    a, b = prose(60, 70), prose(60, 71)
+    rows = [(1, a), (1, b), (2, a + " two more"), (3, b + " two more"), (4, prose(50, 72)), (3, b + " two more"), (1, a)]
+    got = sorted((r.doc_id, r.class_id, r.component_id, r.n_links) for r in near_join.annotate(documents(spark, rows)).collect())
+    # each text is compared, whatever other texts stand under its id
+    assert got == [(1, 1, 1, 2), (1, 1, 1, 2), (1, 1, 1, 2), (2, 1 + 1, 1, 2), (3, 3, 1, 2), (3, 3, 1, 2), (4, 4, 4, 0)]
+    kept = near_join.deduplicate(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, rows[4][1])])
+    again = near_join.deduplicate(documents(spark, rows[::-1])).collect()
+    assert sorted((r.doc_id, r.text) for r in again) == sorted((r.doc_id, r.text) for r in kept)
+
+
+def test_near_join_in_levels_of_sizes(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK_ROWS", 2)
+    words = prose(400, 41).split()
+    # one chain of texts from 100 to 400 words: neighbours are near, ends are not
+    check_near(spark, [(k, " ".join(words[: 100 + 12 * k])) for k in range(25)])
+
+
 def removal_truth(rows):
     raw = [(t or "").encode() for _, t in rows]
     seen = {}
