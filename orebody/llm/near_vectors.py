@@ -12,10 +12,11 @@ Equal vectors are one class.  A cell's members and visitors are dealt out in blo
 only counts and a spanning forest leave a task.
 
 Defined results: a vector that is null, empty, zero, or has a null or non-finite component
-links with nothing; vectors of different lengths do not link; rows that repeat a vec_id are
-vectors of their own that share a component; a row with a null vec_id is returned
-unlinked; an empty table gives an empty result.  Columns other than vec_id and embedding
-are ignored.
+links with nothing; vectors of different lengths do not link; a vector is scaled by its
+largest component first, so that no norm leaves the range of doubles; rows that repeat a
+vec_id are vectors of their own, compared and counted like all; a row with a null vec_id
+is returned unlinked; an empty table gives an empty result.  Columns other than vec_id and
+embedding are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from .shared import settle
 THRESHOLD = 0.95
 #: Codebooks are fitted on at most so many vectors, picked by a hash of the id; every vector is indexed.
 SAMPLE = 20_000
-MAX_CENTROIDS = 128
+#: A codebook of more centroids is the sums of a coarse book and one of what that leaves, both fitted on the sample.
+FITTED = 256
 #: Vectors of a cell aimed at, which sets the number of centroids.
 CELL_ROWS = 48
 BLOCK = 1024
@@ -51,6 +53,7 @@ LEAST_STEPS = 6
 def normalised(raw: pa.Array, kind: str) -> np.ndarray:
     """Unit vectors in double precision from a binary column of equal lengths."""
     x = np.frombuffer(b"".join(raw.to_pylist()), kind).astype(np.float64).reshape(len(raw), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -79,16 +82,21 @@ def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], slack: float) ->
     """
     half = x.shape[1] // 2
     first, second = squared(x[:, :half], books[0]), squared(x[:, half:], books[1])
-    order_1, order_2 = first.argsort(axis=1), second.argsort(axis=1)
-    sorted_1, sorted_2 = np.take_along_axis(first, order_1, 1), np.take_along_axis(second, order_2, 1)
+    least_1, least_2 = first.min(axis=1), second.min(axis=1)
     queries, cells = [], []
     for q in range(len(x)):
-        limit = sorted_1[q, 0] + sorted_2[q, 0] + slack
-        depth = np.searchsorted(sorted_2[q], limit - sorted_1[q], "right")
-        i = np.repeat(order_1[q], depth)
-        j = order_2[q][np.arange(len(i)) - np.repeat(np.cumsum(depth) - depth, depth)]
-        queries.append(np.full(len(i), q))
-        cells.append(i * len(books[1]) + j)
+        near_1 = np.flatnonzero(first[q] <= least_1[q] + slack)
+        near_2 = np.flatnonzero(second[q] <= least_2[q] + slack)
+        near_1, near_2 = near_1[first[q, near_1].argsort()], near_2[second[q, near_2].argsort()]
+        limit = least_1[q] + least_2[q] + slack
+        depth = np.searchsorted(second[q, near_2], limit - first[q, near_1], "right")
+        i = np.repeat(near_1, depth)
+        j = near_2[np.arange(len(i)) - np.repeat(np.cumsum(depth) - depth, depth)]
+        # the nearest cell is visited whatever rounding does to the limit
+        home = first[q].argmin() * len(books[1]) + second[q].argmin()
+        own = np.union1d(i * len(books[1]) + j, [home])
+        queries.append(np.full(len(own), q))
+        cells.append(own)
     return np.concatenate(queries), np.concatenate(cells)
 
 
@@ -121,7 +129,7 @@ def threshold_slack(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> floa
 
 
 def linked_sample(members: DataFrame, code: str) -> pa.Table:
-    """(rep, raw) of at most PROBED vectors with a link, however few vectors of the table have one.
+    """(cls, raw) of at most PROBED vectors with a link, however few vectors of the table have one.
 
     They are looked for among the neighbours in the order of cells, a block at a time, so
     that the pass grows with the table and not with a cell.
@@ -134,11 +142,11 @@ def linked_sample(members: DataFrame, code: str) -> pa.Table:
                 x = normalised(part.column("raw"), code)
                 near = x @ x.T >= THRESHOLD
                 np.fill_diagonal(near, False)
-                yield part.select(["rep", "raw"]).filter(pa.array(near.any(axis=1)))
+                yield part.select(["cls", "raw"]).filter(pa.array(near.any(axis=1)))
 
-    own = F.xxhash64("rep")
-    dealt = members.select("cell", "rep", "raw").repartitionByRange("cell", own).sortWithinPartitions("cell", own)
-    return dealt.mapInArrow(run, "rep long, raw binary").orderBy(F.xxhash64("rep", F.lit("linked")), "rep").limit(PROBED).toArrow()
+    own = F.xxhash64("raw")
+    dealt = members.select("cell", "cls", "raw").repartitionByRange("cell", own).sortWithinPartitions("cell", own)
+    return dealt.mapInArrow(run, "cls long, raw binary").orderBy(F.xxhash64("raw", F.lit("linked")), "raw").limit(PROBED).toArrow()
 
 
 def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray]) -> float:
@@ -148,12 +156,12 @@ def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray
     all vectors, where those are; what comes back is, per sampled vector, a histogram over
     fixed steps of slack.  The slack is never below what pairs at the threshold need.
     """
-    chosen = members.orderBy(F.xxhash64("rep", F.lit("calibrate")), "rep").limit(PROBED).select("rep", "raw").toArrow().combine_chunks()
+    chosen = members.orderBy(F.xxhash64("raw", F.lit("calibrate")), "raw").limit(PROBED).select("cls", "raw").toArrow().combine_chunks()
     least = max(LEAST_STEPS, int(np.ceil(threshold_slack(normalised(chosen.column("raw").combine_chunks(), code), books) / SLACK_STEP)))
     known = linked_sample(members, code)
     if len(known):
         chosen = pa.concat_tables([chosen.cast(known.schema), known]).combine_chunks()
-    ids, first = np.unique(chosen.column("rep").to_numpy(), return_index=True)
+    ids, first = np.unique(chosen.column("cls").to_numpy(), return_index=True)
     asked = (ids, normalised(chosen.column("raw").combine_chunks().take(pa.array(first)), code))
     held = members.sparkSession.sparkContext.broadcast((asked, books))  # at most 2 * PROBED vectors
 
@@ -163,13 +171,13 @@ def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
                 near = x @ normalised(part.column("raw"), code).T >= THRESHOLD
-                near &= ids[:, None] != part.column("rep").to_numpy()
+                near &= ids[:, None] != part.column("cls").to_numpy()
                 i, j = np.nonzero(near)
                 home, back = np.unique(part.column("cell").to_numpy()[j], return_inverse=True)
                 own = beyond_first(x, books, home)[i, back] if len(i) else np.zeros(0)
                 yield pa.record_batch({"query": pa.array(i.astype(np.int32)), "step": pa.array(np.ceil(np.maximum(own, 0) / SLACK_STEP).astype(np.int32))})
 
-    steps = members.select("rep", "cell", "raw").mapInArrow(run, "query int, step int").groupBy("query", "step").count().collect()
+    steps = members.select("cls", "cell", "raw").mapInArrow(run, "query int, step int").groupBy("query", "step").count().collect()
     totals: dict[int, int] = {}
     for r in steps:
         totals[r["query"]] = totals.get(r["query"], 0) + r["count"]
@@ -185,63 +193,79 @@ def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray
     return least * SLACK_STEP
 
 
-def usable(vectors: DataFrame) -> tuple[DataFrame, str]:
-    """(vec_id, dim, raw) of the vectors that can link, and the numpy type of raw."""
-    field = next(f for f in vectors.schema.fields if f.name.lower() == "embedding")
-    single = isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.FloatType)
-    kind = "float" if single else "double"
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(field.name).cast(f"array<{kind}>").alias("embedding"))
-    v = v.where("vec_id IS NOT NULL AND size(embedding) > 0")
-    sound = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
-    v = v.where(sound & F.exists("embedding", lambda c: c != 0))
-    code = "<f4" if single else "<f8"
+def flagged(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, embedding, sound) of every row, and the numpy type of the components: sound rows can link."""
+    have = {f.name.lower(): f for f in vectors.schema.fields}
+    kind = have["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = vectors.select(F.col(have["vec_id"].name).cast("long").alias("vec_id"), F.col(have["embedding"].name).cast(f"array<{'float' if single else 'double'}>").alias("embedding"))
+    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+    sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda c: c != 0)
+    return v.withColumn("sound", F.coalesce(sound, F.lit(False))), "<f4" if single else "<f8"
+
+
+def packed(sound: DataFrame, code: str) -> DataFrame:
+    """(vec_id, dim, raw) of sound rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding")
-            raw = [np.asarray(e.values.to_numpy(), code).tobytes() for e in column]
-            # the norm of a tiny or huge vector leaves the range of doubles
-            norms = [np.linalg.norm(np.frombuffer(r, code).astype(np.float64)) for r in raw]
-            on = np.array([np.isfinite(n) and n > 0 for n in norms], bool)
-            out = pa.record_batch({"vec_id": batch.column("vec_id"), "dim": pa.array([len(r) // np.dtype(code).itemsize for r in raw], pa.int32()), "raw": pa.array(raw, pa.binary())})
-            yield out.filter(pa.array(on))
+            raw = [np.asarray(e.values.to_numpy(), code).tobytes() for e in batch.column("embedding")]
+            yield pa.record_batch({"vec_id": batch.column("vec_id"), "dim": pa.array([len(r) // np.dtype(code).itemsize for r in raw], pa.int32()), "raw": pa.array(raw, pa.binary())})
+
+    return sound.select("vec_id", "embedding").mapInArrow(pack, "vec_id long, dim int, raw binary")
+
 
-    return v.mapInArrow(pack, "vec_id long, dim int, raw binary"), code
+def book(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids; beyond FITTED all sums of two smaller books, so that the sample need not grow with k."""
+    if k <= FITTED:
+        return k_means(x, k)
+    coarse = k_means(x, min(len(x), int(np.ceil(np.sqrt(k)))))
+    left = x - coarse[squared(x, coarse).argmin(axis=1)]
+    fine = k_means(left, min(len(x), -(-k // len(coarse))))
+    return np.unique((coarse[:, None] + fine[None]).reshape(-1, x.shape[1]), axis=0)
 
 
 def fit_books(vectors: DataFrame, code: str, count: int) -> tuple[np.ndarray, np.ndarray]:
-    chosen = vectors.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("raw").toArrow().combine_chunks()
+    chosen = vectors.orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).select("raw").toArrow().combine_chunks()
     x = normalised(chosen.column("raw").combine_chunks(), code)
-    k = int(min(MAX_CENTROIDS, max(1, round(np.sqrt(count / CELL_ROWS))), len(x)))
+    # the square root of the table's size: cells keep their rows however many vectors there are
+    k = min(len(x), max(1, round(np.sqrt(count / CELL_ROWS)))) if count <= FITTED**2 * CELL_ROWS else round(np.sqrt(count / CELL_ROWS))
     half = x.shape[1] // 2
-    return k_means(x[:, :half], k), k_means(x[:, half:], k)
+    return book(x[:, :half], k), book(x[:, half:], k)
 
 
-def compare(work: DataFrame, code: str, held, slack: float) -> DataFrame:
-    """(rep, links, root) from rows (cell, m, p, visitor, home, rep, mult, raw) that stand group by group."""
+def compare(work: DataFrame, code: str) -> DataFrame:
+    """(cls, links, root) from rows (cell, m, p, visitor, home, visits, cls, mult, raw) that stand group by group.
+
+    ``visits`` holds the cells that a member visits itself.
+    """
 
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         visitor = whole.column("visitor").to_numpy(zero_copy_only=False)
-        rep, mult = whole.column("rep").to_numpy(), whole.column("mult").to_numpy()
+        cls, mult, home = (whole.column(c).to_numpy() for c in ("cls", "mult", "home"))
         queries, members = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         if not len(queries) or not len(members):
             return None
         x = normalised(whole.column("raw"), code)
-        near = (x[queries] @ x[members].T >= THRESHOLD) & (rep[queries][:, None] != rep[members])
+        near = (x[queries] @ x[members].T >= THRESHOLD) & (cls[queries][:, None] != cls[members])
         i, j = np.nonzero(near)
         if not len(i):
             return None
-        links = np.zeros(len(rep), np.int64)
+        links = np.zeros(len(cls), np.int64)
         np.add.at(links, queries[i], mult[members[j]])
         # a member that does not visit the query's own cell learns of the link here
-        home, back = np.unique(whole.column("home").to_numpy()[queries], return_inverse=True)
-        unaware = beyond_first(x[members], held.value, home)[j, back[i]] > slack
+        own = whole.column("visits").take(pa.array(members))
+        known = np.repeat(np.arange(len(members)), own.value_lengths().to_numpy()), own.flatten().to_numpy()
+        cells, spot = np.unique(np.concatenate([known[1], home[queries]]), return_inverse=True)
+        visited = np.unique(known[0] * len(cells) + spot[: len(known[1])])
+        asked = j * len(cells) + spot[len(known[1]) :][i]
+        unaware = ~np.isin(asked, visited)
         np.add.at(links, members[j[unaware]], mult[queries[i[unaware]]])
-        names, place = np.unique(rep, return_inverse=True)
+        names, place = np.unique(cls, return_inverse=True)
         label = forest(len(names), place[queries[i]], place[members[j]])
         on = np.flatnonzero(links > 0)
-        return pa.record_batch({"rep": pa.array(rep[on]), "links": pa.array(links[on]), "root": pa.array(names[label[place[on]]])})
+        return pa.record_batch({"cls": pa.array(cls[on]), "links": pa.array(links[on]), "root": pa.array(names[label[place[on]]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -262,73 +286,91 @@ def compare(work: DataFrame, code: str, held, slack: float) -> DataFrame:
         if held and (out := group(held)) is not None:
             yield out
 
-    return work.mapInArrow(run, "rep long, links long, root long")
+    return work.mapInArrow(run, "cls long, links long, root long")
 
 
 def links_of(classes: DataFrame, code: str) -> DataFrame:
-    """(rep, links, root) of the classes (rep, mult, raw) of one length."""
+    """(cls, links, root) of the classes (cls, mult, raw) of one length."""
     count = classes.count()
     books = fit_books(classes, code, count)
     spark = classes.sparkSession
-    held = spark.sparkContext.broadcast(books)  # two tables of at most MAX_CENTROIDS rows
+    held = spark.sparkContext.broadcast(books)  # two tables of as many rows as the root of the number of cells
+    block = max(1, min(BLOCK, 8_000_000 // max(len(b) for b in books)))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = held.value
         for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(s, BLOCK)
+            for s in range(0, batch.num_rows, block):
+                part = batch.slice(s, block)
                 x = normalised(part.column("raw"), code)
                 half = x.shape[1] // 2
                 cell = squared(x[:, :half], one).argmin(axis=1) * len(two) + squared(x[:, half:], two).argmin(axis=1)
-                yield pa.record_batch({"cell": pa.array(cell.astype(np.int64)), "rep": part.column("rep"), "mult": part.column("mult"), "raw": part.column("raw")})
+                yield pa.record_batch({"cell": pa.array(cell.astype(np.int64)), "cls": part.column("cls"), "mult": part.column("mult"), "raw": part.column("raw")})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(s, BLOCK)
+            for s in range(0, batch.num_rows, block):
+                part = batch.slice(s, block)
                 query, cell = visits(normalised(part.column("raw"), code), held.value, slack)
-                yield pa.record_batch({"rep": part.column("rep").take(pa.array(query)), "cell": pa.array(cell.astype(np.int64))})
+                bounds = np.searchsorted(query, np.arange(part.num_rows + 1)).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(bounds), pa.array(cell.astype(np.int64)))
+                yield pa.record_batch([*part.columns, own], names=[*part.schema.names, "visits"])
 
-    members = settle(classes.select("rep", "mult", "raw").mapInArrow(place, "cell long, rep long, mult long, raw binary"), "cells")
+    members = settle(classes.select("cls", "mult", "raw").mapInArrow(place, "cell long, cls long, mult long, raw binary"), "cells")
     slack = calibrate(members, code, books)
-    probes = settle(members.select("rep", "raw").mapInArrow(probe, "rep long, cell long"), "visits")
+    # what a vector visits is decided here, once, and read from here by both ends of a pair
+    members = settle(members.mapInArrow(probe, "cell long, cls long, mult long, raw binary, visits array<long>"), "visits")
+    probes = members.select(F.explode("visits").alias("cell"), "cls", "mult", "raw", F.col("cell").alias("home"))
     cells = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ms"))
     cells = cells.join(probes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ps")), "cell")
     cells = settle(cells, "grid")
     # visited cells without members fall away here; the grid has a row for each occupied cell
-    visiting = probes.join(cells, "cell").join(members.select("rep", "mult", "raw", F.col("cell").alias("home")), "rep")
-    own = F.xxhash64("rep")
+    visiting = probes.join(cells, "cell").withColumn("visits", F.lit(None).cast("array<long>"))
+    own = F.xxhash64("cls")
     visiting = visiting.withColumn("p", F.pmod(own, F.col("ps")).cast("int")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)))
     staying = members.withColumn("home", F.col("cell")).join(cells, "cell")
     staying = staying.withColumn("m", F.pmod(own, F.col("ms")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)))
-    names = ["cell", "m", "p", "visitor", "home", "rep", "mult", "raw"]
+    names = ["cell", "m", "p", "visitor", "home", "visits", "cls", "mult", "raw"]
     work = visiting.withColumn("visitor", F.lit(True)).select(*names).unionByName(staying.withColumn("visitor", F.lit(False)).select(*names))
-    return settle(compare(work.repartition("cell", "m", "p").sortWithinPartitions("cell", "m", "p"), code, held, slack), "links")
+    return settle(compare(work.repartition("cell", "m", "p").sortWithinPartitions("cell", "m", "p"), code), "links")
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
-    sound, code = usable(vectors)
-    sound = settle(sound.withColumn("key", F.sha2("raw", 256)), "vectors")
-    classes = settle(sound.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
-    ids = settle(sound.select("vec_id", "key").join(classes, "key").select("vec_id", "key", "rep", "mult"), "members")
-    firsts = sound.join(classes.select("key", F.col("rep").alias("vec_id"), "mult"), ["key", "vec_id"]).dropDuplicates(["key", "vec_id"])
-    firsts = settle(firsts.select(F.col("vec_id").alias("rep"), "mult", "dim", "raw"), "firsts")
+    rows, code = flagged(vectors)
+    sound = settle(packed(rows.where("sound"), code).withColumn("key", F.sha2("raw", 256)), "vectors")
+    classes = sound.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
+    # numbers need only differ; they are written once
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    ids = sound.select("vec_id", "key").join(classes.select("key", "cls", "rep", "mult"), "key").select("vec_id", "cls", "rep", "mult")
     found = None
-    for row in firsts.select("dim").distinct().collect():  # the lengths of vectors, not vectors
-        own = links_of(firsts.where(F.col("dim") == row["dim"]), code)
+    for row in classes.select("dim").distinct().collect():  # the lengths of vectors, not vectors
+        own = links_of(classes.where(F.col("dim") == row["dim"]).select("cls", "mult", "raw"), code)
         found = own if found is None else found.unionByName(own)
     if found is None:
         linked = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        known = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "full")
-        linked = ids.join(known, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    name = next(c for c in vectors.columns if c.lower() == "vec_id")
-    lost = vectors.select(F.col(name).cast("long").alias("vec_id")).join(ids.select("vec_id").distinct(), "vec_id", "left_anti")
-    lost = lost.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
+        least = roots.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
+        counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+        known = counts.join(roots.join(least, "component"), "cls").select("cls", "links", "least")
+        linked = ids.join(known, "cls", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    lost = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(lost).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Cosines of all pairs, and the transitive closure of the links.
+ORACLE = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, y FROM reach r JOIN links ON x = r.other),
+least AS (SELECT vec_id, MIN(other) AS component_id FROM reach GROUP BY vec_id),
+own AS (SELECT x AS vec_id, COUNT(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, COALESCE(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least USING (vec_id) LEFT JOIN own USING (vec_id)
+"""

@@ -21,5 +21,6 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op4_near_join": near_join.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_near_vectors": near_vectors.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }

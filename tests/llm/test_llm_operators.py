@@ -178,6 +178,36 @@ def test_vectors_brute_force(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_any_norm_and_repeated_ids(spark):
+    tiny, huge = [3e-320, 4e-320, 0.0], [3e307, 4e307, 1e300]
+    rows = [(1, [3.0, 4.0, 0.0]), (2, tiny), (3, huge), (4, [0.0, 0.0, 1.0]), (4, [0.0, 1e-3, 1.0]), (4, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 3, 4), (4, 3, 4), (4, 3, 4), (5, 3, 4)]
+
+
+@pytest.mark.parametrize("fitted", [256, 4])
+def test_vectors_recall_on_many_links(spark, monkeypatch, fitted):
+    monkeypatch.setattr(near_vectors, "FITTED", fitted)  # with 4, books are sums of two
+    r = np.random.default_rng(fitted)
+    x = r.normal(size=(10_000, 32))
+    # pairs at cosines from 0.93 to 1, and one dense group
+    for k, c in enumerate(np.linspace(0.93, 0.9999, 2_000)):
+        u = x[k] / np.linalg.norm(x[k])
+        w = r.normal(size=32)
+        w -= (w @ u) * u
+        x[5_000 + k] = c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+    x[8_000:8_400] = x[9_000] + 0.1 * r.normal(size=(400, 32))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {v.vec_id: v.n_links for v in near_vectors.near_vectors(df).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(unit[s : s + 1000] @ unit.T >= 0.95).sum(axis=1) - 1 for s in range(0, len(x), 1000)])
+    assert want.sum() > 100_000 and all(got[i] <= want[i] for i in got)
+    pairs = np.flatnonzero(want == 1)
+    assert sum(got.values()) >= 0.98 * want.sum() and sum(got[i] for i in pairs) >= 0.98 * len(pairs)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "<p>x"), (2, "http://b", "<p>x"), (3, None, None), (4, "u", ""), (5, "é", "<é>"), (None, "n", "<p>x"), (None, "m", "only"), (5, "é", "<é>")]
     df = spark.createDataFrame([(*r, 1, "q") for r in rows], "page_id long, url string, html string, address int, payload string")

@@ -19,7 +19,7 @@ def test_slack_without_a_linked_vector_covers_the_threshold(spark):
         return near_vectors.squared(y[:, :32], books[0]).argmin(axis=1) * len(books[1]) + near_vectors.squared(y[:, 32:], books[1]).argmin(axis=1)
 
     rows = [(int(c), i, bytearray(v.tobytes())) for i, (c, v) in enumerate(zip(home(x), x))]
-    slack = near_vectors.calibrate(spark.createDataFrame(rows, "cell long, rep long, raw binary"), "<f8", books)
+    slack = near_vectors.calibrate(spark.createDataFrame(rows, "cell long, cls long, raw binary"), "<f8", books)
     x = x[:1000]
     u = r.normal(size=x.shape)
     u -= (u * x).sum(axis=1, keepdims=True) * x
