@@ -6,14 +6,18 @@ address.  Records are rebuilt by joining the two, and the payload's digests are
 again on the way out and held against the stored ones.
 
 Defined results: a null html is an empty payload and an ordinary payload like any other;
-a null page_id or url is kept as null (its header lines are empty); of equal payloads the
-largest page_id is the response, so rows that repeat both page_id and payload are all
-that same response; an empty table gives an empty archive.  Columns other than page_id,
+a null page_id or url is kept as null (the header line of a url is empty, control
+characters of one are percent-encoded there); of equal payloads the largest page_id is the
+response, so rows that repeat both page_id and payload are all responses, each a record
+with an id of its own; an empty table gives an empty archive.  Columns other than page_id,
 url and html are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from .shared import columns, scratch
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Fixed value: the profile of a revisit whose payload is the same.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -32,40 +38,64 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*runs), CONV_DIGITS, BASE32_DIGITS)
 
 
-def header_text(kind: Column) -> Column:
+def record_id(address: Column, number: Column, run: str) -> Column:
+    """A name that no other record has: a hash of the archive, the payload's address and the record's number, as a UUID."""
+    hexed = F.md5(F.concat_ws("|", F.lit(run), address, number.cast("string")))
+    groups = [F.substring(hexed, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *groups), F.lit(">"))
+
+
+def one_line(text: Column) -> Column:
+    """A header's value: line ends and other control characters are percent-encoded, so that none ends the line."""
+    out = F.coalesce(text, F.lit(""))
+    for code in (*range(32), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return out
+
+
+def http_text() -> Column:
+    """The header block of the response that stands before the payload."""
+    return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
+
+
+def header_text(kind: Column, captured: str) -> Column:
     """The WARC/1.1 header block of a record, as it stands in a file."""
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")), F.lit(CRLF))
 
-    record_id = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
-    refers = F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))
+    revisit = F.col("refers_id").isNotNull()
+    block = F.octet_length("http") + F.when(kind == "response", F.col("payload_bytes")).otherwise(0)
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", record_id),
-        line("WARC-Target-URI", F.col("url")),
+        line("WARC-Record-ID", F.col("record_id")),
+        line("WARC-Date", F.lit(captured)),
+        line("WARC-Target-URI", one_line(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(F.col("refers_to").isNotNull(), line("WARC-Refers-To", refers)).otherwise(F.lit("")),
-        line("Content-Length", F.when(kind == "response", F.col("payload_bytes")).otherwise(F.lit(0)).cast("string")),
+        F.when(revisit, F.concat(line("WARC-Refers-To", F.col("refers_id")), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", block.cast("string")),
         F.lit(CRLF),
     )
 
 
-def write_archive(pages: DataFrame, path: str, minimum: int = 0) -> None:
-    """Write ``pages`` (page_id, url, html) as an archive below ``path``.
+def write_archive(pages: DataFrame, path: str, minimum: int = 0, captured: str | None = None) -> None:
+    """Write ``pages`` (page_id, url, html) as an archive below ``path``; ``captured`` is the date of its records, now if none is given.
 
     Only addresses are grouped, never payloads: the digests are aggregated (with partial
     sums, so a payload with a third of all rows costs no more), and the payload rows that
     stand for their group are then picked by a semi-join on page_id.
     """
     spark = pages.sparkSession
+    captured = captured or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = columns(pages, page_id="long", url="string", html="string")
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = rows.select("page_id", "url", payload.alias("payload"))
-    records = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    # numbers need only differ; they are written once
+    records = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), base32_sha1(F.col("payload")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("number"))
     records.write.option("compression", "zstd").parquet(f"{path}/records")
     records = spark.read.schema(records.schema).parquet(f"{path}/records")
-    firsts = records.groupBy("address").agg(F.max("page_id").alias("first_id"))
+    firsts = records.groupBy("address").agg(F.max(F.struct("page_id", "number")).alias("first")).select("address", F.col("first.page_id").alias("first_id"), F.col("first.number").alias("first_number"))
     firsts.write.option("compression", "zstd").parquet(f"{path}/addresses")
     firsts = spark.read.schema(firsts.schema).parquet(f"{path}/addresses")
 
@@ -82,42 +112,39 @@ def write_archive(pages: DataFrame, path: str, minimum: int = 0) -> None:
     heads = records.join(firsts, "address", "left")
     same = F.col("page_id").eqNullSafe(F.col("first_id")) | (F.col("payload_bytes") < F.lit(minimum))
     kind = F.when(same, F.lit("response")).otherwise(F.lit("revisit"))
-    heads = heads.withColumn("refers_to", F.when(~same, F.col("first_id")))
-    heads = heads.select("page_id", "url", "address", "payload_digest", "payload_bytes", kind.alias("record_type"), "refers_to", header_text(kind).alias("header"))
+    run = uuid.uuid4().hex
+    heads = heads.withColumns({"refers_to": F.when(~same, F.col("first_id")), "refers_id": F.when(~same, record_id(F.col("address"), F.col("first_number"), run)), "record_id": record_id(F.col("address"), F.col("number"), run), "http": http_text()})
+    heads = heads.select("page_id", "url", "address", "payload_digest", "payload_bytes", kind.alias("record_type"), "refers_to", "record_id", header_text(kind, captured).alias("header"), "http")
     heads.write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record with its header and payload, the payload's digests verified."""
-    heads = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    checked = payloads.select(
-        "address",
-        "payload",
-        (F.sha2("payload", 256) == F.col("address")).alias("sound"),
-        base32_sha1(F.col("payload")).alias("found_digest"),
-        F.length("payload").cast("long").alias("found_bytes"),
-    )
-    return heads.join(checked, "address")
+    """Every record rebuilt by the join of its headers with its payload.
 
-
-def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Records joined with what their stored payloads measure; the bytes stay behind."""
+    record: the bytes of a response as they stand in a file; of a revisit, with the payload
+    that it refers to in place.  The payload is cut from those bytes, measured again and held
+    against the stored address and digest (``sound``); a record whose payload is missing is not.
+    """
     heads = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads")
-    checked = payloads.select(
-        "address",
-        F.when(F.sha2("payload", 256) == F.col("address"), base32_sha1(F.col("payload"))).alias("found_digest"),
-        F.length("payload").cast("long").alias("found_bytes"),
-    )
-    return heads.join(checked, "address", "left")
+    payloads = spark.read.parquet(f"{path}/payloads").withColumnRenamed("payload", "stored")
+    # AQE splits the partition of a hot payload
+    whole = heads.join(payloads, "address", "left")
+    before = F.concat(F.encode("header", "UTF-8"), F.encode("http", "UTF-8"))
+    whole = whole.withColumn("record", F.concat(before, F.col("stored"), F.encode(F.lit(CRLF * 2), "UTF-8"))).drop("stored")
+    start = F.octet_length("header") + F.octet_length("http")
+    whole = whole.withColumn("payload", F.substring(F.col("record"), start + 1, F.octet_length("record") - start - 4))
+    whole = whole.withColumns({"found_digest": base32_sha1(F.col("payload")), "found_bytes": F.length("payload").cast("long")})
+    sound = (F.sha2("payload", 256) == F.col("address")) & (F.col("found_digest") == F.col("payload_digest")) & (F.col("found_bytes") == F.col("payload_bytes"))
+    return whole.withColumn("sound", F.coalesce(sound, F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    back = read_digests(spark, path)
-    return back.select("page_id", F.col("found_bytes").alias("payload_bytes"), F.col("found_digest").alias("payload_digest"), "record_type", "refers_to")
+    back = read_archive(spark, path)
+    # what a broken record measures is not reported
+    digest, size = F.when(F.col("sound"), F.col("found_digest")), F.when(F.col("sound"), F.col("found_bytes"))
+    return back.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 #: DuckDB has no base 32; the digits are cut from SHA-1's hex, five bits at a time.

@@ -222,10 +222,40 @@ def test_warc_round_trip(spark):
     assert kinds[1, "http://a"] == ("revisit", 2) and kinds[2, "http://b"] == ("response", None)
     assert kinds[3, ""] == ("revisit", 4) and kinds[-1, "n"] == ("revisit", 2) and kinds[-1, "m"] == ("response", None)
     assert spark.read.parquet(f"{path}/payloads").count() == 4
-    assert any("WARC-Refers-To: <urn:page:2>" in r.header for r in back)
+    by_id = {r.record_id: r for r in back}
+    assert len(by_id) == len(rows)
+    for r in back:
+        raw = bytes(r.record)
+        head, http, rest = raw.split(b"\r\n\r\n", 2)
+        lines = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and lines["WARC-Record-ID"] == r.record_id and len(lines["WARC-Date"]) == 20
+        assert rest == bytes(r.payload) + b"\r\n\r\n"
+        if r.record_type == "revisit":
+            assert by_id[lines["WARC-Refers-To"]].page_id == r.refers_to and by_id[lines["WARC-Refers-To"]].record_type == "response"
+            assert lines["WARC-Profile"].endswith("identical-payload-digest") and int(lines["Content-Length"]) == len(http) + 4
+        else:
+            assert "WARC-Refers-To" not in lines and int(lines["Content-Length"]) == len(http) + 4 + len(r.payload)
     empty = shared.scratch(spark, "t")
     warc.write_archive(df.where("false"), empty)
-    assert warc.read_digests(spark, empty).count() == 0
+    assert warc.read_archive(spark, empty).count() == 0
+
+
+def test_warc_of_odd_urls_and_lost_payloads(spark):
+    rows = [(1, "http://a/\r\nWARC-Type: request", "x" * 3_000_000), (2, "b", "lost")]
+    path = shared.scratch(spark, "t")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path, captured="2020-01-02T03:04:05Z")
+    first = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
+    assert "http://a/%0D%0AWARC-Type: request" in first[1].header and first[1].header.count("WARC-Type: r") == 2
+    assert "WARC-Date: 2020-01-02T03:04:05Z" in first[1].header and first[1].sound and len(first[1].payload) == 3_000_000
+    gone = spark.read.parquet(f"{path}/payloads").where("length(payload) > 100")
+    gone.write.parquet(f"{path}/rest")
+    import os
+    import shutil
+
+    at = path.removeprefix("file://")
+    shutil.rmtree(f"{at}/payloads")
+    os.rename(f"{at}/rest", f"{at}/payloads")
+    assert {r.page_id: r.sound for r in warc.read_archive(spark, path).collect()} == {1: True, 2: False}
 
 
 def test_tokens_round_trip(spark):
