@@ -10,7 +10,8 @@ Text: character references are decoded, white space inside a block becomes one s
 are trimmed, and blocks are joined by one line feed in page order.
 
 Defined results: a null, empty or text-free page gives an empty text; broken markup is read
-as far as it goes (an unclosed element ends with its parent); a null page_id or url is
+as far as it goes (an unclosed element ends with its parent, an unclosed silent one before
+the next block); a null page_id or url is
 kept; rows that repeat are extracted each; an empty table gives an empty result.  Columns
 other than page_id, url and html are ignored.
 """
@@ -40,6 +41,8 @@ BLOCKS = frozenset(
 SILENT = frozenset("script style noscript template title textarea select option button iframe svg math object audio video canvas head legend datalist".split())
 #: Elements whose content is raw text up to their own end tag.
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Silent elements in which a block cannot stand.
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening element ends these open ones, up to the element that holds them.
 CLOSES = {
@@ -109,6 +112,30 @@ def parse(html: str) -> Page:
             if links:
                 linked += len(piece)
 
+    endless: set[str] = set()  # silent elements without a further end tag
+    loose: list[int] = []  # open silent elements that end before the next block, by their place in the stack
+
+    def lowered() -> str:
+        nonlocal lower
+        if lower is None:
+            lower = html.lower()
+            if len(lower) != len(html):  # a letter whose lower case is longer
+                lower = re.sub(r"[A-Z]+", lambda x: x[0].lower(), html)
+        return lower
+
+    def unclosed(name: str) -> bool:
+        """Whether a silent element just opened has no end tag before the next one opens, or holds no blocks by its kind."""
+        if name in FOREIGN or name in endless:
+            return True
+        if name == "option":  # ends with its select
+            return False
+        stop = lowered().find("</" + name, at)
+        if stop < 0:
+            endless.add(name)
+            return True
+        again = lowered().find("<" + name, at, stop)
+        return again >= 0 and name != "object"
+
     at = 0
     while True:
         m = MARKUP.search(html, at)
@@ -133,11 +160,7 @@ def parse(html: str) -> Page:
                     flush()
             continue
         if name in RAW and not rest.endswith("/"):
-            if lower is None:
-                lower = html.lower()
-                if len(lower) != len(html):  # a letter whose lower case is longer
-                    lower = re.sub(r"[A-Z]+", lambda x: x[0].lower(), html)
-            stop = lower.find("</" + name, at)
+            stop = lowered().find("</" + name, at)
             at = len(html) if stop < 0 else stop
             if stop >= 0:
                 at = html.find(">", stop) + 1 or len(html)
@@ -151,10 +174,19 @@ def parse(html: str) -> Page:
             continue
         if name in SILENT:
             if not rest.endswith("/"):
+                if name != "head" and unclosed(name):
+                    loose.append(len(stack))
                 stack.append((name, stack[-1][1]))
                 silent += 1
             continue
-        if name not in BLOCKS or silent and name != "body":
+        if name not in BLOCKS:
+            continue
+        while loose and loose[-1] >= len(stack):  # closed meanwhile
+            loose.pop()
+        if silent and len(loose) == silent:
+            close(loose[0])
+            loose.clear()
+        if silent and name != "body":
             continue
         if name == "body":
             found = next((k for k in range(1, len(stack)) if stack[k][0] == "head"), 0)
@@ -198,6 +230,12 @@ def parse(html: str) -> Page:
     return page
 
 
+def node_words(page: Page, k: int) -> tuple[str, ...]:
+    """What is said of a node in words: its tag, its names, and that it has none."""
+    tag = f"<{page.tags[k]}>"
+    return (tag, *page.names[k]) if page.names[k] else (tag, f"{tag} bare")
+
+
 NUMBERS = ("text", "long", "links", "all-links", "many-blocks", "ends", "short")
 
 
@@ -225,8 +263,7 @@ def features(pages: list[Page], known: dict[str, int]) -> tuple[np.ndarray, ...]
             p = page.parents[k]
             if p >= 0:
                 level[k] = level[p] + 1
-            words = [f"<{page.tags[k]}>", *page.names[k]]
-            for w in words:
+            for w in node_words(page, k):
                 f = known.get(w)
                 if f is not None:
                     node.append(base + k)
@@ -280,7 +317,7 @@ class Model:
 def train(pages: list[str], rounds: int = 150) -> Model:
     """Weights that maximise the likelihood of the pages' labels, less a ridge."""
     parsed = [parse(p) for p in pages]
-    words = sorted({w for p in parsed for k in range(len(p.tags)) for w in (f"<{p.tags[k]}>", *p.names[k])})
+    words = sorted({w for p in parsed for k in range(len(p.tags)) for w in node_words(p, k)})
     known = {w: i + len(NUMBERS) for i, w in enumerate(words)}
     node, feat, value, parent, depth, first = features(parsed, known)
     y = np.concatenate([p.labels for p in parsed]).astype(float)

@@ -10,15 +10,15 @@ from __future__ import annotations
 import random
 
 #: Names that sites give to the parts of their pages.
-CONTENT = ["content", "article", "post", "entry", "entry-content", "post-body", "story", "main-content", "article-body", "text", "page-content", "blog-post"]
-MENU = ["nav", "menu", "navbar", "navigation", "main-menu", "topnav", "breadcrumbs", "breadcrumb", "pagination", "tabs"]
-HEAD = ["header", "masthead", "top", "site-header", "branding", "logo"]
-FOOT = ["footer", "site-footer", "copyright", "legal", "bottom", "foot"]
-SIDE = ["sidebar", "side", "aside", "widget", "related", "recommended", "most-read", "tags", "rail", "toc"]
-ADS = ["ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner", "sponsored", "ad-slot"]
-NOTICES = ["cookie", "cookie-notice", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer"]
-COMMENTS = ["comments", "comment", "comment-list", "replies", "reply", "discussion", "responses", "disqus"]
-SHARE = ["share", "social", "share-bar", "social-links", "follow"]
+CONTENT = ["content", "article", "post", "entry", "entry-content", "post-body", "story", "main-content", "article-body", "text", "page-content", "blog-post", "inhalt", "beitrag", "contenido", "articulo", "contenu", "texte", "konten", "artikel"]
+MENU = ["nav", "menu", "navbar", "navigation", "main-menu", "topnav", "breadcrumbs", "breadcrumb", "pagination", "tabs", "navigacion", "menue", "navigasi"]
+HEAD = ["header", "masthead", "top", "site-header", "branding", "logo", "kopf", "cabecera", "entete"]
+FOOT = ["footer", "site-footer", "copyright", "legal", "bottom", "foot", "fuss", "pie", "pied", "impressum"]
+SIDE = ["sidebar", "side", "aside", "widget", "related", "recommended", "most-read", "tags", "rail", "toc", "seitenleiste", "lateral", "terkait"]
+ADS = ["ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner", "sponsored", "ad-slot", "werbung", "anzeige", "publicidad", "publicite", "iklan"]
+NOTICES = ["cookie", "cookie-notice", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe", "disclaimer", "hinweis", "aviso", "avis"]
+COMMENTS = ["comments", "comment", "comment-list", "replies", "reply", "discussion", "responses", "disqus", "kommentare", "comentarios", "commentaires", "komentar"]
+SHARE = ["share", "social", "share-bar", "social-links", "follow", "teilen", "compartir", "partager", "bagikan"]
 FORMS = ["form", "search", "login", "search-form", "signup", "contact-form"]
 
 
@@ -45,8 +45,9 @@ class Writer:
 
     def article(self) -> str:
         parts = [f"<h1>{self.words(2, 9)}</h1>"] if self.r.random() < 0.8 else []
-        for _ in range(self.r.choice([0, 1, 1, 2, 4, 7])):
-            parts.append(self.paragraph())
+        curt = self.r.random() < 0.15  # some articles are lists of words, a few to a paragraph
+        for _ in range(self.r.choice([0, 1, 1, 2, 2, 4, 4, 7, 7, 30, 120])):
+            parts.append(f"<p>{self.words(1, 4)}</p>" if curt else self.paragraph())
             x = self.r.random()
             if x < 0.08:
                 parts.append(f"<h2>{self.words(2, 6)}</h2>")
@@ -82,7 +83,7 @@ class Writer:
     def page(self) -> str:
         r = self.r
         head = '<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{}</style><script>var t="</p>";</script></head>'
-        nav = r.choice([f'<nav data-y="0">{self.links()}</nav>', f'<div {self.name(MENU)} data-y="0">{self.links()}</div>', f'<header data-y="0"><h2>{self.words(1, 3)}</h2><nav>{self.links()}</nav></header>', f'<div {self.name(HEAD)} data-y="0"><h1>{self.words(1, 3)}</h1>{self.links()}</div>', ""])
+        nav = r.choice([f'<nav data-y="0">{self.links()}</nav>', f'<div {self.name(MENU)} data-y="0">{self.links()}</div>', f'<header data-y="0"><h2>{self.words(1, 3)}</h2><nav>{self.links()}</nav></header>', f'<div {self.name(HEAD)} data-y="0"><h1>{self.words(1, 3)}</h1>{self.links()}</div>', f'<header data-y="0"><{(h := r.choice(["h1", "h2", "p"]))}>{self.words(1, 4)}</{h}></header>', ""])
         foot = r.choice([f'<footer data-y="0">&copy; {self.words(1, 3)} &middot; {self.words(2, 14)}</footer>', f'<div class="{r.choice(FOOT)}" data-y="0"><p>{self.words(2, 12)}</p></div>', f'<footer data-y="0">{self.links()}<p>{self.words(2, 12)}</p></footer>', ""])
         side = r.choice(["", "", f'<aside data-y="0"><h3>{self.words(1, 3)}</h3>{self.links()}</aside>', f'<div class="{r.choice(SIDE)}" data-y="0"><p>{self.words(3, 14)}</p>{self.links()}</div>'])
         body = self.article()
@@ -99,6 +100,10 @@ class Writer:
                 f"<div><div>{body}</div></div>",
                 f"<section class=\"{r.choice(CONTENT)}\">{body}</section>",
                 f"<section>{body}</section>",
+                "<div>" * (deep := r.randint(1, 4)) + body + "</div>" * deep,
+                "<div>" * (deep := r.randint(1, 4)) + self.paragraph() + "</div>" * deep,
+                "<section>" * (deep := r.randint(1, 3)) + self.paragraph() + "</section>" * deep,
+                "<div><div>" + "</div><div>".join(self.paragraph() for _ in range(r.randint(1, 3))) + "</div></div>",
                 f"<div class=\"wrapper\"><div class=\"{r.choice(CONTENT)}\"><article>{body}</article></div></div>",
                 body,
             ]
@@ -110,5 +115,5 @@ class Writer:
         return f'{head}<body data-y="1">' + "".join(parts) + r.choice(["</body></html>", "</body></html>", ""])
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     return [Writer(seed * 100_003 + i).page() for i in range(count)]
