@@ -12,9 +12,11 @@ target 0.  Extra columns are kept by :func:`mix` and ignored by :func:`plan_mix`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.operators.running import running
+
 from .shared import columns, settle
 
 #: Fixed values of the mixing contract.
@@ -36,33 +38,27 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     A common level L gives every source min(ceiling, L * weight).  Sorting by
     ceiling / weight makes the capped sources a prefix, so L follows from running
-    sums; no loop over sources.
+    sums; no loop over sources, and no task that holds them all.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(by_name) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (rank % len(WEIGHTS) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(CEILING))
-    order = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    per = (
-        per.withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(BUDGET_SHARE))
-        .withColumn("weight_all", F.sum("weight").over(everything))
-    )
+    per = running(per, [F.col("source").asc_nulls_last()], number="rank")
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    per = per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(CEILING)).alias("cap"))
+    per = running(per, [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], ("cap", "weight"))
+    per = settle(per, "mix-sources")
+    everything = per.agg((F.sum("source_size") * F.lit(BUDGET_SHARE)).alias("budget"), F.sum("weight").alias("weight_all"))
+    # one row beside every source
+    per = per.crossJoin(F.broadcast(everything))
     # the level if all sources before this one are capped and this one is not
-    level = (F.col("budget") - F.col("capped_before")) / (F.col("weight_all") - F.col("weight_before"))
-    per = per.withColumn("level", level)
+    per = per.withColumn("level", (F.col("budget") - F.col("cap_before")) / (F.col("weight_all") - F.col("weight_before")))
     free = F.col("level") * F.col("weight") < F.col("cap")
-    final = F.min(F.when(free, F.struct(F.col("capped_before"), F.col("level")))).over(everything)["level"]
-    per = per.withColumn("final", final)
+    final = per.agg(F.min(F.when(free, F.struct("cap_before", "number", "level"))).alias("first")).select(F.col("first.level").alias("final"))
+    per = per.crossJoin(F.broadcast(final))
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("weight")))
     return per.select("source", "source_size", target.alias("target"))
 
 
-def copies(rate: Column, doc_id: Column, text: Column | None = None) -> Column:
+def copies(rate: Column, doc_id: Column) -> Column:
     """floor(rate) plus one copy where the id's hash falls below the fraction."""
     key = F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
@@ -85,17 +81,21 @@ def plan_mix(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents themselves, each row repeated as often as the mix takes it."""
-    sizes = settle(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    have = {c.lower(): c for c in docs.columns}
+    source, text, doc_id = (docs[have[c]] for c in ("source", "text", "doc_id"))
+    sizes = settle(docs.select(source.cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
+    # names that the documents do not have
+    own, rate = (next(n for k in range(len(have) + 1) if (n := f"{name}_{k}") not in have) for name in ("goal_source", "goal_rate"))
     goal = targets(sizes).select(
-        F.col("source").alias("__goal_source"),
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CEILING))).otherwise(0.0).alias("__rate"),
+        F.col("source").alias(own),
+        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CEILING))).otherwise(0.0).alias(rate),
     )
     goal = settle(goal, "mix-targets")
     if goal.count() <= BROADCAST_SOURCES:
         goal = F.broadcast(goal)
-    joined = docs.join(goal, docs["source"].cast("string").eqNullSafe(F.col("__goal_source")))
-    times = F.array_repeat(F.lit(0), copies(F.col("__rate"), F.col("doc_id")).cast("int"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias("__copy")).select(*docs.columns)
+    joined = docs.join(goal, source.cast("string").eqNullSafe(F.col(own)))
+    times = F.array_repeat(F.lit(0), copies(F.col(rate), doc_id).cast("int"))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias(own)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
