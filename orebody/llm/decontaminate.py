@@ -10,8 +10,9 @@ wherever a document has one of so many of its shingles that no more may be missi
 escapes.  Each candidate is verified by the exact share of the item's distinct shingles
 that the document has.
 
-Items are a stated query set: they are broadcast in blocks of at most ``ITEMS_AT_ONCE``,
-one pass over the documents for each block, and nothing is shuffled.
+Items are a stated query set: they are broadcast in blocks of at most ``BLOCK_BYTES`` of
+text (an item beyond that is a block of its own), one pass over the documents for each
+block, and nothing of the documents is shuffled.
 
 Defined results: a null or blank document or item is contained in nothing and contains
 nothing; an item of one to four words is one shingle, which only a document of the same
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebody.operators.running import running
+
 from .near_join import coefficients, sets_of
 from .shared import columns, settle
 from .textnp import SHINGLE, as_bytes, shingle_hashes, slices, word_hashes
@@ -37,7 +40,8 @@ from .textnp import SHINGLE, as_bytes, shingle_hashes, slices, word_hashes
 THRESHOLD = 0.8
 #: An item that is a fifth of a window escapes with probability (1 - 0.2)**48 = 2e-5.
 HASHES = 48
-ITEMS_AT_ONCE = 20_000
+#: Bytes of items in one broadcast, where each item counts ``ITEM_BYTES`` more than its text.
+BLOCK_BYTES, ITEM_BYTES = 16_000_000, 1_000
 
 
 def item_tables(items: pa.RecordBatch) -> dict:
@@ -128,13 +132,15 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, containment) of every document that holds an item to the threshold."""
     spark = docs.sparkSession
     docs = columns(docs, doc_id="long", text="string")
-    items = settle(columns(items, item_id="long", text="string"), "items")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    # by a hash, into twice as many parts where one would not do, to stay below the bound
-    parts = 1 if blocks == 1 else 2 * blocks
+    items = columns(items, item_id="long", text="string")
+    items = items.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ITEM_BYTES)
+    order = [F.xxhash64("item_id", "text").asc(), F.col("item_id").asc(), F.col("text").asc()]
+    # a block closes with the item that fills it
+    items = settle(running(items, order, ("bytes",)).withColumn("block", F.floor(F.col("bytes_before") / BLOCK_BYTES)), "items")
+    parts = (items.agg(F.max("block").alias("n")).first()["n"] or 0) + 1
     out: DataFrame | None = None
     for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        chosen = items.where(F.col("block") == part).select("item_id", "text")
         block = chosen.toArrow().combine_chunks().to_batches()
         if not block:
             continue
