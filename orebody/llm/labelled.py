@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns
+from .shared import columns, settle
 from .textnp import slices
 
 #: Documented bounds of what a classifier is fitted on: rows of each class, and code points of a text.
@@ -30,11 +30,12 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column) -> pa
     once = labels.where(learn).groupBy("doc_id").agg(F.max(column).alias("label"))
     docs = columns(docs, doc_id="long", text="string")
     texts = docs.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    known = texts.select("doc_id").distinct()
+    # ids alone are joined; an id that many rows repeat counts once
+    known = settle(texts.select("doc_id").join(once, "doc_id").groupBy("doc_id", "label").count().drop("count"), "labelled")
     order = [F.xxhash64("doc_id", F.lit(column)), F.col("doc_id")]
     picked = None
     for value in (0, 1):
-        own = once.where(F.col("label") == value).join(known, "doc_id", "left_semi").orderBy(*order).limit(ROWS_PER_CLASS)
+        own = known.where(F.col("label") == value).orderBy(*order).limit(ROWS_PER_CLASS)
         picked = own if picked is None else picked.unionByName(own)
     rows = picked.collect()  # at most two classes' worth of ids
     spark = docs.sparkSession

@@ -213,7 +213,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns: those that :func:`classify` predicts as 1.
+
+    Without labels of both kinds that is all documents or none, by the labels' smoothed rate.
+    """
     model = train(docs, labels)
     names = list(docs.columns)
     text_at = [c.lower() for c in names].index("text")
@@ -222,9 +225,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, names[text_at]):
                 if model.field is None:
-                    yield part
-                    continue
-                score = sigmoid(evidence(model, lines_of(part.column(text_at))) @ model.curve)
+                    score = np.full(part.num_rows, model.rate)
+                else:
+                    score = sigmoid(evidence(model, lines_of(part.column(text_at))) @ model.curve)
                 yield part.filter(pa.array(score >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
