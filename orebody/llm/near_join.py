@@ -43,6 +43,8 @@ TOLERANCE = 1e-6
 BLOCK_ROWS, BLOCK_BYTES = 2048, 12_000_000
 #: Sets at the threshold differ in size by a factor of 1.25 at most, so by one level.
 LEVEL_BASE = 1.26
+#: Levels of clusters up to this many rows are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LEVELS = 100_000
 TILE = 512
 
 
@@ -262,17 +264,19 @@ def units(sets: DataFrame) -> DataFrame:
     A cluster of one block is one unit.  A larger one is cut by levels of set sizes, and a
     level into blocks; a block meets the blocks of its own level and of the next.
     """
-    whole = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes")).where("rows > 1")
-    small = (F.col("rows") <= BLOCK_ROWS) & (F.col("bytes") <= BLOCK_BYTES)
-    level = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.length("shingles") / 8) / F.log(F.lit(LEVEL_BASE)))).cast("int")
-    levelled = sets.join(whole.select("cluster", small.alias("small")), "cluster").withColumn("level", level)
-    sizes = levelled.groupBy("cluster", "level").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
+    size = F.floor(F.log(F.length("shingles") / 8) / F.log(F.lit(LEVEL_BASE))).cast("int")
+    levelled = sets.withColumn("size", size)
+    sizes = settle(levelled.groupBy("cluster", "size").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes")), "levels")
+    # a row for each cluster and level
+    whole = sizes.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes")).where("all_rows > 1")
+    sizes = sizes.join(whole, "cluster").withColumn("small", (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_bytes") <= BLOCK_BYTES))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = settle(sizes.select("cluster", "level", blocks.alias("here")), "levels")
+    sizes = sizes.select("cluster", "size", F.when(F.col("small"), 0).otherwise(F.col("size")).alias("level"), F.when(F.col("small"), 1).otherwise(blocks).alias("here"), "small")
     for name, step in (("above", 1), ("below", -1)):
-        other = sizes.select("cluster", (F.col("level") - step).alias("level"), F.col("here").alias(name))
-        sizes = sizes.join(other, ["cluster", "level"], "left")
-    dealt = levelled.join(sizes.na.fill(0, ["above", "below"]), ["cluster", "level"])
+        other = sizes.where("NOT small").select("cluster", (F.col("size") - step).alias("size"), F.col("here").alias(name))
+        sizes = sizes.join(other, ["cluster", "size"], "left")
+    sizes = settle(sizes.drop("small").na.fill(0, ["above", "below"]), "blocks")
+    dealt = levelled.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LEVELS else sizes, ["cluster", "size"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("here")).cast("int"))
     at, own = F.col("level"), F.col("block")
 
