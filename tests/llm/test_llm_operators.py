@@ -294,6 +294,32 @@ def test_mixing(spark):
     assert mixing.plan_mix(documents(spark, [])).count() == 0
 
 
+def test_mixing_of_clashing_columns_and_many_sources(spark):
+    r = random.Random(9)
+    rows = [(i, prose(r.randint(0, 9), i), f"s{r.randint(0, 60)}" if i % 11 else None, 1, 2, 3) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Source string, goal_source_0 int, goal_rate_0 int, number int")
+    size = {}
+    for _, t, s, *_ in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    # water under a ceiling, source by source
+    names = sorted(n for n in size if n is not None) + [None]
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    budget, open_, want = 1.5 * sum(size.values()), set(names), {}
+    while open_:
+        level = budget / sum(weight[n] for n in open_)
+        full = {n for n in open_ if level * weight[n] >= 2 * size[n]}
+        if not full:
+            want |= {n: level * weight[n] for n in open_}
+            break
+        want |= {n: 2.0 * size[n] for n in full}
+        budget -= sum(2 * size[n] for n in full)
+        open_ -= full
+    got = {r.source: r.target for r in mixing.plan_mix(docs).select("source", "target").distinct().collect()}
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in want)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and 0 < mixed.count() <= 1200
+
+
 def test_decontamination_brute_force(spark):
     items = [(1, prose(20, 60)), (2, prose(45, 61)), (3, "one two three four"), (4, None), (5, " "), (None, prose(30, 62)), (6, "w w w w w w w w w w")]
     docs = corpus() + [(700, prose(3000, 70) + " " + items[0][1] + " " + prose(50, 71)), (701, edited(items[1][1], 22, 1)), (702, edited(items[1][1], 5, 1)), (703, "w " * 50), (704, prose(5, 72) + " " + items[5][1]), (705, "one two three four")]
@@ -314,7 +340,7 @@ def test_decontamination_brute_force(spark):
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4_000)
     items = [(k, prose(20 + k, 400 + k)) for k in range(11)]
     docs = [(k, prose(30, k) + " " + t) for k, t in items]
     got = decontaminate.search(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
@@ -348,6 +374,95 @@ def test_classifier_edges(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def by_enumeration(scores, edges):
+    """Marginals of state 1 of a short chain, from all of its state sequences in log space."""
+    n = len(scores)
+    total = np.zeros(n + 1)
+    for states in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(x for x, y in zip(scores, states) if y) + sum(edges[a, b] for a, b in zip(states, states[1:])))
+        total[n] += w
+        total[:n] += w * np.array(states)
+    return total[:n] / total[n]
+
+
+def labelled_texts():
+    """Good and bad lines, clean and toxic words."""
+    r = random.Random(4)
+    junk = lambda: " ".join(r.choice(["CLICK", "!!!", "$$$", "buy", "NOW", "||", "99"]) for _ in range(7))
+    rows, labels = [], []
+    for i in range(120):
+        good, toxic = i % 2, i % 3 == 0
+        lines = [prose(9, i * 10 + k).capitalize() + "." for k in range(3)]
+        if not good:
+            lines[1:] = [junk(), junk()]
+        if toxic:
+            lines.insert(1, f"you {r.choice(['grumbold', 'snarkwit'])} {prose(3, i)}")
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, good, int(toxic)))
+    return rows, labels
+
+
+def test_quality_by_enumeration(spark):
+    rows, labels = labelled_texts()
+    rows += [(500, None), (501, ""), (None, "A line of its own."), (7, "Another text of a known id.\nBUY NOW !!!"), (502, " \n ")]
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = sorted((str(r.doc_id), round(r.score, 9), r.predicted, r.held_out) for r in quality.classify(docs, labels).collect())
+    want = []
+    for i, text in rows:
+        import pyarrow as pa
+
+        lines = quality.lines_of(pa.array([text]))
+        bad = by_enumeration(lines.features @ model.field.weights, model.field.edges) if len(lines.features) else np.zeros(0)
+        share = (bad * lines.lengths).sum() / max(lines.lengths.sum(), 1)
+        score = 1 / (1 + np.exp(-(np.array([share, share**0.5, bad.max(initial=0), 1]) @ model.curve)))
+        want.append((str(i), round(float(score), 9), int(score >= 0.5), i is not None and zlib.crc32(str(i).encode()) % 3 == 1))
+    assert got == sorted(want) and len({g[2] for g in got}) == 2
+    kept = quality.keep_good(docs, labels).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(w[0] for w in want if w[2])
+
+
+def test_toxicity_by_enumeration(spark):
+    import pyarrow as pa
+
+    rows, labels = labelled_texts()
+    rows = [(i, " ".join(t.split()[:14]) if t else t) for i, t in rows] + [(500, None), (501, ""), (None, "you grumbold"), (7, "plain words")]
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    got = sorted((str(r.doc_id), round(r.score, 6), r.predicted) for r in toxicity.classify(docs, labels).collect())
+    want = []
+    for i, text in rows:
+        tokens = toxicity.tokens_of(pa.array([text]))
+        p = by_enumeration(toxicity.token_scores(tokens.features, model.weights, model.bias), model.edges) if len(tokens.features) else np.zeros(0)
+        score = 1 / (1 + np.exp(-(np.array([p.max(initial=0), np.log1p(p[p >= 0.2].sum()), 1]) @ model.curve)))
+        want.append((str(i), round(float(score), 6), int(score >= 0.5)))
+    assert got == sorted(want) and len({g[2] for g in got}) == 2
+
+
+def test_spans_stand_on_the_offending_words(spark):
+    rows, labels = labelled_texts()
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    fresh = [(1, "é words before the grumbold here"), (2, prose(40, 3)), (3, prose(20_000, 5) + " snarkwit " + prose(20_000, 6)), (4, "snarkwit"), (4, "nothing of it")]
+    found = toxicity.tag(documents(spark, fresh), model).collect()
+    texts = [t for _, t in fresh]
+    for r in found:
+        own = [t for i, t in fresh if i == r.doc_id]
+        words = {raw[s.start : s.end].decode() for raw in (t.encode() for t in own) for s in r.spans}
+        if r.spans:
+            assert any(w in ("grumbold", "snarkwit") or "grumbold" in w or "snarkwit" in w for w in words)
+    tagged = [r.doc_id for r in found if r.spans]
+    assert sorted(tagged) == [1, 3, 4] and len(texts) == len(found)
+
+
+def test_classifiers_read_very_long_texts(spark):
+    rows, labels = labelled_texts()
+    long = "\n".join(t for _, t in rows) * 60
+    docs, labels = documents(spark, rows + [(900, long)]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        assert [0 <= r.score <= 1 for r in module.classify(docs, labels).where("doc_id = 900").collect()] == [True]
+
+
 def test_toxic_spans(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -366,6 +481,45 @@ def test_page_extraction_edges(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+STORY = "The first paragraph of a story has a handful of words in it, and ends here."
+MORE = "A second one follows it with some more of them, as such stories have."
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # layouts without an article element
+        (f"<body><nav><a href=/>Home</a></nav><div><div><p>{STORY}</p></div></div><footer>c 2024</footer></body>", STORY),
+        (f"<body><div><div><div><p>{STORY}</p></div></div></div></body>", STORY),
+        (f"<body><main><h1>Title of it</h1><p>{STORY}<p>{MORE}</main><aside><ul><li><a href=/>x</a></li></ul></aside></body>", f"Title of it\n{STORY}\n{MORE}"),
+        (f"<body><header><h2>Site</h2></header><div class='entry-content'><p>{STORY}</p><p>{MORE}</p></div><div class='sidebar'><ul><li><a href=/>one</a></li><li><a href=/>two</a></li></ul></div></body>", f"{STORY}\n{MORE}"),
+        (f"<table><tr><td class='menu'><ul><li><a href=/>a</a></li></ul></td><td class='content'><p>{STORY}</p><p>{MORE}</p></td></tr></table>", f"{STORY}\n{MORE}"),
+        (f"<body><section class='content'><p>{STORY}</p><p>{MORE}</p></section><div class='cookie-notice'>We use cookies. <button>Fine</button></div></body>", f"{STORY}\n{MORE}"),
+        # silent elements that nobody closes end before the next block
+        (f"<body><div><svg><path d='x'><p>{STORY}</p></div></body>", STORY),
+        (f"<body><div><object data=x><p>{STORY}</p><p>{MORE}</p></div></body>", f"{STORY}\n{MORE}"),
+        (f"<body><canvas><div><p>{STORY}</p></div></body>", STORY),
+        (f"<div><button>Press<p>{STORY}</p></div>", STORY),
+        (f"<div><select><option>a<option>b</select><p>{STORY}</p></div>", STORY),
+        # closed ones are silent as a whole
+        (f"<body><div><object data=x><p>fallback</p></object><p>{STORY}</p></div></body>", STORY),
+        (f"<body><article><video><p>no video here</p></video><p>{STORY}</p></article></body>", STORY),
+    ],
+)
+def test_pages_of_other_layouts(page, text):
+    assert html_extract.extract_texts([page], html_extract.default_model()) == [text]
+
+
+def test_very_long_pages(spark):
+    blocks = [f"{prose(30, k)}." for k in range(4_000)]
+    page = "<body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"
+    deep = "<div>" * 3_000 + f"<p>{STORY}</p>"
+    open_ = "<article>" + "<canvas>" * 3_000 + f"<p>{STORY}</p>"
+    df = spark.createDataFrame([(1, "u", page), (2, "u", deep), (3, "u", open_)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got[1] == "\n".join(blocks) and got[2] in ("", STORY) and got[3] == STORY
+
+
 def test_page_extraction_on_pages(spark):
     import html
     import re
@@ -378,7 +532,7 @@ def test_page_extraction_on_pages(spark):
         assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
 
 
-@pytest.mark.parametrize("name", ["op3_warc", "op6_mixing", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op3_warc", "op4_near_join", "op6_mixing", "op7_near_vectors", "op8_decontaminate"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -420,3 +574,27 @@ def test_pipeline_brute_force(spark):
     got = corpus_pipeline.run(spark, sf).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want
     assert len(clean) < len(kept) < len(rows) < len(docs)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    rows = [(1, prose(40, 1)), (2, None), (3, ""), (None, prose(40, 2)), (4, prose(40, 1)), (5, prose(40, 3)), (5, prose(40, 3)), (5, prose(40, 4)), (6, "x" * 100_000)]
+    documents(spark, rows).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, prose(6, 3))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        seen[name] = docs = shared.settle(docs, "edge")
+    names = documents(spark, []).columns
+    assert all(seen[n].columns == names for n in ("quality", "near_copies", "decontaminate", "mix"))
+    # no labels: all stay; copies and repeated rows go; the item is in document 5; rows without an id or words stay
+    assert seen["quality"].count() == len(rows)
+    assert sorted(str(r.doc_id) for r in seen["near_copies"].collect()) == ["1", "2", "3", "5", "5", "6", "None"]
+    assert sorted(str(r.doc_id) for r in seen["decontaminate"].collect()) == ["1", "2", "3", "6", "None"]
+    assert corpus_pipeline.run(spark, sf).count() == seen["mix"].count()
+    documents(spark, []).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
