@@ -2,16 +2,56 @@
 
 Every round each node joins the neighbour (or itself) of least random priority and the
 edges are contracted to those neighbours; priorities change from round to round, so a
-round leaves about half of the nodes whatever the ids or the graph's diameter.
+round leaves about half of the nodes whatever the ids or the graph's diameter.  Once no
+more than ``SMALL`` edges are left, a single task of that bounded size finds the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.sources.scratch import settle
 
+#: Edges that one task takes at most: two ids each, some tens of megabytes.
+SMALL = 500_000
+
+
+def hooked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that the edges (a, b) lead to: roots hook onto smaller ones, then paths are cut short."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(shorter := label[label], label):
+            label = shorter
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of at most SMALL edges, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        a, b = (table.column(c).combine_chunks() for c in ("a", "b"))
+        nodes = pc.unique(pa.concat_arrays([a, b]))
+        label = hooked(len(nodes), *(pc.index_in(x, nodes).to_numpy(zero_copy_only=False) for x in (a, b)))
+        yield pa.record_batch({"node": nodes, "label": nodes.take(pa.array(label))})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.repartition(1).mapInArrow(run, f"node {kind}, label {kind}")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a, b); the component is its least node.
@@ -20,7 +60,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     current = settle(edges.select("a", "b").where("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
-    while not current.isEmpty():
+    while size := current.count():
+        if size <= SMALL:
+            maps.append(settle(_small(current), "labels"))
+            break
         seed = F.lit(len(maps))
         both = current.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(current.select(F.col("b").alias("node"), F.col("a").alias("other")))
         best = both.groupBy("node").agg(F.min_by("other", F.struct(F.xxhash64("other", seed), "other")).alias("other"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
-from orebody.operators import analysis, graph, ids, resolve, rollup, search, spatial, views
+from orebody.operators import analysis, components, graph, ids, resolve, rollup, search, spatial, views
 from orebody.operators.running import running
 from orebody.plans import sqlgate
 from orebody.sources import files, scratch
@@ -458,3 +458,20 @@ def test_as_of_join_of_one_key_over_many_ranges(spark):
         best = max((x for x in right if x[0] == k and x[1] is not None and t is not None and x[1] <= t and x[2] is not None), key=lambda x: x[1], default=None)
         want.append((str(k), str(t), str(best[2] if best else None)))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("small", [500_000, 3, 0])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    r = np.random.default_rng(1)
+    edges = [(k, k + 1) for k in range(60)] + [(int(a), int(b)) for a, b in r.integers(100, 160, (30, 2))] + [(7, 7), (None, 3), (200, 201), (201, 200)]
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {n: n for a, b in edges if a is not None and a != b for n in (a, b)}
+    for _ in label:
+        for a, b in edges:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    words = spark.createDataFrame([("b", "c"), ("c", "a")], "a string, b string")
+    assert {x.component for x in components.components(words).collect()} == {"a"}
+    assert components.components(words.limit(0)).count() == 0
