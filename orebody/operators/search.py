@@ -21,35 +21,42 @@ ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceee
 K1, B = 1.2, 0.75
 
 
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of letters and digits without accents."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS)
-    return F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(folded(text), "[^a-z0-9]+"), "")
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> DataFrame:
-    """(key, score) of the k best documents; documents without a term have no row.
+def query_terms(query: list[str]) -> list[str]:
+    """The words of a query, folded and cut like the texts."""
+    folded = (text.lower().translate(str.maketrans(*ACCENTS)) for text in query)
+    return list(dict.fromkeys(w for text in folded for w in re.findall("[a-z0-9]+", text)))
 
-    Query terms are folded like the texts, and cut where the texts are.
 
-    One pass counts the query's terms in each document, so nothing is exploded: a few
-    numbers a document, one row of corpus statistics beside them.
-    """
-    terms = list(dict.fromkeys(w for text_ in query for w in re.findall("[a-z0-9]+", text_.lower().translate(str.maketrans(*ACCENTS)))))
-    plain = docs.select(F.col(key), F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS).alias("__plain"))
+def _weight(tf: Column, df: Column, n: Column, length: Column, mean: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
-    def count_of(term: str) -> Column:
-        return F.regexp_count("__plain", F.lit(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])"))
 
-    counted = plain.select(key, F.regexp_count("__plain", F.lit("[a-z0-9]+")).alias("length"), *[count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> DataFrame:
+    """(key, score) of the k best documents; documents without a term have no row.
+
+    Query terms are folded like the texts, and cut where the texts are.  One pass counts
+    them in each document's words, so nothing is exploded: a few numbers a document, one row
+    of corpus statistics beside them.  A corpus that is asked often is indexed once
+    (:func:`postings`) and asked by :func:`bm25_of_index`.
+    """
+    terms = query_terms(query)
+    words = docs.select(key, F.array_remove(F.split(folded(F.col(text)), "[^a-z0-9]+"), "").alias("__words"))
+    counts = [(F.size("__words") - F.size(F.array_remove("__words", t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     # the texts are read once: statistics and scores both come from the counts
-    counted = settle(counted, "term-counts")
+    counted = settle(words.select(key, F.size("__words").alias("length"), *counts), "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        score = score + _weight(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("length"), F.col("mean"))
     if not terms:
         return counted.select(key, score.alias("score")).limit(0)
     any_term = F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0
@@ -58,6 +65,22 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int) -> Data
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
+def bm25_of_index(index: DataFrame, lengths: DataFrame, key: str, query: list[str], k: int) -> DataFrame:
+    """(key, score) of the k best documents from ``postings`` and ``lengths``; only the query's terms are read."""
+    own = index.where(F.col("term").isin(*query_terms(query)))
+    stats = lengths.agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("mean"))
+    frequency = own.groupBy("term").agg(F.count("*").alias("df"))
+    # a row for each term of the query, and a single row
+    joined = own.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats))
+    weight = _weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean"))
+    return joined.groupBy(key).agg(F.sum(weight).alias("score")).orderBy(F.col("score").desc(), key).limit(k)
+
+
+def lengths(docs: DataFrame, text: str) -> DataFrame:
+    """(length, n, words): documents and words by length, a small table beside the index."""
+    return docs.select(F.size(tokens(F.col(text))).alias("length")).groupBy("length").agg(F.count("*").alias("n"), F.sum("length").alias("words"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, length): the inverted index, to be written once and searched often."""
     words = docs.select(F.col(key), tokens(F.col(text)).alias("words"))

@@ -285,6 +285,12 @@ def onstream_year(spark, sf_dir):
     return analysis.onstream(s, ["field_id"], "oil", "gas")
 
 
+@query("onstream_known", f"WITH {SERIES} SELECT field_id, COALESCE(MIN(CASE WHEN wk_id % 2 = 0 THEN 1990 + field_id % 9 END), MIN(CASE WHEN tpf_oc > 45 OR slf_oc > 90000 THEN year END)) AS onstream_year FROM series GROUP BY field_id")
+def onstream_known(spark, sf_dir):
+    s = series(spark, sf_dir).withColumns({"oil": F.col("tpf_oc") - 45, "gas": F.col("slf_oc") - 90000, "known": F.when(F.col("wk_id") % 2 == 0, F.col("field_id") % 9 + 1990)})
+    return analysis.onstream(s, ["field_id"], "oil", "gas", known="known")
+
+
 @query("trend", f"WITH {SERIES} SELECT wk_id, year, ROUND(SUM(tpf_oc), 2) AS tpf_oc FROM series WHERE year BETWEEN 1996 AND 1999 GROUP BY wk_id, year")
 def trend(spark, sf_dir):
     return rounded(analysis.trend(series(spark, sf_dir), ["wk_id"], "tpf_oc", 1996, 1999), tpf_oc=2)
@@ -462,6 +468,11 @@ def detail_projection(spark, sf_dir):
     return views.apply_view(projects(spark, sf_dir), views.View(("reserves",), years=(1996, 1998)))
 
 
+@query("view_of_all", "SELECT * FROM customer WHERE c_mktsegment ILIKE '%build%'")
+def view_of_all(spark, sf_dir):
+    return views.apply_view(read(spark, sf_dir, "customer"), views.View(("all",), search="build", search_column="c_mktsegment"))
+
+
 @query("ilike_filter", "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%R#00000%1%' ESCAPE '\\'")
 def ilike_filter(spark, sf_dir):
     c = read(spark, sf_dir, "customer").where(F.col("c_name").ilike("%R#00000%1%"))
@@ -534,6 +545,13 @@ def sql_passthrough(spark, sf_dir):
     return sqlgate.run_sql(spark, SQL_TEXT.format(orders="orebody_orders", customer="orebody_customer"))
 
 
+@query("sql_with_arguments", "SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_acctbal > 1000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_nationkey")
+def sql_with_arguments(spark, sf_dir):
+    read(spark, sf_dir, "customer").createOrReplaceTempView("orebody_customer")
+    text = "SELECT c_nationkey, COUNT(*) AS n FROM orebody_customer WHERE c_acctbal > :least AND c_mktsegment IN (:one, :two) GROUP BY c_nationkey"
+    return sqlgate.run_sql(spark, text, {"least": 1000, "one": "BUILDING", "two": "MACHINERY"})
+
+
 @query(
     "cube_totals",
     "SELECT o_orderstatus, o_orderpriority, GROUPING_ID(o_orderstatus, o_orderpriority)::BIGINT AS level, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
@@ -610,7 +628,18 @@ def pair_stats(spark, sf_dir):
     return rounded(spatial.pair_statistics(places(spark, sf_dir).where(F.col("id").isin(3, 14, 15, 92, 65))), avg_km=4, min_km=4, max_km=4)
 
 
-@query("density_clusters")
+@query(
+    "density_clusters",
+    f"""WITH RECURSIVE {PLACES}, pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM places x JOIN places y ON x.id <> y.id AND {_km('x', 'y')} <= 450),
+core AS MATERIALIZED (SELECT a AS id FROM pairs GROUP BY a HAVING COUNT(*) + 1 >= 4),
+inner_ AS MATERIALIZED (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, b FROM reach r JOIN inner_ ON a = r.other),
+cored AS (SELECT id, MIN(other) AS component FROM reach GROUP BY id),
+border AS (SELECT a AS id, min_by(component, b) AS component FROM pairs JOIN cored ON b = cored.id WHERE a NOT IN (SELECT id FROM core) GROUP BY a),
+members AS (SELECT * FROM cored UNION ALL SELECT * FROM border),
+sizes AS (SELECT component, COUNT(*) AS size, (row_number() OVER (ORDER BY COUNT(*) DESC, component) - 1)::INT AS cluster FROM members GROUP BY component)
+SELECT id, cluster, size FROM members JOIN sizes USING (component)""",
+)
 def density_clusters(spark, sf_dir):
     return spatial.clusters(places(spark, sf_dir), 450.0, 4)
 
@@ -676,6 +705,19 @@ def bm25_topk(spark, sf_dir):
     return rounded(search.bm25(read(spark, sf_dir, "documents"), "doc_id", "text", TERMS, 25), score=6)
 
 
+@query(
+    "bm25_of_index",
+    f"""WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT COUNT(*) AS docs, AVG(len(w)) AS mean FROM t),
+p AS (SELECT doc_id, term, COUNT(*) AS tf, ANY_VALUE(n) AS n FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM t) WHERE term IN ('deja', 'the', 'avec') GROUP BY doc_id, term),
+d AS (SELECT term, COUNT(*) AS df FROM p GROUP BY term)
+SELECT doc_id, ROUND(SUM(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {search.K1 + 1}::DOUBLE / (tf + {search.K1}::DOUBLE * ({1 - search.B}::DOUBLE + {search.B}::DOUBLE * n / mean))), 6) AS score
+FROM p JOIN d USING (term), s GROUP BY doc_id ORDER BY SUM(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {search.K1 + 1}::DOUBLE / (tf + {search.K1}::DOUBLE * ({1 - search.B}::DOUBLE + {search.B}::DOUBLE * n / mean))) DESC, doc_id LIMIT 25""",
+)
+def bm25_of_index(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return rounded(search.bm25_of_index(search.postings(d, "doc_id", "text"), search.lengths(d, "text"), "doc_id", ["Déjà the", "AVEC"], 25), score=6)
+
+
 @query("postings", f"WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term FROM t) SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM p GROUP BY term")
 def postings(spark, sf_dir):
     return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

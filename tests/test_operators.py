@@ -219,6 +219,44 @@ def test_bm25_and_vectors(spark):
     assert {len(r.v) for r in e.collect()} == {16}
 
 
+def test_index_answers_like_the_texts(spark):
+    docs = spark.createDataFrame([(1, "Café au lait, café"), (2, "cafe noir"), (3, "tea and lait"), (4, None), (5, "")], "id int, t string")
+    index, sizes = search.postings(docs, "id", "t"), search.lengths(docs, "t")
+    for query in (["café", "lait"], ["zzz"], ["TEA au"]):
+        ask = lambda rows: [(r.id, round(r.score, 9)) for r in rows.collect()]
+        assert ask(search.bm25(docs, "id", "t", query, 3)) == ask(search.bm25_of_index(index, sizes, "id", query, 3))
+
+
+def test_clusters_have_centroids(spark):
+    points = spark.createDataFrame([(1, 1.0, 101.0), (2, 1.01, 101.02), (3, 1.02, 101.01), (4, 50.0, 8.0)], "id int, lat double, long double")
+    rows = spatial.centroids(points, spatial.clusters(points, 5.0, 2)).collect()
+    assert [(r.cluster, r["size"], r.lat, r.long) for r in rows] == [(0, 3, 1.01, 101.01)]
+
+
+def test_volume_columns():
+    assert V.volume_columns("res") == ["res_oc", "res_an"] and V.volume_columns("rec", "gas", risked=True) == ["rec_ga_risked", "rec_gn_risked"]
+    assert V.volume_columns("res", "oil", risked=True) == ["res_oil", "res_con"]
+
+
+def test_a_view_is_ordered(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "a"), (1, "c"), (2, "a")], "report_year int, project_name string")
+    out = views.apply_view(df, views.View(("all",), order=("report_year", "project_name"))).collect()
+    assert [(r.report_year, r.project_name) for r in out] == [(1, "c"), (2, "a"), (2, "b"), (None, "a")]
+
+
+def test_embedder_by_brute_force(spark):
+    import zlib
+
+    docs = [("alpha beta alpha",), ("",), (None,), ("Ω " * 3,)]
+    got = [r.v for r in search.embed_column(spark.createDataFrame(docs, "t string"), "t", "v", search.hashing_embedder(16)).collect()]
+    for (text,), vector in zip(docs, got):
+        want = np.zeros(16)
+        for word in (text or "").lower().split():
+            code = zlib.crc32(word.encode())
+            want[code % 16] += 1 if code >> 31 else -1
+        assert np.allclose(vector, want / max(np.linalg.norm(want), 1e-9), atol=1e-6)
+
+
 def test_graph_steps(spark):
     g = graph.Graph()
     g.add_nodes("a", spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string"), "k", "name")
