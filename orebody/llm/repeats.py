@@ -21,7 +21,7 @@ distinct strings in sorted order, cut by binary search at the bounds of the rang
 the runs of all shards are merged.
 
 Grams, cores and published strings are compared by 64-bit hashes (gram and core together
-are a key of 128 bits), the sides in a shard byte by byte.
+are a key of 128 bits, as are a row's id and hash), the sides in a shard byte by byte.
 
 Defined results: a null text is empty; a text below ``LENGTH`` bytes loses nothing; rows
 that repeat both doc_id and text are documents that repeat each other; a null doc_id is
@@ -57,6 +57,8 @@ RANGE_BYTES = 8_000_000
 BROADCAST_CORES = 100_000
 #: A key with more than this share of all rows is dealt over several tasks; there are no more such keys than its inverse.
 HOT_KEYS = 1024
+#: What a row is known by: its id, and a hash of id and text for rows that repeat an id.
+ROW = ["doc", "row"]
 #: A text beyond this is scanned in overlapping parts.
 PART = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
@@ -81,13 +83,13 @@ def least_places(hashes: np.ndarray) -> np.ndarray:
 
 
 def anchors_of(docs: DataFrame) -> DataFrame:
-    """(gram, context, row, pos, left, right) of every anchor."""
+    """(gram, context, *ROW, pos, left, right) of every anchor of rows (*ROW, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 data, offsets = as_bytes(part.column("text"))
-                row = part.column("row").to_numpy()
+                doc, row = (part.column(c).to_numpy() for c in ROW)
                 prefix = prefix_hash(data)
                 if len(data) < LENGTH:
                     continue
@@ -110,6 +112,7 @@ def anchors_of(docs: DataFrame) -> DataFrame:
                     {
                         "gram": pa.array(grams[pos].view(np.int64)),
                         "context": pa.array(context.view(np.int64)),
+                        "doc": pa.array(doc[owner]),
                         "row": pa.array(row[owner]),
                         "pos": pa.array((pos - offsets[owner]).astype(np.int64)),
                         "left": pa.array(left.astype(np.int32)),
@@ -117,7 +120,7 @@ def anchors_of(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return docs.mapInArrow(run, "gram long, context long, row long, pos long, left int, right int")
+    return docs.mapInArrow(run, "gram long, context long, doc long, row long, pos long, left int, right int")
 
 
 def words_at(data: np.ndarray, order: str) -> np.ndarray:
@@ -429,7 +432,7 @@ def shared_runs(rows: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(row, spans): byte ranges to remove of every text that loses any."""
+    """(*ROW, spans): byte ranges to remove of every text of rows (*ROW, text) that loses any."""
     anchors = settle(anchors_of(docs.where(F.octet_length("text") >= LENGTH)), "anchors")
     floor = anchors.count() // HOT_KEYS
     grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
@@ -437,21 +440,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     hot = grams.where(F.col("n") > floor).select("gram")
     shared = settle(spread_join(anchors, grams.drop("n"), ["gram"], hot), "shared-anchors")
     mixed = shared.where("mixed")
-    contexts = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos", "left", "right")).alias("first"))
+    contexts = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos", "left", "right")).alias("first"))
     contexts = settle(contexts, "contexts")
 
     want = F.struct("gram", "context", "n", "first.pos", "first.left", "first.right").alias("want")
-    wanted = contexts.where(f"first.left + first.right >= {LENGTH}").select("first.row", want)
-    wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))  # a text's own anchors
-    covered = shared_runs(settle(sides(docs.select("row", "text").join(wanted, "row")), "sides"))
+    wanted = contexts.where(f"first.left + first.right >= {LENGTH}").select("first.doc", "first.row", want)
+    wanted = wanted.groupBy(*ROW).agg(F.collect_list("want").alias("wants"))  # a text's own anchors
+    covered = shared_runs(settle(sides(docs.select(*ROW, "text").join(wanted, ROW)), "sides"))
 
-    alone = contexts.where("n = 1").select("gram", "context", "first.row", "first.pos")
-    spans = alone.join(covered, ["gram", "context"]).select("row", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b") + LENGTH).alias("b"))
+    alone = contexts.where("n = 1").select("gram", "context", "first.doc", "first.row", "first.pos")
+    spans = alone.join(covered, ["gram", "context"]).select(*ROW, (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b") + LENGTH).alias("b"))
     many = contexts.where("n > 1")
     equal = spread_join(mixed, many.select("gram", "context"), ["gram", "context"], many.where(F.col("n") > floor).select("gram", "context"))
     equal = shared.where("NOT mixed").unionByName(equal).where(f"left + right >= {LENGTH}")
-    spans = spans.unionByName(equal.select("row", (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")))
-    return spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))  # a text's own ranges
+    spans = spans.unionByName(equal.select(*ROW, (F.col("pos") - F.col("left")).alias("a"), (F.col("pos") + F.col("right")).alias("b")))
+    return spans.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))  # a text's own ranges
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -460,7 +463,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
     """
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    # a null id counts as the least one; rows of that id are told apart by their text
+    docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.xxhash64("doc_id", "text"))
     with batch_rows(docs.sparkSession, 1000):
         spans = settle(repeats(docs), "spans")
 
@@ -496,7 +500,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.record_batch(out)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
-    return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(drop, ddl)
+    return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(drop, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
