@@ -1004,6 +1004,23 @@ def entity_rows(spark, sf_dir):
     return rows.where(resolve.entity_filter(rows, {"year": 1997, "working_area": "NATION_3", "level": HIGH})).select("project_id")
 
 
+_PHRASES = ["potensi eksplorasi minyak", "potensi lapangan", "cadangan gas", "sumber daya", "potensi proyek", "contingent", "grr", "apa saja"]
+
+
+@query(
+    "question_columns",
+    """WITH q AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, CASE turn % 2 WHEN 0 THEN 'field_resources' ELSE 'project_resources' END AS table_name FROM conversations),
+v AS (SELECT *, ['prospective', 'potensi', 'cadangan', 'sumber_daya', 'sumber_daya', 'contingent', 'sumber_daya', 'cadangan'][k + 1] AS volume, CASE WHEN k IN (2, 7) THEN 'res_' ELSE 'rec_' END AS p,
+      CASE WHEN k = 0 AND table_name = 'field_resources' THEN '_risked' ELSE '' END AS s FROM q)
+SELECT conv_id, turn, volume, p || CASE k WHEN 0 THEN 'oil' WHEN 2 THEN 'ga' ELSE 'oc' END || s AS oil, p || CASE k WHEN 0 THEN 'con' WHEN 2 THEN 'gn' ELSE 'an' END || s AS gas FROM v""",
+)
+def question_columns(spark, sf_dir):
+    conv, turn = F.col("conv_id"), F.col("turn")
+    asked = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), ((conv + turn) % 8 + 1).cast("int"))
+    table = F.when(turn % 2 == 0, "field_resources").otherwise("project_resources")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", resolve.asked_columns(asked, table).alias("c")).select("conv_id", "turn", "c.volume", "c.oil", "c.gas")
+
+
 _DIGIT = """list_sum(list_transform(range(1, 7), lambda i: CASE WHEN (6 - i) % 2 = 0 THEN CASE WHEN 2 * d(i) >= 16 THEN 2 * d(i) - 15 ELSE 2 * d(i) END ELSE d(i) END))""".replace("d(i)", "(instr('0123456789ABCDEF', payload[i]) - 1)")
 
 

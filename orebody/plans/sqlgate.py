@@ -31,7 +31,8 @@ def _is_plan(spark: SparkSession, node) -> bool:
 def _faults(spark: SparkSession, node) -> str | None:
     """What in a parsed plan or expression goes beyond reading tables."""
     kind = node.getClass().getSimpleName()
-    if FORBIDDEN.search(kind):
+    is_plan = _is_plan(spark, node)
+    if is_plan and FORBIDDEN.search(kind):
         return kind
     if kind == "UnresolvedRelation":
         parts = _all(node.multipartIdentifier())
@@ -40,7 +41,7 @@ def _faults(spark: SparkSession, node) -> str | None:
     if kind == "UnresolvedFunction" and _all(node.nameParts())[-1].lower() in CALLS:
         return _all(node.nameParts())[-1]
     inner = _all(node.children()) + _all(node.innerChildren())
-    if _is_plan(spark, node):
+    if is_plan:
         inner += _all(node.expressions())
     elif kind in SUBQUERIES:
         inner.append(node.plan())

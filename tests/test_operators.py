@@ -313,6 +313,8 @@ def test_query_terms_lose_their_accents(spark):
         ("select (select max(value) from csv.`/etc/passwd`)", False),
         ("select 'java_method(' as `update`, a.`drop` from values (1) a(`drop`)", True),
         ("select * from t where a in (select b from u)", True),
+        ("select (1, 2) as pair, array(1), map('a', 1), struct(1 as update), replace('a', 'b', 'c')", True),
+        ("select * from values (1, 'a') t(create, drop) where create in (1) order by drop limit 3", True),
         ("show tables", False),
         ("set x = 1", False),
         ("describe t", False),
@@ -513,3 +515,20 @@ def test_components_by_rounds_and_in_one_task(spark, monkeypatch, small):
     words = spark.createDataFrame([("b", "c"), ("c", "a")], "a string, b string")
     assert {x.component for x in components.components(words).collect()} == {"a"}
     assert components.components(words.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,table,want",
+    [
+        ("berapa cadangan lapangan duri?", "field_resources", ("cadangan", "res_oc", "res_an")),
+        ("berapa cadangan minyak lapangan duri?", "field_resources", ("cadangan", "res_oil", "res_con")),
+        ("berapa potensi lapangan duri?", "field_resources", ("potensi", "rec_oc", "rec_an")),
+        ("berapa potensi eksplorasi lapangan duri?", "field_resources", ("prospective", "rec_oc_risked", "rec_an_risked")),
+        ("potensi eksplorasi gas", "project_resources", ("prospective", "rec_ga", "rec_gn")),
+        ("berapa potensi proyek X?", "project_resources", ("sumber_daya", "rec_oc", "rec_an")),
+        (None, "project_resources", ("cadangan", "res_oc", "res_an")),
+    ],
+)
+def test_asked_columns(spark, text, table, want):
+    got = one(spark, resolve.asked_columns(F.lit(text).cast("string"), F.lit(table)))
+    assert (got.volume, got.oil, got.gas) == want
