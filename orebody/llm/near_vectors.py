@@ -175,20 +175,22 @@ def calibrate(members: DataFrame, code: str, books: tuple[np.ndarray, np.ndarray
                 i, j = np.nonzero(near)
                 home, back = np.unique(part.column("cell").to_numpy()[j], return_inverse=True)
                 own = beyond_first(x, books, home)[i, back] if len(i) else np.zeros(0)
-                yield pa.record_batch({"query": pa.array(i.astype(np.int32)), "step": pa.array(np.ceil(np.maximum(own, 0) / SLACK_STEP).astype(np.int32))})
+                # links are counted here; a group of many copies leaves a row for each step
+                pairs, often = np.unique(np.stack([i, np.ceil(np.maximum(own, 0) / SLACK_STEP).astype(np.int64)]), axis=1, return_counts=True)
+                yield pa.record_batch({"query": pa.array(pairs[0].astype(np.int32)), "step": pa.array(pairs[1].astype(np.int32)), "links": pa.array(often.astype(np.int64))})
 
-    steps = members.select("cls", "cell", "raw").mapInArrow(run, "query int, step int").groupBy("query", "step").count().collect()
+    steps = members.select("cls", "cell", "raw").mapInArrow(run, "query int, step int, links long").groupBy("query", "step").agg(F.sum("links").alias("links")).collect()
     totals: dict[int, int] = {}
     for r in steps:
-        totals[r["query"]] = totals.get(r["query"], 0) + r["count"]
+        totals[r["query"]] = totals.get(r["query"], 0) + r["links"]
     # the target is to be reached where every vector counts alike, and where every link does
     links = sum(totals.values())
     by_vector = by_link = 0.0
     for r in sorted(steps, key=lambda r: r["step"]):
         if min(by_vector, by_link) >= TARGET_RECALL:
             break
-        by_vector += r["count"] / totals[r["query"]] / len(totals)
-        by_link += r["count"] / links
+        by_vector += r["links"] / totals[r["query"]] / len(totals)
+        by_link += r["links"] / links
         least = max(least, r["step"])
     return least * SLACK_STEP
 
