@@ -458,9 +458,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated[, text]) of every row of ``docs``.
 
-    text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
+    repeated: whether the text loses any byte; text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
     """
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     # a null id counts as the least one; rows of that id are told apart by their text
@@ -494,12 +494,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 sums.append(hashlib.sha256(rest).hexdigest())
                 # a cut may fall inside a character of the text
                 texts.append(rest.decode("utf-8", "replace") if with_text else None)
-            out = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sums)}
+            out = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sums), "repeated": pa.array([n > 0 for n in gone], pa.bool_())}
             if with_text:
                 out["text"] = pa.array(texts)
             yield pa.record_batch(out)
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + (", text string" if with_text else "")
     return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(drop, ddl)
 
 
