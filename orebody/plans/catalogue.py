@@ -41,9 +41,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- the domain's base tables
 
-def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot rows: a project at an uncertainty level in a report year."""
+def projects(spark: SparkSession, sf_dir: str, last: int | None = None) -> DataFrame:
+    """Snapshot rows: a project at an uncertainty level in a report year; a last year that is asked for reaches the scan as a date."""
     o, c, n, r = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    if last is not None:
+        o = o.where(F.col("o_orderdate") < F.lit(f"{last + 1}-01-01").cast("timestamp_ntz"))
     level = F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), LOW).when(F.col("o_orderpriority").isin("2-HIGH", "4-NOT SPECIFIED"), MIDDLE).otherwise(HIGH)
     stage = F.when(F.col("o_orderstatus") == "F", "Exploitation").when(F.col("o_orderstatus") == "O", "Exploration").otherwise("Abandoned")
     # nations and regions are few by definition of the tables; customers are joined as AQE sees fit
@@ -183,7 +185,7 @@ SELECT report_year, region_name, COUNT(*) AS project_count, ROUND(SUM(rec_oc), 2
 FROM projects WHERE uncert_level = '{MIDDLE}' AND report_year = (SELECT y FROM last) GROUP BY ALL""",
 )
 def flagship_total_by_region(spark, sf_dir):
-    latest = analysis.latest_year(projects(spark, sf_dir), 1998).where(F.col("uncert_level") == MIDDLE)
+    latest = analysis.latest_year(projects(spark, sf_dir, 1998), 1998).where(F.col("uncert_level") == MIDDLE)
     level = rollup.Level(("report_year", "region_name"), sums=("rec_oc",), rows="project_count", ratios={"reserves_share": ("res_oc", "rec_oc")})
     return rounded(rollup.roll_up(latest, level), rec_oc=2, reserves_share=6)
 
@@ -232,7 +234,7 @@ _level_query("uncertainty_possible", "possible", f"{_at(HIGH)} - {_at(MIDDLE)}")
 
 @query("year_fallback", f"WITH {PROJECTS} SELECT report_year, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM projects WHERE report_year = (SELECT MAX(report_year) FROM projects WHERE report_year <= 1998) GROUP BY report_year")
 def year_fallback(spark, sf_dir):
-    return analysis.latest_year(projects(spark, sf_dir), 1998).groupBy("report_year").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
+    return analysis.latest_year(projects(spark, sf_dir, 1998), 1998).groupBy("report_year").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
 
 
 @query(
@@ -241,13 +243,13 @@ def year_fallback(spark, sf_dir):
 SELECT field_id, report_year, ROUND(SUM(rec_oc), 2) AS rec_oc FROM projects JOIN last USING (field_id, report_year) GROUP BY field_id, report_year""",
 )
 def year_fallback_entity(spark, sf_dir):
-    latest = analysis.latest_year(projects(spark, sf_dir), 1998, ["field_id"])
+    latest = analysis.latest_year(projects(spark, sf_dir, 1998), 1998, ["field_id"])
     return latest.groupBy("field_id", "report_year").agg(F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
 
 
 @query("entity_aggregate", f"WITH {PROJECTS}, own AS (SELECT * FROM projects WHERE wk_name LIKE '%A%' AND report_year <= 1997) SELECT ROUND({_at(MIDDLE)}, 2) AS res_oc FROM own WHERE report_year = (SELECT MAX(report_year) FROM own)")
 def entity_aggregate(spark, sf_dir):
-    return rounded(analysis.entity_total(projects(spark, sf_dir), "wk_name", "A", ["res_oc"], "2P", 1997), res_oc=2)
+    return rounded(analysis.entity_total(projects(spark, sf_dir, 1997), "wk_name", "A", ["res_oc"], "2P", 1997), res_oc=2)
 
 
 @query("year_pivot", f"WITH {PROJECTS} SELECT project_class, ROUND(SUM(CASE WHEN report_year = 1996 THEN rec_oc END), 2) AS y1996, ROUND(SUM(CASE WHEN report_year = 1997 THEN rec_oc END), 2) AS y1997 FROM projects WHERE report_year IN (1996, 1997) GROUP BY project_class")
