@@ -52,6 +52,12 @@ WORD_RULES = [
 #: ASCII marks, which the vocabulary's pattern takes as one run behind letters.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: Letters below this are Latin.
+LATIN_END = "\u0250"
+#: The letters that stand for bytes: printable ones for themselves, the others by rising numbers from 256 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
 BLOCKS = pa.schema(
     [
         ("shard", pa.int32()),
@@ -111,8 +117,8 @@ def encoder(path: str) -> Callable[[str], bytes]:
     Where the vocabulary's own normalizer composes (NFC) and lower-cases, and its pattern
     takes letters and runs of marks apart, a composed text may be lower-cased at once, and
     a word of letters with marks behind it is the ids of its letters and those of its
-    marks; a worker then has the library encode each such part once for as long as it
-    remembers it.  Sigma, whose lower case depends on its place in Python alone, is left to
+    marks; a worker then has the library's model encode each such part once (Latin words in
+    their byte letters, others as texts) for as long as it remembers it.  Sigma, whose lower case depends on its place in Python alone, is left to
     the library.  Any other vocabulary encodes whole texts.
     """
     if path in _encoders:
@@ -132,8 +138,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
     split = tokenizer.model.tokenize
 
     def part_ids(part: str) -> bytes:
-        if part.isascii() and part.isalpha() and part.islower():  # one word of the pattern, the same in its byte alphabet
-            ids = [t.id for t in split(part)]
+        if part.isalpha() and part.islower() and (part.isascii() or max(part) < LATIN_END and unicodedata.is_normalized("NFC", part)):
+            # one word of the pattern, which no normalizer changes
+            ids = [t.id for t in split(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS))]
         else:
             ids = tokenizer.encode(part, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)

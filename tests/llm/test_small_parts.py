@@ -173,3 +173,16 @@ def test_classifiers_without_labels():
 
 def test_crc_of_ids_is_little_endian():
     assert zlib.crc32(np.array([2], "<u4").tobytes()) == zlib.crc32(b"\x02\x00\x00\x00")
+
+
+def test_words_encode_like_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(tokens.default_tokenizer()), tokens.encoder(tokens.default_tokenizer())
+    r = random.Random(3)
+    letters = [chr(c) for c in range(0x61, 0x24F) if chr(c).isalpha()] + list("αβγσςжщ中文ßŉǆᾴİıΣ")
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) + r.choice(["", ",", ".", "!?", "'s", "7x"]) for _ in range(40)) for _ in range(300)]
+    texts += ["été café", "ÉTÉ Été", "a b c\x85d", "x\x1cy"]
+    assert all(np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
