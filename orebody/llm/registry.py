@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, mixing, near_join, near_vectors, quality, repeats, resample, tokens, toxicity, warc
+from . import decontaminate, html_extract, lexical, mixing, near_join, near_vectors, quality, repeats, resample, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html_extract.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_repeats": repeats.query,
     "op10_toxicity": toxicity.query,
+    "op11_lexical": lexical.query,
     "op13_resample": resample.query,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op7_near_vectors": near_vectors.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
+    "op11_lexical": lexical.ORACLE,
     "op13_resample": resample.ORACLE,
 }
