@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, lexical, mixing, near_join, near_vectors, quality, repeats, resample, tokens, toxicity, warc
+from . import decontaminate, html_extract, lexical, mixing, near_join, near_vectors, pii, quality, repeats, resample, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html_extract.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_repeats": repeats.query,
     "op10_toxicity": toxicity.query,
     "op11_lexical": lexical.query,
+    "op12_pii": pii.query,
     "op13_resample": resample.query,
 }
 
