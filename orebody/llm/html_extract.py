@@ -79,7 +79,8 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, letters inside links
 
 
-def parse(html: str) -> Page:
+def parse(html: str, labelled: bool = False) -> Page:
+    """The nodes and blocks of a page; only pages written for training say by ``data-y`` what their nodes are."""
     page = Page(["#root"], [()], [-1], [1], [])
     stack: list[tuple[str, int]] = [("#root", 0)]  # open blocks and silent elements
     silent = links = linked = 0
@@ -115,6 +116,10 @@ def parse(html: str) -> Page:
     endless: set[str] = set()  # silent elements without a further end tag
     loose: list[int] = []  # open silent elements that end before the next block, by their place in the stack
 
+    def forget() -> None:
+        while loose and loose[-1] >= len(stack):  # closed meanwhile
+            loose.pop()
+
     def lowered() -> str:
         nonlocal lower
         if lower is None:
@@ -127,8 +132,8 @@ def parse(html: str) -> Page:
         """Whether a silent element just opened has no end tag before the next one opens, or holds no blocks by its kind."""
         if name in FOREIGN or name in endless:
             return True
-        if name == "option":  # ends with its select
-            return False
+        if name == "option" and any(x == "select" for x, _ in stack):  # ends with its select
+            return any(stack[k][0] == "select" for k in loose)
         stop = lowered().find("</" + name, at)
         if stop < 0:
             endless.add(name)
@@ -174,6 +179,7 @@ def parse(html: str) -> Page:
             continue
         if name in SILENT:
             if not rest.endswith("/"):
+                forget()
                 if name != "head" and unclosed(name):
                     loose.append(len(stack))
                 stack.append((name, stack[-1][1]))
@@ -181,8 +187,7 @@ def parse(html: str) -> Page:
             continue
         if name not in BLOCKS:
             continue
-        while loose and loose[-1] >= len(stack):  # closed meanwhile
-            loose.pop()
+        forget()
         if silent and len(loose) == silent:
             close(loose[0])
             loose.clear()
@@ -216,7 +221,7 @@ def parse(html: str) -> Page:
                 key = key.lower()
                 if key in ("class", "id", "role", "itemprop"):
                     words += [w.lower() for w in NAME_PART.findall(value)]
-                elif key == "data-y":
+                elif labelled and key == "data-y":
                     label = int(value.strip("\"'"))
         parent = stack[-1][1]
         page.tags.append(name)
@@ -316,7 +321,7 @@ class Model:
 
 def train(pages: list[str], rounds: int = 150) -> Model:
     """Weights that maximise the likelihood of the pages' labels, less a ridge."""
-    parsed = [parse(p) for p in pages]
+    parsed = [parse(p, labelled=True) for p in pages]
     words = sorted({w for p in parsed for k in range(len(p.tags)) for w in node_words(p, k)})
     known = {w: i + len(NUMBERS) for i, w in enumerate(words)}
     node, feat, value, parent, depth, first = features(parsed, known)

@@ -157,7 +157,7 @@ def test_labelled_pages_held_out():
 
     model, right, total = html_extract.default_model(), 0, 0
     for html in labelled_pages(80, seed=1234):
-        page = html_extract.parse(html)
+        page = html_extract.parse(html, labelled=True)
         p, _ = model.marginals([page])
         right += sum((p[k] >= 0.5) == (page.labels[k] == 1) for k, _, _ in page.blocks)
         total += len(page.blocks)
