@@ -112,16 +112,23 @@ def asked_stage(text: Column) -> Column:
     return out
 
 
-def named(questions: DataFrame, key: str, text: str, names: DataFrame, longest: int = 4) -> DataFrame:
-    """(key, kind, name) of the names (kind, name) that stand in each question as whole words, case aside.
+def name_words(text: Column) -> Column:
+    """The lower-case words of a text or a name; punctuation between words does not count."""
+    return F.filter(F.split(F.lower(text), r'[\s,.;:!?"()]+'), lambda w: w != "")
 
-    Every run of up to ``longest`` words is a key of the join; a name of more words is not found.
+
+def named(questions: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, kind, name) of the names (kind, name) that stand in each question as whole words, case and punctuation aside.
+
+    A question's runs of as many words as some name has are the keys of the join, so a name of any length is found.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r'[\s,.;:!?"()]+'), lambda w: w != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("__words") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("__words", i, n), " "))))
-    asked = questions.select(key, words.alias("__words")).where(F.size("__words") > 0)
+    known = names.select(name_words(F.col("name")).alias("__words"), "kind", "name").where(F.size("__words") > 0)
+    # one row: the lengths that occur
+    lengths = known.agg(F.collect_set(F.size("__words")).alias("__lengths"))
+    asked = questions.select(key, name_words(F.col(text)).alias("__words")).crossJoin(F.broadcast(lengths))
+    runs = F.flatten(F.transform(F.filter("__lengths", lambda n: n <= F.size("__words")), lambda n: F.transform(F.sequence(F.lit(1), F.size("__words") - n + 1), lambda i: F.array_join(F.slice("__words", i, n), " "))))
     asked = asked.select(key, F.explode(F.array_distinct(runs)).alias("__run"))
-    return asked.join(names.select(F.lower("name").alias("__run"), "kind", "name").distinct(), "__run").select(key, "kind", "name").distinct()
+    return asked.join(known.select(F.array_join("__words", " ").alias("__run"), "kind", "name").distinct(), "__run").select(key, "kind", "name").distinct()
 
 
 def resolve_names(questions: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
@@ -131,7 +138,7 @@ def resolve_names(questions: DataFrame, key: str, text: str, names: DataFrame) -
     status: ``success`` for one name, ``ambiguous`` for several as long, ``failed`` for none.
     """
     kinds = F.array(*[F.lit(k) for k in NAME_KINDS])
-    rank = F.struct(F.array_position(kinds, F.col("kind")).alias("order"), (-F.size(F.split("name", " "))).alias("words"))
+    rank = F.struct(F.array_position(kinds, F.col("kind")).alias("order"), (-F.size(name_words(F.col("name")))).alias("words"))
     found = named(questions, key, text, names).withColumn("rank", rank)
     # a question's own names, no more than it has runs of words
     best = found.groupBy(key).agg(F.min("rank").alias("best"), F.collect_list(F.struct("rank", "kind", "name")).alias("all"))

@@ -328,12 +328,6 @@ def sales_potential(spark, sf_dir):
     return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
 
 
-@query("sales_potential_all", "SELECT l_orderkey, l_linenumber, ROUND(l_extendedprice - l_extendedprice * (1 - l_discount), 4) AS potential FROM lineitem")
-def sales_potential_all(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").withColumn("sold", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
-
-
 # ---------------------------------------------------------------- rollups of the whole schema
 
 def _factor(column: str) -> int:
@@ -632,25 +626,22 @@ def pair_stats(spark, sf_dir):
     return rounded(spatial.pair_statistics(places(spark, sf_dir).where(F.col("id").isin(3, 14, 15, 92, 65))), avg_km=4, min_km=4, max_km=4)
 
 
-@query(
-    "density_clusters",
-    f"""WITH RECURSIVE {PLACES}, pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM places x JOIN places y ON x.id <> y.id AND {_km('x', 'y')} <= 450),
+DENSITY = f"""WITH RECURSIVE {PLACES}, pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM places x JOIN places y ON x.id <> y.id AND {_km('x', 'y')} <= 450),
 core AS MATERIALIZED (SELECT a AS id FROM pairs GROUP BY a HAVING COUNT(*) + 1 >= 4),
 inner_ AS MATERIALIZED (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, b FROM reach r JOIN inner_ ON a = r.other),
 cored AS (SELECT id, MIN(other) AS component FROM reach GROUP BY id),
 border AS (SELECT a AS id, min_by(component, b) AS component FROM pairs JOIN cored ON b = cored.id WHERE a NOT IN (SELECT id FROM core) GROUP BY a),
 members AS (SELECT * FROM cored UNION ALL SELECT * FROM border),
-sizes AS (SELECT component, COUNT(*) AS size, (row_number() OVER (ORDER BY COUNT(*) DESC, component) - 1)::INT AS cluster FROM members GROUP BY component)
-SELECT id, cluster, size FROM members JOIN sizes USING (component)""",
-)
+sizes AS (SELECT component, COUNT(*) AS size, (row_number() OVER (ORDER BY COUNT(*) DESC, component) - 1)::INT AS cluster FROM members GROUP BY component)"""
+
+
+@query("density_clusters", f"{DENSITY} SELECT id, cluster, size FROM members JOIN sizes USING (component)")
 def density_clusters(spark, sf_dir):
     return spatial.clusters(places(spark, sf_dir), 450.0, 4)
 
 
-@query(
-    "cluster_centroids",
-)
+@query("cluster_centroids", f"{DENSITY} SELECT cluster, COUNT(*) AS size, ROUND(AVG(lat), 4) AS lat, ROUND(AVG(long), 4) AS long FROM members JOIN sizes USING (component) JOIN places USING (id) GROUP BY cluster")
 def cluster_centroids(spark, sf_dir):
     p = places(spark, sf_dir)
     return spatial.centroids(p, spatial.clusters(p, 450.0, 4)).orderBy("cluster")
@@ -975,12 +966,18 @@ NAME_QUESTIONS = """q AS (SELECT c_custkey, c_custkey % 5 AS kind_no, c_name, c_
 
 @query(
     "name_resolution",
-    f"""WITH {NAME_QUESTIONS}
-SELECT c_custkey, CASE kind_no WHEN 1 THEN 'ambiguous' WHEN 4 THEN 'failed' ELSE 'success' END AS status,
-       CASE kind_no WHEN 0 THEN 'Field' WHEN 2 THEN 'WorkingArea' WHEN 3 THEN 'Operator' END AS kind, CASE kind_no WHEN 0 THEN c_name WHEN 2 THEN 'NATION_' || (c_custkey % 25) WHEN 3 THEN c_mktsegment END AS name,
-       CASE kind_no WHEN 0 THEN 'field_resources' WHEN 2 THEN 'wa_timeseries' ELSE 'project_resources' END AS suggested_table,
-       CASE kind_no WHEN 0 THEN 'field_name' WHEN 2 THEN 'wk_name' WHEN 3 THEN 'operator_name' END AS filter_column
-FROM q""",
+    """WITH k AS (SELECT *, c_custkey % 5 AS k FROM customer),
+q AS (SELECT c_custkey, CASE k WHEN 0 THEN 'tahun 1997 cadangan 2P ' || lower(c_name) || ', ' || c_mktsegment WHEN 1 THEN 'produksi nation_' || (c_custkey % 25) || ' dan nation_' || ((c_custkey + 1) % 25)
+       WHEN 2 THEN 'forecast nation_' || (c_custkey % 25) || '?' WHEN 3 THEN 'rate: ' || c_mktsegment ELSE 'lapangan besar' END AS asked FROM k),
+names AS (SELECT 1 AS place, 'Field' AS kind, c_name AS name FROM customer UNION SELECT 2, 'WorkingArea', n_name FROM nation UNION SELECT 3, 'Operator', c_mktsegment FROM customer),
+spaced AS (SELECT *, ' ' || regexp_replace(lower(asked), '[\\s,.;:!?"()]+', ' ', 'g') || ' ' AS words FROM q),
+hits AS (SELECT c_custkey, place, kind, name, len(string_split(name, ' ')) AS n_words FROM spaced JOIN names ON instr(words, ' ' || lower(name) || ' ') > 0),
+best AS (SELECT * FROM hits QUALIFY rank() OVER (PARTITION BY c_custkey ORDER BY place, n_words DESC) = 1),
+per AS (SELECT c_custkey, COUNT(*) AS n, MIN(kind) AS kind, MIN(name) AS name FROM best GROUP BY c_custkey)
+SELECT c_custkey, CASE WHEN n IS NULL THEN 'failed' WHEN n = 1 THEN 'success' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN kind END AS kind, CASE WHEN n = 1 THEN name END AS name,
+       CASE WHEN n = 1 AND kind <> 'Operator' THEN CASE kind WHEN 'Field' THEN 'field_' ELSE 'wa_' END || CASE WHEN regexp_matches(words, '(^|[^\\p{L}\\p{N}])(produksi|forecast|profil|rate)([^\\p{L}\\p{N}]|$)') THEN 'timeseries' ELSE 'resources' END ELSE 'project_resources' END AS suggested_table,
+       CASE WHEN n = 1 THEN CASE kind WHEN 'Field' THEN 'field_name' WHEN 'WorkingArea' THEN 'wk_name' ELSE 'operator_name' END END AS filter_column
+FROM spaced LEFT JOIN per USING (c_custkey)""",
 )
 def name_resolution(spark, sf_dir):
     return resolve.resolve_names(name_questions(spark, sf_dir), "c_custkey", "asked", name_table(spark, sf_dir))
@@ -989,14 +986,17 @@ def name_resolution(spark, sf_dir):
 @query(
     "rows_of_questions",
     f"""WITH {NAME_QUESTIONS}, {PROJECTS}, hits AS (
-SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 0 AND p.field_name = q.c_name AND p.report_year = 2097 AND p.uncert_level = '{MIDDLE}'
+SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 0 AND p.field_name = q.c_name AND p.report_year + 100 = 2097 AND p.uncert_level = '{MIDDLE}' AND p.project_id % 3 > 0
 UNION ALL SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 2 AND p.wk_name = 'NATION_' || (q.c_custkey % 25))
 SELECT c_custkey, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM hits GROUP BY c_custkey""",
 )
 def rows_of_questions(spark, sf_dir):
     q = name_questions(spark, sf_dir).withColumn("asked", F.replace(F.col("asked"), F.lit("1997"), F.lit("2097")))
     named = resolve.resolve_names(q, "c_custkey", "asked", name_table(spark, sf_dir)).join(resolve.resolve(q, "c_custkey", "asked"), "c_custkey")
-    rows = resolve.rows_asked_for(named, "c_custkey", projects(spark, sf_dir))
+    # the table's years are a century later, where a question's years are, and its classes those that a question asks for
+    classes = F.when(F.col("project_id") % 3 > 0, V.CLASSES["cadangan"]).otherwise(V.CLASSES["contingent"])
+    later = projects(spark, sf_dir).withColumns({"report_year": F.col("report_year") + 100, "project_class": classes})
+    rows = resolve.rows_asked_for(named, "c_custkey", later)
     return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
 
 

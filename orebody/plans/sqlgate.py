@@ -1,8 +1,10 @@
 """Read-only SQL: one query that reads tables of the session may run, and nothing else.
 
-Spark's own parser says what a text is: it has to be a single query, so that commands of
-any kind are refused and words inside names or quotes do not count.  A query may neither
-run a script or a Java method nor read a path as a table.
+Spark's own parser says what a text is, so words inside names or quotes do not count.  What
+a query may consist of is a closed list: plan nodes, names, Spark's own expressions, and the
+groups of its functions that work on their arguments alone.  Commands of any kind, strings
+that are run as statements, scripts, Java calls, the session's own functions, names computed
+at run time, streams and paths as tables are none of these.
 """
 
 from __future__ import annotations
@@ -13,11 +15,21 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 NAME = re.compile(r"^[a-zA-Z0-9_-]+$")
-#: Functions that call into the virtual machine.
-CALLS = {"reflect", "try_reflect", "java_method"}
-#: Plan nodes of Spark's parser that are no part of a query.
-SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
-FORBIDDEN = re.compile(r"Command|ScriptTransformation|ScriptInputOutput|InsertInto|Create|Drop|Replace|Alter|Truncate|Delete|Update|Merge|Overwrite|Cache|Refresh|SetCatalog|SetNamespace|Describe|Show|Explain|Compound")
+#: Plan nodes of Spark's parser of which a query may consist; everything else is refused.
+PLANS = frozenset(
+    "Project Filter UnresolvedHaving Aggregate Sort GlobalLimit LocalLimit Offset Distinct Union Except Intersect Join LateralJoin AsOfJoin SubqueryAlias UnresolvedSubqueryColumnAliases "
+    "UnresolvedWith UnresolvedRelation UnresolvedInlineTable LocalRelation OneRowRelation UnresolvedTableValuedFunction Generate WithWindowDefinition Pivot UnresolvedPivot Unpivot Sample UnresolvedHint RepartitionByExpression PipeOperator".split()
+)
+#: Names of the parser that stand for columns, stars, functions and arguments; IDENTIFIER() is none of them.
+NAMES = frozenset("UnresolvedAttribute UnresolvedStar UnresolvedFunction UnresolvedAlias UnresolvedExtractValue UnresolvedOrdinal UnresolvedGenerator UnresolvedStarExceptOrReplace NamedParameter PosParameter UnresolvedTableAlias".split())
+#: Expressions of Spark itself, which the parser writes for operators, casts, literals and subqueries.
+EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions"
+#: Groups of Spark's own functions that work on their arguments alone, and single ones of other groups.
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs operator_funcs predicate_funcs sketch_funcs "
+    "st_funcs string_funcs struct_funcs table_funcs url_funcs variant_funcs window_funcs xml_funcs".split()
+)
+FUNCTIONS = frozenset("typeof equal_null bitmap_bit_position bitmap_bucket_number bitmap_count range".split())
 
 
 def _all(seq) -> list:
@@ -28,22 +40,40 @@ def _is_plan(spark: SparkSession, node) -> bool:
     return spark._jvm.py4j.reflection.TypeUtil.isInstanceOf(spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"), node)
 
 
+def _known_function(spark: SparkSession, name: str) -> bool:
+    if name in FUNCTIONS:
+        return True
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    if spark._jsparkSession.sessionState().catalog().isTemporaryFunction(catalyst.FunctionIdentifier(name)):
+        return False
+    for registry in (catalyst.analysis.FunctionRegistry.builtin(), catalyst.analysis.TableFunctionRegistry.builtin()):
+        found = registry.lookupFunction(catalyst.FunctionIdentifier(name))
+        if found.isDefined():
+            return found.get().getGroup() in GROUPS
+    return False
+
+
 def _faults(spark: SparkSession, node) -> str | None:
-    """What in a parsed plan or expression goes beyond reading tables."""
-    kind = node.getClass().getSimpleName()
+    """What in a parsed plan or expression is no part of a query that reads tables."""
+    kind = node.getClass().getSimpleName().rstrip("$")
     is_plan = _is_plan(spark, node)
-    if is_plan and FORBIDDEN.search(kind):
+    if is_plan and kind not in PLANS:
+        return kind
+    if not is_plan and kind not in NAMES and not node.getClass().getName().startswith(EXPRESSIONS):
         return kind
     if kind == "UnresolvedRelation":
         parts = _all(node.multipartIdentifier())
-        if len(parts) > 1 and not spark.catalog.databaseExists(".".join(parts[:-1])):
+        if node.isStreaming() or len(parts) > 1 and not spark.catalog.databaseExists(".".join(parts[:-1])):
+            return ".".join(parts)
+    if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+        # a generator has an identifier, the others the parts of a name
+        parts = [node.name().funcName()] if kind == "UnresolvedGenerator" else _all(node.nameParts() if kind == "UnresolvedFunction" else node.name())
+        if len(parts) > 1 or not _known_function(spark, parts[0].lower()):
             return ".".join(parts)
-    if kind == "UnresolvedFunction" and _all(node.nameParts())[-1].lower() in CALLS:
-        return _all(node.nameParts())[-1]
     inner = _all(node.children()) + _all(node.innerChildren())
     if is_plan:
         inner += _all(node.expressions())
-    elif kind in SUBQUERIES:
+    elif _has_plan(spark, node):
         inner.append(node.plan())
     for child in inner:
         if (found := _faults(spark, child)) is not None:
@@ -51,6 +81,13 @@ def _faults(spark: SparkSession, node) -> str | None:
     return None
 
 
+def _has_plan(spark: SparkSession, node) -> bool:
+    """Whether an expression holds a plan of its own: subqueries and tables as arguments do."""
+    kind = "org.apache.spark.sql.catalyst.expressions."
+    classes = ("PlanExpression", "FunctionTableSubqueryArgumentExpression")
+    return any(spark._jvm.py4j.reflection.TypeUtil.isInstanceOf(spark._jvm.java.lang.Class.forName(kind + c), node) for c in classes)
+
+
 def refusal(spark: SparkSession, text: str) -> str | None:
     """Why a text may not run; None where it may."""
     try:
