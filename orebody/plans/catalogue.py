@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
-from orebody.operators import analysis, graph, ids, resolve, rollup, search, spatial, views
+from orebody.operators import analysis, graph, ids, maintained, resolve, rollup, search, spatial, substrings, vectors, views
 from orebody.plans import sqlgate
+from orebody.sources.scratch import scratch
 from orebody.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +148,26 @@ def rollup_national(spark, sf_dir):
     return rounded(rollup.stack(projects(spark, sf_dir), SNAPSHOT)[-1], rec_oc=2, res_oc=2)
 
 
+def refreshed(spark, sf_dir, level: int) -> DataFrame:
+    """A level after a load without 1997 and with wrong numbers of 1998, and one change that brings both."""
+    p = projects(spark, sf_dir)
+    path = scratch(spark, "maintained")
+    stale = F.when(F.col("report_year") == 1998, F.col("rec_oc") * 2).otherwise(F.col("rec_oc"))
+    maintained.load(p.where("report_year <> 1997").withColumn("rec_oc", stale), path, SNAPSHOT)
+    maintained.apply(p.where("report_year IN (1997, 1998)"), path, SNAPSHOT, ["report_year", "project_id", "uncert_level"], ["field_id"])
+    return rounded(maintained.read(spark, path, level), rec_oc=2, res_oc=2)
+
+
+@query("refreshed_field", f"WITH {PROJECTS}, {FIELD_SQL} SELECT * REPLACE (ROUND(rec_oc, 2) AS rec_oc, ROUND(res_oc, 2) AS res_oc) FROM field")
+def refreshed_field(spark, sf_dir):
+    return refreshed(spark, sf_dir, 0)
+
+
+@query("refreshed_national", ORACLES["rollup_national"])
+def refreshed_national(spark, sf_dir):
+    return refreshed(spark, sf_dir, 2)
+
+
 SERIES_FIELD = """
 sfield AS (
   SELECT report_year, wk_id, field_id, project_class, project_level, year, MIN(field_name) AS field_name, COUNT(*) AS project_count,
@@ -718,6 +739,26 @@ def postings(spark, sf_dir):
     return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query("substring_search", "SELECT doc_id, source FROM documents WHERE text ILIKE '%license, VERSION%'")
+def substring_search(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return substrings.search(substrings.build(d, "doc_id", "text"), d, "doc_id", "text", "License, version").select("doc_id", "source")
+
+
+@query(
+    "substring_batch",
+    """WITH p AS (SELECT item_id, CASE item_id % 10 WHEN 0 THEN '%_' WHEN 1 THEN 'É' ELSE array_to_string(string_split(text, ' ')[2:3], ' ') END AS pattern FROM benchmark)
+SELECT item_id, doc_id FROM p JOIN documents ON length(pattern) > 0 AND contains(lower(text), lower(pattern))""",
+)
+def substring_batch(spark, sf_dir):
+    """Which documents hold two words of each test item, one letter, or signs that are wildcards elsewhere."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = F.col("item_id") % 10
+    pattern = F.when(kind == 0, "%_").when(kind == 1, "É").otherwise(F.array_join(F.slice(F.split("text", " "), 2, 2), " "))
+    patterns = read(spark, sf_dir, "benchmark").select("item_id", pattern.alias("pattern"))
+    return substrings.search_batch(substrings.build(d, "doc_id", "text"), d, "doc_id", "text", patterns, "item_id", "pattern")
+
+
 _CODES = ", ".join(f"'{c}'" for c in PROBLEMS)
 CODE_TEXT = "CASE conv_id % 4 WHEN 0 THEN 'Kendala: ' ELSE '' END || (1 + turn % 4)::VARCHAR || '.' || (1 + conv_id % 4)::VARCHAR || CASE WHEN conv_id % 3 = 0 THEN '.' || (1 + turn % 5)::VARCHAR ELSE '' END || ' ' || COALESCE(text, '')"
 # keyword matches first, then bare ones; a histogram and a filter need the set alone
@@ -793,6 +834,21 @@ def cosine_filtered(spark, sf_dir):
     return search.top_similar(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY_VECTOR, 10, F.col("label").isin(1, 2))
 
 
+_COSINE_PAIR = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+
+
+@query(
+    "vector_topk_batch",
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, {_COSINE_PAIR} AS c FROM q, embeddings e)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id))::INT AS rank, vec_id, ROUND(c, 6) AS similarity FROM s QUALIFY rank <= 10""",
+)
+def vector_topk_batch(spark, sf_dir):
+    """Every fiftieth vector asks all vectors; all lists are probed, so the SQL holds."""
+    e = read(spark, sf_dir, "embeddings")
+    found = vectors.top_k(vectors.build(e, "vec_id", "embedding"), e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return rounded(found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "similarity"), similarity=6)
+
+
 @query("embed_documents")
 def embed_documents(spark, sf_dir):
     return search.embed_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "vector", search.hashing_embedder(32))
