@@ -4,7 +4,9 @@ Documents with equal sets of five-word shingles are one class.  Classes that sha
 of MinHash values fall into one cluster; inside a cluster every pair is compared a few
 MinHash values at a time and dropped once the posterior probability that its similarity
 reaches the threshold is below a tolerance; what remains is verified on the exact sets.
-A cluster beyond one block is cut into blocks by the size of the sets, so that blocks
+A cluster beyond one block is worked on in the cheaper of two ways: by its bands' buckets,
+where only rows that share a band meet and a pair is compared at the first band that it
+shares, or as a whole.  Either is cut into blocks by the size of the sets, so that blocks
 whose sizes cannot reach the threshold never meet; each pair of blocks is a task's work,
 and only counts and a spanning forest leave it, never the pairs.
 
@@ -40,7 +42,7 @@ STEP, COMPARED = 16, 64
 #: A pair is dropped when its posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-6
 #: A block of a cluster holds about so many classes, or bytes of shingles.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 12_000_000
+BLOCK_ROWS, BLOCK_BYTES = 1024, 12_000_000
 #: Sets at the threshold differ in size by a factor of 1.25 at most, so by one level.
 LEVEL_BASE = 1.26
 #: Levels of clusters up to this many rows are broadcast; beyond, they are joined by a shuffle.
@@ -152,8 +154,11 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (from ``left`` x ``right``, i < j where both are in both) at or above the threshold, tile by tile."""
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limits: dict[int, int], earlier: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (from ``left`` x ``right``, i < j where both are in both) at or above the threshold, tile by tile.
+
+    ``earlier`` has each set's keys of earlier bands; pairs that share one are left to it.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
     values = min_hashes(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]), COMPARED, seed=2)
     num, den = THRESHOLD
@@ -174,6 +179,9 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, li
                 matches += (values[i, n - STEP : n] == values[j, n - STEP : n]).sum(axis=1)
                 on = matches >= limits[n]
                 i, j, matches = i[on], j[on], matches[on]
+            if earlier is not None:
+                fresh = ~(earlier[i] == earlier[j]).any(axis=1)
+                i, j = i[fresh], j[fresh]
             if not len(i):
                 continue
             shared = exact_shared(sets, i, j)
@@ -205,7 +213,7 @@ def exact_shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nda
 
 
 def compare_blocks(work: DataFrame) -> DataFrame:
-    """(cls, links, root) from rows (*UNIT, level, block, cls, mult, shingles) that stand unit by unit."""
+    """(cls, links, root) from rows (*UNIT, level, block, cls, mult, bands, shingles) that stand unit by unit."""
     limits = least_matches(THRESHOLD[0] / THRESHOLD[1], TOLERANCE, STEP, COMPARED)
 
     def group(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -218,7 +226,9 @@ def compare_blocks(work: DataFrame) -> DataFrame:
         right = left if one == two else np.flatnonzero((level == two[0]) & (block == two[1]))
         links = np.zeros(len(rep), np.int64)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in linked_pairs(sets, left, right, limits) if len(left) and len(right) else ():
+        band = whole.column("band")[0].as_py()
+        earlier = whole.column("bands").flatten().to_numpy().reshape(len(rep), -1)[:, :band] if band >= 0 else None
+        for i, j in linked_pairs(sets, left, right, limits, earlier) if len(left) and len(right) else ():
             np.add.at(links, i, mult[j])
             np.add.at(links, j, mult[i])
             ends.append((i, j))
@@ -254,29 +264,32 @@ def compare_blocks(work: DataFrame) -> DataFrame:
     return work.mapInArrow(run, "cls long, links long, root long")
 
 
-#: What a task's unit of work is known by: two blocks of a cluster, each of a level of sizes.
-UNIT = ["cluster", "l1", "b1", "l2", "b2"]
+#: What a task's unit of work is known by: two blocks of a cluster (or of the bucket of a band), each of a level of sizes.
+UNIT = ["cluster", "band", "l1", "b1", "l2", "b2"]
+
+
+def blocks_of(sets: DataFrame) -> DataFrame:
+    """(cluster, band, size, level, here, above, below, rows, small): blocks of each level of sizes, and of its neighbours, of sets (cluster, band, size, bytes)."""
+    sizes = settle(sets.groupBy("cluster", "band", "size").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")), "levels")
+    # a row for each cluster and level
+    whole = sizes.groupBy("cluster", "band").agg(F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes")).where("all_rows > 1")
+    sizes = sizes.join(whole, ["cluster", "band"]).withColumn("small", (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_bytes") <= BLOCK_BYTES))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("cluster", "band", "size", F.when(F.col("small"), 0).otherwise(F.col("size")).alias("level"), F.when(F.col("small"), 1).otherwise(blocks).alias("here"), "rows", "small")
+    for name, step in (("above", 1), ("below", -1)):
+        other = sizes.where("NOT small").select("cluster", "band", (F.col("size") - step).alias("size"), F.col("here").alias(name))
+        sizes = sizes.join(other, ["cluster", "band", "size"], "left")
+    return settle(sizes.na.fill(0, ["above", "below"]), "blocks")
 
 
-def units(sets: DataFrame) -> DataFrame:
-    """Rows (*UNIT, level, block, cls, mult, shingles): each set in every unit that its block is part of.
+def cut(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (*UNIT, level, block, cls, mult, bands, shingles): each set in every unit that its block is part of.
 
     A cluster of one block is one unit.  A larger one is cut by levels of set sizes, and a
     level into blocks; a block meets the blocks of its own level and of the next.
     """
-    size = F.floor(F.log(F.length("shingles") / 8) / F.log(F.lit(LEVEL_BASE))).cast("int")
-    levelled = sets.withColumn("size", size)
-    sizes = settle(levelled.groupBy("cluster", "size").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes")), "levels")
-    # a row for each cluster and level
-    whole = sizes.groupBy("cluster").agg(F.sum("rows").alias("all_rows"), F.sum("bytes").alias("all_bytes")).where("all_rows > 1")
-    sizes = sizes.join(whole, "cluster").withColumn("small", (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_bytes") <= BLOCK_BYTES))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = sizes.select("cluster", "size", F.when(F.col("small"), 0).otherwise(F.col("size")).alias("level"), F.when(F.col("small"), 1).otherwise(blocks).alias("here"), "small")
-    for name, step in (("above", 1), ("below", -1)):
-        other = sizes.where("NOT small").select("cluster", (F.col("size") - step).alias("size"), F.col("here").alias(name))
-        sizes = sizes.join(other, ["cluster", "size"], "left")
-    sizes = settle(sizes.drop("small").na.fill(0, ["above", "below"]), "blocks")
-    dealt = levelled.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LEVELS else sizes, ["cluster", "size"])
+    sizes = sizes.drop("rows", "small")
+    dealt = sets.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_LEVELS else sizes, ["cluster", "band", "size"])
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("here")).cast("int"))
     at, own = F.col("level"), F.col("block")
 
@@ -284,14 +297,49 @@ def units(sets: DataFrame) -> DataFrame:
         return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1), lambda o: o < F.col(count)), unit)
 
     def pair(l1: Column, b1: Column, l2: Column, b2: Column) -> Column:
-        return F.struct(*[c.cast("int").alias(n) for n, c in zip(UNIT[1:], (l1, b1, l2, b2))])
+        return F.struct(*[c.cast("int").alias(n) for n, c in zip(UNIT[2:], (l1, b1, l2, b2))])
 
     every = F.concat(
         each("here", lambda o: pair(at, F.least(own, o), at, F.greatest(own, o))),
         each("above", lambda o: pair(at, own, at + 1, o)),
         each("below", lambda o: pair(at - 1, o, at, own)),
     )
-    return dealt.withColumn("unit", F.explode(every)).select("cluster", "unit.*", "level", "block", "cls", "mult", "shingles")
+    return dealt.withColumn("unit", F.explode(every)).select("cluster", "band", "unit.*", "level", "block", "cls", "mult", "bands", "shingles")
+
+
+def by_buckets(whole: Column, buckets: Column) -> Column:
+    """Whether a cluster's buckets make fewer copies of its sets than its blocks."""
+    return buckets < whole
+
+
+def units(sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows (*UNIT, level, block, cls, mult, bands, shingles) of all pairs that are to be compared, each pair in one unit.
+
+    sets: cls, cluster, mult, bytes, shingles; bands: cls, bands (the keys of all bands).
+    """
+    size = F.floor(F.log(F.col("bytes") / 8) / F.log(F.lit(LEVEL_BASE))).cast("int")
+    levelled = sets.withColumns({"size": size, "band": F.lit(-1), "bands": F.lit(None).cast("array<long>")})
+    sizes = blocks_of(levelled.select("cluster", "band", "size", "bytes"))
+    copies = F.sum(F.col("rows") * (F.col("here") + F.col("above") + F.col("below")))
+    large = settle(sizes.where("NOT small").groupBy("cluster").agg(copies.alias("whole")), "large")
+    if large.isEmpty():
+        return cut(levelled, sizes)
+    slim = levelled.select("cls", "cluster", "size", "bytes").join(large.select("cluster"), "cluster", "left_semi")
+    held = slim.join(bands, "cls").select("cls", F.col("cluster").alias("closure"), "size", "bytes", F.posexplode("bands").alias("band", "cluster"))
+    held = settle(held, "buckets")
+    bucket_sizes = blocks_of(held.select("cluster", "band", "size", "bytes"))
+    # a bucket lies in one closure
+    owner = held.groupBy("cluster", "band").agg(F.min("closure").alias("closure"))
+    cost = bucket_sizes.groupBy("cluster", "band").agg(copies.alias("copies")).join(owner, ["cluster", "band"]).groupBy("closure").agg(F.sum("copies").alias("buckets"))
+    chosen = large.join(cost, large["cluster"] == cost["closure"]).where(by_buckets(F.col("whole"), F.col("buckets"))).select("cluster")
+    chosen = settle(chosen, "by-buckets")
+    closures = cut(levelled.join(chosen, "cluster", "left_anti"), sizes)
+    if chosen.isEmpty():
+        return closures
+    met = bucket_sizes.select("cluster", "band").distinct()
+    own = held.join(chosen.withColumnRenamed("cluster", "closure"), "closure", "left_semi").join(met, ["cluster", "band"], "left_semi").select("cls", "cluster", "band", "size")
+    full = own.join(sets.select("cls", "mult", "shingles"), "cls").join(bands, "cls")
+    return closures.unionByName(cut(full, bucket_sizes))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -326,8 +374,8 @@ def _near_join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = settle(clusters.join(classes, "cls").select("cls", "cluster", "mult", "first.doc_id", "first.mark"), "wanted")
     texts = docs.join(wanted.select("doc_id", "mark"), ["doc_id", "mark"], "left_semi")
     sets = shingle_sets(texts).dropDuplicates(["doc_id", "mark"])
-    sets = settle(sets.join(wanted, ["doc_id", "mark"]).where(F.length("shingles") > 0).select("cls", "cluster", "mult", "shingles"), "sets")
-    work = units(sets).repartition(*UNIT).sortWithinPartitions(*UNIT)
+    sets = settle(sets.join(wanted, ["doc_id", "mark"]).where(F.length("shingles") > 0).select("cls", "cluster", "mult", F.length("shingles").alias("bytes"), "shingles"), "sets")
+    work = units(sets, firsts.select("cls", "bands")).repartition(*UNIT).sortWithinPartitions(*UNIT)
     found = settle(compare_blocks(work), "found")
 
     linked = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")

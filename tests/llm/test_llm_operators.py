@@ -85,6 +85,18 @@ def test_near_join_in_blocks(spark, monkeypatch):
     check_near(spark, [(i, edited(base, 45 + i, i)) for i in range(14)] + [(50 + i, base) for i in range(3)])
 
 
+@pytest.mark.parametrize("rows", [2, 5, 30])
+def test_near_join_by_buckets(spark, monkeypatch, rows):
+    """Every pair of a bucket is compared once, at the first band that it shares, also where buckets are cut."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_join, "by_buckets", lambda whole, buckets: F.lit(True))
+    base, words = prose(120, 40), prose(300, 41).split()
+    chain = [(100 + k, " ".join(words[: 100 + 12 * k])) for k in range(16)]
+    check_near(spark, [(i, edited(base, 45 + i, i)) for i in range(14)] + [(50 + i, base) for i in range(3)] + chain + [(200 + i, prose(50, 90 + i)) for i in range(9)])
+
+
 def test_near_join_edges(spark):
     empty = documents(spark, [])
     assert near_join.annotate(empty).count() == 0 and near_join.deduplicate(empty).count() == 0
