@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
-from orebody.operators import analysis, graph, ids, maintained, resolve, rollup, search, spatial, substrings, vectors, views
+from orebody.operators import analysis, graph, ids, intervals, lattice, maintained, phrases, resolve, rollup, search, spatial, substrings, vectors, views
 from orebody.plans import sqlgate
-from orebody.sources.scratch import scratch
+from orebody.sources.scratch import scratch, settle
 from orebody.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,69 @@ def refreshed_national(spark, sf_dir):
     return refreshed(spark, sf_dir, 2)
 
 
+_REQUESTS = [
+    lattice.Request("total of the country by year", ("report_year",), "sum", "rec_oc"),
+    lattice.Request("average of an area", ("wk_name", "report_year"), "avg", "rec_oc", (lattice.Filter("wk_name", "in", ("NATION_1", "NATION_2")),)),
+    lattice.Request("greatest of classes at a level", ("project_class",), "max", "res_oc", (lattice.Filter("uncert_level", "=", (MIDDLE,)),)),
+    lattice.Request("projects of some years", ("wk_name",), "rows", None, (lattice.Filter("report_year", "between", (1996, 1998)),)),
+    lattice.Request("least of fields", ("field_id",), "min", "rec_oc", (lattice.Filter("report_year", "=", (1997,)),)),
+    lattice.Request("volumes known of stages", ("project_stage",), "count", "res_oc"),
+    lattice.Request("distinct fields by year", ("report_year",), "distinct", "field_id"),
+    lattice.Request("average of all", (), "avg", "res_oc"),
+    lattice.Request("average of classes without a name", ("project_class", "pod_name"), "avg", "rec_oc", (lattice.Filter("pod_name", "null"),)),
+]
+_LEVELS = {
+    "field": (("report_year", "wk_name", "field_id", "uncert_level", "project_class"), ("rec_oc", "res_oc")),
+    "area": (("report_year", "wk_name", "uncert_level", "project_class"), ("rec_oc", "res_oc")),
+    "area_year": (("report_year", "wk_name"), ("rec_oc",)),
+    "class": (("uncert_level", "project_class"), ("rec_oc", "res_oc")),
+    "year": (("report_year",), ("rec_oc", "res_oc")),
+}
+#: Level that answers each request, as its keys, filters and measure ask.
+_ANSWERED_BY = ["year", "area_year", "class", "area_year", "field", "base", "base", "year", "base"]
+
+
+def _request_sql(r: lattice.Request, level: str) -> str:
+    tests = {"=": "{c} = {0!r}", "in": "{c} IN {v}", "between": "{c} BETWEEN {0} AND {1}", "null": "{c} IS NULL"}
+    where = " AND ".join(tests[f.test].format(*f.values, c=f.column, v=f.values) for f in r.filters) or "TRUE"
+    value = {"rows": "COUNT(*)", "distinct": f"COUNT(DISTINCT {r.measure})"}.get(r.kind, f"{r.kind.upper()}({r.measure})")
+    group = " || '|' || ".join(f"COALESCE({k}::VARCHAR, 'null')" for k in r.keys) or "''"
+    return f"""SELECT '{r.name}' AS request, '{level}' AS level, {group} AS "group", ROUND(({value})::DOUBLE, 4) AS value FROM projects WHERE {where}""" + (f" GROUP BY {', '.join(r.keys)}" if r.keys else "")
+
+
+@query("coarsest_level", f"WITH {PROJECTS} " + " UNION ALL ".join(_request_sql(r, v) for r, v in zip(_REQUESTS, _ANSWERED_BY)))
+def coarsest_level(spark, sf_dir):
+    return rounded(lattice.answer(lattice.build(settle(projects(spark, sf_dir), "projects"), _LEVELS), _REQUESTS), value=4)
+
+
+CONTRACTS = "contracts AS (SELECT o_custkey, MIN(o_orderdate)::DATE AS eff_start, CASE WHEN o_custkey % 7 <> 0 THEN MAX(o_orderdate)::DATE END AS eff_end FROM orders GROUP BY o_custkey)"
+
+
+def contracts(spark, sf_dir) -> DataFrame:
+    """From a customer's first order to the last; every seventh is still open."""
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("eff_start"), F.max("o_orderdate").cast("date").alias("eff_end"))
+    return o.withColumn("eff_end", F.when(F.col("o_custkey") % 7 != 0, F.col("eff_end")))
+
+
+@query("interval_years", f"WITH {CONTRACTS} SELECT o_custkey, y::INT AS report_year FROM contracts, range(1990, 2005) t(y) WHERE eff_start <= make_date(y::INT, 12, 31) AND (eff_end IS NULL OR eff_end >= make_date(y::INT, 1, 1))")
+def interval_years(spark, sf_dir):
+    """The report years in which each contract is in effect."""
+    c = contracts(spark, sf_dir).select("o_custkey", intervals.days(F.col("eff_start")).alias("a"), intervals.days(F.col("eff_end")).alias("b"))
+    years = spark.range(1990, 2005).select(F.col("id").cast("int").alias("report_year"))
+    years = years.select("report_year", intervals.days(F.make_date("report_year", F.lit(1), F.lit(1))).alias("c"), intervals.days(F.make_date("report_year", F.lit(12), F.lit(31))).alias("d"))
+    return intervals.overlaps(c, years, ("a", "b"), ("c", "d")).select("o_custkey", "report_year")
+
+
+@query("interval_overlaps", "WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 120)::INT AS b FROM orders) SELECT x.o_orderkey AS first_key, y.o_orderkey AS second_key FROM o x JOIN o y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey AND x.a <= y.b AND y.a <= x.b")
+def interval_overlaps(spark, sf_dir):
+    """Orders of one customer that are open at the same time."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", intervals.days(F.col("o_orderdate")).alias("a"))
+    o = o.withColumn("b", (F.col("a") + F.col("o_orderkey") % 120).cast("int"))
+    other = o.select("o_custkey", F.col("o_orderkey").alias("second_key"), F.col("a").alias("c"), F.col("b").alias("d"))
+    pairs = intervals.overlaps(o.withColumnRenamed("o_orderkey", "first_key"), other, ("a", "b"), ("c", "d"), ["o_custkey"])
+    return pairs.where("first_key < second_key").select("first_key", "second_key")
+
+
 SERIES_FIELD = """
 sfield AS (
   SELECT report_year, wk_id, field_id, project_class, project_level, year, MIN(field_name) AS field_name, COUNT(*) AS project_count,
@@ -759,6 +822,31 @@ def substring_batch(spark, sf_dir):
     return substrings.search_batch(substrings.build(d, "doc_id", "text"), d, "doc_id", "text", patterns, "item_id", "pattern")
 
 
+_DICTIONARY_SQL = """w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+dictionary AS (SELECT DISTINCT array_to_string(w[item_id % 7 + 1:item_id % 7 + 1 + item_id % 3], ' ') AS phrase, 'set ' || item_id % 5 AS concept, (1 + item_id % 3)::DOUBLE AS weight FROM w
+  UNION SELECT * FROM (VALUES ('of the', 'short', 0.5), ('de la', 'short', 0.5), ('the', 'short', 0.25), ('est', 'short', 0.25), ('in der', 'short', 0.5)))"""
+
+
+@query(
+    "phrase_scores",
+    f"""WITH {_DICTIONARY_SQL},
+told AS (SELECT phrase, ' ' || replace(phrase, ' ', '  ') || ' ' AS spaced FROM (SELECT DISTINCT phrase FROM dictionary)),
+pattern AS (SELECT '(' || string_agg(spaced, '|' ORDER BY length(spaced) DESC, spaced) || ')' AS p FROM told),
+t AS (SELECT conv_id, turn, ' ' || replace(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || ' ' AS t FROM conversations WHERE text IS NOT NULL),
+hits AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, p)) AS spaced FROM t, pattern)
+SELECT conv_id, turn, concept, COUNT(*) AS n, SUM(weight) AS score FROM hits JOIN told USING (spaced) JOIN dictionary USING (phrase) GROUP BY conv_id, turn, concept""",
+)
+def phrase_scores(spark, sf_dir):
+    """How often phrases of one to three words of the test items, and some short ones, stand in each turn of the conversations."""
+    k = F.col("item_id")
+    own = F.split(F.trim(F.regexp_replace(F.lower("text"), phrases.GAP, " ")), " ")
+    phrase = F.array_join(F.slice(own, (k % 7 + 1).cast("int"), (k % 3 + 1).cast("int")), " ")
+    rows = read(spark, sf_dir, "benchmark").select(phrase.alias("phrase"), F.concat(F.lit("set "), (k % 5).cast("string")).alias("concept"), (k % 3 + 1).cast("double").alias("weight")).distinct()
+    short = spark.createDataFrame([("of the", "short", 0.5), ("de la", "short", 0.5), ("the", "short", 0.25), ("est", "short", 0.25), ("in der", "short", 0.5)], "phrase string, concept string, weight double")
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    return phrases.scores(turns, "key", "text", rows.unionByName(short)).select("key.conv_id", "key.turn", "concept", "n", "score")
+
+
 _CODES = ", ".join(f"'{c}'" for c in PROBLEMS)
 CODE_TEXT = "CASE conv_id % 4 WHEN 0 THEN 'Kendala: ' ELSE '' END || (1 + turn % 4)::VARCHAR || '.' || (1 + conv_id % 4)::VARCHAR || CASE WHEN conv_id % 3 = 0 THEN '.' || (1 + turn % 5)::VARCHAR ELSE '' END || ' ' || COALESCE(text, '')"
 # keyword matches first, then bare ones; a histogram and a filter need the set alone

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,23 +36,65 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[column(f) for f in schema.fields])
 
 
+#: Column of a reader in which a row is kept that is no row of the table.
+BROKEN = "__broken"
+
+
+def raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a file as text, by the header's names; rows with more or fewer cells than the header in BROKEN as well."""
+    options = {"sep": ";", "header": True, "quote": '"', "escape": '"', "multiLine": True}
+    names = spark.read.options(**options).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    return spark.read.options(**options, columnNameOfCorruptRecord=BROKEN).schema(text).csv(path)
+
+
+def raw_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The values of an array of flat objects as text, by name; what is no object in BROKEN."""
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*schema.fieldNames(), BROKEN]])
+    return spark.read.schema(text).option("multiLine", True).option("columnNameOfCorruptRecord", BROKEN).json(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Semicolons, double quotes doubled inside, a header row; cells may hold line breaks."""
-    raw = spark.read.options(sep=";", header=True, quote='"', escape='"', multiLine=True).csv(path)
-    return _typed(raw, schema)
+    return _typed(raw_csv(spark, path), schema)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An array of flat objects, by name."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    return _typed(spark.read.schema(text).option("multiLine", True).json(path), schema)
+    return _typed(raw_json(spark, path, schema), schema)
+
+
+def raw_table(spark: SparkSession, folder: str, name: str, kind: str, schema: T.StructType) -> DataFrame:
+    path = str(PurePosixPath(folder) / f"{name}.{kind}") if "://" not in folder else f"{folder}/{name}.{kind}"
+    if kind == "csv":
+        return raw_csv(spark, path)
+    if kind == "json":
+        return raw_json(spark, path, schema)
+    raise ValueError(f"no reader for {kind!r}")
 
 
 def read_table(spark: SparkSession, folder: str, name: str, kind: str, schema: T.StructType) -> DataFrame:
-    readers = {"csv": read_csv, "json": read_json}
-    if kind not in readers:
-        raise ValueError(f"no reader for {kind!r}")
-    return readers[kind](spark, str(PurePosixPath(folder) / f"{name}.{kind}") if "://" not in folder else f"{folder}/{name}.{kind}", schema)
+    return _typed(raw_table(spark, folder, name, kind, schema), schema)
+
+
+def faults(raw: DataFrame, schema: T.StructType) -> Column:
+    """Array of (column, value, reason): cells that are not of their column's type, and rows that are not of the table's shape."""
+    have = {c.lower(): c for c in raw.columns}
+    reason = T.StructType([T.StructField(n, T.StringType()) for n in ("column", "value", "reason")])
+    found = [F.when(F.col(BROKEN).isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col(BROKEN).alias("value"), F.lit("broken row").alias("reason")))]
+    for f in schema.fields:
+        if f.name.lower() in have and not isinstance(f.dataType, T.StringType):
+            own = F.nullif(F.trim(F.col(f"`{have[f.name.lower()]}`")), F.lit(""))
+            kind = f.dataType.simpleString()
+            found.append(F.when(own.isNotNull() & own.try_cast(f.dataType).isNull(), F.struct(F.lit(f.name).alias("column"), own.alias("value"), F.lit(f"not {kind}").alias("reason"))))
+    return F.array_compact(F.array(*found)).cast(T.ArrayType(reason))
+
+
+def rejects(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
+    """(table_name, file, row, column, value, reason): a row for each bad cell and each broken row; ``row`` is the row's cells as JSON."""
+    cells = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns if c != BROKEN]))
+    rows = raw.select(F.lit(table).alias("table_name"), F.input_file_name().alias("file"), cells.alias("row"), F.explode(faults(raw, schema)).alias("r"))
+    return rows.select("table_name", "file", "row", "r.column", "r.value", "r.reason")
 
 
 def derive(df: DataFrame) -> DataFrame:
@@ -74,15 +117,35 @@ def write_table(df: DataFrame, path: str) -> None:
 BASE_TABLES = {"project_resources": snapshot_schema, "project_timeseries": series_schema}
 
 
-def load(spark: SparkSession, folder: str, out: str, kind: str = "csv") -> dict[str, DataFrame]:
+class Loaded(dict):
+    """Tables by name; ``rejects`` has what of the files is in none of them, ``counts`` rows, bad cells and broken rows by table."""
+
+    rejects: DataFrame
+    counts: dict[str, dict[str, int]]
+
+
+def load(spark: SparkSession, folder: str, out: str, kind: str = "csv") -> Loaded:
     """Read every base table of a folder, derive its columns and write it below ``out`` by report year.
 
-    Each table replaces what was there; the tables as written come back by name.
+    Each table replaces what was there; the tables as written come back by name.  A cell that
+    is not of its column's type is null, a row with too few cells ends in nulls and one with
+    too many loses them; each of these is a row of ``rejects``.  They are counted in the pass
+    that writes the table, and looked up in a second one only where there are any.
     """
-    loaded = {}
+    loaded, parts = Loaded(), []
+    loaded.counts = {}
     for name, schema in BASE_TABLES.items():
-        write_table(derive(read_table(spark, folder, name, kind, schema())), f"{out.rstrip('/')}/{name}")
+        raw = raw_table(spark, folder, name, kind, schema())
+        bad = faults(raw, schema())
+        broken = F.col(BROKEN).isNotNull().cast("long")
+        seen = Observation(f"load-{name}")
+        watched = raw.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(bad) - broken), F.lit(0)).cast("long").alias("bad_cells"), F.coalesce(F.sum(broken), F.lit(0)).alias("broken_rows"))
+        write_table(derive(_typed(watched, schema())), f"{out.rstrip('/')}/{name}")
         loaded[name] = spark.read.parquet(f"{out.rstrip('/')}/{name}")
+        loaded.counts[name] = dict(seen.get)
+        own = rejects(raw, schema(), name)
+        parts.append(own if seen.get["bad_cells"] or seen.get["broken_rows"] else spark.createDataFrame([], own.schema))
+    loaded.rejects = reduce(DataFrame.unionByName, parts)
     return loaded
 
 
