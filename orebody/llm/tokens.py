@@ -30,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import columns, scratch
+from .shared import batch_rows, columns, scratch
 from .textnp import slices
 
 END_ID = 2
 #: A block closes at this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 #: Distinct words, and parts of words, that a worker remembers at least.
-REMEMBERED_WORDS, REMEMBERED_PARTS = 400_000, 500_000
+REMEMBERED_WORDS, REMEMBERED_PARTS = 250_000, 500_000
+#: Texts in an Arrow batch.
+BATCH_TEXTS = 500
 #: The normalizer and pattern of a vocabulary whose words can be encoded apart.
 WORD_RULES = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -212,7 +214,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     rows = columns(docs, doc_id="long", text="string")
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    ordered.mapInArrow(blocks, BLOCKS_DDL).write.option("compression", "zstd").parquet(path)
+    with batch_rows(docs.sparkSession, BATCH_TEXTS):
+        ordered.mapInArrow(blocks, BLOCKS_DDL).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
