@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from math import cos, pi, radians
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.expressions import EARTH_KM, contains_text, ellipsoid_km, haversine_km
@@ -37,23 +37,40 @@ def _cells(lat: Column, long: Column, radius_km: float) -> tuple[Column, Column,
     return row, F.pmod(F.floor((long + 180) / 360 * count), count), count
 
 
-def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
-    """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells.
+def _visited(points: DataFrame, radius_km: float) -> DataFrame:
+    """Points with ``row`` and ``column`` of each cell that their radius reaches, in their own row and the two beside it; cells of a row are found by that row's own width."""
+    step = radius_km / KM_PER_DEGREE
+    rows = points.withColumn("__shift", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("row", F.floor((F.col("lat") + 90) / step) + F.col("__shift"))
+    _, _, count = _cells(F.col("row") * step - 90 + step / 2, F.lit(0.0), radius_km)
+    rows = rows.withColumn("__count", count)
+    own = F.pmod(F.floor((F.col("long") + 180) / 360 * F.col("__count")), F.col("__count"))
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(own + d, F.col("__count"))))
+    return rows.withColumn("column", F.explode(beside)).drop("__shift", "__count")
+
 
-    The left side visits, in its own row and the two beside it, the cells that its radius
-    reaches; cells of a row are found by that row's own width.
+def near_of(left: DataFrame, right: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
+    """All columns of both sides and ``km`` for left and right points (lat, long) within the radius, by an equi-join on cells.
+
+    Right columns are named with ``_b`` behind; every left point meets each right point once.
     """
-    step = radius_km / KM_PER_DEGREE
-    p = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("long").cast("double").alias("long")).where("lat IS NOT NULL AND long IS NOT NULL")
     row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
+    known = right.withColumns({"row": row, "column": column}).withColumnsRenamed({c: f"{c}_b" for c in right.columns})
+    km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
+    pairs = _visited(left, radius_km).join(known, ["row", "column"]).drop("row", "column").withColumn("km", km)
+    return pairs.where(F.col("km") <= radius_km)
+
+
+def placed(points: DataFrame) -> DataFrame:
+    """(id, lat, long) of the points that have a place."""
+    return points.select("id", F.col("lat").cast("double").alias("lat"), F.col("long").cast("double").alias("long")).where("lat IS NOT NULL AND long IS NOT NULL")
+
+
+def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
+    """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells."""
+    row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
+    p = placed(points)
     right = p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"), row.alias("row"), column.alias("column"))
-    left = p.select(F.col("id").alias("a"), "lat", "long", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("shift"))
-    left = left.withColumn("row", F.floor((F.col("lat") + 90) / step) + F.col("shift"))
-    _, _, count = _cells(F.col("row") * step - 90 + step / 2, F.lit(0.0), radius_km)
-    left = left.withColumn("count", count)
-    own = F.pmod(F.floor((F.col("long") + 180) / 360 * F.col("count")), F.col("count"))
-    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(own + d, F.col("count"))))
-    left = left.withColumn("column", F.explode(beside))
+    left = _visited(p.withColumnRenamed("id", "a"), radius_km)
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
     pairs = left.join(right, ["row", "column"]).where("a < b").select("a", "b", km.alias("km"))
     return pairs.where(F.col("km") <= radius_km)
@@ -167,22 +184,84 @@ def ask_places(points: DataFrame, question: str, **given) -> tuple[str, DataFram
     return ("no_results" if known else "not_found"), rows
 
 
+#: Parts of a cell's side into which core points are summed up.
+PARTS = 8
+#: Full cells up to so many are broadcast.
+BROADCAST_CELLS = 100_000
+
+
+def _small_cells(radius_km: float) -> tuple[Column, Column]:
+    """(cell, part of the cell) of a point: all points of a cell are within the radius of each other."""
+    # a little less than the radius over the root of two, so that rounding keeps within it
+    side = radius_km / 2**0.5 * 0.999 / KM_PER_DEGREE
+    row = F.floor((F.col("lat") + 90) / side)
+    low, high = row * side - 90, (row + 1) * side - 90
+    nearest = F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+    # columns by the row's widest latitude
+    count = F.greatest(F.lit(1), F.ceil(360 * F.cos(F.radians(nearest)) / side)).cast("long")
+    across = (F.col("long") + 180) / 360 * count
+    column = F.least(F.floor(across), count - 1)
+    part = F.floor(((F.col("lat") + 90) / side - row) * PARTS) * (PARTS + 1) + F.floor((across - column) * PARTS)
+    return (F.shiftleft(row.cast("long"), 32) + column).alias("cell"), part.cast("int").alias("part")
+
+
+def _linked_cells(core: DataFrame, radius_km: float) -> DataFrame:
+    """(a, b): pairs of cells of which two core points are within the radius.
+
+    Core points are summed up by parts of cells, each a box with a reach; boxes whose centres
+    and reaches lie within the radius are linked without a look at their points.  Only where
+    no box of two cells is certain, some might be, and nothing else links them, points are compared.
+    """
+    boxes = core.groupBy("cell", "part").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("long").alias("long0"), F.max("long").alias("long1"))
+    lat, long = (F.col("lat0") + F.col("lat1")) / 2, (F.col("long0") + F.col("long1")) / 2
+    boxes = boxes.withColumns({"lat": lat, "long": long})
+    corners = [haversine_km(F.col("lat"), F.col("long"), F.col(y), F.col("long0")) for y in ("lat0", "lat1")]
+    alone = (F.col("lat0") == F.col("lat1")) & (F.col("long0") == F.col("long1"))
+    boxes = settle(boxes.select("cell", "part", "lat", "long", F.when(alone, 0.0).otherwise(F.greatest(*corners) * 1.0001).alias("reach")), "boxes")
+    met = near_of(boxes, boxes, radius_km * (1 + 1.5 / PARTS)).where("cell < cell_b")
+    slack = F.col("reach") + F.col("reach_b")
+    met = met.where(F.col("km") - slack <= radius_km).select("cell", "part", "cell_b", "part_b", (F.col("km") + slack <= radius_km).alias("sure"))
+    pairs = settle(met.groupBy("cell", "cell_b").agg(F.max("sure").alias("sure")), "cell-pairs")
+    sure = pairs.where("sure").select(F.col("cell").alias("a"), F.col("cell_b").alias("b"))
+    open_ = pairs.where("NOT sure").select("cell", "cell_b")
+    if open_.isEmpty():
+        return sure
+    known = components(sure)
+    ends = open_.join(known.select(F.col("node").alias("cell"), F.col("component").alias("x")), "cell", "left").join(known.select(F.col("node").alias("cell_b"), F.col("component").alias("y")), "cell_b", "left")
+    apart = ends.where(F.coalesce("x", "cell") != F.coalesce("y", "cell_b")).select("cell", "cell_b")
+    doubt = met.join(apart, ["cell", "cell_b"], "left_semi").select("cell", "part", "cell_b", "part_b")
+    other = core.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
+    tested = doubt.join(core.select("cell", "part", "lat", "long"), ["cell", "part"]).join(other, ["cell_b", "part_b"])
+    tested = tested.where(haversine_km(F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b")) <= radius_km)
+    return settle(sure.unionByName(tested.select(F.col("cell").alias("a"), F.col("cell_b").alias("b")).distinct()), "cell-links")
+
+
 def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:
     """(id, cluster, size): density clusters; a core point has ``least`` points within the radius, itself included.
 
     Core points within the radius of each other are one cluster; a border point joins the
     cluster of its least core neighbour; clusters are numbered by falling size.
+
+    Points lie in cells so small that all points of a cell are within the radius of each
+    other.  A cell of ``least`` points has core points only, whose distances are not looked at;
+    points of other cells, fewer than ``least`` each, count their neighbours.  Clusters are
+    components of cells.  What is written is a few rows a point, never the near pairs.
     """
-    pairs = settle(near_pairs(points, radius_km).select("a", "b"), "near-pairs")
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg((F.count("*") + 1).alias("n"))
-    core = points.select("id").where(F.lit(least <= 1)).unionByName(degree.where(F.col("n") >= max(least, 2)).select(F.col("a").alias("id"))).distinct()
-    inner = both.join(core.select(F.col("id").alias("a")), "a", "left_semi").join(core.select(F.col("id").alias("b")), "b", "left_semi")
-    linked = components(inner.select("a", "b")).select(F.col("node").alias("id"), "component")
-    cored = core.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    outer = both.join(core.select(F.col("id").alias("a")), "a", "left_anti").join(cored.select(F.col("id").alias("b"), "component"), "b")
-    border = outer.groupBy("a").agg(F.min_by("component", "b").alias("component")).select(F.col("a").alias("id"), "component")
-    members = settle(cored.unionByName(border), "members")
+    cell, part = _small_cells(radius_km)
+    p = placed(points).select("id", "lat", "long", cell, part)
+    full = settle(p.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cell", F.lit(True).alias("full")), "full-cells")
+    p = settle(p.join(F.broadcast(full) if full.count() <= BROADCAST_CELLS else full, "cell", "left").withColumn("full", F.coalesce("full", F.lit(False))), "placed")
+    few = p.where("NOT full").select("id", "lat", "long")
+    counted = near_of(few, p.select("lat", "long"), radius_km).groupBy("id").agg(F.count("*").alias("n"))
+    crowded = settle(counted.where(F.col("n") >= least).select("id"), "crowded")
+    core = settle(p.where("full").unionByName(p.where("NOT full").join(crowded, "id", "left_semi")).drop("full"), "core")
+    linked = components(_linked_cells(core, radius_km)).select(F.col("node").alias("cell"), F.col("component").alias("root"))
+    cored = core.join(linked, "cell", "left").select("id", "lat", "long", F.coalesce("root", "cell").alias("root"))
+    cored = settle(cored, "cored")
+    # a cluster is known by its least core point
+    named = settle(cored.groupBy("root").agg(F.min("id").alias("component")), "clusters")
+    border = near_of(few.join(crowded, "id", "left_anti"), cored.select("id", "lat", "long", "root"), radius_km).groupBy("id").agg(F.min_by("root_b", "id_b").alias("root"))
+    members = settle(cored.select("id", "root").unionByName(border).join(named, "root").select("id", "component"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
     numbers = running(sizes, [F.col("size").desc(), F.col("component").asc()], number="cluster")
     return members.join(numbers, "component").select("id", F.col("cluster").cast("int").alias("cluster"), "size")
@@ -192,3 +271,43 @@ def centroids(points: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, size, lat, long) with the mean place of each cluster to four places."""
     joined = members.join(points.select("id", "lat", "long"), "id")
     return joined.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("lat"), 4).alias("lat"), F.round(F.avg("long"), 4).alias("long"))
+
+
+#: Half of the Earth's circumference and a little, beyond which no point lies.
+FARTHEST_KM = EARTH_KM * pi * 1.001
+#: Radii are halved so often at most, down to millimetres.
+HALVINGS = 24
+
+
+def nearest_each(points: DataFrame, k: int) -> DataFrame:
+    """(place, rank, id, km): the k nearest other points of every point, without a radius; equal distances by id.
+
+    A place looks as far as it must: the radius is halved while the place's cell, in which all
+    points are within the radius, still holds enough points, so that k neighbours are certain.
+    Only places in sparse regions look far, and each place keeps its k best.  Points of one
+    place are one, with the k + 1 smallest ids, so that a crowd at one place is no work.
+    """
+    p = placed(points)
+    order = Window.partitionBy("lat", "long").orderBy("id")
+    kept = settle(p.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "kept")
+    spots = settle(kept.select("lat", "long").distinct(), "spots")
+    levels = range(HALVINGS + 1)
+    cells = F.array(*[F.struct(F.lit(h).alias("level"), _small_cells(FARTHEST_KM / 2**h)[0]) for h in levels])
+    counts = kept.select(F.explode(cells).alias("c")).groupBy("c.level", "c.cell").agg(F.count("*").alias("n")).where(F.col("n") > k)
+    own = spots.select("lat", "long", F.explode(cells).alias("c")).select("lat", "long", "c.*")
+    deep = own.join(counts, ["level", "cell"], "left").groupBy("lat", "long").agg(F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(-1)).alias("level"))
+    deep = settle(deep, "levels")
+    found = None
+    # no more than the number of levels
+    for (level,) in sorted(deep.select("level").distinct().collect()):
+        # where no cell is certain there are few points in all
+        radius = FARTHEST_KM * 2 if level < 0 else FARTHEST_KM / 2**level
+        near = near_of(deep.where(F.col("level") == level).select("lat", "long"), kept, radius).select("lat", "long", F.col("id_b").alias("id"), "km")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return p.select(F.col("id").alias("place"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("km")).limit(0)
+    # a point may be among its own: one more than k is enough
+    best = settle(found.withColumn("n", F.row_number().over(Window.partitionBy("lat", "long").orderBy("km", "id"))).where(F.col("n") <= k + 1).drop("n"), "nearest")
+    each = p.withColumnRenamed("id", "place").join(best, ["lat", "long"]).where("place <> id")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy("km", "id")))
+    return ranked.where(F.col("rank") <= k).select("place", "rank", "id", "km")

@@ -686,6 +686,12 @@ def nearest_from_point(spark, sf_dir):
     return rounded(spatial.within(places(spark, sf_dir), 10.0, 20.0, 1000.0, 15).select("id", "km"), km=4)
 
 
+@query("nearest_each", f"WITH {PLACES}, d AS (SELECT x.id AS place, y.id, {_km('x', 'y')} AS km FROM places x JOIN places y ON x.id <> y.id) SELECT place, row_number() OVER (PARTITION BY place ORDER BY km, id)::INT AS rank, ROUND(km, 4) AS km FROM d QUALIFY rank <= 5")
+def nearest_each(spark, sf_dir):
+    """The distances of the five nearest others of every place; ids are left out, as equal distances differ in the last bit."""
+    return rounded(spatial.nearest_each(places(spark, sf_dir), 5).select("place", "rank", "km"), km=4)
+
+
 @query("nearest_on_ellipsoid")
 def nearest_on_ellipsoid(spark, sf_dir):
     return rounded(spatial.within(places(spark, sf_dir), 10.0, 20.0, 1000.0, 15, "ellipsoid").select("id", "km"), km=2)
