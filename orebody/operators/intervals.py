@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from orebody.sources.scratch import settle
 
-#: Numbers from -2**(BITS - 1) to 2**(BITS - 1) - 1 are on the axis, enough for days or seconds.
-BITS = 40
-HALF = 1 << (BITS - 1)
+#: Bits of the axis at most; a join takes no more than the distance of its least and greatest end asks.
+BITS = 62
 HOT_SHARE = 1 / 1024
 SALTS = 32
 #: Blocks that intervals have are broadcast up to so many rows.
@@ -36,42 +35,53 @@ def days(date: Column) -> Column:
     return F.unix_date(date.cast("date"))
 
 
-def blocks_of_point(x: Column, bits: int = BITS) -> Column:
-    """(size, block) of the blocks of all sizes around a number; beyond the axis it counts as its end."""
-    at = F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), x.cast("long") + (1 << (bits - 1))))
-    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.struct(k.cast("int").alias("size"), F.floor(at / F.pow(F.lit(2.0), k)).cast("long").alias("block")))
+def blocks_of_point(x: Column, base: int, bits: int) -> Column:
+    """(size, block) of the blocks of all sizes around a number of the axis, which has 2**bits numbers from ``base`` on."""
+    at = x.cast("long") - base
+    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.struct(k.cast("int").alias("size"), F.call_function("shiftright", at, k.cast("int")).alias("block")))
 
 
-def blocks_of_interval(a: Column, b: Column, bits: int = BITS) -> Column:
-    """(size, block) of the fewest blocks whose union is the interval."""
-    low = F.coalesce(F.greatest(F.lit(0), a.cast("long") + (1 << (bits - 1))), F.lit(0))
-    high = F.coalesce(F.least(F.lit((1 << bits) - 1), b.cast("long") + (1 << (bits - 1))), F.lit((1 << bits) - 1)) + 1
+def blocks_of_interval(a: Column, b: Column, base: int, bits: int) -> Column:
+    """(size, block) of the fewest blocks whose union is the part of an interval on the axis."""
+    low = F.coalesce(F.greatest(F.lit(0), a.cast("long") - base), F.lit(0))
+    high = F.coalesce(F.least(F.lit(1 << bits), b.cast("long") - base + 1), F.lit(1 << bits))
 
     def at(k: Column) -> Column:
-        step = F.pow(F.lit(2.0), k)
-        # blocks of this size that lie inside, and those of twice the size
-        first, last = F.ceil(low / step).cast("long"), F.floor(high / step).cast("long")
-        outer_first, outer_last = F.ceil(low / (step * 2)).cast("long") * 2, F.floor(high / (step * 2)).cast("long") * 2
-        # inside blocks that no larger inside block holds: one at either end, or all where there is no larger one
-        left = F.when((first < last) & (first < outer_first), F.array(first)).otherwise(F.array().cast("array<bigint>"))
-        right = F.when((first < last) & (outer_last < last), F.array(last - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(F.array_distinct(F.concat(left, right)), lambda x: F.struct(k.cast("int").alias("size"), x.alias("block")))
+        k = k.cast("int")
+        # blocks of this size between the ends: an odd first one and an odd number before the last stand alone
+        first, last = F.negate(F.call_function("shiftright", -low, k)), F.call_function("shiftright", high, k)
+        alone = F.array(F.when(first % 2 == 1, first), F.when(last % 2 == 1, last - 1))
+        found = F.when(first < last, F.array_distinct(F.array_compact(alone))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(found, lambda x: F.struct(k.alias("size"), x.alias("block")))
 
     whole = F.array(F.struct(F.lit(bits).alias("size"), F.lit(0).cast("long").alias("block")))
-    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), at))
+    inner = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max(bits - 1, 0))), at))
     none = F.array().cast("array<struct<size:int,block:bigint>>")
     return F.when(low >= high, none).when((low == 0) & (high == 1 << bits), whole).otherwise(inner)
 
 
+def axis(*columns: tuple[DataFrame, str]) -> tuple[int, int]:
+    """(base, bits) of an axis that holds all numbers of some columns."""
+    # a row for each column
+    ends = [df.agg(F.min(F.col(c).cast("long")).alias("a"), F.max(F.col(c).cast("long")).alias("b")).first() for df, c in columns]
+    low, high = min((e["a"] for e in ends if e["a"] is not None), default=0), max((e["b"] for e in ends if e["b"] is not None), default=0)
+    bits = (high - low + 1).bit_length()
+    if bits > BITS:
+        raise ValueError(f"ends {low} and {high} are too far apart")
+    return low, bits
+
+
 def stabbed(points: DataFrame, point: str, intervals: DataFrame, start: str, end: str, keys: list[str] | None = None) -> DataFrame:
     """All columns of points and of the intervals that hold them, a row a pair; ``keys`` are equal on both sides and appear once."""
     keys = keys or []
     place = [*keys, "__size", "__block"]
-    own = intervals.withColumn("__r", F.explode(blocks_of_interval(F.col(start), F.col(end)))).withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
+    # an end beyond all points says no more than the last point does
+    base, bits = axis((points, point))
+    own = intervals.withColumn("__r", F.explode(blocks_of_interval(F.col(start), F.col(end), base, bits))).withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
     own = settle(own, "interval-blocks")
     known = settle(own.select(*place).distinct(), "blocks")
-    sizes = [r["__size"] for r in known.select("__size").distinct().collect()]  # BITS + 1 at most
-    asked = points.where(F.col(point).isNotNull()).withColumn("__r", F.explode(F.filter(blocks_of_point(F.col(point)), lambda r: r["size"].isin(*sizes) if sizes else F.lit(False))))
+    sizes = [r["__size"] for r in known.select("__size").distinct().collect()]  # one more than there are bits at most
+    asked = points.where(F.col(point).isNotNull()).withColumn("__r", F.explode(F.filter(blocks_of_point(F.col(point), base, bits), lambda r: r["size"].isin(*sizes) if sizes else F.lit(False))))
     asked = asked.withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
     met = asked.join(F.broadcast(known) if known.count() <= BROADCAST_BLOCKS else known, place, "left_semi")
     counts = settle(met.groupBy(*place).agg(F.count("*").alias("__n")), "block-counts")
@@ -88,11 +98,12 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     if shared := (set(left.columns) & set(right.columns)) - set(keys):
         raise ValueError(f"both sides have {sorted(shared)}")
     (a, b), (c, d) = left_ends, right_ends
-    # an open start lies before everything
-    first, second = (side.withColumn("__start", F.coalesce(F.col(s).cast("long"), F.lit(-HALF))).where(F.col(e).isNull() | (F.col("__start") <= F.col(e))) for side, s, e in ((left, a, b), (right, c, d)))
+    # an open start lies before everything that has an end
+    before = min(axis((left, a), (left, b))[0], axis((right, c), (right, d))[0]) - 1
+    first, second = (side.withColumn("__start", F.coalesce(F.col(s).cast("long"), F.lit(before))).where(F.col(e).isNull() | (F.col("__start") <= F.col(e))) for side, s, e in ((left, a, b), (right, c, d)))
     later_right = stabbed(second, "__start", first.drop("__start"), a, b, keys).drop("__start")
     # starts that are equal were found above
-    open_c = F.coalesce(F.col(c).cast("long"), F.lit(-HALF))
+    open_c = F.coalesce(F.col(c).cast("long"), F.lit(before))
     later_left = stabbed(first, "__start", second.drop("__start"), c, d, keys).where(open_c < F.col("__start")).drop("__start")
     names = [*keys, *[x for x in left.columns if x not in keys], *[x for x in right.columns if x not in keys]]
     return later_right.select(*names).unionByName(later_left.select(*names))

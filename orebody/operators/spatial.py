@@ -205,35 +205,42 @@ def _small_cells(radius_km: float) -> tuple[Column, Column]:
     return (F.shiftleft(row.cast("long"), 32) + column).alias("cell"), part.cast("int").alias("part")
 
 
+#: Comparisons of points that are made at once; beyond, what sure links join is left out first.
+TESTS = 50_000_000
+
+
 def _linked_cells(core: DataFrame, radius_km: float) -> DataFrame:
     """(a, b): pairs of cells of which two core points are within the radius.
 
     Core points are summed up by parts of cells, each a box with a reach; boxes whose centres
     and reaches lie within the radius are linked without a look at their points.  Only where
-    no box of two cells is certain, some might be, and nothing else links them, points are compared.
+    no box of two cells is sure and some might be, points are compared; where these are many,
+    only between cells that nothing else links.
     """
-    boxes = core.groupBy("cell", "part").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("long").alias("long0"), F.max("long").alias("long1"))
+    boxes = core.groupBy("cell", "part").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("long").alias("long0"), F.max("long").alias("long1"), F.count("*").alias("n"))
     lat, long = (F.col("lat0") + F.col("lat1")) / 2, (F.col("long0") + F.col("long1")) / 2
     boxes = boxes.withColumns({"lat": lat, "long": long})
     corners = [haversine_km(F.col("lat"), F.col("long"), F.col(y), F.col("long0")) for y in ("lat0", "lat1")]
     alone = (F.col("lat0") == F.col("lat1")) & (F.col("long0") == F.col("long1"))
-    boxes = settle(boxes.select("cell", "part", "lat", "long", F.when(alone, 0.0).otherwise(F.greatest(*corners) * 1.0001).alias("reach")), "boxes")
+    boxes = settle(boxes.select("cell", "part", "lat", "long", "n", F.when(alone, 0.0).otherwise(F.greatest(*corners) * 1.0001).alias("reach")), "boxes")
     met = near_of(boxes, boxes, radius_km * (1 + 1.5 / PARTS)).where("cell < cell_b")
     slack = F.col("reach") + F.col("reach_b")
-    met = met.where(F.col("km") - slack <= radius_km).select("cell", "part", "cell_b", "part_b", (F.col("km") + slack <= radius_km).alias("sure"))
-    pairs = settle(met.groupBy("cell", "cell_b").agg(F.max("sure").alias("sure")), "cell-pairs")
+    met = met.where(F.col("km") - slack <= radius_km).select("cell", "part", "cell_b", "part_b", (F.col("n") * F.col("n_b")).alias("tests"), (F.col("km") + slack <= radius_km).alias("sure"))
+    pairs = settle(met.groupBy("cell", "cell_b").agg(F.max("sure").alias("sure"), F.sum("tests").alias("tests")), "cell-pairs")
     sure = pairs.where("sure").select(F.col("cell").alias("a"), F.col("cell_b").alias("b"))
-    open_ = pairs.where("NOT sure").select("cell", "cell_b")
-    if open_.isEmpty():
+    left = pairs.where("NOT sure").select("cell", "cell_b", "tests")
+    tests = left.agg(F.sum("tests").alias("n")).first()["n"]
+    if not tests:
         return sure
-    known = components(sure)
-    ends = open_.join(known.select(F.col("node").alias("cell"), F.col("component").alias("x")), "cell", "left").join(known.select(F.col("node").alias("cell_b"), F.col("component").alias("y")), "cell_b", "left")
-    apart = ends.where(F.coalesce("x", "cell") != F.coalesce("y", "cell_b")).select("cell", "cell_b")
-    doubt = met.join(apart, ["cell", "cell_b"], "left_semi").select("cell", "part", "cell_b", "part_b")
+    if tests > TESTS:
+        known = components(sure)
+        ends = left.join(known.select(F.col("node").alias("cell"), F.col("component").alias("x")), "cell", "left").join(known.select(F.col("node").alias("cell_b"), F.col("component").alias("y")), "cell_b", "left")
+        left = ends.where(F.coalesce("x", "cell") != F.coalesce("y", "cell_b"))
+    doubt = met.join(left.select("cell", "cell_b"), ["cell", "cell_b"], "left_semi").select("cell", "part", "cell_b", "part_b")
     other = core.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
     tested = doubt.join(core.select("cell", "part", "lat", "long"), ["cell", "part"]).join(other, ["cell_b", "part_b"])
     tested = tested.where(haversine_km(F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b")) <= radius_km)
-    return settle(sure.unionByName(tested.select(F.col("cell").alias("a"), F.col("cell_b").alias("b")).distinct()), "cell-links")
+    return sure.unionByName(tested.select(F.col("cell").alias("a"), F.col("cell_b").alias("b")).distinct())
 
 
 def clusters(points: DataFrame, radius_km: float, least: int) -> DataFrame:

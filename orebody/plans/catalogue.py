@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
-from orebody.operators import analysis, graph, ids, intervals, lattice, maintained, phrases, resolve, rollup, search, spatial, substrings, vectors, views
+from orebody.operators import analysis, graph, ids, intervals, lattice, maintained, phrases, resolve, rollup, search, sketches, spatial, substrings, vectors, views
 from orebody.plans import sqlgate
 from orebody.sources.scratch import scratch, settle
 from orebody.streaming import events as streams
@@ -203,6 +203,29 @@ def coarsest_level(spark, sf_dir):
     return rounded(lattice.answer(lattice.build(settle(projects(spark, sf_dir), "projects"), _LEVELS), _REQUESTS), value=4)
 
 
+_BUCKET = f"CASE WHEN rec_oc = 0 THEN 0 WHEN rec_oc > 0 THEN ceil(ln(abs(rec_oc)) / {sketches.log(sketches.GROWTH)!r}::DOUBLE)::INT + {1 << 20} ELSE -(ceil(ln(abs(rec_oc)) / {sketches.log(sketches.GROWTH)!r}::DOUBLE)::INT + {1 << 20}) END"
+_MIDDLE = f"exp((b - {1 << 20}) * {sketches.log(sketches.GROWTH)!r}::DOUBLE) * {2 / (1 + sketches.GROWTH)!r}::DOUBLE"
+
+
+@query(
+    "quantiles_by_area",
+    f"""WITH {PROJECTS}, v AS (SELECT wk_name, {_BUCKET} AS b, row_number() OVER (PARTITION BY wk_name ORDER BY {_BUCKET}) - 1 AS place, COUNT(*) OVER (PARTITION BY wk_name) AS n FROM projects WHERE rec_oc IS NOT NULL)
+SELECT wk_name, ROUND(MAX(CASE WHEN place = floor(0.5::DOUBLE * (n - 1)) THEN {_MIDDLE} END), 4) AS median, ROUND(MAX(CASE WHEN place = floor(0.9::DOUBLE * (n - 1)) THEN {_MIDDLE} END), 4) AS q90 FROM v GROUP BY wk_name""",
+)
+def quantiles_by_area(spark, sf_dir):
+    """Medians and ninth deciles of areas from the sketches of their fields, which are merged; the SQL is of the same buckets, in one pass."""
+    levels = sketches.quantile_levels(projects(spark, sf_dir), "rec_oc", [("wk_name", "field_id"), ("wk_name",)])
+    return rounded(sketches.quantile_estimates(levels[-1], {"median": 0.5, "q90": 0.9}), median=4, q90=4)
+
+
+@query("distinct_by_area")
+def distinct_by_area(spark, sf_dir):
+    """Estimated numbers of projects of areas and of the country, merged from the sketches of fields; a test holds them to their bound."""
+    levels = sketches.distinct_levels(projects(spark, sf_dir), "project_id", [("wk_name", "field_id"), ("wk_name",), ()])
+    area, nation = (sketches.distinct_estimates(x) for x in levels[1:])
+    return area.unionByName(nation.withColumn("wk_name", F.lit("all")))
+
+
 CONTRACTS = "contracts AS (SELECT o_custkey, MIN(o_orderdate)::DATE AS eff_start, CASE WHEN o_custkey % 7 <> 0 THEN MAX(o_orderdate)::DATE END AS eff_end FROM orders GROUP BY o_custkey)"
 
 

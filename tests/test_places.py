@@ -58,8 +58,10 @@ def test_clusters_equal_all_pairs(spark, radius, least):
     assert {tuple(r) for r in spatial.clusters(frame(spark, points), radius, least).collect()} == plain_clusters(points, radius, least)
 
 
-def test_cells_that_only_points_can_link(spark):
+@pytest.mark.parametrize("tests", [0, 10**9])
+def test_cells_that_only_points_can_link(spark, monkeypatch, tests):
     """Two full cells apart by about the radius: boxes of points do not decide."""
+    monkeypatch.setattr(spatial, "TESTS", tests)
     r = random.Random(1)
     step = 50 / spatial.KM_PER_DEGREE
     for gap in (0.98, 1.0, 1.02, 1.05):

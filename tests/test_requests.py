@@ -54,8 +54,8 @@ def test_answers_equal_the_base(spark):
 
 def test_blocks_of_an_interval_are_disjoint_and_exact(spark):
     rows = [(a, b) for a in range(-9, 9) for b in range(-10, 9)] + [(None, 3), (-2, None), (None, None), (5, 4), (-8, 7), (-100, 100)]
-    frame = spark.createDataFrame(rows, "a int, b int").select("a", "b", intervals.blocks_of_interval(F.col("a"), F.col("b"), 4).alias("blocks"))
-    points = {r["x"]: {tuple(p) for p in r["p"]} for r in spark.range(-8, 8).select(F.col("id").alias("x"), intervals.blocks_of_point(F.col("id"), 4).alias("p")).collect()}
+    frame = spark.createDataFrame(rows, "a int, b int").select("a", "b", intervals.blocks_of_interval(F.col("a"), F.col("b"), -8, 4).alias("blocks"))
+    points = {r["x"]: {tuple(p) for p in r["p"]} for r in spark.range(-8, 8).select(F.col("id").alias("x"), intervals.blocks_of_point(F.col("id"), -8, 4).alias("p")).collect()}
     for r in frame.collect():
         own = [tuple(p) for p in r["blocks"]]
         assert len(own) == len(set(own)) and len(own) <= 8
