@@ -170,11 +170,13 @@ def problem_codes(text: Column) -> Column:
 
     One scan finds every number with the word before it and what clings to its end.
     """
-    scan = F.lit(r"(?i)(?:\b(problem cluster|\p{L}+)[:\s]+)?(?<![\w])(\d(?:\.\d+){1,2})(\w?)")
-    word, code, tail = (F.regexp_extract_all(text, scan, F.lit(k)) for k in (1, 2, 3))
+    head, number = r"(?:\b(problem cluster|\p{L}+)[:\s]+)?", r"(\d(?:\.\d+){1,2})(\w?)"
+    found = F.regexp_extract_all(text, F.lit(rf"(?i){head}(?<![\w]){number}"), F.lit(0))
+    # a match is taken apart by itself, which is short
+    parts = F.transform(found, lambda m: F.struct(*[F.regexp_extract(m, rf"(?i)^{head}{number}$", k).alias(n) for k, n in ((1, "word"), (2, "code"), (3, "tail"))]))
     heads = F.array(*[F.lit(h) for h in PROBLEM_HEADS])
     known = F.array(*[F.lit(c) for c in PROBLEMS])
-    rows = F.transform(F.arrays_zip(word.alias("word"), code.alias("code"), tail.alias("tail")), lambda r, k: F.struct(F.array_position(heads, F.lower(r["word"])).alias("head"), k.alias("at"), r["code"].alias("code"), r["tail"].alias("tail")))
+    rows = F.transform(parts, lambda r, k: F.struct(F.array_position(heads, F.lower(r["word"])).alias("head"), k.alias("at"), r["code"].alias("code"), r["tail"].alias("tail")))
     rows = F.filter(rows, lambda r: F.array_contains(known, r["code"]) & ((r["head"] > 0) | (r["tail"] == "")))
     ranked = F.transform(rows, lambda r: F.struct(F.when(r["head"] > 0, r["head"]).otherwise(len(PROBLEM_HEADS) + 1).alias("rank"), r["at"], r["code"]))
     found = F.array_distinct(F.transform(F.array_sort(ranked), lambda r: r["code"]))

@@ -910,14 +910,14 @@ def code_filter(spark, sf_dir):
 @query(
     "code_search",
     "WITH codes(code, name, words) AS (VALUES " + ", ".join(f"('{c}', '{n}', [{', '.join(repr(w) for w in V.PROBLEM_WORDS[c])}])" for c, n in PROBLEMS.items()) + """),
-asked AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'DATA' WHEN 1 THEN '1.1' WHEN 2 THEN '2.4' ELSE left(text, 3) END AS asked FROM conversations),
+asked AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'DATA' WHEN 1 THEN '1.1' WHEN 2 THEN '2.4' ELSE string_split(text, ' ')[-1] END AS asked FROM conversations),
 scored AS (SELECT conv_id, turn, code, name, CASE WHEN code = asked THEN 100 WHEN contains(code, asked) THEN 90 ELSE 0 END + CASE WHEN contains(lower(name), trim(lower(asked))) THEN 50 ELSE 0 END
            + CASE WHEN len(list_filter(words, lambda w: contains(lower(w), trim(lower(asked))))) > 0 THEN 30 ELSE 0 END AS score FROM asked, codes WHERE asked IS NOT NULL)
 SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, code) <= 3""",
 )
 def code_search(spark, sf_dir):
     kind = F.col("turn") % 4
-    asked = F.when(kind == 0, "DATA").when(kind == 1, "1.1").when(kind == 2, "2.4").otherwise(F.left("text", F.lit(3)))
+    asked = F.when(kind == 0, "DATA").when(kind == 1, "1.1").when(kind == 2, "2.4").otherwise(F.element_at(F.split("text", " "), -1))
     rows = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), asked.alias("asked"))
     return search.code_search(rows, "key", "asked").select("key.conv_id", "key.turn", "code", "name", "score")
 
@@ -1078,10 +1078,10 @@ def entity_candidates(spark, sf_dir):
 
 
 def _stands(words) -> str:
-    return "(?:^|[^a-z0-9])(" + "|".join(words) + ")(?:[^a-z0-9]|$)"
+    return r"(?:^|[^\p{L}\p{N}])(" + "|".join(words) + r")(?:[^\p{L}\p{N}]|$)"
 
 
-# a question is written in front of each turn, so that every kind of year and word occurs
+# a question is written in front of each turn's own words, so that every kind of year and word occurs
 ASKED = "CASE conv_id % 5 WHEN 0 THEN 'tahun ' || (2000 + turn) WHEN 1 THEN 'data ' || (1990 + turn * 5) || ' minyak' WHEN 2 THEN 'tahun ' || (10 + turn) || ' gas 2P' WHEN 3 THEN 'gasoline 3p contingent eksplorasi' ELSE 'low flow' END"
 
 
@@ -1096,7 +1096,7 @@ z AS (SELECT *, list_filter([TRY_CAST(left(w[k1], 4) AS INT), TRY_CAST(left(w[k2
 
 @query(
     "question_resolution",
-    f"""WITH q AS (SELECT conv_id, turn, {ASKED} AS asked FROM conversations), {_YEARS}
+    f"""WITH q AS (SELECT conv_id, turn, {ASKED} || ' ' || COALESCE(text, '') AS asked FROM conversations), {_YEARS}
 SELECT conv_id, turn, year,
        CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.OIL_WORDS)}') THEN 'oil' WHEN regexp_matches(lower(asked), '{_stands(resolve.GAS_WORDS)}') THEN 'gas' END AS substance,
        CASE WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[LOW])}') THEN '{LOW}' WHEN regexp_matches(lower(asked), '{_stands(resolve.LEVEL_WORDS[MIDDLE])}') THEN '{MIDDLE}'
@@ -1115,6 +1115,7 @@ def question_resolution(spark, sf_dir):
         .when(conv % 5 == 3, "gasoline 3p contingent eksplorasi")
         .otherwise("low flow")
     )
+    asked = F.concat(asked, F.lit(" "), F.coalesce("text", F.lit("")))
     q = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), asked.alias("asked"))
     return resolve.resolve(q, "key", "asked").select("key.conv_id", "key.turn", "year", "substance", "level", "class", "stage")
 
