@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.vocabulary import CLASSES, uncertainty
+from orebody.sources.scratch import settle
 
 
 def level_sum(column: str, name: str, level: str = "uncert_level") -> Column:
@@ -90,36 +91,51 @@ def top(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(value).alias(value)).orderBy(F.col(value).desc(), *keys).limit(n)
 
 
-#: Ranges of time into which an as-of join cuts every key.
-TIME_RANGES = 256
+#: A key with more than this share of all rows is cut into ranges of time, of about as many rows each.
+HOT_SHARE, TIME_RANGES = 1 / 256, 64
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
     """Each left row with the value of the last right row at or before its time, without a range join.
 
-    Time is cut into equal ranges, so that one key is many groups; what a range begins with
-    is the last value of the ranges before it, one row for each key and range.
+    A key is a group, and one that holds much of the table is as many groups as it has ranges
+    of time: ranges are cut by quantiles of its own times, so that a burst is spread.  What a
+    range begins with is the last value of the ranges before it, one row for each key and range.
     """
-    from pyspark.sql import Window
 
     def number(column: str) -> Column:
         return F.col(column).cast("timestamp").cast("double") if "timestamp" in dict(left.dtypes).get(left_time, "") else F.col(column).cast("double")
 
+    def same(own: list[str]) -> Column:
+        return F.expr(" AND ".join(f"`{k}` <=> `__{k}_`" for k in own))
+
     known = right.select(*keys, F.col(right_time).alias("__t"), number(right_time).alias("__at"), F.col(value).alias("__v")).where("__at IS NOT NULL")
-    ends = known.agg(F.min("__at").alias("a"), F.max("__at").alias("b")).first()  # one row
-    start, width = ends["a"] or 0.0, max(((ends["b"] or 0.0) - (ends["a"] or 0.0)) / TIME_RANGES, 1e-9)
-    part = F.floor((F.col("__at") - F.lit(start)) / F.lit(width))
-    part = F.greatest(F.lit(-1), F.least(F.lit(TIME_RANGES), part)).cast("int")
-    known = known.withColumn("__part", part)
-    asked = left.withColumn("__at", number(left_time)).withColumn("__part", part)
+    asked = left.withColumn("__at", number(left_time))
+    rows = known.select(*keys, "__at").unionByName(asked.select(*keys, "__at"))
+    counts = settle(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "key-counts")
+    total = counts.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    # no more keys than 1 / HOT_SHARE
+    hot = counts.where(F.col("__n") > total * HOT_SHARE).select(*[F.col(k).alias(f"__{k}_") for k in keys])
+    cut = not hot.isEmpty()
+    if cut:
+        quantiles = [F.lit(k / TIME_RANGES) for k in range(1, TIME_RANGES)]
+        ends = rows.join(F.broadcast(hot), same(keys)).groupBy(*hot.columns).agg(F.array_distinct(F.percentile_approx("__at", F.array(*quantiles), 1000)).alias("__ends"))
+        ends = F.broadcast(settle(ends, "time-ranges"))
+        part = F.greatest(F.size(F.filter("__ends", lambda e: e <= F.col("__at"))), F.lit(0))
+        known = known.join(ends, same(keys), "left").withColumn("__part", part).drop(*ends.columns)
+        asked = asked.join(ends, same(keys), "left").withColumn("__part", part).drop(*ends.columns)
+    else:
+        known, asked = (side.withColumn("__part", F.lit(0)) for side in (known, asked))
+    both = asked.withColumn("__t", F.col(left_time)).withColumn("__v", F.lit(None)).withColumn("__left", F.lit(True)).unionByName(known.withColumn("__left", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(*keys, "__part").orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__own", F.last("__v", ignorenulls=True).over(before)).where("__left")
+    if not cut:
+        return found.select(*left.columns, F.when(F.col("__at").isNotNull(), F.col("__own")).alias(value))
     # the last value of a range, and what each later range with rows begins with
     last = known.where("__v IS NOT NULL").groupBy(*keys, "__part").agg(F.max_by("__v", "__t").alias("__carry"))
     slots = last.unionByName(asked.select(*keys, "__part").distinct().withColumn("__carry", F.lit(None)))
     earlier = Window.partitionBy(*keys).orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
     carried = slots.withColumn("__before", F.last("__carry", ignorenulls=True).over(earlier)).groupBy(*keys, "__part").agg(F.first("__before").alias("__before"))
-    both = asked.withColumn("__t", F.col(left_time)).withColumn("__v", F.lit(None)).withColumn("__left", F.lit(True)).unionByName(known.withColumn("__left", F.lit(False)), allowMissingColumns=True)
-    before = Window.partitionBy(*keys, "__part").orderBy("__t", "__left").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__own", F.last("__v", ignorenulls=True).over(before)).where("__left")
     renamed = carried.select(*[F.col(k).alias(f"__{k}_") for k in (*keys, "__part")], "__before")
-    joined = found.join(renamed, F.expr(" AND ".join(f"`{k}` <=> `__{k}_`" for k in (*keys, "__part"))), "left")
+    joined = found.join(renamed, same([*keys, "__part"]), "left")
     return joined.select(*left.columns, F.when(F.col("__at").isNotNull(), F.coalesce("__own", "__before")).alias(value))

@@ -173,7 +173,7 @@ def top_similar(vectors: DataFrame, key: str, column: str, query: list[float], k
 
 
 def hashing_embedder(size: int) -> Callable[[pd.Series], np.ndarray]:
-    """Signed counts of hashed words, of unit length: an embedder that needs no model."""
+    """Signed counts of hashed words, of unit length: an embedder that needs no model, where a function of texts is asked for."""
 
     def embed(texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), size), np.float32)
@@ -186,6 +186,23 @@ def hashing_embedder(size: int) -> Callable[[pd.Series], np.ndarray]:
     return embed
 
 
+def hashed_vector(text: Column, size: int) -> Column:
+    """The vector of :func:`hashing_embedder` as an expression, in double precision: words are runs without white space; a text without any is the zero vector."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    codes = F.transform(words, lambda w: F.crc32(w.cast("binary")))
+
+    def counted(own: Column) -> Column:
+        sign = lambda c: F.when(c >= 1 << 31, 1).otherwise(-1)
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(own, F.lit(0), lambda s, c: s + F.when(c % size == i, sign(c)).otherwise(0)))
+
+    def scaled(own: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
+        return F.element_at(F.transform(F.array(norm), lambda n: F.transform(own, lambda x: x / n)), 1)
+
+    # what a lambda is given is computed once, not once for each number
+    return F.element_at(F.transform(F.transform(F.array(codes), counted), scaled), 1)
+
+
 def embed_column(df: DataFrame, text: str, name: str, embed: Callable[[pd.Series], np.ndarray]) -> DataFrame:
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

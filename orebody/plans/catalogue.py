@@ -966,9 +966,23 @@ def vector_topk_batch(spark, sf_dir):
     return rounded(found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "similarity"), similarity=6)
 
 
-@query("embed_documents")
+@query(
+    "embed_documents",
+    r"""WITH RECURSIVE bits AS (SELECT i AS entry, i::BIGINT AS value, 0 AS step FROM range(256) t(i) UNION ALL SELECT entry, CASE WHEN value % 2 = 1 THEN xor(value // 2, 3988292384) ELSE value // 2 END, step + 1 FROM bits WHERE step < 8),
+crc AS MATERIALIZED (SELECT list(value ORDER BY entry) AS entries FROM bits WHERE step = 8),
+w AS MATERIALIZED (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '\s+'), lambda x: x <> '')) AS word FROM documents),
+coded AS MATERIALIZED (SELECT word, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c // 256, entries[xor(c % 256, x) + 1]), 4294967295::BIGINT), 4294967295) AS code
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM w), crc),
+counts AS (SELECT doc_id, code % 32 AS place, SUM(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS n FROM w JOIN coded USING (word) GROUP BY ALL),
+norms AS (SELECT doc_id, sqrt(SUM(n * n)) AS norm FROM counts GROUP BY doc_id)
+SELECT d.doc_id, i::INT AS place, ROUND(COALESCE(n, 0) / greatest(COALESCE(norm, 0), 1e-9::DOUBLE), 5) AS weight
+FROM documents d CROSS JOIN range(32) r(i) LEFT JOIN counts c ON c.doc_id = d.doc_id AND c.place = i LEFT JOIN norms m ON m.doc_id = d.doc_id""",
+)
 def embed_documents(spark, sf_dir):
-    return search.embed_column(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "vector", search.hashing_embedder(32))
+    """Every number of every document's vector."""
+    vector = search.hashed_vector(F.col("text"), 32)
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(vector).alias("place", "weight"))
+    return rounded(rows, weight=5)
 
 
 @query("contextual_filter", f"WITH {SNAPSHOTS} SELECT project_id, report_year FROM snap WHERE report_year = 1997 AND wk_name ILIKE '%nation_1%' AND province ILIKE '%province 1%' AND project_stage ILIKE '%explo%'")

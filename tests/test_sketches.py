@@ -55,3 +55,15 @@ def test_buckets_keep_the_order_of_values(spark):
     rows = rows.withColumn("m", sketches.bucket_value(F.col("b"))).collect()
     assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
     assert all(abs(r["m"] - r["v"]) <= sketches.ACCURACY * abs(r["v"]) * (1 + 1e-9) for r in rows)
+
+
+def test_hashed_vectors_equal_the_embedder(spark):
+    import numpy as np
+    import pandas as pd
+
+    from orebody.operators import search
+
+    texts = ["a b  a\tc", "", None, "Été  ÉTÉ x", "word " * 50, "日本 語"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", search.hashed_vector(F.col("t"), 16).alias("v")).orderBy("k").collect()
+    want = search.hashing_embedder(16)(pd.Series(texts))
+    assert np.allclose(np.array([r["v"] for r in rows]), want, atol=1e-6)
