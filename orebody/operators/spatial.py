@@ -159,7 +159,7 @@ PLACE_QUESTIONS = {
     "coordinates": (place_named, ("name",)),
     "nearest": (within, ("lat", "long", "radius_km", "limit")),
     "clusters": (lambda points, radius_km=20.0, least=2: clusters(points, radius_km, least), ()),
-    "adjacent_areas": (lambda points, area, radius_km=20.0, limit=10: near_named(area_centres(points), area, radius_km, limit), ("area",)),
+    "adjacent_areas": (lambda points, area, radius_km=20.0, limit=10, kind="ellipsoid": near_named(area_centres(points), area, radius_km, limit, kind=kind), ("area",)),
     "average_distance": (lambda points, names: pair_statistics(points.where(F.lower("name").isin(*[n.lower() for n in names]))), ("names",)),
 }
 

@@ -435,6 +435,10 @@ def sales_potential(spark, sf_dir):
     return rounded(analysis.potential(l, "l_extendedprice", "sold").select("l_orderkey", "l_linenumber", "potential"), potential=4)
 
 
+# the same rows under the name that an earlier round gave them
+query("sales_potential_all", ORACLES["sales_potential"])(sales_potential)
+
+
 # ---------------------------------------------------------------- rollups of the whole schema
 
 def _factor(column: str) -> int:
@@ -533,7 +537,7 @@ def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, s, n, r = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
     places = s.join(F.broadcast(n.join(r, n["n_regionkey"] == r["r_regionkey"])), s["s_nationkey"] == n["n_nationkey"])
     rows = l.join(places, l["l_suppkey"] == s["s_suppkey"])
-    own = {"report_year": "2024", "wk_id": "s_nationkey", "field_id": "s_suppkey % 40", "project_id": "l_partkey", "year": "int(year(l_shipdate))", "project_class": "l_returnflag", "project_level": "l_linestatus", "is_offshore": "int(s_suppkey % 2)", "project_isactive": "int(l_orderkey % 2)", "onstream_year": "int(1990 + l_partkey % 20)", "ghv": "l_discount", "wk_lat": "n_nationkey - 12.5D", "wk_long": "n_nationkey * 4.25D", "wk_area": "double(n_regionkey)", "field_lat": "s_suppkey % 80 + 0.25D", "field_long": "s_suppkey % 170 + 0.5D"}
+    own = {"report_year": "2024", "wk_id": "s_nationkey", "field_id": "s_suppkey % 40", "project_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)", "year": "int(year(l_shipdate))", "project_class": "l_returnflag", "project_level": "l_linestatus", "is_offshore": "int(s_suppkey % 2)", "project_isactive": "int(l_orderkey % 2)", "onstream_year": "int(1990 + l_partkey % 20)", "ghv": "l_discount", "wk_lat": "n_nationkey - 12.5D", "wk_long": "n_nationkey * 4.25D", "wk_area": "double(n_regionkey)", "field_lat": "s_suppkey % 80 + 0.25D", "field_long": "s_suppkey % 170 + 0.5D"}
     own |= {"report_date": "concat('2024-0', 1 + l_partkey % 9)", "report_status": "l_linestatus", "wk_name": "n_name", "wk_subgroup": "r_name", "psc_eff_start": "concat('19', 70 + n_nationkey)", "psc_eff_end": "concat('20', 10 + n_nationkey)", "operator_group": "r_name", "operator_name": "concat('Operator ', s_suppkey % 9)", "prod_stage": "l_linestatus", "onstream_actual": "concat('20', 10 + l_partkey % 10)", "basin86_id": "concat('B', s_suppkey % 86)", "basin128": "concat('Area ', s_suppkey % 128)", "province": "concat('Province ', s_suppkey % 30)", "field_name": "concat('Field ', s_suppkey % 40)"}
     measures = [F.when((F.col("l_orderkey") + _factor(m)) % 7 != 0, F.col("l_extendedprice") * _factor(m)).alias(m) for m in dict.fromkeys(V.SERIES_SUMS)]
     return rows.select(*[F.expr(e).alias(c) for c, e in own.items()], *measures)
@@ -795,6 +799,36 @@ def places_in_area(spark, sf_dir):
     return spatial.ask_places(named_places(spark, sf_dir), "in_area", area="nation_2")[1]
 
 
+@query("ask_near_field", f"WITH {NAMED}, {_one('r', 'customer#000000023')} SELECT p.id, p.name, ROUND({_km('r', 'p')}, 4) AS km FROM r, named p WHERE p.id <> r.id AND {_km('r', 'p')} <= 2500 ORDER BY {_km('r', 'p')}, p.id LIMIT 12")
+def ask_near_field(spark, sf_dir):
+    rows = spatial.ask_places(named_places(spark, sf_dir), "near_field", name="customer#000000023", radius_km=2500.0, limit=12, kind="haversine")[1]
+    return rounded(rows.select("id", "name", "km"), km=4)
+
+
+@query("ask_nearest", f"WITH {NAMED}, r AS (SELECT -30.0 AS lat, 179.5 AS long) SELECT p.id, p.wk_name, ROUND({_km('r', 'p')}, 4) AS km FROM r, named p WHERE {_km('r', 'p')} <= 1800 ORDER BY {_km('r', 'p')}, p.id LIMIT 8")
+def ask_nearest(spark, sf_dir):
+    rows = spatial.ask_places(named_places(spark, sf_dir), "nearest", lat=-30.0, long=179.5, radius_km=1800.0, limit=8)[1]
+    return rounded(rows.select("id", "wk_name", "km"), km=4)
+
+
+@query("ask_clusters", f"{DENSITY} SELECT cluster, ANY_VALUE(size) AS size, MIN(id) AS least FROM members JOIN sizes USING (component) GROUP BY cluster")
+def ask_clusters(spark, sf_dir):
+    rows = spatial.ask_places(places(spark, sf_dir), "clusters", radius_km=450.0, least=4)[1]
+    return rows.groupBy("cluster").agg(F.max("size").alias("size"), F.min("id").alias("least"))
+
+
+@query("ask_adjacent_areas", f"WITH {NAMED}, c AS (SELECT wk_name AS name, AVG(lat) AS lat, AVG(long) AS long FROM named GROUP BY wk_name), r AS (SELECT * FROM c WHERE name ILIKE '%nation_3%' ORDER BY lower(name) <> 'nation_3', name LIMIT 1) SELECT p.name, ROUND({_km('r', 'p')}, 3) AS km FROM r, c p WHERE p.name <> r.name AND {_km('r', 'p')} <= 3000 ORDER BY {_km('r', 'p')}, p.name LIMIT 10")
+def ask_adjacent_areas(spark, sf_dir):
+    rows = spatial.ask_places(named_places(spark, sf_dir), "adjacent_areas", area="nation_3", radius_km=3000.0, kind="haversine")[1]
+    return rounded(rows.select("name", "km"), km=3)
+
+
+@query("ask_average_distance", f"WITH {NAMED}, few AS (SELECT * FROM named WHERE lower(name) IN ('customer#000000003', 'customer#000000014', 'customer#000000065', 'customer#000000092')), d AS (SELECT {_km('x', 'y')} AS km FROM few x JOIN few y ON x.id < y.id) SELECT ROUND(AVG(km), 4) AS avg_km, ROUND(MIN(km), 4) AS min_km, ROUND(MAX(km), 4) AS max_km, COUNT(*) AS n_pairs FROM d")
+def ask_average_distance(spark, sf_dir):
+    names = [f"Customer#0000000{n:02d}" for n in (3, 14, 65, 92)]
+    return rounded(spatial.ask_places(named_places(spark, sf_dir), "average_distance", names=names)[1], avg_km=4, min_km=4, max_km=4)
+
+
 # ---------------------------------------------------------------- texts, codes, vectors
 
 TERMS = ["that", "ther", "avec"]
@@ -1076,6 +1110,20 @@ def graph_field_changes(spark, sf_dir):
     return rounded(graph.field_changes(domain_graph(spark, sf_dir), "Field 7", 1997), **{c: 2 for c in names})
 
 
+def _of_series(columns: tuple[str, ...]) -> str:
+    return f"WITH {FORECAST_SQL} SELECT year, {', '.join(f'ROUND(SUM({c}), 2) AS {c}' for c in columns)} FROM rows_ WHERE field_id = 7 AND report_year = 2024 GROUP BY year"
+
+
+@query("graph_field_production", _of_series(("rate_oil", "rate_gn", "rate_oc", "rate_an")))
+def graph_field_production(spark, sf_dir):
+    return rounded(graph.field_production(domain_graph(spark, sf_dir), "Field 7", 2024), rate_oil=2, rate_gn=2, rate_oc=2, rate_an=2)
+
+
+@query("graph_field_forecast", _of_series(("tpf_oc", "tpf_an", "slf_oc", "slf_an")))
+def graph_field_forecast(spark, sf_dir):
+    return rounded(graph.field_forecast(domain_graph(spark, sf_dir), "Field 7", 2024), tpf_oc=2, tpf_an=2, slf_oc=2, slf_an=2)
+
+
 @query("graph_near_fields", f"WITH {SNAPSHOTS}, g AS (SELECT field_id, MIN(field_name) AS field_name, MIN(field_lat) AS lat, MIN(field_long) AS long FROM snap GROUP BY field_id) SELECT y.field_name, ROUND({_km('x', 'y')}, 4) AS km FROM g x JOIN g y ON x.field_name = 'Field 7' AND x.field_id <> y.field_id AND {_km('x', 'y')} <= 60.0")
 def graph_near_fields(spark, sf_dir):
     return rounded(graph.fields_near(domain_graph(spark, sf_dir), "Field 7"), km=4)
