@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.operators.running import spread
 from orebody.sources.scratch import settle
 
 #: Bits of the axis at most; a join takes no more than the distance of its least and greatest end asks.
@@ -77,11 +78,11 @@ def stabbed(points: DataFrame, point: str, intervals: DataFrame, start: str, end
     place = [*keys, "__size", "__block"]
     # an end beyond all points says no more than the last point does
     base, bits = axis((points, point))
-    own = intervals.withColumn("__r", F.explode(blocks_of_interval(F.col(start), F.col(end), base, bits))).withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
+    own = spread(intervals).withColumn("__r", F.explode(blocks_of_interval(F.col(start), F.col(end), base, bits))).withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
     own = settle(own, "interval-blocks")
     known = settle(own.select(*place).distinct(), "blocks")
     sizes = [r["__size"] for r in known.select("__size").distinct().collect()]  # one more than there are bits at most
-    asked = points.where(F.col(point).isNotNull()).withColumn("__r", F.explode(F.filter(blocks_of_point(F.col(point), base, bits), lambda r: r["size"].isin(*sizes) if sizes else F.lit(False))))
+    asked = spread(points.where(F.col(point).isNotNull())).withColumn("__r", F.explode(F.filter(blocks_of_point(F.col(point), base, bits), lambda r: r["size"].isin(*sizes) if sizes else F.lit(False))))
     asked = asked.withColumns({"__size": F.col("__r.size"), "__block": F.col("__r.block")}).drop("__r")
     met = asked.join(F.broadcast(known) if known.count() <= BROADCAST_BLOCKS else known, place, "left_semi")
     counts = settle(met.groupBy(*place).agg(F.count("*").alias("__n")), "block-counts")

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from orebody.sources.scratch import settle
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over as many tasks as shuffles have: for what makes many rows of each, where a small file would be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(keys or df.columns))
+
+
 def running(df: DataFrame, order: list[Column], sums: tuple[str, ...] = (), number: str = "number") -> DataFrame:
     """``df`` with its row number from 0, and for each of ``sums`` a ``{name}_before`` over the rows before, in ``order``.
 

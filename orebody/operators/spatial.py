@@ -6,14 +6,16 @@ with its nine neighbouring cells and not with all points.  Rows are (id, lat, lo
 
 from __future__ import annotations
 
-from math import cos, pi, radians
+from functools import reduce
+from math import cos, pi, radians, sin
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.expressions import EARTH_KM, contains_text, ellipsoid_km, haversine_km
 from orebody.operators.components import components
-from orebody.operators.running import running
+from orebody.operators.running import running, spread
 from orebody.sources.scratch import settle
 
 KM_PER_DEGREE = EARTH_KM * pi / 180
@@ -48,16 +50,33 @@ def _visited(points: DataFrame, radius_km: float) -> DataFrame:
     return rows.withColumn("column", F.explode(beside)).drop("__shift", "__count")
 
 
+#: Ellipsoidal distances are up to a hundredth longer or shorter than those on the sphere.
+LOOSE = {"ellipsoid": 1.01}
+
+
+def _with_chords(points: DataFrame, suffix: str = "") -> DataFrame:
+    """Points with their place on the unit sphere."""
+    lat, long = F.radians(f"lat{suffix}"), F.radians(f"long{suffix}")
+    return points.withColumns({f"__x{suffix}": F.cos(lat) * F.cos(long), f"__y{suffix}": F.cos(lat) * F.sin(long), f"__z{suffix}": F.sin(lat)})
+
+
+def _may_be_near(radius_km: float, kind: str) -> Column:
+    """Whether the chord between two points lets them be within the radius: sums of squares alone, and a little generous."""
+    angle = min(pi, radius_km * LOOSE.get(kind, 1.0) / EARTH_KM)
+    most = (2 * sin(angle / 2)) ** 2 * (1 + 1e-9) + 1e-14
+    return reduce(add, [(F.col(f"__{c}") - F.col(f"__{c}_b")) * (F.col(f"__{c}") - F.col(f"__{c}_b")) for c in "xyz"]) <= most
+
+
 def near_of(left: DataFrame, right: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
     """All columns of both sides and ``km`` for left and right points (lat, long) within the radius, by an equi-join on cells.
 
     Right columns are named with ``_b`` behind; every left point meets each right point once.
     """
     row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
-    known = right.withColumns({"row": row, "column": column}).withColumnsRenamed({c: f"{c}_b" for c in right.columns})
+    known = _with_chords(right.withColumns({"row": row, "column": column}).withColumnsRenamed({c: f"{c}_b" for c in right.columns}), "_b")
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
-    pairs = _visited(left, radius_km).join(known, ["row", "column"]).drop("row", "column").withColumn("km", km)
-    return pairs.where(F.col("km") <= radius_km)
+    met = _visited(_with_chords(spread(left, "lat", "long")), radius_km).join(known, ["row", "column"]).where(_may_be_near(radius_km, kind))
+    return met.select(*left.columns, *[f"{c}_b" for c in right.columns], km.alias("km")).where(F.col("km") <= radius_km)
 
 
 def placed(points: DataFrame) -> DataFrame:
@@ -69,10 +88,10 @@ def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine") ->
     """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells."""
     row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
     p = placed(points)
-    right = p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"), row.alias("row"), column.alias("column"))
-    left = _visited(p.withColumnRenamed("id", "a"), radius_km)
+    right = _with_chords(p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"), row.alias("row"), column.alias("column")), "_b")
+    left = _visited(_with_chords(spread(p.withColumnRenamed("id", "a"), "a")), radius_km)
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
-    pairs = left.join(right, ["row", "column"]).where("a < b").select("a", "b", km.alias("km"))
+    pairs = left.join(right, ["row", "column"]).where(F.expr("a < b") & _may_be_near(radius_km, kind)).select("a", "b", km.alias("km"))
     return pairs.where(F.col("km") <= radius_km)
 
 
@@ -190,7 +209,7 @@ PARTS = 8
 BROADCAST_CELLS = 100_000
 
 
-def _small_cells(radius_km: float) -> tuple[Column, Column]:
+def _small_cells(radius_km: float | Column) -> tuple[Column, Column]:
     """(cell, part of the cell) of a point: all points of a cell are within the radius of each other."""
     # a little less than the radius over the root of two, so that rounding keeps within it
     side = radius_km / 2**0.5 * 0.999 / KM_PER_DEGREE
@@ -223,10 +242,13 @@ def _linked_cells(core: DataFrame, radius_km: float) -> DataFrame:
     corners = [haversine_km(F.col("lat"), F.col("long"), F.col(y), F.col("long0")) for y in ("lat0", "lat1")]
     alone = (F.col("lat0") == F.col("lat1")) & (F.col("long0") == F.col("long1"))
     boxes = settle(boxes.select("cell", "part", "lat", "long", "n", F.when(alone, 0.0).otherwise(F.greatest(*corners) * 1.0001).alias("reach")), "boxes")
-    met = near_of(boxes, boxes, radius_km * (1 + 1.5 / PARTS)).where("cell < cell_b")
     slack = F.col("reach") + F.col("reach_b")
-    met = met.where(F.col("km") - slack <= radius_km).select("cell", "part", "cell_b", "part_b", (F.col("n") * F.col("n_b")).alias("tests"), (F.col("km") + slack <= radius_km).alias("sure"))
-    pairs = settle(met.groupBy("cell", "cell_b").agg(F.max("sure").alias("sure"), F.sum("tests").alias("tests")), "cell-pairs")
+
+    def meetings(one: DataFrame, two: DataFrame) -> DataFrame:
+        met = near_of(one, two, radius_km * (1 + 1.5 / PARTS)).where("cell < cell_b").where(F.col("km") - slack <= radius_km)
+        return met.select("cell", "part", "cell_b", "part_b", (F.col("n") * F.col("n_b")).alias("tests"), (F.col("km") + slack <= radius_km).alias("sure"))
+
+    pairs = settle(meetings(boxes, boxes).groupBy("cell", "cell_b").agg(F.max("sure").alias("sure"), F.sum("tests").alias("tests")), "cell-pairs")
     sure = pairs.where("sure").select(F.col("cell").alias("a"), F.col("cell_b").alias("b"))
     left = pairs.where("NOT sure").select("cell", "cell_b", "tests")
     tests = left.agg(F.sum("tests").alias("n")).first()["n"]
@@ -236,7 +258,9 @@ def _linked_cells(core: DataFrame, radius_km: float) -> DataFrame:
         known = components(sure)
         ends = left.join(known.select(F.col("node").alias("cell"), F.col("component").alias("x")), "cell", "left").join(known.select(F.col("node").alias("cell_b"), F.col("component").alias("y")), "cell_b", "left")
         left = ends.where(F.coalesce("x", "cell") != F.coalesce("y", "cell_b"))
-    doubt = met.join(left.select("cell", "cell_b"), ["cell", "cell_b"], "left_semi").select("cell", "part", "cell_b", "part_b")
+    left = settle(left.select("cell", "cell_b"), "open-cells")
+    one, two = boxes.join(left.select("cell"), "cell", "left_semi"), boxes.join(left.select(F.col("cell_b").alias("cell")), "cell", "left_semi")
+    doubt = meetings(one, two).join(left, ["cell", "cell_b"], "left_semi").select("cell", "part", "cell_b", "part_b")
     other = core.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"))
     tested = doubt.join(core.select("cell", "part", "lat", "long"), ["cell", "part"]).join(other, ["cell_b", "part_b"])
     tested = tested.where(haversine_km(F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b")) <= radius_km)
@@ -299,9 +323,10 @@ def nearest_each(points: DataFrame, k: int) -> DataFrame:
     kept = settle(p.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "kept")
     spots = settle(kept.select("lat", "long").distinct(), "spots")
     levels = range(HALVINGS + 1)
-    cells = F.array(*[F.struct(F.lit(h).alias("level"), _small_cells(FARTHEST_KM / 2**h)[0]) for h in levels])
-    counts = kept.select(F.explode(cells).alias("c")).groupBy("c.level", "c.cell").agg(F.count("*").alias("n")).where(F.col("n") > k)
-    own = spots.select("lat", "long", F.explode(cells).alias("c")).select("lat", "long", "c.*")
+    cell = _small_cells(F.lit(FARTHEST_KM) / F.pow(F.lit(2.0), F.col("level")))[0]
+    every = F.explode(F.array(*[F.lit(h) for h in levels])).alias("level")
+    counts = spread(kept).select("lat", "long", every).select("level", cell).groupBy("level", "cell").agg(F.count("*").alias("n")).where(F.col("n") > k)
+    own = spread(spots).select("lat", "long", every).select("lat", "long", "level", cell)
     deep = own.join(counts, ["level", "cell"], "left").groupBy("lat", "long").agg(F.coalesce(F.max(F.when(F.col("n").isNotNull(), F.col("level"))), F.lit(-1)).alias("level"))
     deep = settle(deep, "levels")
     found = None

