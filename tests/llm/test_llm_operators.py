@@ -351,12 +351,33 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.search(documents(spark, []), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_of_items_beyond_a_broadcast(spark, monkeypatch):
+    """The join gives what the broadcast gives: short, repetitive, null and repeated items, ids that repeat, an item in most documents."""
+    common = prose(40, 500)
+    items = [(k, prose(8 + 20 * k, 400 + k)) for k in range(30)] + [(50, common), (50, common), (51, edited(common, 20, 1)), (None, prose(30, 501)), (52, None), (53, ""), (54, "one two three"), (55, "w v " * 300), (56, " ".join(prose(9, 502).split()[:9] * 60))]
+    docs = [(k, prose(30, k) + " " + t) for k, t in items if t] + [(k, prose(900, 600)) for k in (900, 900, None)] + [(901, None), (902, "")]
+    docs += [(1000 + k, prose(25, 700 + k) + " " + common) for k in range(90)] + [(2000, " ".join(t for _, t in items if t)), (2001, "one two three"), (2001, "w v " * 40)] + [(2002, docs[0][1])] * 30
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, row string")
+    frame = spark.createDataFrame([(*d, "y") for d in docs], "doc_id long, text string, keys string")
+    want = {(r.doc_id, r.item_id): r.containment for r in decontaminate.search(frame, bench).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4_000)
-    items = [(k, prose(20 + k, 400 + k)) for k in range(11)]
-    docs = [(k, prose(30, k) + " " + t) for k, t in items]
-    got = decontaminate.search(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(11)]
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 16)
+    rows = decontaminate.search(frame, bench).collect()
+    got = {(r.doc_id, r.item_id): r.containment for r in rows}
+    assert len(rows) == len(got) and got == want and len(got) > 150
+    assert (2001, 55) in got and (2001, 54) in got and (2000, 29) in got and (None, None) in got
+    assert decontaminate.search(frame.where("false"), bench).count() == 0
+
+
+def test_one_pass_over_the_documents_at_any_number_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    passes = []
+    keys = decontaminate.doc_keys
+    monkeypatch.setattr(decontaminate, "doc_keys", lambda *a: passes.append(1) or keys(*a))
+    items = [(k, prose(20 + k, 400 + k)) for k in range(40)]
+    docs = spark.createDataFrame([(k, prose(30, k) + " " + t) for k, t in items], "doc_id long, text string")
+    got = decontaminate.search(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(40)] and passes == [1]
 
 
 def accuracy(spark, query, label, modulus, out):
