@@ -6,9 +6,7 @@ with its nine neighbouring cells and not with all points.  Rows are (id, lat, lo
 
 from __future__ import annotations
 
-from functools import reduce
 from math import cos, pi, radians, sin
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,27 +25,23 @@ def distance_km(kind: str, *places: Column) -> Column:
     return ellipsoid_km(*places) if kind == "ellipsoid" else haversine_km(*places)
 
 
-def _cells(lat: Column, long: Column, radius_km: float) -> tuple[Column, Column, Column]:
-    """Row, column and number of columns of a point's cell; columns of a row are as wide as its narrowest end asks."""
-    step = radius_km / KM_PER_DEGREE
-    row = F.floor((lat + 90) / step)
-    # the row's neighbours may be narrower still: the widest latitude of three rows counts
-    far = F.greatest(F.abs(row * step - 90 - step), F.abs((row + 1) * step - 90 + step))
-    narrow = F.when(far >= POLAR, F.lit(0.0)).otherwise(F.cos(F.radians(far)))
-    # a third as many columns as would do keeps the widths of neighbouring rows comparable
-    count = F.when(narrow <= 0, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * narrow / step))).cast("long")
-    return row, F.pmod(F.floor((long + 180) / 360 * count), count), count
-
+def _in_cells(points: DataFrame, radius_km: float, lat: str = "lat", long: str = "long", around: bool = False) -> DataFrame:
+    """Points with ``row`` and ``column`` of their cell; ``around``: of each cell that their radius reaches, in their own row and the two beside it.
 
-def _visited(points: DataFrame, radius_km: float) -> DataFrame:
-    """Points with ``row`` and ``column`` of each cell that their radius reaches, in their own row and the two beside it; cells of a row are found by that row's own width."""
-    step = radius_km / KM_PER_DEGREE
-    rows = points.withColumn("__shift", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("row", F.floor((F.col("lat") + 90) / step) + F.col("__shift"))
-    _, _, count = _cells(F.col("row") * step - 90 + step / 2, F.lit(0.0), radius_km)
-    rows = rows.withColumn("__count", count)
-    own = F.pmod(F.floor((F.col("long") + 180) / 360 * F.col("__count")), F.col("__count"))
-    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(own + d, F.col("__count"))))
-    return rows.withColumn("column", F.explode(beside)).drop("__shift", "__count")
+    Columns of a row are as wide as its narrowest end asks; a row's cells are found by its own width.
+    """
+    # as text: a column object for each term costs more than the search on small tables
+    step = f"{radius_km / KM_PER_DEGREE!r}D"
+    row = f"floor(({lat} + 90) / {step})"
+    # the row's neighbours may be narrower still: the widest latitude of three rows counts
+    far = f"greatest(abs(`row` * {step} - 90 - {step}), abs((`row` + 1) * {step} - 90 + {step}))"
+    count = f"CASE WHEN {far} >= {POLAR} THEN 1L ELSE greatest(1L, floor(360 * cos(radians({far})) / {step})) END"
+    column = f"pmod(floor(({long} + 180) / 360 * __count), __count)"
+    if around:
+        row = f"explode(sequence({row} - 1, {row} + 1))"
+        column = f"explode(array_distinct(transform(array(-1L, 0L, 1L), d -> pmod({column} + d, __count))))"
+    rows = points.selectExpr("*", f"{row} AS `row`").selectExpr("*", f"{count} AS __count")
+    return rows.selectExpr("*", f"{column} AS `column`").drop("__count")
 
 
 #: Ellipsoidal distances are up to a hundredth longer or shorter than those on the sphere.
@@ -56,15 +50,15 @@ LOOSE = {"ellipsoid": 1.01}
 
 def _with_chords(points: DataFrame, suffix: str = "") -> DataFrame:
     """Points with their place on the unit sphere."""
-    lat, long = F.radians(f"lat{suffix}"), F.radians(f"long{suffix}")
-    return points.withColumns({f"__x{suffix}": F.cos(lat) * F.cos(long), f"__y{suffix}": F.cos(lat) * F.sin(long), f"__z{suffix}": F.sin(lat)})
+    lat, long = f"radians(lat{suffix})", f"radians(long{suffix})"
+    return points.selectExpr("*", f"cos({lat}) * cos({long}) AS __x{suffix}", f"cos({lat}) * sin({long}) AS __y{suffix}", f"sin({lat}) AS __z{suffix}")
 
 
 def _may_be_near(radius_km: float, kind: str) -> Column:
     """Whether the chord between two points lets them be within the radius: sums of squares alone, and a little generous."""
     angle = min(pi, radius_km * LOOSE.get(kind, 1.0) / EARTH_KM)
     most = (2 * sin(angle / 2)) ** 2 * (1 + 1e-9) + 1e-14
-    return reduce(add, [(F.col(f"__{c}") - F.col(f"__{c}_b")) * (F.col(f"__{c}") - F.col(f"__{c}_b")) for c in "xyz"]) <= most
+    return F.expr(" + ".join(f"(__{c} - __{c}_b) * (__{c} - __{c}_b)" for c in "xyz") + f" <= {most!r}D")
 
 
 def near_of(left: DataFrame, right: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
@@ -72,10 +66,9 @@ def near_of(left: DataFrame, right: DataFrame, radius_km: float, kind: str = "ha
 
     Right columns are named with ``_b`` behind; every left point meets each right point once.
     """
-    row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
-    known = _with_chords(right.withColumns({"row": row, "column": column}).withColumnsRenamed({c: f"{c}_b" for c in right.columns}), "_b")
+    known = _in_cells(_with_chords(right.withColumnsRenamed({c: f"{c}_b" for c in right.columns}), "_b"), radius_km, "lat_b", "long_b")
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
-    met = _visited(_with_chords(spread(left, "lat", "long")), radius_km).join(known, ["row", "column"]).where(_may_be_near(radius_km, kind))
+    met = _in_cells(_with_chords(spread(left, "lat", "long")), radius_km, around=True).join(known, ["row", "column"]).where(_may_be_near(radius_km, kind))
     return met.select(*left.columns, *[f"{c}_b" for c in right.columns], km.alias("km")).where(F.col("km") <= radius_km)
 
 
@@ -86,10 +79,9 @@ def placed(points: DataFrame) -> DataFrame:
 
 def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
     """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells."""
-    row, column, _ = _cells(F.col("lat"), F.col("long"), radius_km)
     p = placed(points)
-    right = _with_chords(p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b"), row.alias("row"), column.alias("column")), "_b")
-    left = _visited(_with_chords(spread(p.withColumnRenamed("id", "a"), "a")), radius_km)
+    right = _in_cells(_with_chords(p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b")), "_b"), radius_km, "lat_b", "long_b")
+    left = _in_cells(_with_chords(spread(p.withColumnRenamed("id", "a"), "a")), radius_km, around=True)
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
     pairs = left.join(right, ["row", "column"]).where(F.expr("a < b") & _may_be_near(radius_km, kind)).select("a", "b", km.alias("km"))
     return pairs.where(F.col("km") <= radius_km)
