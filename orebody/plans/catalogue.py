@@ -18,6 +18,7 @@ from orebody.functions import expressions as X
 from orebody.functions import vocabulary as V
 from orebody.functions.vocabulary import HIGH, LOW, MIDDLE, PROBLEMS
 from orebody.operators import analysis, graph, ids, intervals, lattice, maintained, phrases, resolve, rollup, search, sketches, spatial, substrings, vectors, views
+from orebody.operators.running import spread
 from orebody.plans import sqlgate
 from orebody.sources.scratch import scratch, settle
 from orebody.streaming import events as streams
@@ -1227,13 +1228,13 @@ UNION ALL SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 2 AND
 SELECT c_custkey, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM hits GROUP BY c_custkey""",
 )
 def rows_of_questions(spark, sf_dir):
-    q = name_questions(spark, sf_dir).withColumn("asked", F.replace(F.col("asked"), F.lit("1997"), F.lit("2097")))
+    q = spread(name_questions(spark, sf_dir)).withColumn("asked", F.replace(F.col("asked"), F.lit("1997"), F.lit("2097")))
     named = resolve.resolve_names(q, "c_custkey", "asked", name_table(spark, sf_dir)).join(resolve.resolve(q, "c_custkey", "asked"), "c_custkey")
     # the table's years are a century later, where a question's years are, and its classes those that a question asks for
     classes = F.when(F.col("project_id") % 3 > 0, V.CLASSES["cadangan"]).otherwise(V.CLASSES["contingent"])
     later = projects(spark, sf_dir).withColumns({"report_year": F.col("report_year") + 100, "project_class": classes})
-    rows = resolve.rows_asked_for(named, "c_custkey", later)
-    return rows.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("rec_oc"), 2).alias("rec_oc"))
+    totals = resolve.totals_asked_for(named, "c_custkey", later, "rec_oc")
+    return totals.select("c_custkey", "n", F.round("total", 2).alias("rec_oc"))
 
 
 @query("entity_rows", f"WITH {PROJECTS} SELECT project_id FROM projects WHERE report_year = 1997 AND wk_name = 'NATION_3' AND uncert_level = '{HIGH}'")
