@@ -7,7 +7,8 @@ equality, however long the interval is.  Two intervals overlap where the start o
 the other; of the two starts the later owns the pair (the right one's, where they are equal),
 so no pair is found twice.
 
-Every row that leaves the join is a result.  Blocks that no interval has are left out before
+Every row that leaves the join is a result; only where a key has few rows on both sides they
+meet by the key alone, as their blocks would be more than the pairs.  Blocks that no interval has are left out before
 points are shuffled; blocks that stand around more than a 1,024th of the points' rows (no
 more than 1,024 can) are dealt over several tasks.
 
@@ -29,6 +30,8 @@ HOT_SHARE = 1 / 1024
 SALTS = 32
 #: Blocks that intervals have are broadcast up to so many rows.
 BROADCAST_BLOCKS = 100_000
+#: Rows of a key on either side that meet all rows of the key on the other.
+FEW = 64
 
 
 def days(date: Column) -> Column:
@@ -93,11 +96,9 @@ def stabbed(points: DataFrame, point: str, intervals: DataFrame, start: str, end
     return left.join(right, [*place, "__salt"]).drop("__size", "__block", "__salt")
 
 
-def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
-    """All columns of left and right rows whose intervals overlap, a row a pair; apart from ``keys`` the sides share no names."""
+def _by_blocks(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
+    """Overlapping rows by the blocks of their starts."""
     keys = keys or []
-    if shared := (set(left.columns) & set(right.columns)) - set(keys):
-        raise ValueError(f"both sides have {sorted(shared)}")
     (a, b), (c, d) = left_ends, right_ends
     # an open start lies before everything that has an end
     before = min(axis((left, a), (left, b))[0], axis((right, c), (right, d))[0]) - 1
@@ -108,3 +109,30 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     later_left = stabbed(first, "__start", second.drop("__start"), c, d, keys).where(open_c < F.col("__start")).drop("__start")
     names = [*keys, *[x for x in left.columns if x not in keys], *[x for x in right.columns if x not in keys]]
     return later_right.select(*names).unionByName(later_left.select(*names))
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], keys: list[str] | None = None) -> DataFrame:
+    """All columns of left and right rows whose intervals overlap, a row a pair; apart from ``keys`` the sides share no names.
+
+    Keys with at most ``FEW`` rows on each side meet as they are, with at most so many tests a
+    row; the rows of other keys, and everything without keys, go by blocks.
+    """
+    if shared := (set(left.columns) & set(right.columns)) - set(keys or []):
+        raise ValueError(f"both sides have {sorted(shared)}")
+    if not keys:
+        return _by_blocks(left, right, left_ends, right_ends)
+    # no more keys than a FEW-th of the rows
+    counts = [side.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FEW).select(*keys) for side in (left, right)]
+    many = settle(counts[0].unionByName(counts[1]).distinct(), "crowded-keys")
+    found = many.count()
+
+    def part(side: DataFrame, how: str) -> DataFrame:
+        return side.join(F.broadcast(many) if found <= BROADCAST_BLOCKS else many, keys, how)
+
+    one, two = (part(side, "left_anti") if found else side for side in (left, right))
+    (a, b), (c, d) = left_ends, right_ends
+    x, y = ([F.col(n).cast("long") for n in ends] for ends in ((a, b), (c, d)))
+    whole = [F.coalesce(low <= high, F.lit(True)) for low, high in (x, y)]
+    names = [*keys, *[n for n in left.columns if n not in keys], *[n for n in right.columns if n not in keys]]
+    met = one.where(whole[0]).join(two.where(whole[1]), keys).where(F.coalesce(x[0] <= y[1], F.lit(True)) & F.coalesce(y[0] <= x[1], F.lit(True))).select(*names)
+    return met.unionByName(_by_blocks(part(left, "left_semi"), part(right, "left_semi"), left_ends, right_ends, keys)) if found else met

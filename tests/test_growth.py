@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orebody.operators import resolve
+from orebody.operators import intervals, resolve
 
 
 def test_totals_of_questions_equal_the_rows_asked_for(spark):
@@ -28,3 +28,23 @@ def test_rows_of_questions_meet_sums(spark):
     plan = QUERIES["rows_of_questions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join")[0]
     assert "sum(n" in above and "count(1)" not in above
+
+
+def test_overlaps_of_few_rows_a_key_are_not_cut_into_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(k, r.choice([*range(40), *[7] * 9, None]), r.choice([None, r.randint(0, 90)]), r.choice([None, r.randint(20, 110)])) for k in range(400)]
+    x = spark.createDataFrame(rows, "i int, g int, a int, b int")
+    y = x.toDF("j", "g", "c", "d")
+    full = lambda v: (-(10**9) if v[2] is None else v[2], 10**9 if v[3] is None else v[3])
+    want = []
+    for p in rows:
+        for q in rows:
+            (a, b), (c, d) = full(p), full(q)
+            if p[1] is not None and p[1] == q[1] and a <= b and c <= d and a <= d and c <= b:
+                want.append((p[0], q[0]))
+    for few in (10_000, 12, 0):
+        monkeypatch.setattr(intervals, "FEW", few)
+        found = intervals.overlaps(x, y, ("a", "b"), ("c", "d"), ["g"])
+        assert sorted(tuple(o) for o in found.select("i", "j").collect()) == sorted(want)
+        if few == 10_000:
+            assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
