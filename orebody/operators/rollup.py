@@ -7,13 +7,18 @@ is no sort inside; sums of a higher level start from the level below.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from orebody.functions.expressions import guarded_ratio
 from orebody.functions.vocabulary import SERIES_SUMS, SNAPSHOT_SUMS
 
+#: So many numbers of a group make it worth while to group its texts apart.
+WIDE = 16
+
 
 @dataclass(frozen=True)
 class Level:
@@ -44,20 +49,42 @@ def joined_remarks(label: Column, text: Column, order: Column, between: str = "\
 
 
 def roll_up(df: DataFrame, level: Level, order: str | None = None) -> DataFrame:
-    """Group ``df`` by the level's keys."""
-    parts: list[Column] = []
-    parts += [F.min(c).alias(c) for c in level.least]
-    parts += [F.max(c).alias(c) for c in level.greatest]
-    parts += [F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(name) for name, c in level.counts.items()]
-    parts += [F.count("*").alias(level.rows)] if level.rows else []
+    """Group ``df`` by the level's keys.
+
+    Numbers are summed up in hash maps.  Extremes of texts and joined remarks would have whole
+    rows sorted for that, so where there are many numbers these are grouped apart, beside their
+    keys alone.  The parts meet by the keys, a row a group.
+    """
+    texts = [(c, how) for names, how in ((level.least, F.min), (level.greatest, F.max)) for c in names if isinstance(df.schema[c].dataType, StringType)]
+    numbers: list[Column] = []
+    numbers += [F.min(c).alias(c) for c in level.least if (c, F.min) not in texts]
+    numbers += [F.max(c).alias(c) for c in level.greatest if (c, F.max) not in texts]
+    numbers += [F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(name) for name, c in level.counts.items()]
+    numbers += [F.count("*").alias(level.rows)] if level.rows else []
     place = F.struct(*[F.col(c) for c in order.split(",")]) if order else None
-    parts += [joined_remarks(F.col(a), F.col(b), F.col(a) if place is None else place, level.between).alias(name) for name, (a, b) in level.remarks.items()]
-    parts += [F.sum(c).alias(name) for name, c in level.totals.items()]
-    parts += [F.sum(c).alias(c) for c in level.sums]
-    parts += [F.avg(c).alias(c) for c in level.means]
-    parts += [F.avg(c).alias(name) for name, c in level.averages.items()]
-    parts += [guarded_ratio(F.sum(F.expr(over)), F.sum(F.expr(under))).alias(name) for name, (over, under) in level.ratios.items()]
-    return df.groupBy(*level.keys).agg(*parts)
+    remarks = [joined_remarks(F.col(a), F.col(b), F.col(a) if place is None else place, level.between).alias(name) for name, (a, b) in level.remarks.items()]
+    numbers += [F.sum(c).alias(name) for name, c in level.totals.items()]
+    numbers += [F.sum(c).alias(c) for c in level.sums]
+    numbers += [F.avg(c).alias(c) for c in level.means]
+    numbers += [F.avg(c).alias(name) for name, c in level.averages.items()]
+    numbers += [guarded_ratio(F.sum(F.expr(over)), F.sum(F.expr(under))).alias(name) for name, (over, under) in level.ratios.items()]
+    ends = [how(c).alias(c) for c, how in texts]
+    names = [*level.keys, *level.least, *level.greatest, *level.counts, *([level.rows] if level.rows else []), *level.remarks, *level.totals, *level.sums, *level.means, *level.averages, *level.ratios]
+    if not (ends or remarks) or len(numbers) < WIDE:
+        return df.groupBy(*level.keys).agg(*ends, *numbers, *remarks).select(*names)
+    out = df.groupBy(*level.keys).agg(*numbers)
+    if ends:
+        out = _beside(out, df.groupBy(*level.keys).agg(*ends), level.keys)
+    if remarks:
+        out = _beside(out, df.groupBy(*level.keys).agg(*remarks), level.keys)
+    return out.select(*names)
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Columns of two frames with the same groups, a null key among them."""
+    own = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(own, same).drop(*[f"__{k}" for k in keys])
 
 
 def _recovery(oil: str, gas: str) -> dict[str, tuple[str, str]]:

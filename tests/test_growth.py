@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orebody.operators import intervals, resolve
+from orebody.operators import intervals, resolve, rollup
 
 
 def test_totals_of_questions_equal_the_rows_asked_for(spark):
@@ -48,3 +48,18 @@ def test_overlaps_of_few_rows_a_key_are_not_cut_into_blocks(spark, monkeypatch):
         assert sorted(tuple(o) for o in found.select("i", "j").collect()) == sorted(want)
         if few == 10_000:
             assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_rollups_sort_texts_alone(spark):
+    r = random.Random(5)
+    level = rollup.Level(("a", "b"), ("t", "low"), ("u",), tuple(f"m{k}" for k in range(rollup.WIDE)), counts={"named": "t"}, rows="n", remarks={"all": ("t", "u")})
+    rows = [(r.choice([1, 2, None]), r.choice(["x", None]), r.choice(["p", "q", "", None]), r.choice(["s", None]), r.choice([1, 5, None]), *[r.choice([1.0, 2.0, None])] * rollup.WIDE) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "a int, b string, t string, u string, low int, " + ", ".join(f"{m} double" for m in level.sums))
+    got = rollup.roll_up(frame, level, "t,u")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sorted_parts = [x for x in plan.splitlines() if "SortAggregate" in x or "ObjectHashAggregate" in x]
+    assert sorted_parts and not any("sum(" in x for x in sorted_parts)
+    narrow = rollup.Level(level.keys, level.least, level.greatest, level.sums[:1], counts=level.counts, rows="n", remarks=level.remarks)
+    same = ["a", "b", "t", "low", "u", "m0", "named", "n", "all"]
+    key = lambda x: str(tuple(x))
+    assert sorted(got.select(*same).collect(), key=key) == sorted(rollup.roll_up(frame, narrow, "t,u").select(*same).collect(), key=key)
