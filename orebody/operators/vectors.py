@@ -2,14 +2,13 @@
 
 The index holds the distinct vectors in inverted lists: each unit vector belongs to its
 nearest coarse centroid, and the rest is a product-quantised code of one byte for each part,
-beside the length of what the code leaves out.  A search scans codes, not vectors: each task
-looks distances up in tables made from the queries, keeps a bounded heap for each query, and
-passes on what the heap does not exclude; the tasks' heaps are merged and what is left is
-ranked by its exact cosine.
-
-With all lists probed the result is exact: a cosine differs from its looked-up value by no
-more than the length left out, so bounds, not guesses, exclude vectors, and whole lists where
-centroid and radius say so.  With ``probes`` lists a query, recall is what the lists hold; the
+beside the length of what the code leaves out and the unit vector in single precision.  A search
+of some lists scans codes, not vectors: each task looks distances up in tables made from the
+queries, keeps a bounded heap for each query, and passes on what the heap does not exclude; the
+tasks' heaps are merged and what is left is ranked by its exact cosine.
+
+With all lists probed the result is exact: lists are excluded where centroid and radius say so,
+and the others' vectors by products in single precision and the bound of their rounding.  With ``probes`` lists a query, recall is what the lists hold; the
 heap then has ``REFINE`` times k entries.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors by a hash of
@@ -53,7 +52,7 @@ CHUNK = 1024
 
 
 class Index(NamedTuple):
-    """codes: list, h1, h2, code, rest; groups: h1, h2, vector; members: h1, h2, key; model: one row of bytes."""
+    """codes: list, h1, h2, code, rest, unit; groups: h1, h2, vector; members: h1, h2, key; model: one row of bytes."""
 
     codes: DataFrame
     groups: DataFrame
@@ -154,7 +153,7 @@ def build(vectors: DataFrame, key: str, column: str, lists: int | None = None) -
     members = settle(own.select("h1", "h2", "key"), "vector-members")
     lengths = groups.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
     if not lengths:
-        empty = spark.createDataFrame([], "list int, h1 long, h2 long, code binary, rest float")
+        empty = spark.createDataFrame([], "list int, h1 long, h2 long, code binary, rest float, unit binary")
         return Index(empty, groups, members, spark.createDataFrame([], "model binary"))
     d, n = lengths[0]["d"], lengths[0]["n"]
     groups = groups.where(F.size("vector") == d)
@@ -167,7 +166,8 @@ def build(vectors: DataFrame, key: str, column: str, lists: int | None = None) -
         own = held.value
         for batch in batches:
             if batch.num_rows:
-                place, code, rest, far = own.encode(unit_rows(batch.column("vector")))
+                unit = unit_rows(batch.column("vector"))
+                place, code, rest, far = own.encode(unit)
                 yield pa.record_batch(
                     {
                         "list": pa.array(place, pa.int32()),
@@ -176,10 +176,11 @@ def build(vectors: DataFrame, key: str, column: str, lists: int | None = None) -
                         "code": pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1]), len(code), [None, pa.py_buffer(np.ascontiguousarray(code))]).cast(pa.binary()),
                         "rest": pa.array(np.nextafter(rest.astype(np.float32), np.float32(9)), pa.float32()),
                         "far": pa.array(far, pa.float64()),
+                        "unit": pa.array([row.tobytes() for row in unit.astype("<f4")], pa.binary()),
                     }
                 )
 
-    coded = groups.select("h1", "h2", "vector").mapInArrow(run, "list int, h1 long, h2 long, code binary, rest float, far double")
+    coded = groups.select("h1", "h2", "vector").mapInArrow(run, "list int, h1 long, h2 long, code binary, rest float, far double, unit binary")
     coded = settle(coded.repartitionByRange("list", "h1").sortWithinPartitions("list", "h1"), "vector-codes")
     radius = model.radius.copy()
     # a row for each list
@@ -235,15 +236,20 @@ class _Heaps:
 
 
 def _scan(codes: DataFrame, held, k: int, probes: int | None) -> DataFrame:
-    """(query, low, high, h1, h2): in each task, what the heaps of the queries do not exclude."""
+    """(query, low, high, h1, h2): in each task, what the heaps of the queries do not exclude.
+
+    An exact search takes products of the vectors themselves, in single precision with its bound
+    of rounding: the bounds of codes would pass on a great part of all pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, queries = held.value
         model = Model.load(raw)
         q = queries.astype(np.float32)
-        tables = [q[:, a:b] @ book.astype(np.float32).T for book, a, b in zip(model.books, model.cuts[:-1], model.cuts[1:])]
-        base = q @ model.centroids.astype(np.float32).T
         exact = probes is None
+        tables = [] if exact else [q[:, a:b] @ book.astype(np.float32).T for book, a, b in zip(model.books, model.cuts[:-1], model.cuts[1:])]
+        base = q @ model.centroids.astype(np.float32).T
+        off = np.float32(max(ROUNDING, (q.shape[1] + 4) * 2.0**-23))
         looks = np.ones(base.shape, bool)
         if not exact and probes < base.shape[1]:
             # queries look into their nearest lists
@@ -255,24 +261,34 @@ def _scan(codes: DataFrame, held, k: int, probes: int | None) -> DataFrame:
             lists = batch.column("list").to_numpy()
             if not len(lists):
                 continue
-            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(lists), -1)
-            rest, h1, h2 = (batch.column(c).to_numpy() for c in ("rest", "h1", "h2"))
+            if exact:
+                unit = np.frombuffer(b"".join(batch.column("unit").to_pylist()), "<f4").reshape(len(lists), -1)
+            else:
+                code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(lists), -1)
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(lists)) + 1, [len(lists)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
                 own = lists[a]
-                rows = np.flatnonzero(looks[:, own] & (base[:, own] + model.radius[own] + ROUNDING >= heaps.least()))
+                rows = np.flatnonzero(looks[:, own] & (base[:, own] + model.radius[own] + off >= heaps.least()))
                 for s in range(a, b if len(rows) else a, CHUNK):
                     e = min(b, s + CHUNK)
+                    if exact:
+                        seen = q[rows] @ unit[s:e].T
+                        # most queries have better ones than all of these
+                        on = np.flatnonzero(seen.max(axis=1) + off >= heaps.least()[rows])
+                        if len(on):
+                            seen = seen[on]
+                            heaps.add(rows[on], seen - off, seen + off, h1[s:e], h2[s:e])
+                        continue
                     seen = np.repeat(base[rows, own][:, None], e - s, axis=1)
                     for m, table in enumerate(tables):
                         seen += table[rows][:, code[s:e, m]]
-                    slack = rest[s:e] + np.float32(ROUNDING) if exact else np.zeros(e - s, np.float32)
-                    heaps.add(rows, seen - slack, seen + slack, h1[s:e], h2[s:e])
+                    heaps.add(rows, seen, seen, h1[s:e], h2[s:e])
         heaps.shrink()
         for part in heaps.kept:
             yield pa.record_batch({"query": pa.array(part[0], pa.int32()), "low": pa.array(part[1].astype(np.float64)), "high": pa.array(part[2].astype(np.float64)), "h1": pa.array(part[3]), "h2": pa.array(part[4])})
 
-    return codes.mapInArrow(run, "query int, low double, high double, h1 long, h2 long")
+    return codes.select("list", "h1", "h2", "unit" if probes is None else "code").mapInArrow(run, "query int, low double, high double, h1 long, h2 long")
 
 
 def top_k(index: Index, queries: DataFrame, key: str, column: str, k: int, probes: int | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from orebody.operators import intervals, resolve, rollup
+from orebody.operators import intervals, resolve, rollup, vectors
 
 
 def test_totals_of_questions_equal_the_rows_asked_for(spark):
@@ -63,3 +64,23 @@ def test_wide_rollups_sort_texts_alone(spark):
     same = ["a", "b", "t", "low", "u", "m0", "named", "n", "all"]
     key = lambda x: str(tuple(x))
     assert sorted(got.select(*same).collect(), key=key) == sorted(rollup.roll_up(frame, narrow, "t,u").select(*same).collect(), key=key)
+
+
+def test_exact_search_passes_on_few_vectors(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    index = vectors.build(frame, "id", "v")
+    seen = {}
+    whole = vectors._ranked
+
+    def ranked(index, asked, found, k, deep):
+        seen["rows"], seen["tasks"] = found.count(), found.rdd.getNumPartitions()
+        return whole(index, asked, found, k, deep)
+
+    monkeypatch.setattr(vectors, "_ranked", ranked)
+    got = vectors.top_k(index, frame.where("id % 50 = 0"), "id", "v", 10)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {(q, int(k)) for q in range(0, 3000, 50) for k in np.argsort(-(unit @ unit[q]))[:10]}
+    assert {(r["query"], r["key"]) for r in got.collect()} == best
+    # a heap's worth of each task, not a share of the 60 x 3,000 pairs
+    assert seen["rows"] <= 60 * 11 * 8
