@@ -25,9 +25,11 @@ def distance_km(kind: str, *places: Column) -> Column:
     return ellipsoid_km(*places) if kind == "ellipsoid" else haversine_km(*places)
 
 
-def _in_cells(points: DataFrame, radius_km: float, lat: str = "lat", long: str = "long", around: bool = False) -> DataFrame:
+def _in_cells(points: DataFrame, radius_km: float, lat: str = "lat", long: str = "long", around: bool = False, ahead: bool = False) -> DataFrame:
     """Points with ``row`` and ``column`` of their cell; ``around``: of each cell that their radius reaches, in their own row and the two beside it.
 
+    ``ahead``: only in their own row (kept as ``__row``) and the next.
+
     Columns of a row are as wide as its narrowest end asks; a row's cells are found by its own width.
     """
     # as text: a column object for each term costs more than the search on small tables
@@ -38,7 +40,9 @@ def _in_cells(points: DataFrame, radius_km: float, lat: str = "lat", long: str =
     count = f"CASE WHEN {far} >= {POLAR} THEN 1L ELSE greatest(1L, floor(360 * cos(radians({far})) / {step})) END"
     column = f"pmod(floor(({long} + 180) / 360 * __count), __count)"
     if around:
-        row = f"explode(sequence({row} - 1, {row} + 1))"
+        if ahead:
+            points = points.selectExpr("*", f"{row} AS __row")
+        row = "explode(sequence(__row, __row + 1))" if ahead else f"explode(sequence({row} - 1, {row} + 1))"
         column = f"explode(array_distinct(transform(array(-1L, 0L, 1L), d -> pmod({column} + d, __count))))"
     rows = points.selectExpr("*", f"{row} AS `row`").selectExpr("*", f"{count} AS __count")
     return rows.selectExpr("*", f"{column} AS `column`").drop("__count")
@@ -77,14 +81,45 @@ def placed(points: DataFrame) -> DataFrame:
     return points.select("id", F.col("lat").cast("double").alias("lat"), F.col("long").cast("double").alias("long")).where("lat IS NOT NULL AND long IS NOT NULL")
 
 
-def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine") -> DataFrame:
-    """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells."""
+#: Points of one place in a row, and points of a part of a cell: fuller places and cells are cut into parts.
+HELD, PART = 256, 1024
+
+
+def _parts(rows: DataFrame, keys: tuple[str, ...], size: Column, most: int) -> DataFrame:
+    """``keys`` and ``__parts`` of the groups of more than ``most``."""
+    full = rows.groupBy(*keys).agg(F.sum(size).alias("__n")).where(F.col("__n") > most)
+    full = settle(full.select(*keys, F.ceil(F.col("__n") / most).cast("int").alias("__parts")), "full")
+    return F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
+
+
+def near_pairs(points: DataFrame, radius_km: float, kind: str = "haversine", digits: int | None = None) -> DataFrame:
+    """(a, b, km), a < b, of all pairs within the radius, by an equi-join on cells; ``digits``: of km, rounded once for two places.
+
+    Points of one place are a row, so that places are compared and not points.  A place meets its own row of
+    cells and the next, and the parts of a full cell one by one: no cell is one task.
+    """
+    part = F.coalesce(F.col("__parts"), F.lit(1))
     p = placed(points)
-    right = _in_cells(_with_chords(p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("long").alias("long_b")), "_b"), radius_km, "lat_b", "long_b")
-    left = _in_cells(_with_chords(spread(p.withColumnRenamed("id", "a"), "a")), radius_km, around=True)
+    full = _parts(p, ("lat", "long"), F.lit(1), HELD)
+    held = p.join(full, ["lat", "long"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), part)).groupBy("lat", "long", "salt").agg(F.collect_list("id").alias("ids"))
+    held = settle(held, "places")
+    known = _in_cells(held, radius_km)
+    full = _parts(known, ("row", "column"), F.size("ids"), PART)
+    known = known.join(full, ["row", "column"], "left").withColumn("part", F.pmod(F.xxhash64("lat", "long", "salt"), part)).drop("__parts")
+    known = _with_chords(known.withColumnsRenamed({c: f"{c}_b" for c in held.columns}), "_b")
+    met = _in_cells(_with_chords(held), radius_km, around=True, ahead=True).join(full, ["row", "column"], "left")
+    met = met.select("*", F.explode(F.sequence(F.lit(0).cast("long"), part.cast("long") - 1)).alias("part")).drop("__parts")
+    cell = ("row", "column", "part")
+    pairs = spread(met, *cell).join(spread(known, *cell), list(cell))
+    # of two places in a row of cells the first meets the second, and each itself
+    pairs = pairs.where(F.expr("`row` > __row OR struct(lat, long, salt) <= struct(lat_b, long_b, salt_b)") & _may_be_near(radius_km, kind))
     km = distance_km(kind, F.col("lat"), F.col("long"), F.col("lat_b"), F.col("long_b"))
-    pairs = left.join(right, ["row", "column"]).where(F.expr("a < b") & _may_be_near(radius_km, kind)).select("a", "b", km.alias("km"))
-    return pairs.where(F.col("km") <= radius_km)
+    same = F.expr("struct(lat, long, salt) = struct(lat_b, long_b, salt_b)").alias("same")
+    pairs = pairs.select("ids", "ids_b", same, km.alias("km")).where(F.col("km") <= radius_km)
+    if digits is not None:
+        pairs = pairs.withColumn("km", F.round("km", digits))
+    pairs = pairs.select(F.explode("ids").alias("__a"), "ids_b", "same", "km").select("__a", F.explode("ids_b").alias("__b"), "same", "km")
+    return pairs.where("__a < __b OR (NOT same AND __a > __b)").select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), "km")
 
 
 def within(points: DataFrame, lat: float, long: float, radius_km: float, limit: int, kind: str = "haversine", exclude: object = None) -> DataFrame:

@@ -699,7 +699,7 @@ def _km(a: str, b: str) -> str:
 
 @query("pairs_within_radius", f"WITH {PLACES} SELECT x.id AS a, y.id AS b, ROUND({_km('x', 'y')}, 4) AS km FROM places x JOIN places y ON x.id < y.id AND {_km('x', 'y')} <= 450")
 def pairs_within_radius(spark, sf_dir):
-    return rounded(spatial.near_pairs(places(spark, sf_dir), 450.0), km=4)
+    return spatial.near_pairs(places(spark, sf_dir), 450.0, digits=4)
 
 
 @query("near_field", f"WITH {PLACES}, r AS (SELECT * FROM places WHERE id = 7) SELECT p.id, ROUND({_km('r', 'p')}, 4) AS km FROM r, places p WHERE p.id <> 7 AND {_km('r', 'p')} <= 1500 ORDER BY {_km('r', 'p')}, p.id LIMIT 10")

@@ -109,3 +109,18 @@ def test_nearest_of_few_points(spark):
     assert len(got) == 600 and {r["km"] for r in got} == {0.0}
     assert sorted(r["id"] for r in got if r["place"] == 1) == [0, 2, 3]
     assert spatial.nearest_each(few.limit(0), 2).collect() == []
+
+
+def test_pairs_of_full_places_and_cells(spark, monkeypatch):
+    """Places of many points and cells of many places are cut into parts, without a pair lost or doubled."""
+    monkeypatch.setattr(spatial, "HELD", 4, raising=False)
+    monkeypatch.setattr(spatial, "PART", 8, raising=False)
+    spots = [(84.0, 10.0), (84.5, 190.0 - 360), (82.0, 100.0), (0.0, 179.9), (0.0, -179.9), (0.1, 179.5), (-3.0, 5.0)]
+    rows = [(i, *spots[i * i % 7]) for i in range(90)] + [(7, 84.0, 10.5), (7, 84.0, 10.5), (200, None, 3.0)]
+    df = spark.createDataFrame(rows, "id int, lat double, long double")
+    pairs = spatial.near_pairs(df, 900.0, digits=3)
+    known = [r for r in rows if r[1] is not None]
+    want = sorted((p[0], q[0], round(km(p[1:], q[1:]), 3)) for p in known for q in known if p[0] < q[0] and km(p[1:], q[1:]) <= 900.0)
+    assert sorted((r.a, r.b, r.km) for r in pairs.collect()) == want
+    # a cell's parts are keys of the join: points of one cell are many tasks
+    assert "part" in pairs._jdf.queryExecution().optimizedPlan().toString()
