@@ -120,6 +120,20 @@ def test_batch_equals_every_single_search(spark):
     assert substrings.search_batch(index, frame.limit(0), "id", "t", spark.createDataFrame(asked, "p long, pattern string"), "p", "pattern").count() == 0
 
 
+def test_postings_by_blocks(spark):
+    """A run has a row for each block of rows, not for each row; blocks, repeated keys and characters beyond 16 bits lose nothing."""
+    texts = [(f"k{i % 50}", f"Common words everywhere {i} 😀 a😀b" if i % 3 else f"common wor ds {i}") for i in range(120)]
+    frame = spark.createDataFrame(texts, "id string, t string").repartition(3).localCheckpoint()
+    index = substrings.build(frame, "id", "t")
+    assert index.postings.where(F.exists("keys", lambda k: k == "k1")).count() < index.frequencies.agg(F.sum("n")).first()[0] / 5
+    assert index.postings.groupBy("gram", "block").count().where("count > 1").count() == 0 and index.postings.select("block").distinct().count() == 3
+    asked = [(k, p) for k, p in enumerate(["Words every", "a😀b", "😀 A", "wor ds 1", "RE 7", "not there"])]
+    got = sorted(tuple(r) for r in substrings.search_batch(index, frame, "id", "t", spark.createDataFrame(asked, "p long, pattern string"), "p", "pattern").collect())
+    assert got == sorted((k, i) for k, p in asked for i, t in texts if p.lower() in t.lower())
+    for _, p in asked:
+        assert sorted(r["id"] for r in substrings.search(index, frame, "id", "t", p).collect()) == sorted(i for i, t in texts if p.lower() in t.lower())
+
+
 # ------------------------------------------------------------------ maintained rollups
 
 LEVELS = rollup.snapshot_levels(("rec_oc",))
