@@ -26,6 +26,10 @@ from orebody.sources.scratch import settle
 YEAR = "report_year"
 #: Touched groups up to so many are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
+#: Rows of a task that groups or writes, about.
+DEALT = 500_000
+#: Files of a year, at least.
+SLICES = 16
 
 
 def _at(path: str, level: int | None) -> str:
@@ -38,10 +42,16 @@ def read(spark: SparkSession, path: str, level: int | None = None, years: list[i
     return rows if years is None else rows.where(F.col(YEAR).isin(*years))
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Rows, of which there are ``n`` at most, over more tasks where a core's share is too much for one: groups of texts are sorted."""
+    return rows if n <= DEALT * rows.sparkSession.sparkContext.defaultParallelism else rows.repartition(-(-n // DEALT), *rows.columns)
+
+
 def _replace(rows: DataFrame, path: str, level: int | None, years: list[int] | None) -> None:
     """Put rows in place of the years' partitions (of everything, without years)."""
     rows = settle(rows, "replacement")
-    writer = rows.repartition(YEAR, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.mode("overwrite").partitionBy(YEAR)
+    slices = F.lit(max(SLICES, -(-rows.count() // DEALT)))
+    writer = rows.repartition(YEAR, F.pmod(F.xxhash64(*rows.columns), slices)).write.mode("overwrite").partitionBy(YEAR)
     if years is None:
         writer.option("partitionOverwriteMode", "static").parquet(_at(path, level))
         return
@@ -60,7 +70,7 @@ def load(base: DataFrame, path: str, levels: tuple[Level, ...], orders: tuple[st
     _replace(base, path, None, None)
     below = read(spark, path)
     for k, level in enumerate(levels):
-        _replace(roll_up(below, level, orders[k] if orders else None), path, k, None)
+        _replace(roll_up(_dealt(below, below.count()), level, orders[k] if orders else None), path, k, None)
         below = read(spark, path, k)
 
 
@@ -70,7 +80,8 @@ def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> Column:
 
 def _groups(rows: DataFrame, keys: tuple[str, ...], label: str) -> DataFrame:
     own = settle(rows.select(*[F.col(c).alias(f"__{c}") for c in keys]).distinct(), label)
-    return F.broadcast(own) if own.count() <= BROADCAST_GROUPS else own
+    # a small file may hold a great many groups: its size must not have them broadcast
+    return F.broadcast(own) if own.count() <= BROADCAST_GROUPS else own.hint("merge")
 
 
 def refresh(spark: SparkSession, path: str, levels: tuple[Level, ...], years: list[int], changed: DataFrame, orders: tuple[str | None, ...] | None = None) -> list[int]:
@@ -80,7 +91,7 @@ def refresh(spark: SparkSession, path: str, levels: tuple[Level, ...], years: li
     for k, level in enumerate(levels):
         touched = _groups(changed, level.keys, f"touched-{k}")
         own = below.join(touched, _same(below, touched, level.keys), "left_semi")
-        fresh = settle(roll_up(own, level, orders[k] if orders else None), f"fresh-{k}")
+        fresh = settle(roll_up(_dealt(own, below.count()), level, orders[k] if orders else None), f"fresh-{k}")
         before = read(spark, path, k, years)
         kept = before.join(touched, _same(before, touched, level.keys), "left_anti")
         gone = settle(before.join(touched, _same(before, touched, level.keys), "left_semi"), f"gone-{k}")

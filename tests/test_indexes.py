@@ -214,3 +214,19 @@ def test_levels_with_remarks_and_factors_are_kept_up_to_date(spark, tmp_path):
         names = sorted(want.columns)
         plain = lambda df: sorted((tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df.select(*names).collect()))
         assert plain(got) == plain(want)
+
+
+def test_many_groups_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Beyond BROADCAST_GROUPS touched groups meet by a shuffle, however small their file; the levels are the same."""
+    monkeypatch.setattr(maintained, "BROADCAST_GROUPS", 5)
+    monkeypatch.setattr(maintained, "DEALT", 3, raising=False)
+    rows = [row(2000 + y, k % 3, k, 100 * y + k, float(k), "" if k % 5 else None) for y in range(2) for k in range(20)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    touched = maintained._groups(frame, LEVELS[0].keys, "touched")
+    plan = frame.join(touched, maintained._same(frame, touched, LEVELS[0].keys), "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    path = str(tmp_path / "m")
+    maintained.load(frame, path, LEVELS)
+    maintained.apply(spark.createDataFrame([row(2001, k % 2, k, 100 + k, 2.0 * k) for k in range(15)], SCHEMA), path, LEVELS, ["report_year", "project_id", "uncert_level"], ["field_id"])
+    for k, want in enumerate(rollup.stack(maintained.read(spark, path), LEVELS)):
+        assert rows_of(maintained.read(spark, path, k)) == rows_of(want)
