@@ -39,8 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch_rows, columns, settle, spread_join
-from .textnp import as_bytes, mix, prefix_hash, slices, span_hash
+from .passages import sharing
+from .shared import HOT_KEYS, ROW, batch_rows, columns, settle, spread_join
+from .textnp import as_bytes, least_of_runs, mix, prefix_hash, slices, span_hash
 
 LENGTH = 400
 GRAM = 128
@@ -55,31 +56,16 @@ SHARD_ROWS = 16_384
 #: Bytes of published strings in a range, and crowded cores that are broadcast (beyond, they are joined by a shuffle).
 RANGE_BYTES = 8_000_000
 BROADCAST_CORES = 100_000
-#: A key with more than this share of all rows is dealt over several tasks; there are no more such keys than its inverse.
-HOT_KEYS = 1024
-#: What a row is known by: its id, and a hash of id and text for rows that repeat an id.
-ROW = ["doc", "row"]
 #: A text beyond this is scanned in overlapping parts.
 PART = 1 << 22
-LOW = np.uint64((1 << 24) - 1)
 
 
 def least_places(hashes: np.ndarray) -> np.ndarray:
     """Places of the leftmost least hash of every run of REACH + 1 hashes."""
-    w = REACH + 1
-    n = len(hashes)
-    if n < w:
-        return np.zeros(0, np.int64)
-    values = (hashes & ~LOW) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
-    padded[:n] = values
-    rows = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
+    least = least_of_runs(hashes, REACH)
     change = np.ones(len(least), bool)
     change[1:] = least[1:] != least[:-1]
-    return np.unique((least[change] & LOW).astype(np.int64))
+    return np.unique(least[change])
 
 
 def anchors_of(docs: DataFrame) -> DataFrame:
@@ -457,16 +443,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     return spans.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))  # a text's own ranges
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated[, text]) of every row of ``docs``.
+def remove_repeats(docs: DataFrame, with_text: bool = False, with_passages: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated[, text][, shares_passage]) of every row of ``docs``.
 
-    repeated: whether the text loses any byte; text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
+    repeated: whether the text loses any byte; shares_passage: whether a passage of words (``passages``) also stands in another row,
+    which may be shorter than ``LENGTH`` and then stays; text: what is left, decoded; where a cut falls inside a character its bytes are replaced.
     """
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     # a null id counts as the least one; rows of that id are told apart by their text
     docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.xxhash64("doc_id", "text"))
     with batch_rows(docs.sparkSession, 1000):
         spans = settle(repeats(docs), "spans")
+        passages = settle(sharing(docs.select(*ROW, "text")), "passage-rows") if with_passages else None
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -497,11 +485,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             out = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sums), "repeated": pa.array([n > 0 for n in gone], pa.bool_())}
             if with_text:
                 out["text"] = pa.array(texts)
+            if with_passages:
+                out["shares_passage"] = batch.column("shares_passage")
             yield pa.record_batch(out)
 
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + (", text string" if with_text else "")
-    return docs.join(spans, ROW, "left").select("doc_id", "text", "spans").mapInArrow(drop, ddl)
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean" + (", text string" if with_text else "") + (", shares_passage boolean" if with_passages else "")
+    found = docs.join(spans, ROW, "left")
+    if with_passages:
+        found = found.join(passages.withColumn("shares", F.lit(True)), ROW, "left").withColumn("shares_passage", F.coalesce("shares", F.lit(False)))
+    return found.select("doc_id", "text", "spans", *["shares_passage"] * with_passages).mapInArrow(drop, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True, with_passages=True)

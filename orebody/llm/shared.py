@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from orebody.sources.scratch import scratch, settle
 
-__all__ = ["batch_rows", "columns", "scratch", "settle", "spread_join", "table"]
+__all__ = ["HOT_KEYS", "ROW", "batch_rows", "columns", "scratch", "settle", "spread_join", "table"]
+
+#: A key with more than this share of all rows is dealt over several tasks; there are no more such keys than its inverse.
+HOT_KEYS = 1024
+#: What a row is known by: its id, and a hash of id and text for rows that repeat an id.
+ROW = ["doc", "row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

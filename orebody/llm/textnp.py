@@ -15,6 +15,7 @@ SPACE[list(SPACES)] = True
 #: Bytes of text worked on at once (a longer text is worked on alone).
 SLICE_BYTES = 1_000_000
 SHINGLE = 5
+LOW = np.uint64((1 << 24) - 1)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -61,6 +62,21 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def least_of_runs(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the leftmost least hash of every run of ``reach`` + 1 hashes."""
+    w = reach + 1
+    n = len(hashes)
+    if n < w:
+        return np.zeros(0, np.int64)
+    values = (hashes & ~LOW) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
+    padded[:n] = values
+    rows = padded.reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & LOW).astype(np.int64)
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

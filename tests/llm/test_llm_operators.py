@@ -1,16 +1,18 @@
 """Operators on Spark against brute force, with nulls, empties, ties, repeats and odd columns."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.llm import decontaminate, html_extract, mixing, near_join, near_vectors, quality, repeats, shared, tokens, toxicity, warc
+from orebody.llm import decontaminate, html_extract, mixing, near_join, near_vectors, passages, quality, repeats, shared, tokens, toxicity, warc
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 6))) for _ in range(400)]
@@ -167,6 +169,37 @@ def test_repeats_edges(spark):
     assert {r.doc_id: r.text for r in cut.collect()} == {1: " end", 2: ""}
 
 
+def passage_truth(rows, length=50):
+    words = [re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode()) for _, t in rows]
+    runs = [{tuple(x.lower() for x in w[k : k + length]) for k in range(len(w) - length + 1)} for w in words]
+    seen = collections.Counter(r for own in runs for r in own)
+    return sorted(((i or -1, t or "", any(seen[r] > 1 for r in own)) for (i, t), own in zip(rows, runs)), key=repr)
+
+
+@pytest.mark.parametrize("part,floor", [(1 << 22, 1024), (100, 10**9)])
+def test_passages_of_words_shared_by_documents(spark, monkeypatch, part, floor):
+    """Passages of 50 words and more are told, also below 400 bytes, which stay; 49 words and repeats inside one text are not."""
+    monkeypatch.setattr(passages, "PART", part)
+    monkeypatch.setattr(passages, "HOT_KEYS", floor)
+    passage = prose(51, 501).split()
+    assert len(" ".join(passage)) < 400
+    rows = [r for r in corpus() if len(r[1] or "") < 20_000]
+    rows += [(900 + k, prose(40 + k, 600 + k) + " " + " ".join(passage[:n]) + " " + prose(30, 650 + k)) for k, n in enumerate((51, 51, 50, 49, 48))]
+    rows += [(910, prose(45, 700) + ", " + ",\n".join(passage).upper() + "; " + prose(20, 701)), (911, prose(45, 702) + "x"), (None, prose(55, 703)), (None, prose(55, 703))]
+    own = prose(110, 801)
+    rows += [(920, own + " q " + own + " z " + own), (921, "de " * 49), (922, "de " * 80), (923, "la " * 51), (924, "w " + "la " * 51)]
+    got = repeats.remove_repeats(documents(spark, rows), with_passages=True).collect()
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t or "")
+    told = sorted(((r.doc_id or -1, texts[r.doc_id].pop(), r.shares_passage) for r in got), key=repr)
+    assert told == passage_truth(rows)
+    by = {r.doc_id: (r.shares_passage, r.n_removed) for r in got}
+    assert [by[k] for k in (900, 902, 903, 910)] == [(True, 0), (True, 0), (False, 0), (True, 0)]
+    assert by[920][0] is False and by[920][1] > 0
+    assert repeats.remove_repeats(documents(spark, []), with_passages=True).count() == 0
+
+
 def vectors(spark):
     r = np.random.default_rng(8)
     x = r.normal(size=(120, 16)).astype(np.float32)
