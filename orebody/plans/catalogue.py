@@ -1190,10 +1190,10 @@ def name_table(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, kinds)
 
 
-def name_questions(spark, sf_dir) -> DataFrame:
-    """A question for each customer, by turns about the customer, two nations, its segment's rates, or nothing known."""
+def name_questions(spark, sf_dir, year: int = 1997) -> DataFrame:
+    """A question for each customer, by turns about the customer in a year, two nations, its segment's rates, or nothing known."""
     k = F.col("c_custkey")
-    asked = F.when(k % 5 == 0, F.concat(F.lit("tahun 1997 cadangan 2P "), F.lower("c_name"), F.lit(", "), "c_mktsegment")).when(k % 5 == 1, F.concat(F.lit("produksi nation_"), (k % 25).cast("string"), F.lit(" dan nation_"), ((k + 1) % 25).cast("string")))
+    asked = F.when(k % 5 == 0, F.concat(F.lit(f"tahun {year} cadangan 2P "), F.lower("c_name"), F.lit(", "), "c_mktsegment")).when(k % 5 == 1, F.concat(F.lit("produksi nation_"), (k % 25).cast("string"), F.lit(" dan nation_"), ((k + 1) % 25).cast("string")))
     asked = asked.when(k % 5 == 2, F.concat(F.lit("forecast nation_"), (k % 25).cast("string"), F.lit("?"))).when(k % 5 == 3, F.concat(F.lit("rate: "), "c_mktsegment")).otherwise("lapangan besar")
     return read(spark, sf_dir, "customer").select("c_custkey", asked.alias("asked"))
 
@@ -1228,7 +1228,7 @@ UNION ALL SELECT q.c_custkey, p.rec_oc FROM q JOIN projects p ON kind_no = 2 AND
 SELECT c_custkey, COUNT(*) AS n, ROUND(SUM(rec_oc), 2) AS rec_oc FROM hits GROUP BY c_custkey""",
 )
 def rows_of_questions(spark, sf_dir):
-    q = spread(name_questions(spark, sf_dir)).withColumn("asked", F.replace(F.col("asked"), F.lit("1997"), F.lit("2097")))
+    q = spread(name_questions(spark, sf_dir, 2097))
     named = resolve.resolve_names(q, "c_custkey", "asked", name_table(spark, sf_dir)).join(resolve.resolve(q, "c_custkey", "asked"), "c_custkey")
     # the table's years are a century later, where a question's years are, and its classes those that a question asks for
     classes = F.when(F.col("project_id") % 3 > 0, V.CLASSES["cadangan"]).otherwise(V.CLASSES["contingent"])

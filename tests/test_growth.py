@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -31,6 +32,23 @@ def test_rows_of_questions_meet_sums(spark):
     assert "sum(n" in above and "count(1)" not in above
 
 
+def test_rows_of_questions_leave_names_with_the_digits_of_a_year(spark, tmp_path):
+    from orebody.plans.catalogue import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    # customers beyond those of sf0.1: fields 19970, 199725 and 20970, which 19970 would be with its digits replaced, and 1997 with a question about its area
+    con.execute("CREATE TABLE customer AS SELECT k AS c_custkey, 'Customer#' || lpad(k::VARCHAR, 9, '0') AS c_name, 22 AS c_nationkey, 0.0::DOUBLE AS c_acctbal, 'FURNITURE' AS c_mktsegment FROM unnest([19970::BIGINT, 199725, 20970, 1997]) t(k)")
+    con.execute("CREATE TABLE orders AS SELECT k + i AS o_orderkey, k AS o_custkey, 'F' AS o_orderstatus, k + i / 4 AS o_totalprice, TIMESTAMP '1997-05-01' AS o_orderdate, '2-HIGH' AS o_orderpriority FROM unnest([19970::BIGINT, 199725, 20970, 1997]) t(k), range(6) s(i)")
+    for t in ("nation", "region"):
+        con.execute(f"CREATE TABLE {t} AS FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for t in ("customer", "orders", "nation", "region"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    want = sorted(con.execute(ORACLES["rows_of_questions"]).fetchall())
+    assert [k for k, *_ in want] == [1997, 19970, 20970, 199725]
+    got = QUERIES["rows_of_questions"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("c_custkey", "n", "rec_oc").collect()) == want
+
+
 def test_overlaps_of_few_rows_a_key_are_not_cut_into_blocks(spark, monkeypatch):
     r = random.Random(4)
     rows = [(k, r.choice([*range(40), *[7] * 9, None]), r.choice([None, r.randint(0, 90)]), r.choice([None, r.randint(20, 110)])) for k in range(400)]
